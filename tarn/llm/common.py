@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def sliced(batch: pa.RecordBatch, limit: int = SLICE_CHARS) -> Iterator[pa.Recor
         if batch.num_rows:
             yield batch
         return
-    sizes = pa.compute.binary_length(batch.column("text")).to_pylist()
+    sizes = pc.binary_length(batch.column("text")).to_pylist()
     first, total = 0, 0
     for i, n in enumerate(sizes):
         if i > first and total + (n or 0) > limit:
