@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.chat import op2_chat
 from tarn.llm.fingerprints import op8_fingerprints
+from tarn.llm.minhash import op10_minhash
 from tarn.llm.packing import op5_packing
 from tarn.llm.sentencepiece_codec import op1_sentencepiece
 from tarn.llm.sharding import op4_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
