@@ -46,14 +46,14 @@ def _state(edges: DataFrame) -> tuple:
 def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(id, component) of the graph that links a and b if they share a ``key`` of ``members(key, id[, note])`` and ``verify`` keeps (a, b).
 
-    The components are exact, yet not all pairs of a bucket are formed: its members are first tested against a few
+    ``members`` is read twice, and may repeat rows.     The components are exact, yet not all pairs of a bucket are formed: its members are first tested against a few
     leaders (the members of least hash, by several hashes; alike buckets have the same leaders), and what that joins
     needs no further test. Then only pairs of different components remain. ``may_link`` rules out pairs by their notes.
     """
     noted = "note" in members.columns
     note = [F.col("note")] if noted else []
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bucket = checkpointed(members.join(shared, "key"))
+    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    bucket = checkpointed(members.join(shared, "key").distinct())
     # leaders: of each hash the least member; the partial aggregates combine before the shuffle
     who = F.struct("id", *note)
     leaders = bucket.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(who, F.xxhash64(F.lit(s), "id")) for s in range(LEADERS)))).alias("leaders"))

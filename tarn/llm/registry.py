@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.chat import op2_chat
+from tarn.llm.embedding_dedup import op9_embeddings
 from tarn.llm.fingerprints import op8_fingerprints
+from tarn.llm.line_dedup import op6_line_dedup
 from tarn.llm.minhash import op10_minhash
 from tarn.llm.packing import op5_packing
 from tarn.llm.sentencepiece_codec import op1_sentencepiece
@@ -18,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op9_embeddings": op9_embeddings,
     "op10_minhash": op10_minhash,
 }
 
