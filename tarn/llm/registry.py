@@ -12,6 +12,7 @@ from tarn.llm.fingerprints import op8_fingerprints
 from tarn.llm.line_dedup import op6_line_dedup
 from tarn.llm.minhash import op10_minhash
 from tarn.llm.packing import op5_packing
+from tarn.llm.pii import op7_pii
 from tarn.llm.sentencepiece_codec import op1_sentencepiece
 from tarn.llm.sharding import op4_sharding
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
     "op9_embeddings": op9_embeddings,
     "op10_minhash": op10_minhash,
