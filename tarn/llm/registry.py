@@ -13,12 +13,14 @@ from tarn.llm.line_dedup import op6_line_dedup
 from tarn.llm.minhash import op10_minhash
 from tarn.llm.packing import op5_packing
 from tarn.llm.pii import op7_pii
+from tarn.llm.quality import op3_quality
 from tarn.llm.sentencepiece_codec import op1_sentencepiece
 from tarn.llm.sharding import op4_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat": op2_chat,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
