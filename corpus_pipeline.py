@@ -1,4 +1,14 @@
-"""Corpus preparation: documents through the stages below, each over all that its predecessor kept."""
+"""Corpus preparation: ``documents`` through the stages below, each over all that its predecessor kept.
+
+1. quality: documents below the quality or above the toxicity threshold go; rows without an id stay.
+2. lines: of lines that repeat, exactly or nearly, the first stays; documents stay, if need be with an empty text.
+3. near_duplicates: of each group of near duplicates (shingles of five words, similarity 0.8) the document of least id
+   stays; of several rows of one id, one. Documents without words are duplicates of none.
+4. personal_data: what is found is replaced by its kind in angle brackets.
+5. packing: the rest in sequences of 1024 tokens, one row per piece.
+
+Null texts pass all stages (the last packs them as empty), extra columns all but the last, empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +16,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tarn.llm import line_dedup, minhash, packing, pii, quality
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.apply_decisions(docs, quality.classify(docs, labels))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.apply_decisions(docs, line_dedup.line_decisions(docs))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.apply_decisions(docs, minhash.near_duplicates(docs, width=5))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", keep_one_of_each_group),
+    ("personal_data", hide_personal_data),
+    ("packing", pack),
+]
+
+#: Tokenisation, shingle sets and the classifier cannot be said in SQL; ``tests/llm`` compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
+    """All stages applied to ``documents``, each written to the shared folder and read again."""
+    from tarn.llm.common import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,3 +62,15 @@ def sliced(batch: pa.RecordBatch, limit: int = SLICE_CHARS) -> Iterator[pa.Recor
 def bucket(column: Column, n: int) -> Column:
     """A bucket from 0 to n-1 by hash."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -5,15 +5,17 @@ Both work on narrow rows of ids with aggregations and equi-joins; neither brings
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed
 
-#: Members of a bucket that all others are tested against before the rest of the bucket is looked at.
-LEADERS = 4
+#: Ids whose texts one task compares with one another.
+TILE = 512
 #: A table of at most so many ids may be broadcast (its rows are counted first).
 FEW = 20_000
 
@@ -43,39 +45,88 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(id, component) of the graph that links a and b if they share a ``key`` of ``members(key, id[, note])`` and ``verify`` keeps (a, b).
+def linked_groups(members: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, int], np.ndarray]) -> DataFrame:
+    """(id, component) of the graph that links two ids if they share a ``key`` of ``members(key, id)`` and are alike.
 
-    ``members`` is read twice, and may repeat rows.     The components are exact, yet not all pairs of a bucket are formed: its members are first tested against a few
-    leaders (the members of least hash, by several hashes; alike buckets have the same leaders), and what that joins
-    needs no further test. Then only pairs of different components remain. ``may_link`` rules out pairs by their notes.
+    Buckets are merged by their leader (the member of least hash; alike buckets have the same one): a group is all that
+    shares a bucket with its leader, so ids of one bucket always meet, mostly once. Groups are dealt out in tiles of at
+    most ``TILE``; within a task all pairs of a tile, and the leader, are compared, and a spanning forest leaves it. In
+    groups of several tiles, what did not end in the group's largest component then meets all the group, tile by tile.
+
+    ``payload(ids)`` gives (id, text) of a table of ids. ``compare(texts, n)`` gives the pairs (i < n, j) of a list of
+    texts that are alike, as two rows of indices. ``members`` is read twice and may repeat rows.
     """
-    noted = "note" in members.columns
-    note = [F.col("note")] if noted else []
     shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     bucket = checkpointed(members.join(shared, "key").distinct())
-    # leaders: of each hash the least member; the partial aggregates combine before the shuffle
-    who = F.struct("id", *note)
-    leaders = bucket.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(who, F.xxhash64(F.lit(s), "id")) for s in range(LEADERS)))).alias("leaders"))
-    led = bucket.join(leaders, "key").select("id", *note, F.explode("leaders").alias("l")).where("id <> l.id")
-    if may_link:
-        led = led.where(may_link(F.col("note"), F.col("l.note")))
-    first = checkpointed(led.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct())
-    links = checkpointed(verify(first).select("a", "b"))
-    found = connected_components(links)
-    # what is left: pairs of one bucket that belong to different components and have not been tested
-    labelled = bucket.join(found, "id", "left").select("key", "id", *note, F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    rest = checkpointed(labelled.join(mixed, "key"))
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")))
-    if may_link:
-        pairs = pairs.where(may_link(F.col("x.note"), F.col("y.note")))
-    second = checkpointed(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if second.isEmpty():
+    leaders = bucket.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("g"))
+    grouped = checkpointed(bucket.join(leaders, "key").select("g", "id").distinct())
+    tiles = grouped.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiled = grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(id, g), tiles) as int)"))
+    seats = tiled.select("g", F.explode(F.expr("if(id = g, sequence(0, tiles - 1), array(tile))")).alias("tile"), F.lit(0).alias("other"), F.lit(False).alias("late"), "id")
+    edges = checkpointed(_forests(seats, payload, compare))
+    found = connected_components(edges)
+    large = tiled.where("tiles > 1").join(found, "id", "left").select("g", "id", "tiles", "tile", F.coalesce("component", "id").alias("component"))
+    large = checkpointed(large)
+    if large.isEmpty():
         return found
-    more = checkpointed(verify(second).select("a", "b"))
-    return found if more.isEmpty() else connected_components(links.union(more))
+    most = large.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / TILE).cast("int").alias("rests"))
+    split = large.join(most, "g").where("rests > 0").withColumn("rest", F.expr("if(component = most, -1, cast(pmod(xxhash64(g, id), rests) as int))"))
+    meet = split.select("g", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("other"), F.lit(True).alias("late"), "id")
+    comes = split.where("rest >= 0").select("g", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("rest").alias("other"), F.lit(False).alias("late"), "id")
+    more = checkpointed(_forests(comes.union(meet), payload, compare))
+    return found if more.isEmpty() else connected_components(edges.union(more))
+
+
+def _forests(seats: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, int], np.ndarray]) -> DataFrame:
+    """(a, b): forests of the links in each (g, tile, other). Rows that are ``late`` are not compared with one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, texts, n = None, [], [], 0
+        a: list = []
+        b: list = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                for i, j in forest(len(ids), compare(texts, n or len(ids))):
+                    a.append(ids[i])
+                    b.append(ids[j])
+
+        for batch in batches:
+            for g, tile, other, late, x, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, tile, other) != place:
+                    close()
+                    place, ids, texts, n = (g, tile, other), [], [], 0
+                if late and not n:
+                    n = len(ids)
+                if x not in ids[-1:] and not (late and x in ids[:n]):  # rows of one id are one
+                    ids.append(x)
+                    texts.append(text)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        close()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    seats = checkpointed(seats)
+    full = seats.join(payload(seats.select("id").distinct()), "id").select("g", "tile", "other", "late", "id", "text")
+    return full.repartition("g", "tile", "other").sortWithinPartitions("g", "tile", "other", "late", "id").mapInArrow(run, "a long, b long")
+
+
+def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span the components of pairs of 0 to n-1."""
+    root = list(range(n))
+    out = []
+    for i, j in pairs.T.tolist():
+        p, q = i, j
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((i, j))
+    return out
 
 
 def hint_small(ids: DataFrame) -> DataFrame:

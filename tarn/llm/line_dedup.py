@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents
-from tarn.llm.components import bucket_components, hint_small
+from tarn.llm.components import hint_small, linked_groups
 
 EDITS = 2
 LEAST_CHARS, NEAR_CHARS = 20, 40
@@ -137,28 +138,31 @@ def entries(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select("h1", "line").mapInArrow(run, "key long, id long")
 
 
-def confirm(lines: DataFrame, edits: int):
-    """Of pairs (a, b) of line hashes, those whose lines are within ``edits``."""
+def near_pairs(edits: int):
+    """Of lines, the pairs (i < n, j) within ``edits``; pairs that others connect already are passed over."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        there = lines.select("h1", "line").join(hint_small(ids), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
-        both = pairs.join(there.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(there.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def compare(lines: list[str], n: int) -> np.ndarray:
+        out, label = [], list(range(len(lines)))
+        by_size = sorted(range(len(lines)), key=lambda k: len(lines[k]))
+        for at, i in enumerate(by_size):
+            for j in by_size[at + 1 :]:
+                if len(lines[j]) - len(lines[i]) > edits:
+                    break
+                if label[i] != label[j] and (i < n or j < n) and within(lines[i], lines[j], edits):
+                    out.append((i, j))
+                    old, new = label[j], label[i]
+                    label = [new if x == old else x for x in label]
+        return np.array(out, np.int64).reshape(-1, 2).T
 
-    return verify
+    return compare
 
 
 def line_decisions(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row for each line that goes: doc_id, line_no, near (whether the line that stays for it is another text)."""
     lines = lines_of(docs.select("doc_id", "text")).where(F.length("line") >= least_chars)
     long_lines = lines.where(F.length("line") >= near_chars)
-    found = bucket_components(entries(long_lines, edits), confirm(long_lines, edits))
+    texts = long_lines.select(F.col("h1").alias("id"), F.col("line").alias("text"))
+    found = linked_groups(entries(long_lines, edits), lambda ids: texts.join(hint_small(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
     place = F.struct("doc_id", "line_no")
     same = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = same.join(found.select(F.col("id").alias("h1"), "component"), "h1", "left")
@@ -176,13 +180,13 @@ def by_document(decisions: DataFrame) -> DataFrame:
 
 def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; all rows and columns stay, ``n_chars`` (where there is one) is counted anew."""
-    gone = by_document(decisions).select(F.col("doc_id").alias("_id"), "gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i))
-    out = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    gone = by_document(decisions).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
+    joined = whole.join(gone, whole["doc_id"].eqNullSafe(F.col("_id")), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
+    out = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_gone").isNull(), F.col("_doc")["n_chars"]).otherwise(F.length("_kept").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*((changed[c] if c in changed else F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ each of its ``WIDTH`` variants with one symbol left out (the allowed chunk error
 candidates. That finds all pairs of distance up to 15 of 32, and at similarity s misses a pair with a probability of
 (1 - s^4 - 4 s^3 (1 - s))^8: 1.1e-6 at 0.8, less above. Candidates are confirmed on their full shingle sets.
 
-Documents of one set are collapsed to the one of least id before the join. A 128-bit sketch of the signature (4 bits of
-each symbol) rules out unlike members of a bucket: 48 differing bits or more.
+Documents of one set are collapsed to the one of least id before the join. Candidates are compared in tiles (see
+``components.linked_groups``), so large groups of near copies make no table of pairs.
 
 Cases: words are split at ASCII white space and A-Z lower-cased; a document with fewer words than a shingle takes is one
 shingle; null, empty and blank texts have no set and link with nothing. Rows of the same id count as one document. A
@@ -17,22 +17,19 @@ null id is linked with nothing. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents, map_batches
-from tarn.llm.components import bucket_components, hint_small
+from tarn.llm.components import hint_small, linked_groups
 
 CHUNKS, WIDTH = 8, 4
 SYMBOLS = CHUNKS * WIDTH
-#: Bits of the sketch that similar documents may differ in.
-FAR = 48
 #: Shingles hashed at a time.
 BLOCK = 16_384
 
@@ -81,16 +78,11 @@ def index_keys(symbols: np.ndarray) -> list[int]:
     return keys
 
 
-def sketch(symbols: np.ndarray) -> tuple[int, int]:
-    nibbles = (symbols & 15).astype(np.uint8)
-    return tuple(int.from_bytes((nibbles[i : i + 16 : 2] << 4 | nibbles[i + 1 : i + 16 : 2]).tobytes(), "big", signed=True) for i in (0, 16))
-
-
-SIGNED = "n_shingles long, set_id string, s1 long, s2 long, keys array<long>"
+SIGNED = "n_shingles long, set_id string, keys array<long>"
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size of the set, its identity (null without one), sketch and index keys."""
+    """doc_id, size of the set, its identity (null without one) and index keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,43 +91,42 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             found = shingles(text, width)
             if len(found):
                 symbols = signature(found)
-                rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), *sketch(symbols), index_keys(symbols)))
+                rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), index_keys(symbols)))
             else:
-                rows.append((0, None, None, None, None))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "set_id", "s1", "s2", "keys"])
+                rows.append((0, None, None))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "set_id", "keys"])
 
     return map_batches(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, {SIGNED}")
 
 
-def alike(a: Column, b: Column) -> Column:
-    return F.bit_count(a["s1"].bitwiseXOR(b["s1"])) + F.bit_count(a["s2"].bitwiseXOR(b["s2"])) < FAR
-
-
-def confirm(docs: DataFrame, width: int, percent: int):
-    """Of pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keep = []
-            for a, one, other in zip(*(batch.column(c).to_pylist() for c in ("a", "one", "other"))):
-                if a not in memo:
-                    memo.clear()  # pairs come sorted by neither side; the last one's set is worth keeping
-                    memo[a] = shingles(one, width)
-                x, y = memo[a], shingles(other, width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        there = docs.select("doc_id", "text").join(hint_small(ids), "doc_id", "left_semi")
-        one = pairs.join(there.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
-        both = one.join(there.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
-
-    return verify
+def similar_pairs(width: int, percent: int):
+    """Of texts, the pairs (i < n, j) with 100 * intersection >= percent * union of their sets, counted in full."""
+
+    def compare(texts: list[str], n: int) -> np.ndarray:
+        sets = [shingles(t, width) for t in texts]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        whole, lone = np.concatenate(sets), len(sets) == n
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(whole, kind="stable")
+        whole, owner = whole[order], owner[order]
+        fresh = np.append(True, whole[1:] != whole[:-1])
+        column = np.cumsum(fresh) - 1
+        common = np.bincount(column)[column] > 1  # shingles of one text alone are in no intersection
+        owner, column = owner[common], column[common]
+        column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
+        both = np.zeros((n, len(sets)), np.float32)  # counts are exact below 2**24
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK // 4):
+            here = slice(*np.searchsorted(column, [low, low + BLOCK // 4]))
+            matrix = np.zeros((len(sets), BLOCK // 4), np.float32)
+            matrix[owner[here], column[here] - low] = 1
+            both += matrix[:n] @ matrix.T
+        union = sizes[:n, None] + sizes - both
+        i, j = np.nonzero((both > 0) & (100 * both.astype(np.float64) >= percent * union))
+        keep = i < j if lone else slice(None)
+        return np.stack([i[keep], j[keep]])
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -143,12 +134,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = checkpointed(signed(docs, width))
     sets = base.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    firsts = base.join(sets, (base["doc_id"] == sets["rep"]) & (base["set_id"] == sets["set_id"])).select(base["doc_id"], "s1", "s2", "keys")
-    members = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.struct("s1", "s2").alias("note")).distinct()
-    found = bucket_components(members, confirm(docs, width, percent), alike)
+    firsts = base.join(sets, (base["doc_id"] == sets["rep"]) & (base["set_id"] == sets["set_id"])).select("doc_id", "keys")
+    members = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    found = linked_groups(members, lambda ids: texts.join(hint_small(ids), "id", "left_semi"), similar_pairs(width, percent))
     named = sets.join(found, sets["rep"] == found["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return base.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
+def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept; of rows of one id, one. Rows without an id stay."""
+    gone = decisions.where("not kept and doc_id is not null").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = decisions.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        one = out.join(twice, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
+        out = out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    return out
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)

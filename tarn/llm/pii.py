@@ -168,22 +168,24 @@ def extract(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` (where there is one) counted anew."""
     new = discovered(marked_rows(docs)).where("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("added")).alias("_added"))
-    out = seeds(docs.join(hint_small(new), "doc_id", "left"))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = seeds(whole.join(hint_small(new), "doc_id", "left"))
     spans = F.flatten(F.array(*(F.transform(k, _tagged(k, "s", "e", "kind")) for k in KINDS)))
     more = F.transform(F.coalesce("_added", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
     out = out.withColumn("_spans", F.array_sort(F.array_distinct(F.concat(spans, more))))
     # spans of different kinds may overlap: what overlaps the one before it widens it
     merged = """aggregate(_spans, cast(array() as array<struct<s:int,e:int,kind:string>>), (a, x) ->
-        if(size(a) > 0 and x.s < element_at(a, -1).e,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind))),
+        if(size(a) > 0 and x.s < try_element_at(a, -1).e,
+           concat(slice(a, 1, size(a) - 1), array(named_struct('s', try_element_at(a, -1).s, 'e', greatest(try_element_at(a, -1).e, x.e), 'kind', try_element_at(a, -1).kind))),
            array_append(a, x)))"""
     out = out.withColumn("_merged", F.expr(merged))
     pieces = """concat(
-        transform(_merged, (x, i) -> concat(substring(text, if(i = 0, 0, _merged[i - 1].e) + 1, x.s - if(i = 0, 0, _merged[i - 1].e)), '<', upper(x.kind), '>')),
-        array(substring(text, element_at(_merged, -1).e + 1)))"""
-    out = out.withColumn("_clean", F.when(F.coalesce(F.size("_merged"), F.lit(0)) > 0, F.array_join(F.expr(pieces), "")).otherwise(F.col("text")))
-    columns = {"text": F.col("_clean"), "n_chars": F.coalesce(F.length("_clean"), F.lit(0)).cast("long")}
-    return out.select(*(columns[c].alias(c) if c in columns else c for c in docs.columns))
+        transform(_merged, (x, i) -> concat(substring(text, if(i = 0, 0, try_element_at(_merged, i).e) + 1, x.s - if(i = 0, 0, try_element_at(_merged, i).e)), '<', upper(x.kind), '>')),
+        array(substring(text, try_element_at(_merged, -1).e + 1)))"""
+    clean = F.when(F.size("_merged") > 0, F.array_join(F.expr(pieces), "")).otherwise(F.col("_doc.text"))
+    out = out.withColumn("_clean", clean)
+    changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col("_doc")["n_chars"]) if "n_chars" in docs.columns else None}
+    return out.select(*((changed[c] if c in changed else F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
