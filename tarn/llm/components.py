@@ -16,8 +16,6 @@ from tarn.llm.common import checkpointed
 
 #: Ids whose texts one task compares with one another.
 TILE = 512
-#: A table of at most so many ids may be broadcast (its rows are counted first).
-FEW = 20_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -127,8 +125,3 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             root[max(p, q)] = min(p, q)
             out.append((i, j))
     return out
-
-
-def hint_small(ids: DataFrame) -> DataFrame:
-    """``ids``, to be broadcast if it has been counted to be small."""
-    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids

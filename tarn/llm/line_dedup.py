@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents
-from tarn.llm.components import hint_small, linked_groups
+from tarn.llm.components import linked_groups
 
 EDITS = 2
 LEAST_CHARS, NEAR_CHARS = 20, 40
@@ -162,7 +162,7 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     lines = lines_of(docs.select("doc_id", "text")).where(F.length("line") >= least_chars)
     long_lines = lines.where(F.length("line") >= near_chars)
     texts = long_lines.select(F.col("h1").alias("id"), F.col("line").alias("text"))
-    found = linked_groups(entries(long_lines, edits), lambda ids: texts.join(hint_small(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
+    found = linked_groups(entries(long_lines, edits), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
     place = F.struct("doc_id", "line_no")
     same = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = same.join(found.select(F.col("id").alias("h1"), "component"), "h1", "left")

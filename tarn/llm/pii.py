@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents
-from tarn.llm.components import hint_small
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -143,7 +142,7 @@ def discovered(marked: DataFrame) -> DataFrame:
     """row, doc_id and the new spans of a document: added, an array of (kind, s, e). ``marked``: row, doc_id, seen."""
     occurrences = marked.select("row", "doc_id", F.inline("seen"))
     accepted = bootstrap(occurrences)
-    new = occurrences.where("not seed").join(hint_small(accepted), ["kind", "value"], "left_semi")
+    new = occurrences.where("not seed").join(accepted, ["kind", "value"], "left_semi")
     return new.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("added"))
 
 
@@ -169,7 +168,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` (where there is one) counted anew."""
     new = discovered(marked_rows(docs)).where("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("added")).alias("_added"))
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = seeds(whole.join(hint_small(new), "doc_id", "left"))
+    out = seeds(whole.join(new, "doc_id", "left"))
     spans = F.flatten(F.array(*(F.transform(k, _tagged(k, "s", "e", "kind")) for k in KINDS)))
     more = F.transform(F.coalesce("_added", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
     out = out.withColumn("_spans", F.array_sort(F.array_distinct(F.concat(spans, more))))
