@@ -3,8 +3,8 @@
 A text is normalised (dummy prefix, spaces to U+2581), cut where no piece of the vocabulary can cross, and each
 segment is merged by an agenda of adjacent symbol pairs: highest score first, leftmost among equals. Short segments
 of a batch share one array-backed agenda (each round pops every segment's best pair); long ones use a heap. Merged
-segments are remembered in a bounded memo. Every Arrow slice is checked against the sentencepiece library, id by id,
-and the library decodes; a difference raises.
+segments are remembered in a bounded memo. What an Arrow slice adds to the memo is checked, id by id, against the
+sentencepiece library, and the library decodes; a difference raises.
 
 Cases: a null text is an empty one and has no ids; empty texts give no ids and decode to an empty text. Repeated rows
 are encoded each; extra columns of the input are ignored.
@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Segments of more symbols than this use the heap, whose cost grows as n log n.
 LONG = 48
 #: Segments that the memo of one worker holds; it is emptied when full, which changes no result.
-MEMO = 150_000
+MEMO = 400_000
 NORMAL, USER_DEFINED = 1, 4
 
 
@@ -67,8 +67,14 @@ class MergeVocabulary:
                 if left is not None and right is not None:
                     merges[left * self.width + right] = i
         self.merges, self.scores = merges, scores
-        self.keys = np.array(sorted(merges), dtype=np.int64)
-        self.made = np.array([merges[k] for k in self.keys.tolist()], dtype=np.int32)
+        # the same table for arrays: open addressing, no more than an eighth full
+        self.bits = max(16, (8 * len(merges)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        homes = self.home(np.array(list(merges), np.int64)).tolist()
+        for at, (key, piece) in zip(homes, merges.items()):
+            while self.keys[at] >= 0:
+                at = (at + 1) & (1 << self.bits) - 1
+            self.keys[at], self.made[at] = key, piece
         self.by_code = np.full(0x110000, -1, dtype=np.int32)
         for c, s in self.symbols.items():
             if len(c) == 1:
@@ -78,7 +84,8 @@ class MergeVocabulary:
         crossed = any(a != SPACE and b == SPACE for _, p, _ in pieces for a, b in zip(p, p[1:]))
         word = f"[^{alone}]+" if crossed else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
         self.segments = re.compile(f"{word}|[{alone}]" if alone else word)
-        self.memo: dict[str, str] = {}
+        self.memo: dict[str, bytes] = {}
+        self.fence = next((chr(c) for c in (10, *range(128)) if chr(c) not in inner), "")
 
     def ids_of(self, symbol: int, text: str) -> Iterable[int]:
         """Final ids of a symbol: its own, or those of its bytes."""
@@ -112,15 +119,26 @@ class MergeVocabulary:
             propose(i, after[i])
         return list(chain.from_iterable(self.ids_of(s, t) for s, t in zip(syms, text) if s != -2))
 
+    def home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Symbols that pairs merge into, -1 for none."""
         key = left.astype(np.int64) * self.width + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
-
-    def merge_many(self, segments: list[str]) -> list[list[int]]:
-        """Many short segments at once: in each round every segment pops its best pair."""
+        key[(left < 0) | (right < 0)] = -2  # found nowhere
+        at = self.home(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.made[at], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while open_.size:
+            at[open_] = (at[open_] + 1) & (1 << self.bits) - 1
+            there = self.keys[at[open_]]
+            out[open_] = np.where(there == key[open_], self.made[at[open_]], -1)
+            open_ = open_[(there != key[open_]) & (there >= 0)]
+        return out
+
+    def merge_many(self, segments: list[str]) -> list[bytes]:
+        """Packed ids of many short segments: in each round every segment pops its best pair."""
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         sym, seg = self.by_code[codes], np.repeat(np.arange(len(segments)), lengths)
@@ -157,30 +175,49 @@ class MergeVocabulary:
                 made[at] = self.pair(sym[at], sym[at + 1])
         seg, sym, code = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(seg, kind="stable")
-        seg, sym, code = seg[order], sym[order].tolist(), code[order]
-        bounds = np.searchsorted(seg, np.arange(len(segments) + 1)).tolist()
-        if all(0 <= s < self.n_pieces for s in sym):
-            return [sym[a:b] for a, b in zip(bounds, bounds[1:])]
-        code = code.tolist()  # of a symbol that was never merged, its character
-        return [list(chain.from_iterable(self.ids_of(sym[i], chr(code[i])) for i in range(a, b))) for a, b in zip(bounds, bounds[1:])]
-
-    def encode(self, texts: list[str]) -> list[str]:
-        """Decimal ids joined by commas, for each text."""
+        seg, sym, code = seg[order], sym[order], code[order]
+        odd = (sym < 0) | (sym >= self.n_pieces)
+        if odd.any():  # characters that are no piece, and were therefore never merged
+            parts = [np.array(list(self.ids_of(-1, chr(c))), np.int32) for c in code[odd].tolist()]
+            sizes = np.ones(len(sym), np.int64)
+            sizes[odd] = list(map(len, parts))
+            seg, full = np.repeat(seg, sizes), np.repeat(sym, sizes)
+            full[np.repeat(odd, sizes)] = np.concatenate(parts)
+            sym = full
+        bounds, data = (4 * np.searchsorted(seg, np.arange(len(segments) + 1))).tolist(), sym.astype(np.int32).tobytes()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def check(self, segments: list[str], packed: list[bytes]) -> None:
+        """Raises if the library has other ids for any of the segments.
+
+        What is before a segment in a text cannot merge with it; for the library it stands behind the dummy prefix if it
+        begins with that, else behind a character that merges with nothing.
+        """
+        lead = len(self.library.encode(self.fence))
+        fenced = [not s.startswith(SPACE) or not self.prefix for s in segments]
+        theirs = self.library.encode([self.fence + s if f else s[1:] for s, f in zip(segments, fenced)], out_type=int, num_threads=1)
+        theirs = [ids[lead:] if f else ids for ids, f in zip(theirs, fenced)]
+        total = sum(map(len, theirs))
+        if np.fromiter(chain.from_iterable(theirs), np.int32, total).tobytes() != b"".join(packed):
+            wrong = next(s for s, own, ids in zip(segments, packed, theirs) if own != np.array(ids, np.int32).tobytes())
+            raise ValueError(f"ids differ from the library's for {wrong[:80]!r}")
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Segments that the memo lacks are merged, checked and remembered."""
         cut = [self.segments.findall((self.prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        fresh = set(chain.from_iterable(cut)).difference(memo)
-        short = [s for s in fresh if len(s) <= LONG]
-        if short:
-            memo.update(zip(short, (",".join(map(str, ids)) for ids in self.merge_many(short))))
-        out_of_memo = {}
-        for s in fresh:
-            if len(s) > LONG:
-                out_of_memo[s] = ",".join(map(str, self.merge_long(s)))
-        if out_of_memo:
-            return [",".join([memo[s] if s in memo else out_of_memo[s] for s in words]) for words in cut]
-        return [",".join([memo[s] for s in words]) for words in cut]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        fresh = list(set(chain.from_iterable(cut)).difference(self.memo))
+        short, long = [s for s in fresh if len(s) <= LONG], [s for s in fresh if len(s) > LONG]
+        made = dict(zip(short, self.merge_many(short))) if short else {}
+        made |= {s: np.array(self.merge_long(s), np.int32).tobytes() for s in long}
+        self.memo.update(made)
+        made.pop(SPACE, None)  # the library has no text for a prefix alone
+        self.check(list(made), list(made.values()))
+        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32).tolist() for words in cut]
+        for s in long:
+            del self.memo[s]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -188,35 +225,32 @@ def vocabulary(model_path: str) -> MergeVocabulary:
     return MergeVocabulary(model_path)
 
 
-def checked(model_path: str, texts: list[str]) -> tuple[list[str], list[str]]:
-    """Ids (decimal, comma-joined) and decoded texts; raises where the library's ids differ."""
-    v = vocabulary(model_path)
-    own = v.encode(texts)
-    theirs = v.library.encode(texts, out_type=int, num_threads=1)
-    for text, a, b in zip(texts, own, theirs):
-        if a != ",".join(map(str, b)):
-            raise ValueError(f"ids differ from the library's for a text of {len(text)} characters that begins {text[:60]!r}")
-    return own, v.library.decode(theirs, num_threads=1)
+def full(ids: list[list[int]], decoded: list[str]) -> list[pa.Array]:
+    return [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
 
 
-def full(ids: list[str], decoded: list[str]) -> list[pa.Array]:
-    return [pa.array([[int(x) for x in s.split(",")] if s else [] for s in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+@lru_cache(maxsize=1)
+def decimals(n: int) -> list[str]:
+    return list(map(str, range(n)))
 
 
-def digests(ids: list[str], decoded: list[str]) -> list[pa.Array]:
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return [pa.array([s.count(",") + 1 if s else 0 for s in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, decoded), pa.string())]
+def digests(ids: list[list[int]], decoded: list[str]) -> list[pa.Array]:
+    name = decimals(1 + max(map(max, filter(None, ids)), default=0) | 0xFFFF).__getitem__
+    listed = [hashlib.sha256(",".join(map(name, x)).encode()).hexdigest() for x in ids]
+    return [pa.array(map(len, ids), pa.int64()), pa.array(listed, pa.string()), pa.array([hashlib.sha256(s.encode()).hexdigest() for s in decoded], pa.string())]
 
 
 FULL, DIGESTS = "piece_ids array<int>, decoded string", "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def transcode(docs: DataFrame, model_path: str, emit: Callable[[list[str], list[str]], list[pa.Array]] = full, columns: str = FULL) -> DataFrame:
+def transcode(docs: DataFrame, model_path: str, emit: Callable[[list[list[int]], list[str]], list[pa.Array]] = full, columns: str = FULL) -> DataFrame:
     """doc_id and what ``emit`` makes of ids and decoded texts (by default both, whole) of ``docs(doc_id, text)``."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *emit(*checked(model_path, texts))], names)
+        v = vocabulary(model_path)
+        ids = v.encode(texts)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *emit(ids, v.library.decode(ids, num_threads=1))], names)
 
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
     kind = docs.schema["doc_id"].dataType.simpleString()
