@@ -29,7 +29,7 @@ from tarn.llm.common import checkpointed
 from tarn.llm.components import connected_components
 
 BLOCKS = 4
-TILE = 4096
+TILE = 8192
 #: Rows of a tile compared at a time.
 STRIP = 256
 #: What single precision may add to a squared distance of unit vectors.
@@ -64,13 +64,15 @@ def linked(left: np.ndarray, right: np.ndarray, block: int, cosine: float, same:
     a, b = parts[block]
     share = np.array([(e - s) / dim for s, e in parts])
     turned_left, turned_right = left @ rotation(dim), right @ rotation(dim)
-    near_right = turned_right[:, a:b].astype(np.float32)
-    square = (near_right**2).sum(axis=1)
+    # with two more columns, half the negative squared distance is one product
+    half = lambda v: -(v**2).sum(axis=1, keepdims=True) / 2
+    x, y = turned_left[:, a:b], turned_right[:, a:b]
+    x = np.hstack([x, half(x), np.ones((len(x), 1))]).astype(np.float32)
+    y = np.ascontiguousarray(np.hstack([y, np.ones((len(y), 1)), half(y)]).astype(np.float32).T)
+    least = np.float32(-(budget * share[block] + SLACK) / 2)
     for at in range(0, len(left), STRIP):
-        x = turned_left[at : at + STRIP, a:b].astype(np.float32)
-        distance = (x**2).sum(axis=1)[:, None] + square - 2 * (x @ near_right.T)
-        i, j = np.nonzero(distance <= budget * share[block] + SLACK)
-        i += at
+        near = np.flatnonzero(x[at : at + STRIP] @ y >= least)
+        i, j = near // len(right) + at, near % len(right)
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 65_536):
@@ -103,7 +105,8 @@ def tile_links(dim: int, block: int, cosine: float, left_ids: np.ndarray, left:
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id (least vec_id reachable, itself included), kept."""
-    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = "float" if "float" in vectors.schema["embedding"].dataType.simpleString() else "double"
+    vectors = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("v"))
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists("v", lambda x: x != 0)
     # 0.0 and -0.0 are one value to a grouping, and to a cosine
     sets = checkpointed(vectors.where(usable).groupBy("v").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n")))
