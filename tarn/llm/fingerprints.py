@@ -28,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SLICE_CHARS, documents
+from tarn.llm.common import documents
 
 SAMPLES = 64
 #: (word, weight) vectors that a worker keeps, 256 bytes each; emptied when full, which changes no result.
-MEMO = 120_000
+MEMO = 60_000
 #: Draws are quantiles of Gamma(2, 1) at so many points.
-R_BITS, C_BITS = 18, 22
-#: Rows of the sample matrix gathered at a time.
-BLOCK = 65_536
+R_BITS, C_BITS = 18, 20
+#: Rows of the sample matrix gathered at a time, and code points of text compared at a time.
+BLOCK, SLICE = 16_384, 300_000
 
 
 def gamma2_quantiles(bits: int) -> np.ndarray:
@@ -143,12 +143,18 @@ def with_successors(docs: DataFrame) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n).alias("x")).first()["x"] or []
     edges = np.array(sorted(set(cuts)), np.int64)
 
+    # one partition for each range: numbers whose hashes fall into partitions 0 to n-1 stand for the ranges
+    hashed = spark.range(40 * n + 400).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+    names = np.array([r["id"] for r in sorted(hashed.collect(), key=lambda r: r["at"])], np.int32)
+
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32))
+        return pd.Series(names[np.searchsorted(edges, ids.to_numpy(np.int64), side="right") % len(names)])
 
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
-    firsts = sorted((r["range"], r["doc_id"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id")).collect())  # a row per range
+    lowest = int(np.iinfo(np.int64).min)
+    ranged = docs.withColumn("range", range_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))))
+    found = ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null")).collect()  # a row per range
+    firsts = [(r["range"], None if r["null"] else r["doc_id"]) for r in sorted(found, key=lambda r: (not r["null"], r["doc_id"] or 0))]
     if not firsts:
         return ranged.select("range", F.lit(False).alias("tail"), "doc_id", "text")
     following = [(here[0], after[1]) for here, after in zip(firsts, firsts[1:] + firsts[:1])]
@@ -172,7 +178,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     texts.append(last[3])
                     nexts.append(row[3])
                     size += len(last[3])
-                    if size > SLICE_CHARS // 2:
+                    if size > SLICE:
                         yield compare_batch(ids, texts, nexts, arrow)
                         ids, texts, nexts, size = [], [], [], 0
                 last = row
