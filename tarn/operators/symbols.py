@@ -124,7 +124,7 @@ def kind_icon(kind: Column) -> Column:
 def summary(symbols: DataFrame, path: str = "file_path") -> DataFrame:
     """(what, name, n): files, methods, files by type, symbols by kind."""
     by_file = symbols.groupBy(path).agg(F.count("*").alias("m"))
-    totals = by_file.agg(F.count("*").alias("f"), F.sum("m").alias("m")).select(F.inline(F.array(F.struct(F.lit("total").alias("what"), F.lit("files").alias("name"), F.col("f").alias("n")), F.struct(F.lit("total"), F.lit("methods"), F.col("m")))))
+    totals = by_file.agg(F.count("*").alias("f"), F.sum("m").alias("m")).select(F.inline(F.array(F.struct(F.lit("total").alias("what"), F.lit("files").alias("name"), F.coalesce("f", F.lit(0)).alias("n")), F.struct(F.lit("total").alias("what"), F.lit("methods").alias("name"), F.coalesce("m", F.lit(0)).alias("n")))))
     types = by_file.groupBy(file_type(F.col(path)).alias("name")).agg(F.count("*").alias("n")).select(F.lit("file_type").alias("what"), "name", "n")
     kinds = symbols.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("method_type").alias("what"), kind_label(F.col("kind")).alias("name"), "n")
     return totals.unionByName(types).unionByName(kinds)

@@ -48,7 +48,7 @@ def inactivity(events: DataFrame, key: str, ts: str, idle_seconds: int = 1800, l
             last = max(t, last or t)
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if rows:
+        if rows:  # an empty frame has no types
             yield pd.DataFrame({key: [keys[0]] * len(rows), "status": [r[0] for r in rows], "at": [pd.Timestamp(r[1], unit="us") for r in rows]})
 
     kind = events.schema[key].dataType.simpleString()
