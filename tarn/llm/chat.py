@@ -12,7 +12,7 @@ them, so an escaped text holds none.
 The output is one row (segment) per turn, in the order of ``turn``: formatted conversations are the segments joined, so
 a conversation of any length needs no row that holds all of it. ``read_back`` parses segments as a stream.
 
-Cases: null texts are empty, null roles too; null parts are skipped; equal turns keep the order role, then text; repeated
+Cases: null texts are empty, null roles too; null parts are skipped; equal turns are ordered by role, then segment; repeated
 rows are turns of their own; a null conv_id is a conversation of its own. Extra columns are ignored.
 """
 

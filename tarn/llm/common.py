@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,7 +71,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tarn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files that ``written`` made."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(folder).startswith("tarn-"):
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder while the block runs."""
+    table = written(df, name)
+    try:
+        yield table
+    finally:
+        dropped(table)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.llm.common import checkpointed, scratch
 
 #: Ids whose texts one task compares with one another.
 TILE = 512
@@ -43,8 +43,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def linked_groups(members: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, int], np.ndarray]) -> DataFrame:
-    """(id, component) of the graph that links two ids if they share a ``key`` of ``members(key, id)`` and are alike.
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The rows of ``members(key, id)`` whose key more than one id has. ``members`` is read twice and may repeat rows."""
+    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    return members.join(shared, "key").distinct()
+
+
+def probed_buckets(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(key, id): what is entered under a key that something else probes, and what probes it. Rows may repeat."""
+    owners = index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    met = probes.join(owners, "key").where("lo <> id or hi <> id").select("key", F.explode(F.array("id", "lo", "hi")).alias("id"))
+    return met.distinct()
+
+
+def linked_groups(bucket: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, int], np.ndarray]) -> DataFrame:
+    """(id, component) of the graph that links two ids if they share a ``key`` of ``bucket(key, id)`` and are alike.
 
     Buckets are merged by their leader (the member of least hash; alike buckets have the same one): a group is all that
     shares a bucket with its leader, so ids of one bucket always meet, mostly once. Groups are dealt out in tiles of at
@@ -52,30 +65,29 @@ def linked_groups(members: DataFrame, payload: Callable[[DataFrame], DataFrame],
     groups of several tiles, what did not end in the group's largest component then meets all the group, tile by tile.
 
     ``payload(ids)`` gives (id, text) of a table of ids. ``compare(texts, n)`` gives the pairs (i < n, j) of a list of
-    texts that are alike, as two rows of indices. ``members`` is read twice and may repeat rows.
+    texts that are alike, as two rows of indices.
     """
-    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    bucket = checkpointed(members.join(shared, "key").distinct())
+    bucket = checkpointed(bucket)
     leaders = bucket.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("g"))
     grouped = checkpointed(bucket.join(leaders, "key").select("g", "id").distinct())
     tiles = grouped.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiled = grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(id, g), tiles) as int)"))
-    seats = tiled.select("g", F.explode(F.expr("if(id = g, sequence(0, tiles - 1), array(tile))")).alias("tile"), F.lit(0).alias("other"), F.lit(False).alias("late"), "id")
-    edges = checkpointed(_forests(seats, payload, compare))
-    found = connected_components(edges)
-    large = tiled.where("tiles > 1").join(found, "id", "left").select("g", "id", "tiles", "tile", F.coalesce("component", "id").alias("component"))
-    large = checkpointed(large)
-    if large.isEmpty():
-        return found
-    most = large.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / TILE).cast("int").alias("rests"))
-    split = large.join(most, "g").where("rests > 0").withColumn("rest", F.expr("if(component = most, -1, cast(pmod(xxhash64(g, id), rests) as int))"))
-    meet = split.select("g", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("other"), F.lit(True).alias("late"), "id")
-    comes = split.where("rest >= 0").select("g", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("rest").alias("other"), F.lit(False).alias("late"), "id")
-    more = checkpointed(_forests(comes.union(meet), payload, compare))
+    with scratch(payload(grouped.select("id").distinct()), "candidates") as texts:
+        seats = tiled.select("g", F.explode(F.expr("if(id = g, sequence(0, tiles - 1), array(tile))")).alias("tile"), F.lit(0).alias("other"), F.lit(False).alias("late"), "id")
+        edges = checkpointed(_forests(seats, texts, compare))
+        found = connected_components(edges)
+        large = checkpointed(tiled.where("tiles > 1").join(found, "id", "left").select("g", "id", "tiles", "tile", F.coalesce("component", "id").alias("component")))
+        if large.isEmpty():
+            return found
+        most = large.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / TILE).cast("int").alias("rests"))
+        split = large.join(most, "g").where("rests > 0").withColumn("rest", F.expr("if(component = most, -1, cast(pmod(xxhash64(g, id), rests) as int))"))
+        meet = split.select("g", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("other"), F.lit(True).alias("late"), "id")
+        comes = split.where("rest >= 0").select("g", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("rest").alias("other"), F.lit(False).alias("late"), "id")
+        more = checkpointed(_forests(comes.union(meet), texts, compare))
     return found if more.isEmpty() else connected_components(edges.union(more))
 
 
-def _forests(seats: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, int], np.ndarray]) -> DataFrame:
+def _forests(seats: DataFrame, texts: DataFrame, compare: Callable[[list, int], np.ndarray]) -> DataFrame:
     """(a, b): forests of the links in each (g, tile, other). Rows that are ``late`` are not compared with one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +118,7 @@ def _forests(seats: DataFrame, payload: Callable[[DataFrame], DataFrame], compar
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    seats = checkpointed(seats)
-    full = seats.join(payload(seats.select("id").distinct()), "id").select("g", "tile", "other", "late", "id", "text")
+    full = seats.join(texts, "id").select("g", "tile", "other", "late", "id", "text")
     return full.repartition("g", "tile", "other").sortWithinPartitions("g", "tile", "other", "late", "id").mapInArrow(run, "a long, b long")
 
 

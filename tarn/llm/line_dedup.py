@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents
-from tarn.llm.components import linked_groups
+from tarn.llm.components import linked_groups, probed_buckets
 
 EDITS = 2
 LEAST_CHARS, NEAR_CHARS = 20, 40
@@ -109,8 +109,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def entries(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, id): what the lines are entered under and what they look up; a key is a hash of length, segment and string."""
+def entries(lines: DataFrame, edits: int, own: bool = False) -> DataFrame:
+    """(key, id): what the lines look up, or (``own``) are entered under; a key is a hash of length, segment and string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list[tuple[bytes, int, int]]] = {}
@@ -123,8 +123,8 @@ def entries(lines: DataFrame, edits: int) -> DataFrame:
                 if n not in plans:
                     if len(plans) > 20_000:
                         plans.clear()
-                    own = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, edits))]
-                    plans[n] = [((length << 8 | i), 4 * at, 4 * (at + size)) for length, i, at, size in dict.fromkeys(own + probes(n, edits))]
+                    wanted = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, edits))] if own else probes(n, edits)
+                    plans[n] = [((length << 8 | i), 4 * at, 4 * (at + size)) for length, i, at, size in wanted]
                 data = line.encode("utf-32-le", "surrogatepass")
                 found = [xxhash.xxh64_intdigest(data[a:b], seed) for seed, a, b in plans[n]]
                 keys.extend(found)
@@ -162,7 +162,7 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     lines = lines_of(docs.select("doc_id", "text")).where(F.length("line") >= least_chars)
     long_lines = lines.where(F.length("line") >= near_chars)
     texts = long_lines.select(F.col("h1").alias("id"), F.col("line").alias("text"))
-    found = linked_groups(entries(long_lines, edits), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
+    found = linked_groups(probed_buckets(entries(long_lines, edits, own=True), entries(long_lines, edits)), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
     place = F.struct("doc_id", "line_no")
     same = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = same.join(found.select(F.col("id").alias("h1"), "component"), "h1", "left")

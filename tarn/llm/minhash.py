@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents, map_batches
-from tarn.llm.components import linked_groups
+from tarn.llm.components import linked_groups, shared_buckets
 
 CHUNKS, WIDTH = 8, 4
 SYMBOLS = CHUNKS * WIDTH
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts = base.join(sets, (base["doc_id"] == sets["rep"]) & (base["set_id"] == sets["set_id"])).select("doc_id", "keys")
     members = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    found = linked_groups(members, lambda ids: texts.join(ids, "id", "left_semi"), similar_pairs(width, percent))
+    found = linked_groups(shared_buckets(members), lambda ids: texts.join(ids, "id", "left_semi"), similar_pairs(width, percent))
     named = sets.join(found, sets["rep"] == found["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     return base.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
