@@ -40,21 +40,52 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
 
 
-def found(text: str, pattern: str) -> str:
-    """SQL: array of (s, e, m), the matches of a pattern in a column, in code points."""
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""aggregate(
-        sequence(0, size(regexp_extract_all({text}, '{p}', 0)) - 1),
-        named_struct('at', 0, 'p', split({text}, '{p}', -1), 'm', regexp_extract_all({text}, '{p}', 0), 'out', cast(array() as array<struct<s:int,e:int,m:string>>)),
-        (a, i) -> named_struct('at', a.at + length(a.p[i]) + length(a.m[i]), 'p', a.p, 'm', a.m,
-            'out', array_append(a.out, named_struct('s', a.at + length(a.p[i]), 'e', a.at + length(a.p[i]) + length(a.m[i]), 'm', a.m[i]))),
-        a -> a.out)"""
+#: Matches whose lengths are summed at a time.
+BLOCK = 256
+SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
-def located(column: str, pattern: str) -> Column:
-    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    none = "cast(array() as array<struct<s:int,e:int,m:string>>)"
-    return F.expr(f"case when {column} rlike '{p}' then {found(column, pattern)} else {none} end")
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that the optimiser does not copy into the expressions (and loops) that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def located(df: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """``df`` with an array of (s, e, m) for each pattern: its matches in the text, in code points.
+
+    Lengths of what lies before matches are summed by blocks, so many matches in one text do not cost their square.
+    """
+    none = F.array().cast(SPANS)
+    first = {}
+    for name, p in patterns.items():
+        there = F.col(text).rlike(p)
+        first[f"_m_{name}"] = F.when(there, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        first[f"_q_{name}"] = F.when(there, F.transform(F.split(text, p, -1), F.length)).otherwise(F.array().cast("array<int>"))
+    out = settled(df, first)
+    out = settled(out, {f"_l_{n}": _lengths(n) for n in patterns})
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    sums = {f"_b_{n}": F.when(F.size(f"_l_{n}") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(f"_l_{n}") - 1) / BLOCK).cast("int")), _block_sum(n, total))).otherwise(F.array().cast("array<int>")) for n in patterns}
+    out = settled(out, sums)
+    spans = {n: F.when(F.size(f"_m_{n}") > 0, F.transform(f"_m_{n}", _span(n, total))).otherwise(none) for n in patterns}
+    return settled(out, spans).drop(*(f"_{x}_{n}" for x in "mqlb" for n in patterns))
+
+
+def _lengths(name: str) -> Column:
+    """Of each match, its length and that of what lies between it and the one before."""
+    return F.zip_with(F.slice(f"_q_{name}", 1, F.size(f"_m_{name}")), f"_m_{name}", lambda q, m: q + F.length(m))
+
+
+def _block_sum(name: str, total):
+    return lambda b: total(F.slice(f"_l_{name}", b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _span(name: str, total):
+    def span(m: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        start = total(F.slice(f"_b_{name}", F.lit(1), block)) + total(F.slice(f"_l_{name}", block * BLOCK + 1, i % BLOCK)) + F.get(F.col(f"_q_{name}"), i)
+        return F.struct(start.cast("int").alias("s"), (start + F.length(m)).cast("int").alias("e"), m.alias("m"))
+
+    return span
 
 
 def digits(m: Column) -> Column:
@@ -87,8 +118,8 @@ def _tagged(kind: str, *fields: str):
 
 def seeds(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with an array of (s, e, m) for each kind."""
-    out = docs.withColumns({f"_{k}": located(column, PATTERNS[k]) for k in KINDS})
-    return out.withColumns({k: F.filter(f"_{k}", _valid(k)) for k in KINDS}).drop(*(f"_{k}" for k in KINDS))
+    out = located(docs, {f"_{k}": PATTERNS[k] for k in KINDS}, column)
+    return settled(out, {k: F.filter(f"_{k}", _valid(k)) for k in KINDS}).drop(*(f"_{k}" for k in KINDS))
 
 
 def shape_kind(m: Column) -> Column:
@@ -106,16 +137,17 @@ def in_context(marked: DataFrame) -> DataFrame:
     """``marked`` (text and the seeds' columns) with ``seen``: seeds and candidates, each with the words around it."""
     kinds = F.flatten(F.array(*(F.transform(k, _tagged(k, "kind", "s", "e", "m")) for k in KINDS)))
     kinds = F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(True).alias("seed")))
-    out = marked.withColumn("_seeds", kinds).withColumns({f"_{k}": located("text", p) for k, p in SHAPES.items()})
+    out = located(settled(marked, {"_seeds": kinds}), {f"_{k}": p for k, p in SHAPES.items()})
     loose = F.transform(F.concat("_at", "_digits"), lambda x: F.struct(shape_kind(x["m"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(False).alias("seed")))
-    free = lambda x: x["kind"].isNotNull() & ~F.exists("_seeds", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    out = out.withColumn("_seen", F.concat("_seeds", F.filter(loose, free)))
+    out = settled(out, {"_loose": F.filter(loose, lambda x: x["kind"].isNotNull())})
+    free = lambda x: ~F.exists("_seeds", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+    out = settled(out, {"_seen": F.concat("_seeds", F.filter("_loose", free))})
     # a word of context is cut at 40 characters: longer ones are no pattern
     around = F.expr(r"""transform(_seen, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'seed', x.seed,
         'value', if(x.kind = 'email', lower(x.m), regexp_replace(x.m, '[^0-9.]', '')),
         'left', lower(regexp_extract(substring(text, greatest(1, x.s - 39), least(40, x.s)), '([^\\s]+)\\s*$', 1)),
         'right', lower(regexp_extract(substring(text, x.e + 1, 40), '^\\s*([^\\s]+)', 1))))""")
-    return out.withColumn("seen", around).drop("_seeds", "_seen", *(f"_{k}" for k in SHAPES))
+    return settled(out, {"seen": around}).drop("_seeds", "_loose", "_seen", *(f"_{k}" for k in SHAPES))
 
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
@@ -171,18 +203,18 @@ def redact(docs: DataFrame) -> DataFrame:
     out = seeds(whole.join(new, "doc_id", "left"))
     spans = F.flatten(F.array(*(F.transform(k, _tagged(k, "s", "e", "kind")) for k in KINDS)))
     more = F.transform(F.coalesce("_added", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    out = out.withColumn("_spans", F.array_sort(F.array_distinct(F.concat(spans, more))))
+    out = settled(out, {"_spans": F.array_sort(F.array_distinct(F.concat(spans, more)))})
     # spans of different kinds may overlap: what overlaps the one before it widens it
     merged = """aggregate(_spans, cast(array() as array<struct<s:int,e:int,kind:string>>), (a, x) ->
         if(size(a) > 0 and x.s < try_element_at(a, -1).e,
            concat(slice(a, 1, size(a) - 1), array(named_struct('s', try_element_at(a, -1).s, 'e', greatest(try_element_at(a, -1).e, x.e), 'kind', try_element_at(a, -1).kind))),
            array_append(a, x)))"""
-    out = out.withColumn("_merged", F.expr(merged))
+    out = settled(out, {"_merged": F.expr(merged)})
     pieces = """concat(
         transform(_merged, (x, i) -> concat(substring(text, if(i = 0, 0, try_element_at(_merged, i).e) + 1, x.s - if(i = 0, 0, try_element_at(_merged, i).e)), '<', upper(x.kind), '>')),
         array(substring(text, try_element_at(_merged, -1).e + 1)))"""
     clean = F.when(F.size("_merged") > 0, F.array_join(F.expr(pieces), "")).otherwise(F.col("_doc.text"))
-    out = out.withColumn("_clean", clean)
+    out = settled(out, {"_clean": clean})
     changed = {"text": F.col("_clean"), "n_chars": F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col("_doc")["n_chars"]) if "n_chars" in docs.columns else None}
     return out.select(*((changed[c] if c in changed else F.col("_doc")[c]).alias(c) for c in docs.columns))
 
