@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, documents
+from tarn.llm.common import checkpointed, documents, sliced
 from tarn.llm.components import linked_groups, probed_buckets
 
 EDITS = 2
@@ -109,33 +109,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def entries(lines: DataFrame, edits: int, own: bool = False) -> DataFrame:
-    """(key, id): what the lines look up, or (``own``) are entered under; a key is a hash of length, segment and string."""
+def entries(docs: DataFrame, edits: int, near_chars: int, own: bool = False) -> DataFrame:
+    """(key, id): what lines look up, or (``own``) are entered under; a key is a hash of length, segment and string.
+
+    The id is the line's ``h1``: XXH64 of its bytes with Spark's seed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list[tuple[bytes, int, int]]] = {}
+        plans: dict[int, list[tuple[int, int, int]]] = {}
         for batch in batches:
-            keys: list[int] = []
-            ids: list[int] = []
-            unique = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for line_id, line in unique.items():
-                n = len(line)
-                if n not in plans:
-                    if len(plans) > 20_000:
-                        plans.clear()
-                    wanted = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, edits))] if own else probes(n, edits)
-                    plans[n] = [((length << 8 | i), 4 * at, 4 * (at + size)) for length, i, at, size in wanted]
-                data = line.encode("utf-32-le", "surrogatepass")
-                found = [xxhash.xxh64_intdigest(data[a:b], seed) for seed, a, b in plans[n]]
-                keys.extend(found)
-                ids.extend([line_id] * len(found))
-                if len(keys) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.uint64()).view(pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
-                    keys, ids = [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.uint64()).view(pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
-
-    return lines.select("h1", "line").mapInArrow(run, "key long, id long")
+            for part in sliced(batch):
+                keys: list[int] = []
+                ids: list[int] = []
+                for line in {x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= near_chars}:
+                    n = len(line)
+                    if n not in plans:
+                        if len(plans) > 20_000:
+                            plans.clear()
+                        wanted = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, edits))] if own else probes(n, edits)
+                        plans[n] = [((length << 8 | i), 4 * at, 4 * (at + size)) for length, i, at, size in wanted]
+                    data = line.encode("utf-32-le", "surrogatepass")
+                    found = [xxhash.xxh64_intdigest(data[a:b], seed) for seed, a, b in plans[n]]
+                    keys.extend(found)
+                    ids.extend([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)] * len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.uint64()).view(pa.int64()), pa.array(ids, pa.uint64()).view(pa.int64())], ["key", "id"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long")
 
 
 def near_pairs(edits: int):
@@ -162,7 +161,7 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     lines = lines_of(docs.select("doc_id", "text")).where(F.length("line") >= least_chars)
     long_lines = lines.where(F.length("line") >= near_chars)
     texts = long_lines.select(F.col("h1").alias("id"), F.col("line").alias("text"))
-    found = linked_groups(probed_buckets(entries(long_lines, edits, own=True), entries(long_lines, edits)), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
+    found = linked_groups(probed_buckets(entries(docs, edits, near_chars, own=True), entries(docs, edits, near_chars)), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
     place = F.struct("doc_id", "line_no")
     same = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = same.join(found.select(F.col("id").alias("h1"), "component"), "h1", "left")
