@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm import oracles
 from tarn.llm.chat import op2_chat
 from tarn.llm.embedding_dedup import op9_embeddings
 from tarn.llm.fingerprints import op8_fingerprints
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.CHAT, "op9_embeddings": oracles.VECTORS, "op10_minhash": oracles.NEAR}

@@ -456,3 +456,19 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {k: v for k, v in root.items() if k in linked}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# all ---------------------------------------------------------------------------------------------------------------
+
+
+def test_registered(spark, sf_dir):
+    from tarn.llm import registry
+    from tests.oracle import connect, rows
+
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    db = connect(sf_dir)
+    for name, f in registry.QUERIES.items():
+        got = f(spark, sf_dir).toPandas()
+        assert len(got)
+        if name in registry.ORACLE_SQL:
+            assert rows(got) == rows(db.execute(registry.ORACLE_SQL[name]).fetchdf()), name
