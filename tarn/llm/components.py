@@ -84,7 +84,9 @@ def linked_groups(bucket: DataFrame, payload: Callable[[DataFrame], DataFrame],
         meet = split.select("g", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("other"), F.lit(True).alias("late"), "id")
         comes = split.where("rest >= 0").select("g", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("rest").alias("other"), F.lit(False).alias("late"), "id")
         more = checkpointed(_forests(comes.union(meet), texts, compare))
-    return found if more.isEmpty() else connected_components(edges.union(more))
+    if more.isEmpty():
+        return found
+    return connected_components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
 
 
 def _forests(seats: DataFrame, texts: DataFrame, compare: Callable[[list, int], np.ndarray]) -> DataFrame:
@@ -123,16 +125,17 @@ def _forests(seats: DataFrame, texts: DataFrame, compare: Callable[[list, int],
 
 
 def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of pairs of 0 to n-1."""
+    """Stars that span the components of pairs of 0 to n-1: (least member, other member)."""
     root = list(range(n))
-    out = []
     for i, j in pairs.T.tolist():
-        p, q = i, j
-        while root[p] != p:
-            root[p] = p = root[root[p]]
-        while root[q] != q:
-            root[q] = q = root[root[q]]
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((i, j))
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        root[max(i, j)] = min(i, j)
+    out = []
+    for i in range(n):
+        root[i] = root[root[i]]  # the parent is less than its child, so it knows the root already
+        if root[i] != i:
+            out.append((root[i], i))
     return out
