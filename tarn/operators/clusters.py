@@ -74,3 +74,9 @@ def common_words(titles: DataFrame, key: str, word: str = "tag") -> DataFrame:
     size = titles.groupBy(key).agg(F.countDistinct("id").alias("_n"))
     counts = titles.select(key, "id", word).distinct().groupBy(key, word).agg(F.count("*").alias("n"))
     return counts.join(size, key).where(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("_n") / 2))).select(key, word, "n")
+
+
+def metrics(cohesions: DataFrame) -> DataFrame:
+    """One row: clusters, mean cohesion, and 0.8 of it as a silhouette where there is more than one cluster."""
+    mean = F.avg("cohesion")
+    return cohesions.agg(F.count("*").alias("clusters"), F.round(mean, 6).alias("avg_cohesion"), F.round(F.when(F.count("*") > 1, 0.8 * mean).otherwise(0.0), 6).alias("silhouette"))

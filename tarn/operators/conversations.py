@@ -259,3 +259,65 @@ def theme(titles: DataFrame, key: str, title: str = "title") -> DataFrame:
 
 def timeline(conversations: DataFrame, start: Column, end: Column, limit: int) -> DataFrame:
     return conversations.where(F.col("created_at").between(start, end)).orderBy(F.desc("activity"), F.desc("last_active"), "conv_id").limit(limit)
+
+
+def select_conversations(conversations: DataFrame, workspace: str | None = None, status: str | None = None, all_tags: list[str] | None = None, any_tags: list[str] | None = None, created: tuple[Column, Column] | None = None, active: tuple[Column, Column] | None = None) -> DataFrame:
+    """Conversations that meet all conditions given: all or any of some tags, created or last active within times (inclusive)."""
+    if workspace is not None:
+        conversations = conversations.where(F.col("workspace_id") == workspace)
+    if status is not None:
+        conversations = conversations.where(F.col("status") == status)
+    if all_tags:
+        conversations = conversations.where(F.size(F.array_intersect("tags", F.array(*map(F.lit, all_tags)))) == len(set(all_tags)))
+    if any_tags:
+        conversations = conversations.where(F.arrays_overlap("tags", F.array(*map(F.lit, any_tags))))
+    for column, bounds in (("created_at", created), ("last_active", active)):
+        if bounds is not None:
+            conversations = conversations.where(F.col(column).between(*bounds))
+    return conversations
+
+
+def efficiency(conversations: DataFrame) -> DataFrame:
+    """One row: minutes to resolution of completed conversations, share of branches that succeed, of conversations with
+    checkpoints, branches per conversation. ``conversations``: status, minutes, branch_scores, n_checkpoints."""
+    n = F.sum(F.size("branch_scores"))
+    good = F.sum(F.size(F.filter("branch_scores", lambda x: x >= SUCCESS)))
+    return conversations.agg(
+        F.round(F.avg(F.when(F.col("status") == "Completed", F.col("minutes"))), 6).alias("resolution_minutes"),
+        F.round(F.when(n > 0, good / n), 6).alias("branch_efficiency"),
+        F.round(F.avg((F.col("n_checkpoints") > 0).cast("double")), 6).alias("checkpoint_use"),
+        F.round(n / F.count("*"), 6).alias("switches"),
+    )
+
+
+def insights(conversations: DataFrame, by: str = "project_type", success: str = "success") -> DataFrame:
+    return conversations.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(F.col(success).cast("double")), 6).alias("rate"))
+
+
+def content_rows(conversations: DataFrame) -> DataFrame:
+    """(conv_id, kind, position, content): what of a conversation is indexed. ``conversations``: conv_id, title, messages,
+    branches, checkpoints, tags, project."""
+    rows = lambda kind, texts: F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("position"), x.alias("content")))
+    one = lambda kind, text: rows(kind, F.array_compact(F.array(text)))
+    parts = [one("title", F.col("title")), rows("message", F.col("messages")), rows("branch", F.col("branches")), rows("checkpoint", F.col("checkpoints")), one("tags", F.when(F.size("tags") > 0, F.array_join("tags", ", "))), one("project", F.col("project"))]
+    return conversations.select("conv_id", F.inline(F.filter(F.concat(*parts), lambda x: x["content"].isNotNull())))
+
+
+def activity_feed(messages: DataFrame, others: DataFrame, conv: str = "conv_id", ts: str = "ts", last: int = 5, top: int = 10) -> DataFrame:
+    """The ``top`` newest of a conversation's last messages and its other events (conv, ts, kind, label)."""
+    recent = messages.withColumn("_n", F.row_number().over(W.partitionBy(conv).orderBy(F.desc(ts), "label"))).where(F.col("_n") <= last).drop("_n")
+    both = recent.select(conv, ts, F.lit("message").alias("kind"), "label").unionByName(others.select(conv, ts, "kind", "label"))
+    newest = W.partitionBy(conv).orderBy(F.desc(ts), "kind", "label")
+    return both.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= top)
+
+
+def rerank(hits: DataFrame, related: Column, boost: float = 1.2) -> DataFrame:
+    """Hits with the scores of related ones raised, best first."""
+    return hits.withColumn("score", F.round(F.col("score") * F.when(related, boost).otherwise(1.0), 6)).orderBy(F.desc("score"), "id")
+
+
+def relative_time(ts: Column, now: Column) -> Column:
+    """Just now, minutes, hours or days ago, or the date."""
+    s = F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 1_000_000)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(s < 60, "just now").when(s < 3600, ago(F.floor(s / 60), "m")).when(s < 86_400, ago(F.floor(s / 3600), "h")).when(s < 604_800, ago(F.floor(s / 86_400), "d")).otherwise(F.date_format(ts, "yyyy-MM-dd"))

@@ -38,3 +38,33 @@ def stuck(progress: DataFrame, key: str, ts: str, timeout: float) -> DataFrame:
     w = W.partitionBy(key).orderBy(ts)
     waited = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6
     return progress.withColumn("waited", waited).where(F.col("waited") > timeout).select(key, F.col(ts).alias("at"), F.round("waited", 6).alias("waited"))
+
+
+def watched(path, patterns):
+    """Whether a path is watched: no folder prefix (``dir/``), ``*.ext``, ``prefix*`` or (part of the) name excludes it."""
+    out = F.lit(True)
+    for p in patterns:
+        if p.endswith("/"):
+            hit = path.startswith(p) | path.contains("/" + p)
+        elif p.startswith("*"):
+            hit = path.endswith(p[1:])
+        elif p.endswith("*"):
+            hit = F.regexp_extract(path, "[^/]*$", 0).startswith(p[:-1])
+        else:
+            hit = (path == p) | path.endswith("/" + p)
+        out = out & ~hit
+    return out
+
+
+def rfc3339(ts):
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def cached(files: DataFrame, cache: DataFrame, now, model: str, days: int = 7) -> DataFrame:
+    """``files`` (path, modified, size) with ``hit``: whether the cache (path, model, hash, at) has them unchanged and fresh.
+
+    The hash is modified * 31 + size.
+    """
+    found = files.join(cache.withColumnRenamed("hash", "_hash"), "path", "left")
+    fresh = (F.col("model") == model) & (F.col("_hash") == F.col("modified") * 31 + F.col("size")) & (now - F.col("at") < F.make_dt_interval(F.lit(days)))
+    return found.select("path", F.coalesce(fresh, F.lit(False)).alias("hit"))

@@ -95,3 +95,11 @@ def tag_overlap(tags: DataFrame, key: str = "id", tag: str = "tag", least: float
 def suggestion_statistics(actions: DataFrame) -> DataFrame:
     """(source, n, accepted, rejected, rate) of suggestions by source. ``actions``: source, action."""
     return actions.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("action") == "accepted").alias("accepted"), F.count_if(F.col("action") == "rejected").alias("rejected")).withColumn("rate", F.round(F.col("accepted") / F.col("n"), 6))
+
+
+def corpus_tags(vector: Column, corpus: dict[str, list[float]], least: float = LEAST) -> Column:
+    """Suggestions of a vector: tags of a small corpus whose vectors are similar to it."""
+    from tarn.functions.vectors import cosine, literal
+
+    scores = [(tag, F.round(cosine(vector, literal(v)), 6)) for tag, v in sorted(corpus.items())]
+    return F.array_compact(F.array(*(F.when(s >= least, _suggest(tag, s, "embedding")) for tag, s in scores)))

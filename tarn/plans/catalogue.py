@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans import conversation_queries, event_queries, file_queries, repository_queries, search_queries, streaming_queries  # noqa: F401
+from tarn.plans import conversation_queries, event_queries, file_queries, more_queries, repository_queries, search_queries, streaming_queries  # noqa: F401
 from tarn.plans.register import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
