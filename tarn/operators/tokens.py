@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,14 +9,27 @@ from pyspark.sql import functions as F
 from tarn.functions import fixed
 from tarn.functions.text import filename_term
 
-ANY_TOKEN = "(?s)" + "|".join(f"(?:{p})" for p, _ in fixed.TOKEN_PATTERNS)
+# Alternatives begin with different characters but for those that the table's order keeps apart, so the frequent ones may
+# be tried first.
+_FIRST = sorted(range(len(fixed.TOKEN_PATTERNS)), key=lambda i: (i not in (4, 7, 5), i))
+ANY_TOKEN = "(?s)" + "|".join(f"(?:{fixed.TOKEN_PATTERNS[i][0]})" for i in _FIRST)
 INDEXED = ("Identifier", "Literal")
+SYMBOL_CODES = [ord(c) for c in "(){}[]<>=+-*/%&|^!~,;:."]
 
 
 def kind_of(token: Column) -> Column:
-    """Kind of a token: the first pattern that matches all of it."""
-    tests = [(F.lit(True) & token.rlike(rf"(?s)\A(?:{p})\z"), kind) for p, kind in fixed.TOKEN_PATTERNS]
-    return reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed(tests), F.lit("Unknown"))
+    """Kind of a token, from its first character and length: they tell which pattern has matched."""
+    c, many = F.ascii(token), F.length(token) > 1
+    return (
+        F.when(c.between(97, 122) | c.between(65, 90) | (c == 95), "Identifier")
+        .when(c.between(9, 13) | (c == 32), "Whitespace")
+        .when(c.between(48, 57), "Literal")
+        .when((c == 34) & many, "Literal")
+        .when((c == 39) & many, F.when(token.endswith("'"), "Literal").otherwise("Identifier"))
+        .when((c == 47) & many, "Comment")
+        .when(c.isin(SYMBOL_CODES), "Symbol")
+        .otherwise("Unknown")
+    )
 
 
 def tokens(text: Column, keep_whitespace: bool = False, lower_identifiers: bool = True) -> Column:
@@ -31,17 +42,27 @@ def tokens(text: Column, keep_whitespace: bool = False, lower_identifiers: bool
     return found
 
 
+def token_rows(docs: DataFrame, keep: list, text: Column) -> DataFrame:
+    """(.., term, kind), one row for each token but white space; rows are made first, so kinds are compiled code."""
+    rows = docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(ANY_TOKEN), F.lit(0))).alias("_t"))
+    kinds = rows.withColumn("kind", kind_of(F.col("_t"))).where("kind <> 'Whitespace'")
+    return kinds.withColumn("term", F.when(F.col("kind") == "Identifier", F.lower("_t")).otherwise(F.col("_t"))).drop("_t")
+
+
 def term_rows(docs: DataFrame, id_col: str, text: Column, kinds: tuple[str, ...] = INDEXED) -> DataFrame:
     """(id, term), one row for each indexed token."""
-    return docs.select(id_col, F.inline(tokens(text))).where(F.col("kind").isin(*kinds)).select(id_col, F.col("text").alias("term"))
+    return token_rows(docs, [id_col], text).where(F.col("kind").isin(*kinds)).select(id_col, "term")
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, name: Column | None = None) -> DataFrame:
     """(id, term, tf, weight): tf counts 2 for a term that is also in the document's file name; weight = 1 + ln tf."""
-    terms = docs.select(id_col, F.inline(tokens(text)), *([F.transform(tokens(name), lambda t: t["text"]).alias("_name")] if name is not None else []))
-    terms = terms.where(F.col("kind").isin(*INDEXED))
-    count = F.sum(F.when(F.array_contains("_name", F.col("text")), 2).otherwise(1)) if name is not None else F.count("*")
-    return terms.groupBy(id_col, F.col("text").alias("term")).agg(count.cast("long").alias("tf")).withColumn("weight", 1 + F.log(F.col("tf")))
+    names = [F.transform(tokens(name), lambda t: t["text"]).alias("_name")] if name is not None else []
+    if name is not None:
+        docs = docs.select("*", *names)
+        names = ["_name"]
+    terms = token_rows(docs, [id_col, *names], text).where(F.col("kind").isin(*INDEXED))
+    count = F.sum(F.when(F.array_contains("_name", F.col("term")), 2).otherwise(1)) if name is not None else F.count("*")
+    return terms.groupBy(id_col, "term").agg(count.cast("long").alias("tf")).withColumn("weight", 1 + F.log(F.col("tf")))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:

@@ -74,9 +74,9 @@ def similar_items_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TOKENS_SQL} select kind, count(*) n, count(distinct term) n_distinct from toks group by kind")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select(F.inline(tokens.tokens(F.col("text"))))
+    found = tokens.token_rows(table(spark, sf_dir, "documents"), [], F.col("text"))
     # terms are counted before they are shuffled
-    by_term = found.groupBy("kind", "text").agg(F.count("*").alias("c"))
+    by_term = found.groupBy("kind", "term").agg(F.count("*").alias("c"))
     return by_term.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
 
 
