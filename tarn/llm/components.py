@@ -9,13 +9,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, scratch
 
 #: Ids whose texts one task compares with one another.
-TILE = 512
+TILE = 1024
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,23 +24,26 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014): O(log^2 n) rounds; the rows of a hub only
     take part in a minimum (combined before the shuffle) and in joins that can be split.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    state = _state(edges)
-    while True:
+    edges, state = _settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
+    while state[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _settled(small)
         if before == state:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Distinct edges, cut from what made them, and their number and the sum of their hashes (from the same pass)."""
+    seen = Observation()
+    marks = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
+    out = checkpointed(edges.distinct().observe(seen, *marks))
+    return out, (seen.get.get("n", 0), seen.get.get("s"))
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def linked_groups(bucket: DataFrame, payload: Callable[[DataFrame], DataFrame],
     leaders = bucket.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("g"))
     grouped = checkpointed(bucket.join(leaders, "key").select("g", "id").distinct())
     tiles = grouped.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(id, g), tiles) as int)"))
+    tiled = checkpointed(grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(id, g), tiles) as int)")))
     with scratch(payload(grouped.select("id").distinct()), "candidates") as texts:
         seats = tiled.select("g", F.explode(F.expr("if(id = g, sequence(0, tiles - 1), array(tile))")).alias("tile"), F.lit(0).alias("other"), F.lit(False).alias("late"), "id")
         edges = checkpointed(_forests(seats, texts, compare))

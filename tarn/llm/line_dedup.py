@@ -85,6 +85,8 @@ def banded(a: str, b: str, edits: int) -> int:
         places[c] = places.get(c, 0) | 1 << i
     up, down = mask ^ ((1 << (width - edits - 1)) - 1), 0
     shift, distance, row = edits + 1 - width, edits, top >> 1
+    # along the bottom row, which the last columns follow, a distance falls by one a column at most
+    hopeless = edits + len(b) - (len(a) - edits)
     for j, c in enumerate(b):
         p = places.get(c, 0)
         match = (p >> shift if shift >= 0 else p << -shift) & mask
@@ -97,6 +99,8 @@ def banded(a: str, b: str, edits: int) -> int:
         else:
             distance += bool(hp & row) - bool(hn & row)
             row >>= 1
+        if distance > hopeless:
+            return distance
         d0 >>= 1
         up = (hn | ~(d0 | hp)) & mask
         down = d0 & hp
