@@ -224,6 +224,22 @@ def test_packing(odd, none):
     assert packing.pack(none, BYTES).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTES)
+    rng = random.Random(13)
+    pool = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", "the ", "'s", "1", "é", "漢", "😀", "<|EndOfText|>"]
+    texts = ["a<|endoftext|>b", *("".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(400)), "x <|endoftext|>" * 700]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(packing.pieces(docs, BYTES, with_ids=True).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
