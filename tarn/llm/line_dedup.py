@@ -1,17 +1,19 @@
 """Operator 6: near-duplicate lines by a segment-partition edit join (after Pass-Join, Li et al., VLDB 2011).
 
-Lines within ``EDITS`` insertions, deletions or substitutions are linked. A line is cut into ``EDITS`` + 1 segments whose
-lengths depend on its length alone; of two linked lines, the one that is not shorter must contain some segment of the
+Lines within the insertions, deletions or substitutions that the shorter one's length allows (``allowed``) are linked. A
+line is cut into one segment more than that, whose lengths depend on its length alone; of two linked lines, the one that is not shorter must contain some segment of the
 other at a place off by no more than the edits allow. Every line is entered under its segments, by length, and probes
 the segments of all lengths that are near its own. Lines that meet are verified by an edit distance of bit-parallel
 columns in a band around the diagonal. The first occurrence (doc_id, line number) of a class of linked lines stays.
 
-Equal lines are collapsed first, on 128 bits of hash. Only lines of ``LEAST_CHARS`` or more are looked at, and only those
-of ``NEAR_CHARS`` or more for near copies: two edits make other words of short lines.
+Equal lines are collapsed first, on 128 bits of hash. The query and the pipeline look at every line that is not blank,
+and link near copies by edits that grow with the length of the shorter line (``EDITS_FROM``): two edits make other words
+of short lines. ``line_decisions`` by itself looks at lines of ``LEAST_CHARS`` or more, ``NEAR_CHARS`` for near copies.
 
 Cases: a null or empty text is one empty line; a line ends at a line feed, and a carriage return belongs to the line.
-Rows of the same id are documents of one place: the first of equal lines stays once for each row. Null ids come first.
-Documents stay, even if no line does. Extra columns are kept by ``apply_decisions``.
+Blank lines under ``LEAST_CHARS`` stay: they part paragraphs. Rows of the same id are documents of one place: the first
+of equal lines stays once for each row. Null ids come first. Documents stay, even if no line does. Extra columns are
+kept by ``apply_decisions``.
 """
 
 from __future__ import annotations
@@ -29,6 +31,13 @@ from tarn.llm.components import linked_groups, probed_buckets
 
 EDITS = 2
 LEAST_CHARS, NEAR_CHARS = 20, 40
+#: For all lines: the lengths from which a line may have one edit more.
+EDITS_FROM = (10, 40)
+
+
+def allowed(length: int, edits_from: tuple[int, ...]) -> int:
+    """The edits by which a line of this length may differ from one that is not shorter."""
+    return sum(length >= n for n in edits_from)
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -113,7 +122,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def entries(docs: DataFrame, edits: int, near_chars: int, own: bool = False) -> DataFrame:
+def entries(docs: DataFrame, edits_from: tuple[int, ...], own: bool = False) -> DataFrame:
     """(key, id): what lines look up, or (``own``) are entered under; a key is a hash of length, segment and string.
 
     The id is the line's ``h1``: XXH64 of its bytes with Spark's seed.
@@ -125,12 +134,13 @@ def entries(docs: DataFrame, edits: int, near_chars: int, own: bool = False) ->
             for part in sliced(batch):
                 keys: list[int] = []
                 ids: list[int] = []
-                for line in {x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= near_chars}:
+                for line in {x for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(x) >= min(edits_from)}:
                     n = len(line)
                     if n not in plans:
                         if len(plans) > 20_000:
                             plans.clear()
-                        wanted = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, edits))] if own else probes(n, edits)
+                        # the shorter line of a pair says how many edits there may be, and so how it is cut
+                        wanted = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, allowed(n, edits_from)))] if own else [p for edits in range(1, len(edits_from) + 1) for p in probes(n, edits) if allowed(p[0], edits_from) == edits]
                         plans[n] = [((length << 8 | i), 4 * at, 4 * (at + size)) for length, i, at, size in wanted]
                     data = line.encode("utf-32-le", "surrogatepass")
                     found = [xxhash.xxh64_intdigest(data[a:b], seed) for seed, a, b in plans[n]]
@@ -141,13 +151,14 @@ def entries(docs: DataFrame, edits: int, near_chars: int, own: bool = False) ->
     return docs.select("text").mapInArrow(run, "key long, id long")
 
 
-def near_pairs(edits: int):
-    """Of lines, the pairs (i < n, j) within ``edits``; pairs that others connect already are passed over."""
+def near_pairs(edits_from: tuple[int, ...]):
+    """Of lines, the pairs (i < n, j) within the edits allowed; pairs that others connect already are passed over."""
 
     def compare(lines: list[str], n: int) -> np.ndarray:
         out, label = [], list(range(len(lines)))
         by_size = sorted(range(len(lines)), key=lambda k: len(lines[k]))
         for at, i in enumerate(by_size):
+            edits = allowed(len(lines[i]), edits_from)
             for j in by_size[at + 1 :]:
                 if len(lines[j]) - len(lines[i]) > edits:
                     break
@@ -160,12 +171,13 @@ def near_pairs(edits: int):
     return compare
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS, edits_from: tuple[int, ...] = (NEAR_CHARS,) * EDITS) -> DataFrame:
     """One row for each line that goes: doc_id, line_no, near (whether the line that stays for it is another text)."""
-    lines = lines_of(docs.select("doc_id", "text")).where(F.length("line") >= least_chars)
-    long_lines = lines.where(F.length("line") >= near_chars)
+    worded = (F.length("line") >= LEAST_CHARS) | F.col("line").rlike(r"(?U)\S")
+    lines = lines_of(docs.select("doc_id", "text")).where((F.length("line") >= least_chars) & worded)
+    long_lines = lines.where(F.length("line") >= min(edits_from))
     texts = long_lines.select(F.col("h1").alias("id"), F.col("line").alias("text"))
-    found = linked_groups(probed_buckets(entries(docs, edits, near_chars, own=True), entries(docs, edits, near_chars)), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits))
+    found = linked_groups(probed_buckets(entries(docs, edits_from, own=True), entries(docs, edits_from)), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits_from))
     place = F.struct("doc_id", "line_no")
     same = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = same.join(found.select(F.col("id").alias("h1"), "component"), "h1", "left")
@@ -176,6 +188,11 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     return there.where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("stays"))).select("doc_id", "line_no", "near")
 
 
+def all_line_decisions(docs: DataFrame) -> DataFrame:
+    """``line_decisions`` over every line that is not blank."""
+    return line_decisions(docs, 1, EDITS_FROM)
+
+
 def by_document(decisions: DataFrame) -> DataFrame:
     """doc_id, gone (sorted line numbers), n_near."""
     return decisions.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_if("near").alias("n_near"))
@@ -194,7 +211,7 @@ def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    gone = by_document(line_decisions(docs)).withColumnRenamed("doc_id", "_id")
+    gone = by_document(all_line_decisions(docs)).withColumnRenamed("doc_id", "_id")
     lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     all_rows = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     removed = F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit(""))

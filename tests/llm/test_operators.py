@@ -313,6 +313,47 @@ def test_lines(spark, odd, none):
     assert line_dedup.line_decisions(none).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage against brute force over every line that is not blank."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    base = ["".join(rng.choices("abcd ", k=n - 1)) + "e" for n in (1, 2, 5, 9, 10, 11, 12, 15, 19, 20, 21, 30, 38, 39, 40, 41, 42, 60) for _ in range(3)]
+    base += ["漢字を学ぶ", "Home | About", "", " ", "\t ", "\u3000"]
+    docs = []
+    for i in range(60):
+        lines = [list(rng.choice(base)) for _ in range(6)]
+        for x in lines:
+            for _ in range(rng.randrange(4) if len(x) > 4 and rng.random() < 0.6 else 0):
+                k = rng.randrange(len(x))
+                x[k : k + rng.randrange(2)] = rng.choices("abz,", k=rng.randrange(2))
+        docs.append((i, "\n".join("".join(x) for x in lines)))
+    first, occurrences = {}, []
+    for i, t in docs:
+        for k, line in enumerate(t.split("\n")):
+            if line.strip():
+                occurrences.append((i, k, line))
+                first.setdefault(line, (i, k))
+    root, texts = {x: x for x in first}, sorted(first, key=len)
+    for n, a in enumerate(texts):
+        edits = 2 if len(a) >= 40 else 1 if len(a) >= 10 else 0
+        for b in texts[n + 1 :]:
+            if edits and len(b) - len(a) <= edits and root[a] != root[b] and distance(a, b) <= edits:
+                old, new = root[b], root[a]
+                root = {x: new if r == old else r for x, r in root.items()}
+    best = {}
+    for line, at in first.items():
+        best[root[line]] = min(at, best.get(root[line], at))
+    gone = {(i, k) for i, k, line in occurrences if best[root[line]] != (i, k)}
+    assert any(len(x) < 10 for i, k, x in occurrences if (i, k) in gone) and any(10 <= len(x) < 40 and first[x] == (i, k) for i, k, x in occurrences if (i, k) in gone)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], int(k)) for r in got for k in r["removed_lines"].split(",") if k} == gone
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path)).collect()}
+    assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
