@@ -24,6 +24,14 @@ def test_runs(spark, sf_dir, name):
     assert df.columns and df.count() >= 0
 
 
+@pytest.mark.parametrize("name", ["debounce_stream", "windowed_counts_stream", "inactivity_stream", "delta_accumulate_stream"])
+def test_streams_read_folders(spark, sf_dir, tmp_path, name):
+    for table in ("events", "conversations"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), QUERIES[name](spark, sf_dir).toPandas()
+    assert len(got) and rows(got) == rows(want)
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
 
