@@ -13,7 +13,8 @@ The patterns are written so that no text makes them backtrack far: possessive lo
 begin only where a run of its characters begins (or where the last match ended).
 
 Cases: null texts are empty and hold nothing; repeated rows are reported each; spans of a kind do not overlap one
-another; a candidate that overlaps a seed is no candidate. Extra columns are kept by ``redact``.
+another; a candidate that overlaps a seed is no candidate. ``redact`` hides in each row the spans of its own text,
+whether its id is null or other rows have it too, and keeps extra columns.
 """
 
 from __future__ import annotations
@@ -170,18 +171,23 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
     return edges.where((~F.col("seed")) & (F.col("score") >= CONFIDENT)).select("kind", "value").distinct()
 
 
-def discovered(marked: DataFrame) -> DataFrame:
-    """row, doc_id and the new spans of a document: added, an array of (kind, s, e). ``marked``: row, doc_id, seen."""
-    occurrences = marked.select("row", "doc_id", F.inline("seen"))
+def discovered(marked: DataFrame, *by: str) -> DataFrame:
+    """``by`` and the new spans of a text: added, an array of (kind, s, e). ``marked``: seen, and ``by``, which tell texts apart."""
+    occurrences = marked.select(*by, F.inline("seen"))
     accepted = bootstrap(occurrences)
     new = occurrences.where("not seed").join(accepted, ["kind", "value"], "left_semi")
-    return new.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("added"))
+    return new.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("added"))
 
 
-def marked_rows(docs: DataFrame) -> DataFrame:
-    """row, doc_id, seeds by kind and ``seen`` for each row, without its text."""
+def text_hashes(*names: str) -> list[Column]:
+    """128 bits of hash of the text."""
+    return [h.alias(n) for h, n in zip((F.xxhash64("text"), F.xxhash64(F.lit(7), "text")), names)]
+
+
+def marked_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """row, doc_id, ``more`` of the text, seeds by kind and ``seen`` for each row, without its text."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bare = in_context(seeds(plain)).select("doc_id", *(F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS), "seen")
+    bare = in_context(seeds(plain)).select("doc_id", *more, *(F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS), "seen")
     return checkpointed(bare.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -192,15 +198,16 @@ def named(kind: str, spans: Column) -> Column:
 def extract(docs: DataFrame) -> DataFrame:
     """doc_id, an array of (s, e) for each kind's seeds, and ``added``."""
     rows = marked_rows(docs)
-    added = discovered(rows).select("row", "added")
+    added = discovered(rows, "row", "doc_id").select("row", "added")
     return rows.join(added, "row", "left").select("doc_id", *KINDS, F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")).alias("added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars`` (where there is one) counted anew."""
-    new = discovered(marked_rows(docs)).where("doc_id is not null").groupBy("doc_id").agg(F.flatten(F.collect_list("added")).alias("_added"))
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = seeds(whole.join(new, "doc_id", "left"))
+    # rows of one id and one text have the same spans
+    new = discovered(marked_rows(docs, *text_hashes("h1", "h2")), "doc_id", "h1", "h2").toDF("_id", "_new1", "_new2", "_added")
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", *text_hashes("_h1", "_h2"))
+    out = seeds(whole.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_new1")) & (F.col("_h2") == F.col("_new2")), "left"))
     spans = F.flatten(F.array(*(F.transform(k, _tagged(k, "s", "e", "kind")) for k in KINDS)))
     more = F.transform(F.coalesce("_added", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
     out = settled(out, {"_spans": F.array_sort(F.array_distinct(F.concat(spans, more)))})

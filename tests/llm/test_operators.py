@@ -397,6 +397,17 @@ def test_redact(spark, odd, none):
     assert pii.redact(none).count() == 0
 
 
+def test_redact_by_row(spark):
+    """Discovered spans are hidden where the id is null, and only in the text that has them where rows share an id."""
+    known = [(i, f"please write to: user{i}@mail.example.org today about it") for i in range(30)]
+    rows = [
+        (None, "please write to: bob@localhost today about it"), (None, "or, if that fails, please write to: al@localhost today about it"), (None, "nothing to hide in this row, whatever the others have"),
+        (100, "please write to: eve@localhost today about it"), (100, "please do not hide words of this row for the other one"), (101, "twice: please write to: joe@localhost today"), (101, "twice: please write to: joe@localhost today"), (102, None),
+    ]
+    got = Counter((r["doc_id"], r["text"]) for r in pii.redact(spark.createDataFrame(known + rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, t and re.sub(r"\w+@[\w.]+", "<EMAIL>", t)) for i, t in known + rows)
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
