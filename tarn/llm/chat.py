@@ -2,7 +2,8 @@
 
 A turn's content is a list of parts (text, image, audio, document). The visitor renders them in order: text with control
 strings escaped, every other part as a placeholder ``<|kind:n|>`` whose n counts the turn's attachments; it records each
-attachment's reference and the number of model tokens it expands to. A turn is
+attachment's reference and the number of model tokens it expands to. Parts of other kinds become ``<|other:n|>`` of no
+tokens, recorded like the rest. A turn is
 ``<|turn|>role<|says|>content<|end|>`` and a newline; an assistant's content stands under the loss mask.
 
 Escaping is reversible: a control string in a text gets a backslash behind its first character, and one that already has
@@ -12,7 +13,9 @@ them, so an escaped text holds none.
 The output is one row (segment) per turn, in the order of ``turn``: formatted conversations are the segments joined, so
 a conversation of any length needs no row that holds all of it. ``read_back`` parses segments as a stream.
 
-Cases: null texts are empty, null roles too; null parts are skipped; equal turns are ordered by role, then segment; repeated
+Cases: null texts are empty, null roles too; null parts are skipped; a part of a null or unknown kind is an attachment of
+kind ``other``; sizes that are null, negative or no finite number count as the least (one tile, no sound, one page);
+equal turns are ordered by role, then segment; repeated
 rows are turns of their own; a null conv_id is a conversation of its own. Extra columns are ignored.
 """
 
@@ -28,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
-CONTROL = r"\|(?:turn|says|end|image:[0-9]+|audio:[0-9]+|document:[0-9]+)\|>|/?s>|/?INST\]"
+CONTROL = r"\|(?:turn|says|end|image:[0-9]+|audio:[0-9]+|document:[0-9]+|other:[0-9]+)\|>|/?s>|/?INST\]"
 HIDE = re.compile(rf"([<\[])(\\*)(?={CONTROL})")
 SHOW = re.compile(rf"([<\[])\\(\\*)(?={CONTROL})")
-ATTACHMENTS = "array<struct<kind:string,ordinal:int,ref:string,at:int,tokens:int>>"
+ATTACHMENTS = "array<struct<kind:string,ordinal:int,ref:string,at:int,tokens:long>>"
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 SEGMENT = f"conv_id long, turn long, role string, segment string, mask_start int, mask_end int, attachments {ATTACHMENTS}, expanded_tokens long"
 
@@ -44,6 +47,9 @@ def unescape(text: str) -> str:
     return SHOW.sub(r"\1\2", text)
 
 
+KINDS = ("text", "image", "audio", "document")
+
+
 class PartVisitor:
     """Flattens parts to text and placeholders; one method per kind."""
 
@@ -56,29 +62,34 @@ class PartVisitor:
 
     def visit(self, part: dict | None) -> None:
         if part:
-            getattr(self, f"visit_{part['kind']}")(part)
+            getattr(self, f"visit_{part['kind'] if part['kind'] in KINDS else 'other'}")(part)
 
     def write(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
-    def attach(self, part: dict, tokens: int) -> None:
+    def attach(self, part: dict, tokens: int, kind: str) -> None:
         n = len(self.attachments)
-        self.attachments.append({"kind": part["kind"], "ordinal": n, "ref": part.get("ref"), "at": self.length, "tokens": tokens})
-        self.write(f"<|{part['kind']}:{n}|>")
+        self.attachments.append({"kind": kind, "ordinal": n, "ref": part.get("ref"), "at": self.length, "tokens": tokens})
+        self.write(f"<|{kind}:{n}|>")
 
     def visit_text(self, part: dict) -> None:
         self.write(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        tiles = math.ceil(max(1, part.get("width") or 1) / self.tile) * math.ceil(max(1, part.get("height") or 1) / self.tile)
-        self.attach(part, tiles * self.tokens_per_tile)
+        tiles = math.prod(math.ceil(max(1, part.get(side) or 1) / self.tile) for side in ("width", "height"))
+        self.attach(part, tiles * self.tokens_per_tile, "image")
 
     def visit_audio(self, part: dict) -> None:
-        self.attach(part, math.ceil((part.get("seconds") or 0) * self.tokens_per_second))
+        seconds = part.get("seconds") or 0.0
+        tokens = seconds * self.tokens_per_second
+        self.attach(part, math.ceil(max(0.0, tokens)) if math.isfinite(tokens) and tokens < 2**62 else 0, "audio")
 
     def visit_document(self, part: dict) -> None:
-        self.attach(part, (part.get("pages") or 1) * self.tokens_per_page)
+        self.attach(part, max(1, part.get("pages") or 1) * self.tokens_per_page, "document")
+
+    def visit_other(self, part: dict) -> None:
+        self.attach(part, 0, "other")
 
 
 def render(role: str | None, parts: list[dict] | None) -> tuple[str, int | None, int | None, list[dict], int]:
@@ -113,7 +124,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.col("turn").cast("long"), "role", "parts" if parts else "text").mapInArrow(run, SEGMENT.replace("conv_id long", f"conv_id {kind}", 1))
 
 
-ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("ordinal", pa.int32()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int32())]))
+ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("ordinal", pa.int32()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())]))
 
 
 class Reader:

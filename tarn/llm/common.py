@@ -22,14 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+    """``df`` with its lineage cut by a reliable checkpoint in the ``shared_folder``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) is one made.
     Spark removes the files when the frame is garbage (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tarn-checkpoints"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -64,9 +63,48 @@ def bucket(column: Column, n: int) -> Column:
     """A bucket from 0 to n-1 by hash."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` was given.
+
+    Only a session on one machine that has neither (tests) gets a folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    given, held = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if given or held.isDefined():
+        return given or held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
+
+
+def text_hashes(*parts: Column) -> list[Column]:
+    """128 bits of hash of the text (or of ``parts``, none null) as two columns.
+
+    With the id they tell a row from others. Rows equal in id and text are one document that came twice: whatever is
+    decided about one holds for both.
+    """
+    parts = parts or (F.coalesce("text", F.lit("")),)
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)]
+
+
+def with_hashes(docs: DataFrame, *parts: Column, names: tuple[str, str] = ("h1", "h2")) -> DataFrame:
+    return docs.withColumns(dict(zip(names, text_hashes(*parts))))
+
+
+def beside(docs: DataFrame, decided: DataFrame, how: str, *parts: Column) -> DataFrame:
+    """_doc (a row of ``docs`` as a struct) joined with ``decided(doc_id, h1, h2, ...)``, whose other columns get a ``_``.
+
+    Rows meet by id, null like others, and by ``text_hashes(*parts)``, so rows that share an id get their own decisions.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_id"), *(h.alias(n) for h, n in zip(text_hashes(*parts), ("_h1", "_h2"))))
+    right = decided.toDF(*(f"_by_{c}" if c in ("doc_id", "h1", "h2") else f"_{c}" for c in decided.columns))
+    return whole.join(right, F.expr("_id <=> _by_doc_id and _h1 = _by_h1 and _h2 = _by_h2"), how)
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that the optimiser does not copy into the expressions (and loops) that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

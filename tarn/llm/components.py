@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, scratch
 
-#: Ids whose texts one task compares with one another.
-TILE = 1024
+#: What one task compares with one another: so many texts, or (with few long ones) so many code points.
+TILE, TILE_CHARS = 1024, 16_000_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -60,32 +60,38 @@ def probed_buckets(index: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def linked_groups(bucket: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable[[list, int], np.ndarray]) -> DataFrame:
-    """(id, component) of the graph that links two ids if they share a ``key`` of ``bucket(key, id)`` and are alike.
+    """(id, component) of the graph that links two texts if they share a ``key`` of ``bucket(key, id)`` and are alike.
+
+    ``id`` in ``bucket`` is a hash of 64 bits. ``payload(ids)`` gives (id, node, text) of a table of such ids, one row for
+    each node: what has one hash by chance are two nodes, compared like all others. ids of the result are nodes.
 
     Buckets are merged by their leader (the member of least hash; alike buckets have the same one): a group is all that
     shares a bucket with its leader, so ids of one bucket always meet, mostly once. Groups are dealt out in tiles of at
-    most ``TILE``; within a task all pairs of a tile, and the leader, are compared, and a spanning forest leaves it. In
-    groups of several tiles, what did not end in the group's largest component then meets all the group, tile by tile.
-
-    ``payload(ids)`` gives (id, text) of a table of ids. ``compare(texts, n)`` gives the pairs (i < n, j) of a list of
-    texts that are alike, as two rows of indices.
+    most about ``TILE`` texts or ``TILE_CHARS``; within a task all pairs of a tile, and the leader, are compared, and a
+    spanning forest leaves it. In groups of several tiles, what did not end in the group's largest component then meets
+    all the group, tile by tile. ``compare(texts, n)`` gives the pairs (i < n, j) of a list of texts that are alike, as
+    two rows of indices.
     """
     bucket = checkpointed(bucket)
     leaders = bucket.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("g"))
-    grouped = checkpointed(bucket.join(leaders, "key").select("g", "id").distinct())
-    tiles = grouped.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = checkpointed(grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(id, g), tiles) as int)")))
-    with scratch(payload(grouped.select("id").distinct()), "candidates") as texts:
-        seats = tiled.select("g", F.explode(F.expr("if(id = g, sequence(0, tiles - 1), array(tile))")).alias("tile"), F.lit(0).alias("other"), F.lit(False).alias("late"), "id")
+    met = checkpointed(bucket.join(leaders, "key").select("g", "id").distinct())
+    wanted = lambda n, chars: F.ceil(F.greatest(n / TILE, chars / TILE_CHARS)).cast("int")
+    with scratch(payload(met.select("id").distinct()).select("id", "node", F.length("text").alias("size"), "text"), "candidates") as texts:
+        grouped = met.join(texts.select("id", "node", "size"), "id")
+        tiles = grouped.groupBy("g").agg(wanted(F.count("*"), F.sum("size")).alias("tiles")).withColumn("tiles", F.greatest("tiles", F.lit(1)))
+        tiled = checkpointed(grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(node, g), tiles) as int)")))
+        seats = tiled.select("g", F.explode(F.expr("if(id = g, sequence(0, tiles - 1), array(tile))")).alias("tile"), F.lit(0).alias("other"), F.lit(False).alias("late"), "node")
         edges = checkpointed(_forests(seats, texts, compare))
         found = connected_components(edges)
-        large = checkpointed(tiled.where("tiles > 1").join(found, "id", "left").select("g", "id", "tiles", "tile", F.coalesce("component", "id").alias("component")))
+        named = found.select(F.col("id").alias("node"), "component")
+        large = checkpointed(tiled.where("tiles > 1").join(named, "node", "left").select("g", "node", "size", "tiles", "tile", F.coalesce("component", "node").alias("component")))
         if large.isEmpty():
             return found
-        most = large.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.ceil((F.sum("n") - F.max("n")) / TILE).cast("int").alias("rests"))
-        split = large.join(most, "g").where("rests > 0").withColumn("rest", F.expr("if(component = most, -1, cast(pmod(xxhash64(g, id), rests) as int))"))
-        meet = split.select("g", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("other"), F.lit(True).alias("late"), "id")
-        comes = split.where("rest >= 0").select("g", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("rest").alias("other"), F.lit(False).alias("late"), "id")
+        parts = large.groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+        most = parts.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("most"), wanted(F.sum("n") - F.max("n"), F.sum("chars") - F.max_by("chars", F.struct("n", "component"))).alias("rests"))
+        split = large.join(most, "g").where("rests > 0").withColumn("rest", F.expr("if(component = most, -1, cast(pmod(xxhash64(g, node), rests) as int))"))
+        meet = split.select("g", "tile", F.explode(F.expr("sequence(0, rests - 1)")).alias("other"), F.lit(True).alias("late"), "node")
+        comes = split.where("rest >= 0").select("g", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("rest").alias("other"), F.lit(False).alias("late"), "node")
         more = checkpointed(_forests(comes.union(meet), texts, compare))
     if more.isEmpty():
         return found
@@ -96,7 +102,8 @@ def _forests(seats: DataFrame, texts: DataFrame, compare: Callable[[list, int],
     """(a, b): forests of the links in each (g, tile, other). Rows that are ``late`` are not compared with one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, texts, n = None, [], [], 0
+        place, ids, texts, n, first = None, [], [], 0, set()
+        kind = pa.binary()
         a: list = []
         b: list = []
 
@@ -110,21 +117,23 @@ def _forests(seats: DataFrame, texts: DataFrame, compare: Callable[[list, int],
             for g, tile, other, late, x, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, tile, other) != place:
                     close()
-                    place, ids, texts, n = (g, tile, other), [], [], 0
+                    place, ids, texts, n, first = (g, tile, other), [], [], 0, set()
                 if late and not n:
                     n = len(ids)
-                if x not in ids[-1:] and not (late and x in ids[:n]):  # rows of one id are one
+                if x not in ids[-1:] and not (late and x in first):  # a leader may sit twice
                     ids.append(x)
                     texts.append(text)
+                    if not late:
+                        first.add(x)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
                 a, b = [], []
         close()
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    full = seats.join(texts, "id").select("g", "tile", "other", "late", "id", "text")
-    return full.repartition("g", "tile", "other").sortWithinPartitions("g", "tile", "other", "late", "id").mapInArrow(run, "a long, b long")
+    full = seats.join(texts, "node").select("g", "tile", "other", "late", "node", "text")
+    return full.repartition("g", "tile", "other").sortWithinPartitions("g", "tile", "other", "late", "node").mapInArrow(run, "a binary, b binary")
 
 
 def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:

@@ -6,12 +6,13 @@ ln a = ln c - r (t + 1 - b). The sample is the word (and t) of least a (Ioffe, I
 with a probability of their generalised Jaccard similarity, sum of min over sum of max of the weights. ln a depends on
 (w, t) alone: its bits stand for the sample, shortened to 16 bits, which adds 1/65536 to the likeness.
 
-Documents also meet their successor in the order of ids. Rows are dealt by ranges of ids, sorted and streamed; each
-range gets a copy of the first row of the next, so no window covers the whole table and a text is shuffled once.
+Documents also meet their successor in the order of ids. Rows are dealt by ranges of ids, more with more rows, sorted and
+streamed; each range gets a copy of the first row of the next, so no window covers the whole table and a text is
+shuffled once. An id (or null) that many rows have is several ranges, cut by the hash of the text.
 
 Cases: null texts are empty; an empty text (or one of white space) has a fingerprint of its own and likeness 1 to
-another such text, 0 to all others; equal ids are ordered by text; a table of one row is its own successor; null ids
-come first. Extra columns are ignored.
+another such text, 0 to all others; equal ids are ordered by the text's hash, then the text; a table of one row is its
+own successor; ids are whole numbers, null ones come first. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from tarn.llm.common import documents
 SAMPLES = 64
 #: (word, weight) vectors that a worker keeps, 256 bytes each; emptied when full, which changes no result.
 MEMO = 60_000
+#: Rows that a range should hold.
+RANGE_ROWS = 50_000
 #: Draws are quantiles of Gamma(2, 1) at so many points.
 R_BITS, C_BITS = 18, 20
 #: Rows of the sample matrix gathered at a time, and code points of text compared at a time.
@@ -78,7 +81,8 @@ class Sampler:
         bags = [list(Counter(t.lower().split()).items()) for t in texts]
         if len(self.rows) > MEMO:
             self.rows.clear()
-        fresh = [k for k in dict.fromkeys(k for bag in bags for k in bag) if k not in self.rows]
+        # what a very long text holds is drawn as it goes and not remembered
+        fresh = [k for k in dict.fromkeys(k for bag in bags if len(bag) <= BLOCK for k in bag) if k not in self.rows]
         for i in range(0, len(fresh), 4096):
             part, n = fresh[i : i + 4096], len(self.rows)
             while n + len(part) > len(self.matrix):
@@ -88,10 +92,10 @@ class Sampler:
         for i, bag in enumerate(bags):
             if not bag:
                 continue
-            at = np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag))
-            least = self.matrix[at[:BLOCK]].min(axis=0)
-            for j in range(BLOCK, len(at), BLOCK):
-                np.minimum(least, self.matrix[at[j : j + BLOCK]].min(axis=0), out=least)
+            if len(bag) <= BLOCK:
+                least = self.matrix[np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag))].min(axis=0)
+            else:
+                least = np.min([self.draw(bag[j : j + BLOCK]).min(axis=0) for j in range(0, len(bag), BLOCK)], axis=0)
             bits = (least + np.float32(0)).view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             out[i] = np.maximum(bits >> np.uint64(48), 1)
         if len(self.matrix) > 4 * MEMO:
@@ -135,34 +139,44 @@ def compare_batch(ids: list, texts: list[str], nexts: list[str], kind: pa.DataTy
     return pa.RecordBatch.from_arrays(columns, ["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))])
 
 
+def range_numbers(ids: np.ndarray, hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The range of each row: by the edges of ids; what repeats among them is an id of several ranges, dealt by hash."""
+    low, high = np.searchsorted(edges, ids, side="left"), np.searchsorted(edges, ids, side="right")
+    share = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    return np.where(high - low > 1, low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low), high)
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
     """(range, tail, doc_id, text), partitioned by range and sorted: the tail of a range is the row that follows it."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n).alias("x")).first()["x"] or []
-    edges = np.array(sorted(set(cuts)), np.int64)
+    lowest = int(np.iinfo(np.int64).min)
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
+    cuts = docs.agg(F.percentile_approx(number, [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n).alias("x")).first()["x"] or []
+    edges = np.array(sorted(cuts), np.int64)
 
     # one partition for each range: numbers whose hashes fall into partitions 0 to n-1 stand for the ranges
     hashed = spark.range(40 * n + 400).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
     names = np.array([r["id"] for r in sorted(hashed.collect(), key=lambda r: r["at"])], np.int32)
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(names[np.searchsorted(edges, ids.to_numpy(np.int64), side="right") % len(names)])
-
-    lowest = int(np.iinfo(np.int64).min)
-    ranged = docs.withColumn("range", range_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))))
-    found = ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null")).collect()  # a row per range
-    firsts = [(r["range"], None if r["null"] else r["doc_id"]) for r in sorted(found, key=lambda r: (not r["null"], r["doc_id"] or 0))]
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(names[range_numbers(ids.to_numpy(np.int64), hashes.to_numpy(np.int64), edges) % len(names)])
+
+    ranged = docs.withColumn("hash", F.xxhash64("text")).withColumn("range", range_of(number, "hash"))
+    # a row per range
+    found = ranged.groupBy("range").agg(F.min(F.struct(number.alias("number"), "hash")).alias("least"), F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")).alias("first")).collect()
+    firsts = [(r["range"], r["first"]["doc_id"], r["first"]["hash"]) for r in sorted(found, key=lambda r: (r["first"]["known"], *r["least"]))]
+    columns = ["range", F.lit(False).alias("tail"), "doc_id", "hash", "text"]
     if not firsts:
-        return ranged.select("range", F.lit(False).alias("tail"), "doc_id", "text")
-    following = [(here[0], after[1]) for here, after in zip(firsts, firsts[1:] + firsts[:1])]
-    heads = spark.createDataFrame(following, f"range int, head {docs.schema['doc_id'].dataType.simpleString()}")
+        return ranged.select(*columns)
+    following = [(here[0], *after[1:]) for here, after in zip(firsts, firsts[1:] + firsts[:1])]
+    heads = spark.createDataFrame(following, f"range int, head {docs.schema['doc_id'].dataType.simpleString()}, head_hash long")
     # as many heads as ranges
-    tails = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("range").agg(F.min("text").alias("text"))
-    both = ranged.select("range", F.lit(False).alias("tail"), "doc_id", "text").unionByName(tails.select("range", F.lit(True).alias("tail"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text"))
-    return both.repartition(n, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    tails = ranged.drop("range").join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash"))).groupBy("range").agg(F.min("text").alias("text"))
+    both = ranged.select(*columns).unionByName(tails.select("range", F.lit(True).alias("tail"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("hash"), "text"))
+    return both.repartition(n, "range").sortWithinPartitions("range", "tail", "doc_id", "hash", "text").drop("hash")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

@@ -4,16 +4,17 @@ Lines within the insertions, deletions or substitutions that the shorter one's l
 line is cut into one segment more than that, whose lengths depend on its length alone; of two linked lines, the one that is not shorter must contain some segment of the
 other at a place off by no more than the edits allow. Every line is entered under its segments, by length, and probes
 the segments of all lengths that are near its own. Lines that meet are verified by an edit distance of bit-parallel
-columns in a band around the diagonal. The first occurrence (doc_id, line number) of a class of linked lines stays.
+columns in a band around the diagonal. The first occurrence (doc_id, text, line number) of a class of linked lines stays.
 
-Equal lines are collapsed first, on 128 bits of hash. The query and the pipeline look at every line that is not blank,
+Equal lines are collapsed first, on 128 bits of hash, by which the classes know them too. The query and the pipeline look at every line that is not blank,
 and link near copies by edits that grow with the length of the shorter line (``EDITS_FROM``): two edits make other words
 of short lines. ``line_decisions`` by itself looks at lines of ``LEAST_CHARS`` or more, ``NEAR_CHARS`` for near copies.
 
 Cases: a null or empty text is one empty line; a line ends at a line feed, and a carriage return belongs to the line.
-Blank lines under ``LEAST_CHARS`` stay: they part paragraphs. Rows of the same id are documents of one place: the first
-of equal lines stays once for each row. Null ids come first. Documents stay, even if no line does. Extra columns are
-kept by ``apply_decisions``.
+Blank lines under ``LEAST_CHARS`` stay: they part paragraphs. Decisions are made for rows, known by id and text: rows
+that share an id, or have none, are documents of their own, in the order of their texts' hashes; rows equal in id and
+text are one document that came twice and keep the same lines. Null ids come first. Documents stay, even if no line
+does. Extra columns are kept by ``apply_decisions``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, documents, sliced
+from tarn.llm.common import beside, checkpointed, documents, settled, sliced, with_hashes
 from tarn.llm.components import linked_groups, probed_buckets
 
 EDITS = 2
@@ -117,9 +118,9 @@ def banded(a: str, b: str, edits: int) -> int:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line and its two hashes."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return split.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
+    """doc_id, the text's hashes t1 and t2, line_no, line and its two hashes."""
+    whole = with_hashes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), names=("t1", "t2"))
+    return with_hashes(whole.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")), F.col("line"))
 
 
 def entries(docs: DataFrame, edits_from: tuple[int, ...], own: bool = False) -> DataFrame:
@@ -151,41 +152,61 @@ def entries(docs: DataFrame, edits_from: tuple[int, ...], own: bool = False) ->
     return docs.select("text").mapInArrow(run, "key long, id long")
 
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """256 bits for each line: which pairs of neighbouring characters it has. One edit changes four of them at most."""
+    bits = np.zeros((len(lines), 256), bool)
+    for row, line in zip(bits, lines):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        row[(codes[:-1] * np.uint32(0x9E3779B1) ^ codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(24)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 def near_pairs(edits_from: tuple[int, ...]):
-    """Of lines, the pairs (i < n, j) within the edits allowed; pairs that others connect already are passed over."""
+    """Of lines, the pairs (i < n, j) within the edits allowed; pairs that others connect already are passed over.
+
+    All pairs of near lengths are compared by their sketches, in arrays; what these let through is verified.
+    """
 
     def compare(lines: list[str], n: int) -> np.ndarray:
-        out, label = [], list(range(len(lines)))
-        by_size = sorted(range(len(lines)), key=lambda k: len(lines[k]))
-        for at, i in enumerate(by_size):
-            edits = allowed(len(lines[i]), edits_from)
-            for j in by_size[at + 1 :]:
-                if len(lines[j]) - len(lines[i]) > edits:
-                    break
-                if label[i] != label[j] and (i < n or j < n) and within(lines[i], lines[j], edits):
-                    out.append((i, j))
-                    old, new = label[j], label[i]
-                    label = [new if x == old else x for x in label]
+        order = np.array(sorted(range(len(lines)), key=lambda k: len(lines[k])), np.int64)
+        lines = [lines[k] for k in order]
+        sizes, early, marks = np.fromiter(map(len, lines), np.int64, len(lines)), order < n, sketches(lines)
+        label, out = np.arange(len(lines)), []
+        for i, line in enumerate(lines):
+            edits = allowed(len(line), edits_from)
+            end = int(np.searchsorted(sizes, len(line) + edits, side="right"))
+            near = np.bitwise_count(marks[i + 1 : end] ^ marks[i]).sum(axis=1) <= 4 * edits
+            near &= (early[i + 1 : end] | early[i]) & (label[i + 1 : end] != label[i])
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if label[i] != label[j] and within(line, lines[j], edits):
+                    out.append((order[i], order[j]) if early[i] else (order[j], order[i]))
+                    label[label == label[j]] = label[i]
         return np.array(out, np.int64).reshape(-1, 2).T
 
     return compare
 
 
 def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS, edits_from: tuple[int, ...] = (NEAR_CHARS,) * EDITS) -> DataFrame:
-    """One row for each line that goes: doc_id, line_no, near (whether the line that stays for it is another text)."""
+    """One row for each line that goes: doc_id, t1, t2, line_no, near (whether the line that stays for it is another text)."""
     worded = (F.length("line") >= LEAST_CHARS) | F.col("line").rlike(r"(?U)\S")
-    lines = lines_of(docs.select("doc_id", "text")).where((F.length("line") >= least_chars) & worded)
-    long_lines = lines.where(F.length("line") >= min(edits_from))
-    texts = long_lines.select(F.col("h1").alias("id"), F.col("line").alias("text"))
-    found = linked_groups(probed_buckets(entries(docs, edits_from, own=True), entries(docs, edits_from)), lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), near_pairs(edits_from))
-    place = F.struct("doc_id", "line_no")
+    lines = lines_of(docs).where((F.length("line") >= least_chars) & worded)
+    node = F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")))).alias("node")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = lines.where(F.length("line") >= min(edits_from)).withColumnRenamed("h1", "id").join(ids, "id", "left_semi")
+        return wanted.groupBy("id", "h2").agg(F.min("line").alias("text")).withColumnRenamed("id", "h1").select(F.col("h1").alias("id"), node, "text")
+
+    found = linked_groups(probed_buckets(entries(docs, edits_from, own=True), entries(docs, edits_from)), texts, near_pairs(edits_from))
+    hashes = lambda k: F.conv(F.substring(F.hex("id"), k, 16), 16, -10).cast("long")
+    found = found.select(hashes(1).alias("h1"), hashes(17).alias("h2"), "component")
+    place = F.struct("doc_id", "t1", "t2", "line_no")
     same = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    classed = same.join(found.select(F.col("id").alias("h1"), "component"), "h1", "left")
+    classed = same.join(found, ["h1", "h2"], "left")
     firsts = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
     # of a class of one line that occurs once there is nothing to decide
     decided = checkpointed(classed.where("component is not null or n > 1").join(firsts, "component", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("stays"), (F.coalesce("class_first", "first") != F.col("first")).alias("near")))
-    there = lines.select("doc_id", "line_no", "h1", "h2").join(decided, ["h1", "h2"])
-    return there.where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("stays"))).select("doc_id", "line_no", "near")
+    there = lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2").join(decided, ["h1", "h2"])
+    return there.where(~place.eqNullSafe(F.col("stays"))).select("doc_id", "t1", "t2", "line_no", "near")
 
 
 def all_line_decisions(docs: DataFrame) -> DataFrame:
@@ -194,25 +215,27 @@ def all_line_decisions(docs: DataFrame) -> DataFrame:
 
 
 def by_document(decisions: DataFrame) -> DataFrame:
-    """doc_id, gone (sorted line numbers), n_near."""
-    return decisions.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_if("near").alias("n_near"))
+    """doc_id, h1 and h2 (hashes of the text), gone (sorted line numbers), n_near."""
+    rows = decisions.groupBy("doc_id", F.col("t1").alias("h1"), F.col("t2").alias("h2"))
+    return rows.agg(F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_if("near").alias("n_near"))
 
 
 def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; all rows and columns stay, ``n_chars`` (where there is one) is counted anew."""
-    gone = by_document(decisions).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
-    joined = whole.join(gone, whole["doc_id"].eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_gone").isNull(), F.col("_doc")["n_chars"]).otherwise(F.length("_kept").cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*((changed[c] if c in changed else F.col("_doc")[c]).alias(c) for c in docs.columns))
+    whole, untouched = F.col("_doc"), F.col("_gone").isNull()
+    out = beside(docs, by_document(decisions), "left").select(whole, "_gone")
+    out = settled(out, {"_lines": F.when(~untouched, F.split(whole["text"], "\n", -1))})
+    out = settled(out, {"_stay": F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")})
+    kept = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n")
+    out = settled(out, {"_kept": F.when(untouched, whole["text"]).otherwise(kept)})
+    changed = {"text": F.col("_kept"), "n_chars": F.when(untouched, whole["n_chars"]).otherwise(F.length("_kept").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*((changed[c] if c in changed else whole[c]).alias(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     gone = by_document(all_line_decisions(docs)).withColumnRenamed("doc_id", "_id")
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    all_rows = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    lines = with_hashes(docs).select("doc_id", "h1", "h2", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    rows = lines.join(gone, lines["doc_id"].eqNullSafe(gone["_id"]) & (lines["h1"] == gone["h1"]) & (lines["h2"] == gone["h2"]), "left")
     removed = F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit(""))
-    return all_rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), removed.alias("removed_lines"))
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), removed.alias("removed_lines"))

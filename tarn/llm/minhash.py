@@ -6,12 +6,14 @@ each of its ``WIDTH`` variants with one symbol left out (the allowed chunk error
 candidates. That finds all pairs of distance up to 15 of 32, and at similarity s misses a pair with a probability of
 (1 - s^4 - 4 s^3 (1 - s))^8: 1.1e-6 at 0.8, less above. Candidates are confirmed on their full shingle sets.
 
-Documents of one set are collapsed to the one of least id before the join. Candidates are compared in tiles (see
-``components.linked_groups``), so large groups of near copies make no table of pairs.
+Documents of one set (128 bits of hash) are collapsed to the first row before the join: the least id, rows without one
+last, then the texts' hashes. Candidates are compared in tiles (see ``components.linked_groups``), so large groups of
+near copies make no table of pairs.
 
 Cases: words are split at ASCII white space and A-Z lower-cased; a document with fewer words than a shingle takes is one
-shingle; null, empty and blank texts have no set and link with nothing. Rows of the same id count as one document. A
-null id is linked with nothing. Extra columns are ignored.
+shingle; null, empty and blank texts have no set and link with nothing. Decisions are made for rows, known by id and
+text: rows that share an id, or have none, are documents of their own. Of a class of rows without ids the component is
+null and the first row is kept. Ids may be of any type that has an order. Extra columns are kept by ``apply_decisions``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, documents, map_batches
+from tarn.llm.common import beside, checkpointed, documents, map_batches, with_hashes
 from tarn.llm.components import linked_groups, shared_buckets
 
 CHUNKS, WIDTH = 8, 4
@@ -78,11 +80,11 @@ def index_keys(symbols: np.ndarray) -> list[int]:
     return keys
 
 
-SIGNED = "n_shingles long, set_id string, keys array<long>"
+SIGNED = "h1 long, h2 long, n_shingles long, set_id binary, keys array<long>"
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size of the set, its identity (null without one) and index keys."""
+    """doc_id, hashes of the text, size of the set, its identity (null without one) and index keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -91,13 +93,14 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             found = shingles(text, width)
             if len(found):
                 symbols = signature(found)
-                rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest(), index_keys(symbols)))
+                rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), index_keys(symbols)))
             else:
                 rows.append((0, None, None))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.list_(pa.int64())))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "set_id", "keys"])
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+        same = ["doc_id", "h1", "h2"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), *columns], [*same, "n_shingles", "set_id", "keys"])
 
-    return map_batches(docs.select("doc_id", "text"), kernel, f"doc_id {kind}, {SIGNED}")
+    return map_batches(with_hashes(docs.select("doc_id", "text")), kernel, f"doc_id {kind}, {SIGNED}")
 
 
 def similar_pairs(width: int, percent: int):
@@ -130,28 +133,47 @@ def similar_pairs(width: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links), kept (whether that is the document itself)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = checkpointed(signed(docs, width))
-    sets = base.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    firsts = base.join(sets, (base["doc_id"] == sets["rep"]) & (base["set_id"] == sets["set_id"])).select("doc_id", "keys")
-    members = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    found = linked_groups(shared_buckets(members), lambda ids: texts.join(ids, "id", "left_semi"), similar_pairs(width, percent))
-    named = sets.join(found, sets["rep"] == found["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    return base.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    """doc_id, h1, h2 (hashes of the text), n_shingles, component_id, kept, first.
+
+    component_id is the least id reachable by links; kept says whether that is the row's own id, first whether the row is
+    the first of its class (of rows that share an id and are alike, all are kept and one is first).
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = checkpointed(signed(docs, width).withColumn("row", F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2", "row")
+    sets = base.where("set_id is not null").groupBy("set_id").agg(F.min(place).alias("rep"))
+    short = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
+    firsts = base.join(sets, "set_id").where(F.col("row") == F.col("rep.row")).select("keys", short.alias("id"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = sets.select(short.alias("id"), F.col("set_id").alias("node"), F.xxhash64(F.col("rep.no_id"), F.col("rep.doc_id")).alias("h0"), "rep.h1", "rep.h2").join(ids, "id", "left_semi")
+        there = with_hashes(docs).withColumn("h0", F.xxhash64(F.col("doc_id").isNull(), "doc_id"))
+        # rows equal in id and text are met as one
+        whole = there.join(wanted, ["h0", "h1", "h2"], "left_semi").groupBy("h0", "h1", "h2").agg(F.min("text").alias("text"))
+        return whole.join(wanted, ["h0", "h1", "h2"]).select("id", "node", "text")
+
+    members = firsts.select(F.explode("keys").alias("key"), "id")
+    found = linked_groups(shared_buckets(members), texts, similar_pairs(width, percent))
+    classed = sets.join(found.select(F.col("id").alias("set_id"), F.col("component").alias("class")), "set_id", "left")
+    heads = classed.where("class is not null").groupBy("class").agg(F.min("rep").alias("head"))
+    named = classed.join(heads, "class", "left").select("set_id", F.coalesce("head", "rep").alias("head"))
+    out = base.join(named, "set_id", "left")
+    alone, own = F.col("head").isNull(), F.struct("doc_id", "h1", "h2")
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    first = alone | own.eqNullSafe(F.struct("head.doc_id", "head.h1", "head.h2"))
+    return out.select("doc_id", "h1", "h2", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, first).alias("kept"), first.alias("first"))
 
 
 def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; of rows of one id, one. Rows without an id stay."""
-    gone = decisions.where("not kept and doc_id is not null").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = decisions.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The first row of each class; of rows equal in id and text, one (whichever their extra columns)."""
+    key = ["doc_id", "h1", "h2"]
+    out = beside(docs, decisions.where("not first").select(*key).distinct(), "left_anti").select("_doc.*")
+    twice = decisions.where("first").groupBy(*key).count().where("count > 1").select(*key)
     if not twice.isEmpty():
-        one = out.join(twice, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-        out = out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        one = beside(out, twice, "left_semi").dropDuplicates(["_id", "_h1", "_h2"])
+        out = beside(out, twice, "left_anti").union(one).select("_doc.*")
     return out
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=4)
+    return near_duplicates(documents(spark, sf_dir), width=4).drop("h1", "h2", "first")

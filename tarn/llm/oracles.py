@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express. It says what the result is, not how an operator finds it."""
 
-_CONTROL = r"[<\[]\\*(?:\|(?:turn|says|end|image:[0-9]+|audio:[0-9]+|document:[0-9]+)\|>|/?s>|/?INST\])"
+_CONTROL = r"[<\[]\\*(?:\|(?:turn|says|end|image:[0-9]+|audio:[0-9]+|document:[0-9]+|other:[0-9]+)\|>|/?s>|/?INST\])"
 
 CHAT = rf"""with t as (
     select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations

@@ -6,12 +6,16 @@ each size: at most ``capacity`` counts, whatever the corpus. The plan is made on
 documents fit the expanded gap more tightly. A filled bin is a pattern of sizes, repeated while the counts allow it.
 Rows then find their place by their rank among the pieces of their size, so no row needs to meet another one.
 
+The tokenizers library makes the ids, at its default setting: what a text holds of the file's added tokens gets their own
+ids.
+
 Cases: a null text is an empty one and gives one piece of the end id alone. Repeated rows are pieces of their own; ties
-within a size go by doc_id, start and checksum. An empty table gives no pieces. Extra columns are ignored.
+within a size go by doc_id, piece, start and checksum. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,37 +23,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, documents, map_batches
 
-#: Groups that the pieces of one size are split into for ranking, so that a common size is not one task's.
-SALTS = 32
+#: Pieces of one size that are ranked together: a common size is dealt to as many lanes as it needs.
+LANE = 100_000
 
 
 @lru_cache(maxsize=2)
-def byte_encoder(tokenizer_path: str):
-    """The ids of a byte-level BPE file as the tokenizers library gives them, its added tokens included.
-
-    The vocabulary's ranks are read from the file itself; tiktoken's merger does the work, four times as fast. Texts are
-    split at added tokens before anything else, so these must be plain strings (no stripping, no whole words).
-    """
-    import json
+def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+    from tokenizers import Tokenizer
 
-    import public_tokenizers
-    import tiktoken
-
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = json.load(f)
-    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in set(visible)]
-    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    added = spec.get("added_tokens", [])
-    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError(f"{tokenizer_path}: added tokens that are not plain strings")
-    special = {t["content"]: t["id"] for t in added}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return Tokenizer.from_file(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -57,13 +45,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, rows = byte_encoder(tokenizer_path), []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = encoder.encode(text, allowed_special="all") if text else []
-            ids.append(end_id)
-            packed = np.array(ids, dtype="<u4")
-            first = (len(ids) - 1) % capacity + 1
-            for k, end in enumerate(range(first, len(ids) + 1, capacity)):
+        rows = []
+        encoded = tokenizer(tokenizer_path).encode_batch_fast([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)
+        for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoded):
+            packed = np.array([*found.ids, end_id], dtype="<u4")
+            first = (len(packed) - 1) % capacity + 1
+            for k, end in enumerate(range(first, len(packed) + 1, capacity)):
                 start = max(0, end - capacity) if k else 0
                 part = packed[start:end]
                 rows.append((doc_id, k, start, end - start, zlib.crc32(part.tobytes()), part) if with_ids else (doc_id, k, start, end - start, zlib.crc32(part.tobytes())))
@@ -135,21 +122,22 @@ def slots(plan: list[tuple[list[int], int]]) -> Iterator[tuple[int, int, int, in
 
 
 def place(parts: DataFrame, capacity: int = 1024) -> DataFrame:
-    """``parts`` with sequence_id and offset. Reads ``parts`` twice; it should be a checkpoint or a table."""
+    """``parts`` with sequence_id and offset. Reads ``parts`` three times; it should be a checkpoint or a table."""
     spark = parts.sparkSession
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    found = salted.groupBy("length", "salt").count().collect()  # capacity * SALTS counts at most
-    total: dict[int, int] = {}
-    bases = []
-    for r in sorted(found, key=lambda r: (r["length"], r["salt"])):
-        bases.append((r["length"], r["salt"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["count"]
-    lanes = spark.createDataFrame(bases, "length long, salt int, base long")
+    total = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # ``capacity`` counts at most
+    lanes = {n: -(-count // LANE) for n, count in total.items()}
     bins = spark.createDataFrame(list(slots(plan_bins(total, capacity))), "length long, low long, high long, sequence long, each long, shift long")
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("n", F.row_number().over(order).cast("long")).join(F.broadcast(lanes), ["length", "salt"]).withColumn("rank", F.expr("base + n - 1"))
+    wide = spark.createDataFrame(list(lanes.items()), "length long, lanes long")
+    # as many rows as sizes
+    laned = parts.join(F.broadcast(wide), "length").withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "lanes"))
+    found = laned.groupBy("length", "lane").count().collect()  # a row for ``LANE`` pieces, and one for each size
+    bases, before = [], dict.fromkeys(total, 0)
+    for r in sorted(found, key=lambda r: (r["length"], r["lane"])):
+        bases.append((r["length"], r["lane"], before[r["length"]]))
+        before[r["length"]] += r["count"]
+    bases = spark.createDataFrame(bases, "length long, lane long, base long")
+    order = W.partitionBy("length", "lane").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = laned.withColumn("n", F.row_number().over(order).cast("long")).join(F.broadcast(bases), ["length", "lane"]).withColumn("rank", F.expr("base + n - 1"))
     # the plan's rows are bounded by the capacity, not by the corpus
     placed = ranked.join(F.broadcast(bins), (ranked["length"] == bins["length"]) & ranked["rank"].between(bins["low"], bins["high"])).drop(bins["length"])
     return placed.select(*parts.columns, F.expr("sequence + (rank - low) div each").alias("sequence_id"), F.expr("shift + ((rank - low) % each) * length").alias("offset"))

@@ -12,8 +12,8 @@ Each document is left out of its own site. Posterior log odds = evidence + log o
 
 Cases: null and empty texts have the one feature ``empty``; null hosts and paths are sites of their own; conflicting
 labels of a document are averaged, a null label counts for nothing; without labels of both values a model has no say and
-its probability is the one that keeps. Rows of the same id share a decision: one that goes takes all. Extra columns are
-kept by ``apply_decisions``.
+its probability is the one that keeps. Decisions are made for rows, known by id, text, host and path: rows that share an
+id, or have none, each get their own. Extra columns are kept by ``apply_decisions``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, documents, map_batches
+from tarn.llm.common import beside, checkpointed, documents, map_batches, text_hashes
 
 #: Labelled documents that the models are fitted on: those of least hash.
 TRAINING = 20_000
@@ -186,13 +186,14 @@ def strength(groups: DataFrame, value: str, weight: str, prior: Column) -> float
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", bound: int = TRAINING) -> DataFrame:
-    """doc_id, p_quality, p_toxic, kept."""
+    """doc_id, h1, h2 (hashes of text, host and path), p_quality, p_toxic, kept."""
     labels = clean_labels(labels)
-    docs = docs.select("doc_id", "text", F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"))
+    h1, h2 = text_hashes(*row_parts(host, path))
+    docs = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text", F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"))
     models = train(docs, labels, bound)
-    own = evidence(docs, models, ["doc_id", "host", "path"]).join(labels, "doc_id", "left")
+    own = evidence(docs, models, ["doc_id", "h1", "h2", "host", "path"]).join(labels, "doc_id", "left")
     value = lambda t: F.coalesce(F.col(t).cast("double"), 1 / (1 + F.exp(-(F.col(f"{t}_evidence") + F.lit(models[t][2] if t in models else 0.0)))))
-    own = checkpointed(own.select("doc_id", "host", "path", *(f"{t}_evidence" for t in TARGETS), *(value(t).alias(f"{t}_y") for t in TARGETS)))
+    own = checkpointed(own.select("doc_id", "h1", "h2", "host", "path", *(f"{t}_evidence" for t in TARGETS), *(value(t).alias(f"{t}_y") for t in TARGETS)))
     sums = lambda *by: own.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(f"{t}_y").alias(f"{t}_s") for t in TARGETS))
     paths = checkpointed(sums("host", "path"))
     hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"{t}_s").alias(f"{t}_s") for t in TARGETS)))
@@ -211,13 +212,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         at_host = (s_host * mean + F.col(f"{t}_hs") - y) / (s_host + F.col("hn") - 1)
         at_path = (s_path * at_host + F.col(f"{t}_ps") - y) / (s_path + F.col("pn") - 1)
         scored = scored.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"{t}_evidence") + logit(at_path)))))
-    return scored.select("doc_id", "p_quality", "p_toxic", ((F.col("p_quality") >= GOOD) & (F.col("p_toxic") <= TOXIC)).alias("kept"))
+    return scored.select("doc_id", "h1", "h2", "p_quality", "p_toxic", ((F.col("p_quality") >= GOOD) & (F.col("p_toxic") <= TOXIC)).alias("kept"))
 
 
-def apply_decisions(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; those without an id stay."""
-    gone = decisions.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def row_parts(host: str, path: str) -> list[Column]:
+    """What decides about a row besides its id; a null text counts as an empty one."""
+    return [F.coalesce(F.col(c), F.lit("")) for c in ("text", host, path)]
+
+
+def apply_decisions(docs: DataFrame, decisions: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    gone = decisions.where("not kept").select("doc_id", "h1", "h2").distinct()
+    return beside(docs, gone, "left_anti", *row_parts(host, path)).select("_doc.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

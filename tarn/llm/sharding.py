@@ -90,5 +90,6 @@ def assign(rows: DataFrame, key: list[str], shards: int, virtual_nodes: int = 12
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = assign(rows, ["doc_id"], shards=8)
+    # of an id that many rows have, each text is a key of its own
+    placed = assign(rows, ["doc_id", "text_crc32", "size"], shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
