@@ -548,7 +548,7 @@ def planted(rng):
     rows, want = [], set()
     for kind, (contexts, seen, unseen) in kinds.items():
         for i in range(160):
-            new, context = i % 2, contexts[i % len(contexts)]
+            new, context = i // 6 % 2, contexts[i % len(contexts)]
             value = (unseen if new else seen)(i)
             before, _, after = context.partition("{}") if "{}" in context else (context + " ", "", "")
             text = f"{filler()} {before}"
