@@ -55,6 +55,16 @@ def parser_language(path: Column) -> Column:
     return lookup(F.lower(extension(path)), fixed.PARSER_LANGUAGES, "fallback")
 
 
+def embed_language(path: Column) -> Column:
+    """The language that a file is embedded as, by its extension (or, without one, its name)."""
+    return lookup(F.lower(F.coalesce(extension(path), F.regexp_extract(path, r"[^/]*$", 0))), fixed.EMBED_LANGUAGES, "unknown")
+
+
+def core_of_language(kind: Column, language: Column) -> Column:
+    """Whether an element is one of its language's own core elements; false for languages without a list."""
+    return reduce(lambda rest, x: F.when(language == x[0], kind.isin(*x[1])).otherwise(rest), fixed.CORE_BY_LANGUAGE.items(), F.lit(False))
+
+
 def file_type(path: Column) -> Column:
     return reduce(lambda rest, x: F.when(path.endswith(x[0]), x[1]).otherwise(rest), reversed(fixed.FILE_TYPES), F.lit("Other"))
 

@@ -23,12 +23,36 @@ def tag_weight(score: Column, common: Column, total: Column) -> Column:
     return F.when(common > 0, 0.8 * score + 0.2 * common / total).otherwise(score)
 
 
-def similar_pairs(points: DataFrame, within: str, least: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, score): pairs a < b of rows with the same ``within`` whose cosine is ``least`` or more."""
-    a = points.select(within, F.col(id_col).alias("a"), F.col(vector_col).alias("_va"))
-    b = points.select(within, F.col(id_col).alias("b"), F.col(vector_col).alias("_vb"))
-    scored = a.join(b, within).where("a < b").select("a", "b", F.round(cosine(F.col("_va"), F.col("_vb")), 6).alias("score"))
-    return scored.where(F.col("score") >= least)
+def similar_pairs(points: DataFrame, within: str, least: float, id_col: str = "id", vector_col: str = "embedding", tile: int = 4096) -> DataFrame:
+    """(a, b, score): pairs a < b of rows with the same ``within`` whose cosine is ``least`` or more.
+
+    Rows of a group are dealt to tiles of about ``tile``; each pair of tiles is a task's matrix product, and only pairs
+    that count leave it.
+    """
+    kind = points.schema[id_col].dataType.simpleString()
+    rows = points.select(F.col(within).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    tiles = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
+    placed = rows.join(tiles, "g").withColumn("t", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    # a row sits with each tile: on the left side of those from its own on, on the right side of those up to its own
+    seats = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("t", o).alias("i"), F.greatest("t", o).alias("j")))
+    seated = placed.select("g", "id", "v", "t", F.inline(seats))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.v.tolist(), float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        ids, left = pdf.id.to_numpy(), (pdf.t == pdf.i).to_numpy()
+        right = ~left if pdf.i[0] != pdf.j[0] else left
+        out = []
+        for at in range(0, int(left.sum()), 512):
+            some = np.flatnonzero(left)[at : at + 512]
+            scores = np.round(x[some] @ x[right].T, 6)
+            p, q = np.nonzero(scores >= least)
+            a, b = ids[some[p]], ids[right][q]
+            once = a < b if pdf.i[0] == pdf.j[0] else slice(None)
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "score": scores[p, q][once]}))
+        return pd.concat(out)
+
+    return seated.groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
 
 
 def greedy_clusters(points: DataFrame, group: str, least: float = LEAST, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:

@@ -61,8 +61,8 @@ def _all(content: Column, patterns: tuple[str, ...]) -> Column:
     return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns))))
 
 
-def _without(found: Column, words: str | tuple[str, ...]) -> Column:
-    return F.array_except(found, F.array(*(F.lit(w) for w in (words.split() if isinstance(words, str) else words))))
+def _without(found: Column, words: tuple[str, ...]) -> Column:
+    return F.array_except(found, F.array(*map(F.lit, words)))
 
 
 def identifiers(content: Column, language: Column, most: int = 5) -> Column:

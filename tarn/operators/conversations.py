@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -242,6 +243,122 @@ def grouped_by_recency(last_active: Column, now: Column) -> Column:
     return F.when(age <= 0, "Today").when(age == 1, "Yesterday").when(age < 7, "This Week").when(age < 30, "This Month").otherwise("Older")
 
 
+# Groups of statuses with their ranks, and of outcomes.
+STATUS_RANKS = (("Active", 100), ("Paused", 90), ("Completed", 80), ("Summarizing", 75), ("Archived", 70))
+RECENCY_RANKS = (("Today", 100), ("Yesterday", 90), ("This Week", 80), ("This Month", 70), ("Older", 60))
+
+
+def groups_by(conversations: DataFrame, mode: str, now: Column | None = None) -> DataFrame:
+    """(group_id, name, priority, n, last_active): conversations (project, status, tags, last_active, cluster, cohesion) grouped.
+
+    ``mode``: recency, project, status, tag, cluster or success. A conversation is in the group of each of its tags.
+    """
+    status = F.col("status")
+    if mode == "recency":
+        name = grouped_by_recency(F.col("last_active"), now if now is not None else F.current_timestamp())
+        keyed = conversations.select(F.lower(F.replace(name, F.lit(" "), F.lit("_"))).alias("group_id"), name.alias("name"), bonus(name, dict(RECENCY_RANKS)).alias("priority"), "last_active")
+    elif mode == "project":
+        p = F.col("project")
+        keyed = conversations.select(F.coalesce(p, F.lit("no-project")).alias("group_id"), F.coalesce(p, F.lit("No Project")).alias("name"), F.when(p.isNull(), 1).otherwise(0).alias("priority"), "last_active")
+    elif mode == "status":
+        keyed = conversations.where(status.isin(*(s for s, _ in STATUS_RANKS))).select(F.concat(F.lit("status_"), F.lower(status)).alias("group_id"), status.alias("name"), bonus(status, dict(STATUS_RANKS)).alias("priority"), "last_active")
+    elif mode == "tag":
+        tagged = conversations.select(F.explode_outer("tags").alias("t"), "last_active")
+        name = F.coalesce("t", F.lit("Untagged"))
+        keyed = tagged.select(F.when(F.col("t").isNull(), "untagged").otherwise(F.concat(F.lit("tag_"), F.replace(F.lower("t"), F.lit(" "), F.lit("_")))).alias("group_id"), name.alias("name"), F.when(F.col("t").isNull(), 10).otherwise(50).alias("priority"), "last_active")
+    elif mode == "cluster":
+        c = F.col("cluster")
+        keyed = conversations.select(F.coalesce(F.concat(F.lit("cluster_"), c.cast("string")), F.lit("unclustered")).alias("group_id"), F.coalesce(c.cast("string"), F.lit("Unclustered")).alias("name"), F.when(c.isNull(), 10).otherwise(F.floor(100 - F.col("cohesion") * 100)).alias("priority"), "last_active")
+    elif mode == "success":
+        name = F.when(status == "Completed", "Successful").when(status == "Active", "In Progress").otherwise("Other")
+        keyed = conversations.select(F.lower(F.replace(name, F.lit(" "), F.lit("_"))).alias("group_id"), name.alias("name"), F.when(status == "Completed", 100).when(status == "Active", 80).otherwise(60).alias("priority"), "last_active")
+    else:
+        raise ValueError(f"no such grouping: {mode}")
+    return keyed.groupBy("group_id", "name", F.col("priority").cast("int").alias("priority")).agg(F.count("*").alias("n"), F.max("last_active").alias("last_active"))
+
+
+def statistics(conversations: DataFrame, workspace: str = "workspace_id") -> DataFrame:
+    """(workspace, n, n_active, messages, branches, checkpoints, avg_messages), the row of all with ``everything`` true.
+
+    ``conversations``: workspace, status, n_messages, branch_scores, n_checkpoints.
+    """
+    totals = [F.count("*").alias("n"), F.count_if(F.col("status") == "Active").alias("n_active"), F.sum("n_messages").alias("messages"), F.sum(F.size("branch_scores")).alias("branches"), F.sum("n_checkpoints").alias("checkpoints"), F.round(F.avg("n_messages"), 6).alias("avg_messages"), (F.grouping(workspace) == 1).alias("everything")]
+    return conversations.rollup(workspace).agg(*totals)
+
+
+def patterns(conversations: DataFrame) -> DataFrame:
+    """(kind, name, frequency, rate): themes, behaviour and topics of a report. Their shares and rates are fixed values."""
+    n = F.count("*")
+    one = lambda kind, name, frequency, rate: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(frequency).cast("long").alias("frequency"), F.lit(rate).cast("double").alias("rate"))
+    counts = conversations.agg(F.floor(n / 3).alias("third"), F.floor(n / 4).alias("quarter"), F.count_if(F.col("n_messages") > 5).alias("long"))
+    return counts.select(F.inline(F.array(one("theme", "Programming Help", "third", None), one("behaviour", "Iterative Problem Solving", "long", 0.8), one("topic", "Async Programming", "quarter", 0.75), one("topic", "Error Handling", "third", 0.82))))
+
+
+def in_period(conversations: DataFrame, start: Column, end: Column, least: int = LEAST_MESSAGES) -> DataFrame:
+    """Conversations that a report is about: created within the period (inclusive) and of ``least`` messages at least."""
+    return conversations.where(F.col("created_at").between(start, end) & (F.col("n_messages") >= least))
+
+
+def report(conversations: DataFrame, start: Column, end: Column, least: int = LEAST_MESSAGES) -> DataFrame:
+    """(section, name, value): all metrics of a period as rows.
+
+    ``conversations``: created_at, status, n_messages, tokens, minutes, branch_scores, n_checkpoints, project_type.
+    """
+    chosen = in_period(conversations, start, end, least).withColumn("success", successful(F.col("status"), F.col("n_messages"), F.col("branch_scores")))
+    rate = F.round(F.avg(F.col("success").cast("double")), 6)
+    long_form = lambda section, df: df.select(F.lit(section).alias("section"), F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in df.columns))))
+    totals = overall(chosen)
+    success = chosen.agg(rate.alias("success_rate"), F.count_if("success").alias("n_successful"))
+    work = efficiency(chosen)
+    usage = chosen.agg(F.sum("tokens").alias("tokens"), cost(F.sum("tokens")).alias("cost"))
+    by_project = insights(chosen).select(F.lit("project").alias("section"), F.coalesce("project_type", F.lit("unknown")).alias("name"), F.col("rate").alias("value"))
+    found = patterns(chosen).select(F.concat(F.lit("pattern_"), "kind").alias("section"), "name", F.col("frequency").cast("double").alias("value"))
+    advice = recommendations(chosen.agg(rate.alias("success_rate"), F.round(F.avg("n_messages"), 6).alias("avg_messages"), *efficiency_columns())).select(F.lit("advice").alias("section"), F.col("rule").alias("name"), "value")
+    parts = [long_form("overall", totals), long_form("success", success), long_form("efficiency", work), long_form("usage", usage), by_project, found, advice]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def bpe_tokens(ranks_path: str, pattern: str, overhead: int = 4):
+    """A Pandas UDF (role, content) -> tokens of a message by a BPE file of ranks: both texts' and ``overhead``.
+
+    ``ranks_path`` must be readable on every executor; without a file, ``message_tokens`` estimates.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+        encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # long runs of blanks exhaust the pattern's stack: texts are encoded in parts, cut where a word begins
+        count = lambda text: sum(len(encoder.encode_ordinary(p)) for p in blank_runs(text or ""))
+        for roles, contents in batches:
+            yield pd.Series([overhead + count(r) + count(c) for r, c in zip(roles, contents)], dtype="int64")
+
+    return run
+
+
+def blank_runs(text: str, most: int = 1000) -> list[str]:
+    """A text in parts none of which holds more than ``most`` blanks in a row."""
+    import re
+
+    out, at = [], 0
+    for m in re.finditer(rf"\s{{{most},}}", text):
+        out.append(text[at : m.start()])
+        out += [text[i : min(i + most, m.end())] for i in range(m.start(), m.end(), most)]
+        at = m.end()
+    return [p for p in (*out, text[at:]) if p]
+
+
+def message_tokens(role: Column, content: Column, overhead: int = 4) -> Column:
+    """Tokens of a message where there is no vocabulary: a quarter of the bytes of either text."""
+    return (F.lit(overhead) + token_estimate(role) + token_estimate(content)).cast("long")
+
+
 def project_type(name: Column) -> Column:
     low = F.lower(name)
     return reduce(lambda rest, x: F.when(low.rlike(x[1]), x[0]).otherwise(rest), reversed(phrases.PROJECT_TYPES), F.lit("unknown"))
@@ -277,17 +394,21 @@ def select_conversations(conversations: DataFrame, workspace: str | None = None,
     return conversations
 
 
-def efficiency(conversations: DataFrame) -> DataFrame:
-    """One row: minutes to resolution of completed conversations, share of branches that succeed, of conversations with
-    checkpoints, branches per conversation. ``conversations``: status, minutes, branch_scores, n_checkpoints."""
+def efficiency_columns() -> list[Column]:
     n = F.sum(F.size("branch_scores"))
     good = F.sum(F.size(F.filter("branch_scores", lambda x: x >= SUCCESS)))
-    return conversations.agg(
+    return [
         F.round(F.avg(F.when(F.col("status") == "Completed", F.col("minutes"))), 6).alias("resolution_minutes"),
         F.round(F.when(n > 0, good / n), 6).alias("branch_efficiency"),
         F.round(F.avg((F.col("n_checkpoints") > 0).cast("double")), 6).alias("checkpoint_use"),
         F.round(n / F.count("*"), 6).alias("switches"),
-    )
+    ]
+
+
+def efficiency(conversations: DataFrame) -> DataFrame:
+    """One row: minutes to resolution of completed conversations, share of branches that succeed, of conversations with
+    checkpoints, branches per conversation. ``conversations``: status, minutes, branch_scores, n_checkpoints."""
+    return conversations.agg(*efficiency_columns())
 
 
 def insights(conversations: DataFrame, by: str = "project_type", success: str = "success") -> DataFrame:

@@ -68,3 +68,35 @@ def cached(files: DataFrame, cache: DataFrame, now, model: str, days: int = 7) -
     found = files.join(cache.withColumnRenamed("hash", "_hash"), "path", "left")
     fresh = (F.col("model") == model) & (F.col("_hash") == F.col("modified") * 31 + F.col("size")) & (now - F.col("at") < F.make_dt_interval(F.lit(days)))
     return found.select("path", F.coalesce(fresh, F.lit(False)).alias("hit"))
+
+
+def bounded_buffer(changes: DataFrame, key: str, ts: str, most: int = 1000) -> DataFrame:
+    """Pending changes (one per key and path, the last) of keys whose buffer is not full; of a full one, the oldest half.
+
+    A buffer is full when it holds ``most``; which half stays follows the watcher that this mirrors. Streams need no such
+    bound: their state is held by watermarks.
+    """
+    last = changes.groupBy(key, "path").agg(F.max(ts).alias(ts))
+    w = W.partitionBy(key)
+    placed = last.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(ts, "path")))
+    return placed.where((F.col("_n") < most) | (F.col("_at") <= most // 2)).drop("_n", "_at")
+
+
+def sync_states(steps: DataFrame, key: str = "repo") -> DataFrame:
+    """(key, state, level, message): where a repository's last sync ended.
+
+    ``steps``: key, attempt, local_ok, has_remote, remote_ok, error (authentication, network or another word). Of several
+    attempts the last counts; a repository whose local part failed has failed, whatever the remote did.
+    """
+    last = steps.groupBy(key).agg(F.max(F.struct("attempt", "local_ok", "has_remote", "remote_ok", "error")).alias("s")).select(key, "s.*")
+    state = F.when(~F.col("local_ok"), "Failed").when(~F.col("has_remote"), "LocalOnly").when(F.col("remote_ok"), "FullySynced").otherwise("LocalIndexedRemoteFailed")
+    level = F.when(F.col("state") == "FullySynced", "Success").when(F.col("state") == "LocalOnly", "Info").when(F.col("state") == "Failed", "Error").otherwise("Warning")
+    why = F.when(F.col("error") == "authentication", "Authentication failed").when(F.col("error") == "network", "Network error").otherwise("Remote sync failed")
+    message = F.when(F.col("state") == "Failed", F.coalesce("error", F.lit("Sync failed"))).when(F.col("state") == "LocalIndexedRemoteFailed", why).otherwise(F.col("state"))
+    return last.withColumn("state", state).select(key, "state", level.alias("level"), message.alias("message"))
+
+
+def sync_queue(requests: DataFrame, key: str = "repo", ts: str = "ts") -> DataFrame:
+    """(key, ts, position): repositories that wait, each once, by their first request."""
+    first = requests.groupBy(key).agg(F.min(ts).alias(ts))
+    return first.withColumn("position", F.row_number().over(W.orderBy(ts, key)))

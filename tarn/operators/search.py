@@ -6,7 +6,7 @@ window sorts the corpus. Filters go below both legs, payload columns are joined
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,11 +49,15 @@ def dense_threshold(points: DataFrame, query: Sequence[float], least: float, id_
 
 
 def sparse_scores(post: DataFrame, query: DataFrame, id_col: str, idf: bool = True, total: int | None = None) -> DataFrame:
-    """(id, score): sum of query weight x term weight [x idf]. A query has few terms: its side is broadcast."""
+    """(id, score): sum of query weight x term weight [x idf]. A query has few terms: its side is broadcast.
+
+    The document frequency is counted over the same hits as the score: both read one shuffle.
+    """
     hits = post.join(F.broadcast(query.withColumnRenamed("weight", "_q")), "term")
     part = F.col("weight") * F.col("_q")
     if idf:
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        # counted with what the score needs too, so that the plan below is the same and runs once
+        df = hits.groupBy("term").agg(F.count_if((F.col("weight") > 0) & F.col("_q").isNotNull() & F.col(id_col).isNotNull()).alias("df"))
         hits = hits.join(F.broadcast(df), "term")  # as many rows as the query has terms
         part = part * tokens.idf(F.lit(float(total)), F.col("df"))
     return hits.groupBy(F.col(id_col).alias("id")).agg(F.round(F.sum(part), 6).alias("score"))
@@ -97,21 +101,25 @@ def dedup_keep_max(hits: DataFrame, keys: Sequence[str], score: str = "score", i
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def hybrid_search(points: DataFrame, post: DataFrame, query: str, vector: Sequence[float], limit: int = 10, config: SearchConfig = DEFAULT, id_col: str = "id", vector_col: str = "embedding", total: int | None = None, where: Column | None = None, dedup: Sequence[str] = ()) -> DataFrame:
-    """(id, score) of the best ``limit`` of a dense and a sparse leg; without postings of the query the dense one alone.
+def hybrid_search(points: DataFrame, post: DataFrame | Callable[[list[str]], DataFrame] | None, query: str, vector: Sequence[float], limit: int = 10, config: SearchConfig = DEFAULT, id_col: str = "id", vector_col: str = "embedding", total: int | None = None, where: Column | None = None, dedup: Sequence[str] = ()) -> DataFrame:
+    """(id, score) of the best ``limit`` of a dense and a sparse leg; without postings, or terms in the query, the dense one alone.
 
-    ``where`` filters points and, through their ids, postings. ``dedup`` names columns of ``points`` of which one row
-    each remains.
+    ``post`` is a table of postings, or a function that makes those of a few terms. ``where`` filters points and, through
+    their ids, postings. ``dedup`` names columns of ``points`` of which one row each remains.
     """
     if where is not None:
         points = points.where(where)
-        post = post.join(points.select(id_col), id_col, "left_semi")
-    query_weights = tokens.query_terms(points.sparkSession, query, config.use_tf, config.filename_boost)
     expanded = limit * 8
-    dense = dense_topk(points, vector, expanded * config.dense_multiplier, id_col=id_col, vector_col=vector_col)
-    n = total if total is not None else points.count()
-    sparse = topk(sparse_scores(post, query_weights, id_col, total=n), expanded * config.sparse_multiplier)
-    fused = fuse_dbsf([dense, sparse]) if config.fusion == "dbsf" else fuse_rrf([dense, sparse], config.rrf_k)
+    legs = [dense_topk(points, vector, expanded * config.dense_multiplier, id_col=id_col, vector_col=vector_col)]
+    query_weights = tokens.query_terms(points.sparkSession, query, config.use_tf, config.filename_boost)
+    terms = [r["term"] for r in query_weights.select("term").collect()] if post is not None else []  # a query's
+    if terms:
+        found = post(terms) if callable(post) else post.where(F.col("term").isin(*terms))
+        if where is not None:
+            found = found.join(points.select(id_col), id_col, "left_semi")
+        n = total if total is not None else points.count()
+        legs.append(topk(sparse_scores(found, query_weights, id_col, total=n), expanded * config.sparse_multiplier))
+    fused = fuse_dbsf(legs) if config.fusion == "dbsf" else fuse_rrf(legs, config.rrf_k)
     if config.threshold is not None:
         fused = fused.where(F.col("score") >= config.threshold)
     fused = topk(fused, expanded)
@@ -122,45 +130,48 @@ def hybrid_search(points: DataFrame, post: DataFrame, query: str, vector: Sequen
     return topk(fused, limit)
 
 
-def similar_items(points: DataFrame, k: int, queries: Column, id_col: str = "id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """(id, other, score): the k nearest of the rows that ``queries`` selects, against all rows.
+def similar_items(points: DataFrame, k: int, queries: Column, id_col: str = "id", vector_col: str = "embedding", block: int = 4096, tile: int = 16_384) -> DataFrame:
+    """(id, other, score, rank): the k nearest of the rows that ``queries`` selects, against all rows.
 
-    Queries are dealt in blocks of ``block``; every block meets every row once, and only each row's share of the k best
-    leaves its task.
+    One join of blocks of queries with tiles of rows: each pair of them is a task's matrix product, and only the k best of
+    a tile leave it for each query. Both numbers follow from counts; nothing but these comes to the driver.
     """
     import numpy as np
     import pandas as pd
 
-    chosen = points.where(queries).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    blocks = chosen.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-chosen.count() // block)))).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    out = None
-    for row in blocks.toLocalIterator():  # one block of bounded size at a time
-        ids = np.array([x["id"] for x in row["q"]])
-        q = np.array([x["v"] for x in row["q"]], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = points.sparkSession.sparkContext.broadcast((ids, q))
-
-        def best(parts, sent=sent):
-            ids, q = sent.value
-            top = None
-            for pdf in parts:
-                x = np.array(pdf["v"].tolist(), float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ x.T, 6)
-                other = np.broadcast_to(pdf["id"].to_numpy(), s.shape)
-                frame = pd.DataFrame({"id": np.repeat(ids, s.shape[1]), "other": other.ravel(), "score": s.ravel()})
-                frame = frame[frame.id != frame.other]
-                top = frame if top is None else pd.concat([top, frame])
-                top = top.sort_values(["id", "score", "other"], ascending=[True, False, True]).groupby("id").head(k)
-            if top is not None:
-                yield top
-
-        part = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(best, "id long, other long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return points.sparkSession.createDataFrame([], "id long, other long, score double, rank int")
+    rows = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), queries.alias("asked"))
+    n, m = rows.agg(F.count("*"), F.count_if("asked")).first()
+    blocks, tiles = max(1, -(-m // block)), max(1, -(-n // tile))
+    dealt = lambda side, of, other, own: rows.where(of).select(F.lit(side).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
+    asked = dealt(0, F.col("asked"), tiles, blocks).select("side", "id", "v", F.col("own").alias("b"), F.col("other").alias("t"))
+    every = dealt(1, F.lit(True), blocks, tiles).select("side", "id", "v", F.col("other").alias("b"), F.col("own").alias("t"))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.array(v.tolist(), float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, x = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
+        out = []
+        if len(q) and len(x):
+            ids, other, right = q.id.to_numpy(), x.id.to_numpy(), unit(x.v).T
+            for at in range(0, len(q), 256):
+                scores = np.round(unit(q.v.iloc[at : at + 256]) @ right, 6)
+                scores[ids[at : at + 256, None] == other[None, :]] = -np.inf
+                top = min(k, len(x))
+                cut = np.partition(scores, len(x) - top, axis=1)[:, len(x) - top]
+                for i, (row, least) in enumerate(zip(scores, cut)):
+                    # ties with the last one are settled by id, which is the order of columns
+                    near = np.flatnonzero(row >= least)
+                    near = near[np.argsort(-row[near], kind="stable")][:top]
+                    near = near[row[near] > -np.inf]
+                    out.append(pd.DataFrame({"id": ids[at + i], "other": other[near], "score": row[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "score": []})
+
+    kind = points.schema[id_col].dataType.simpleString()
+    found = asked.unionByName(every).groupBy("b", "t").applyInPandas(best, f"id {kind}, other {kind}, score double")
     order = W.partitionBy("id").orderBy(F.desc("score"), "other")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def group_hits(hits: DataFrame, key: str, snippet: str, keep: int = 3) -> DataFrame:

@@ -100,3 +100,10 @@ def index_lists(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def collection_name(prefix: str, repo: Column, branch: Column) -> Column:
     return F.concat(F.lit(prefix), repo, F.lit("_br_"), F.substring(F.sha2(branch, 256), 1, 8))
+
+
+def switch_lists(deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(paths to add, paths to delete) when a branch is switched: a rename deletes the old path, a change of type is passed over."""
+    add = deltas.where(F.col("kind").isin("added", "modified", "renamed", "copied")).select(F.col("new_path").alias("path"))
+    delete = deltas.where(F.col("kind").isin("deleted", "renamed")).select(F.col("old_path").alias("path"))
+    return add.distinct(), delete.distinct()

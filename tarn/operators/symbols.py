@@ -6,6 +6,7 @@ shuffles nothing.
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -186,3 +187,39 @@ def call_graph(symbols: DataFrame) -> DataFrame:
     edges = symbols.select(F.col("name").alias("caller"), F.explode("calls").alias("callee")).distinct()
     known = symbols.select(F.col("name").alias("callee"), F.col("kind").alias("callee_kind")).distinct()
     return edges.join(known, "callee").select("caller", "callee", "callee_kind")
+
+
+class PageCache:
+    """Symbols of maps already made, for a while: pages of one map are cut from the same frame.
+
+    Frames are plans, not rows; ``keep`` stores one (a checkpoint or table is best) and ``get`` gives it back while it is
+    younger than ``seconds``. The least recently used of more than ``most`` is dropped.
+    """
+
+    def __init__(self, most: int = 100, seconds: float = 900.0, clock=time.monotonic):
+        self.most, self.seconds, self.clock = most, seconds, clock
+        self.held: dict[str, tuple[float, DataFrame]] = {}
+
+    def keep(self, key: str, symbols: DataFrame) -> None:
+        self.held.pop(key, None)
+        self.held[key] = self.clock(), symbols
+        while len(self.held) > self.most:
+            del self.held[next(iter(self.held))]
+
+    def get(self, key: str) -> DataFrame | None:
+        at, symbols = self.held.pop(key, (float("-inf"), None))
+        if symbols is None or self.clock() - at >= self.seconds:
+            return None
+        self.held[key] = at, symbols
+        return symbols
+
+    def page(self, key: str, page: int, per_page: int, path: str = "file_path") -> DataFrame:
+        symbols = self.get(key)
+        if symbols is None:
+            raise KeyError(f"no such map, or it is too old: {key}")
+        return page_of(symbols.groupBy(path).agg(F.count("*").alias("n")), page, per_page, path)
+
+
+def languages(symbols: DataFrame, language: str = "language") -> DataFrame:
+    """One row: the distinct languages of a map, in order."""
+    return symbols.agg(F.array_sort(F.collect_set(language)).alias("languages"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,24 +45,89 @@ def pattern_tags(project: Column, n_messages: Column, n_branches: Column) -> Col
     return F.array_compact(F.array(by_project, F.when(n_messages > 20, _suggest("long-conversation", 0.5, "message_count")), F.when(n_branches > 0, _suggest("branched", 0.6, "has_branches"))))
 
 
-def rule_matches(rule: tuple, text: Column, title: Column, n_messages: Column, n_branches: Column, project: Column | None = None) -> Column:
-    _, _, _, _, kind, words, least = rule
-    low = F.lower(text)
-    if kind == "keyword":
-        return any_of(low, words)
-    if kind == "title":
-        return any_of(F.lower(title), words)
-    if kind == "extension":
-        return any_of(low, tuple(f".{w}" for w in words))
-    if kind == "project":
-        return F.coalesce(project.isin(*words), F.lit(False)) if project is not None else F.lit(False)
-    return (n_messages if kind == "messages" else n_branches) >= least
-
-
-def rule_tags(text: Column, title: Column, n_messages: Column, n_branches: Column, project: Column | None = None, rules=phrases.TAG_RULES) -> Column:
+@dataclass(frozen=True)
+class Conversation:
+    """Columns that rules look at; null ones match nothing."""
+
+    text: Column
+    title: Column
+    n_messages: Column
+    n_branches: Column
+    project: Column = field(default_factory=lambda: F.lit(None).cast("string"))
+    hours: Column = field(default_factory=lambda: F.lit(None).cast("double"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A tag, and what a conversation must be like for it. ``least`` and ``most`` bound numbers, both inclusive."""
+
+    name: str
+    tag: str
+    confidence: float
+    priority: int
+    kind: str
+    words: tuple[str, ...] = ()
+    least: float | None = None
+    most: float | None = None
+    enabled: bool = True
+    case_sensitive: bool = False
+    test: Callable[[Conversation], Column] | None = None
+
+
+RULES = tuple(Rule(*r) for r in phrases.TAG_RULES)
+
+
+def _between(value: Column, rule: Rule) -> Column:
+    low = value >= rule.least if rule.least is not None else F.lit(True)
+    return low & (value <= rule.most if rule.most is not None else F.lit(True)) & value.isNotNull()
+
+
+def _keyword(rule: Rule, c: Conversation) -> Column:
+    return any_of(c.text, rule.words) if rule.case_sensitive else any_of(F.lower(c.text), tuple(w.lower() for w in rule.words))
+
+
+# kind -> the condition on a conversation; a pattern that is no regular expression matches nothing, like an unknown kind
+KINDS: dict[str, Callable[[Rule, Conversation], Column]] = {
+    "keyword": _keyword,
+    "regex": lambda r, c: reduce(lambda a, b: a | b, (c.text.rlike(w) for w in r.words if _pattern(w)), F.lit(False)),
+    "title": lambda r, c: any_of(F.lower(c.title), tuple(w.lower() for w in r.words)),
+    "extension": lambda r, c: any_of(F.lower(c.text), tuple(f".{w.lower()}" for w in r.words)),
+    "project": lambda r, c: c.project.isin(*r.words),
+    "messages": lambda r, c: _between(c.n_messages, r),
+    "branches": lambda r, c: _between(c.n_branches, r),
+    "duration": lambda r, c: _between(c.hours, r),
+    "custom": lambda r, c: r.test(c) if r.test else F.lit(False),
+}
+# What a summary tells: numbers and the title; branches are there or not.
+SUMMARY_KINDS = ("messages", "title", "branches")
+
+
+def _pattern(text: str) -> bool:
+    try:
+        re.compile(text)
+    except re.error:
+        return False
+    return True
+
+
+def rule_matches(rule: Rule, c: Conversation, summary: bool = False) -> Column:
+    known = SUMMARY_KINDS if summary else KINDS
+    if not rule.enabled or rule.kind not in known:
+        return F.lit(False)
+    if summary and rule.kind == "branches":
+        c = replace(c, n_branches=F.when(c.n_branches > 0, 1).otherwise(0))
+    return F.coalesce(KINDS[rule.kind](rule, c), F.lit(False))
+
+
+def rule_tags(c: Conversation, rules: Sequence[Rule] = RULES, summary: bool = False) -> Column:
     """Suggestions of all rules that match, by falling priority. Rules are columns: no join."""
-    ordered = sorted(rules, key=lambda r: -r[3])
-    return F.array_compact(F.array(*(F.when(rule_matches(r, text, title, n_messages, n_branches, project), _suggest(r[1], r[2], r[0])) for r in ordered)))
+    ordered = sorted(rules, key=lambda r: -r.priority)
+    return F.array_compact(F.array(*(F.when(rule_matches(r, c, summary), _suggest(r.tag, r.confidence, r.name)) for r in ordered)))
+
+
+def conversation_hours(created: Column, last: Column) -> Column:
+    """Whole minutes between two times, as hours."""
+    return F.floor((F.unix_micros(last) - F.unix_micros(created)) / 60_000_000) / 60.0
 
 
 def best_per_tag(suggestions: DataFrame, key: str) -> DataFrame:
@@ -79,17 +149,32 @@ def level(confidence: Column) -> Column:
     return out
 
 
+def level_score(name: Column) -> Column:
+    """The score that stands for a level of confidence."""
+    return reduce(lambda rest, x: F.when(name == x[0], x[1]).otherwise(rest), (("Low", 0.3), ("Medium", 0.5), ("High", 0.7), ("VeryHigh", 0.9)), F.lit(None).cast("double"))
+
+
 def tag_overlap(tags: DataFrame, key: str = "id", tag: str = "tag", least: float = 0.5) -> DataFrame:
-    """(id, other, common, score): pairs with common tags; score = common / larger number of tags.
+    """(id, other, common, score): pairs with common tags, score = common / larger number of tags, score > least.
 
-    The join is on the tag: pairs without a common tag do not arise. Tags that very many rows share should be left out
-    by the caller, as they say nothing.
+    Rows of one set of tags are one class. A class is entered under the prefix of its tags (rarest first) that any other
+    class of such a score must share, so a tag that very many rows have makes no pairs by itself; classes that meet are
+    compared, and only pairs that count are written out.
     """
-    sizes = tags.groupBy(key).agg(F.count("*").alias("n"))
-    a, b = tags.select(F.col(key).alias("id"), tag), tags.select(F.col(key).alias("other"), tag)
-    common = a.join(b, tag).where("id < other").groupBy("id", "other").agg(F.count("*").alias("common"))
-    sized = common.join(sizes.select(F.col(key).alias("id"), F.col("n").alias("na")), "id").join(sizes.select(F.col(key).alias("other"), F.col("n").alias("nb")), "other")
-    return sized.select("id", "other", "common", F.round(F.col("common") / F.greatest("na", "nb"), 6).alias("score")).where(F.col("score") > least)
+    rare = tags.groupBy(tag).agg(F.count("*").alias("_df"))
+    each = tags.select(F.col(key).alias("id"), F.col(tag).alias("tag")).distinct().join(rare.select(F.col(tag).alias("tag"), "_df"), "tag")
+    rows = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_df", "tag"))).alias("t")).select("id", F.transform("t", lambda x: x["tag"]).alias("tags"))
+    classes = rows.groupBy("tags").agg(F.min("id").alias("c")).withColumn("n", F.size("tags"))
+    # more than least * n of n tags are common: the first n - floor(least * n) hold one of them
+    entered = classes.select("c", "tags", "n", F.explode(F.slice("tags", 1, (F.col("n") - F.floor(F.col("n") * least)).cast("int"))).alias("p"))
+    a, b = entered.select("p", F.col("c").alias("ca"), F.col("tags").alias("ta")), entered.select("p", F.col("c").alias("cb"), F.col("tags").alias("tb"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    first = F.get(F.filter("ta", lambda x: F.array_contains("tb", x)), 0)  # a pair is the first common tag's
+    met = a.join(b, "p").where((F.col("ca") <= F.col("cb")) & (F.col("p") == first)).select("ca", "cb", common.alias("common"), F.round(common / F.greatest(F.size("ta"), F.size("tb")), 6).alias("score")).where(F.col("score") > least)
+    members = rows.join(classes.select("tags", "c"), "tags").select("id", "c")
+    left = met.join(members.select(F.col("c").alias("ca"), F.col("id").alias("x")), "ca")
+    pairs = left.join(members.select(F.col("c").alias("cb"), F.col("id").alias("y")), "cb").where((F.col("ca") < F.col("cb")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other"), F.col("common").cast("long").alias("common"), "score")
 
 
 def suggestion_statistics(actions: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ def kind_of(token: Column) -> Column:
     c, many = F.ascii(token), F.length(token) > 1
     return (
         F.when(c.between(97, 122) | c.between(65, 90) | (c == 95), "Identifier")
-        .when(c.between(9, 13) | (c == 32), "Whitespace")
-        .when(c.between(48, 57), "Literal")
+        .when(c.between(9, 13) | (c == 32) | ((c > 127) & token.rlike(r"^[\x{85}\p{Z}]")), "Whitespace")
+        .when(c.between(48, 57) | ((c > 127) & token.rlike(r"^\p{Nd}")), "Literal")
         .when((c == 34) & many, "Literal")
         .when((c == 39) & many, F.when(token.endswith("'"), "Literal").otherwise("Identifier"))
         .when((c == 47) & many, "Comment")
@@ -54,13 +56,28 @@ def term_rows(docs: DataFrame, id_col: str, text: Column, kinds: tuple[str, ...]
     return token_rows(docs, [id_col], text).where(F.col("kind").isin(*kinds)).select(id_col, "term")
 
 
-def postings(docs: DataFrame, id_col: str, text: Column, name: Column | None = None) -> DataFrame:
-    """(id, term, tf, weight): tf counts 2 for a term that is also in the document's file name; weight = 1 + ln tf."""
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` in as many partitions as there are cores at least: a small table may be one split, its tokens are work for all."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def postings(docs: DataFrame, id_col: str, text: Column, name: Column | None = None, only: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, weight): tf counts 2 for a term that is also in the document's file name; weight = 1 + ln tf.
+
+    With ``only``, those of a few terms: documents that do not contain one are not tokenised, and no other token is
+    counted or shuffled.
+    """
+    if only is not None:
+        asked = [F.lower(text).contains(t.lower()) for t in only] or [F.lit(False)]
+        docs = docs.where(reduce(lambda a, b: a | b, asked))
     names = [F.transform(tokens(name), lambda t: t["text"]).alias("_name")] if name is not None else []
     if name is not None:
         docs = docs.select("*", *names)
         names = ["_name"]
     terms = token_rows(docs, [id_col, *names], text).where(F.col("kind").isin(*INDEXED))
+    if only is not None:
+        terms = terms.where(F.col("term").isin(*only))
     count = F.sum(F.when(F.array_contains("_name", F.col("term")), 2).otherwise(1)) if name is not None else F.count("*")
     return terms.groupBy(id_col, "term").agg(count.cast("long").alias("tf")).withColumn("weight", 1 + F.log(F.col("tf")))
 
@@ -69,17 +86,34 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(terms: DataFrame) -> DataFrame:
+def vocabulary(terms: DataFrame, range_terms: int = 100_000) -> DataFrame:
     """(term, term_id): ids from 0 in the order of terms.
 
-    Ids are dealt by ranges: counts of ranges are summed, so no task numbers the whole vocabulary.
+    Ids are dealt by ranges of terms, whose bounds come from a sample of what there is: counts of ranges are summed, so no
+    task numbers the whole vocabulary, and a common beginning is as many ranges as its terms need.
     """
-    ordered = terms.select("term").distinct().withColumn("_range", F.substring("term", 1, 2))
+    unique = terms.select("term").distinct()
+    many = unique.agg(F.approx_count_distinct("term").alias("n")).first()["n"]
+    bounds = []
+    if many > range_terms:
+        picked = sorted(r["term"] for r in unique.where(F.pmod(F.xxhash64("term"), F.lit(max(1, many // 10_000))) == 0).collect())  # about 10000
+        bounds = picked[:: max(1, len(picked) * range_terms // many)]
+    ordered = unique.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col("term"))))
     sizes = ordered.groupBy("_range").count().withColumn("_base", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = ordered.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy("term")))
     return ranked.join(sizes.select("_range", "_base"), "_range").select("term", (F.col("_base") + F.col("_n") - 1).cast("int").alias("term_id"))
 
 
+def term_ids(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``terms`` with the term_id of each term, null for unknown ones."""
+    return terms.join(vocab, "term", "left")
+
+
+def terms_of(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``ids`` with the term of each term_id, null for unknown ones."""
+    return ids.join(vocab, "term_id", "left")
+
+
 def idf(total: Column, df: Column) -> Column:
     """ln(1 + (N - df + 0.5) / (df + 0.5))."""
     return F.log(1 + (total - df + 0.5) / (df + 0.5))

@@ -179,7 +179,7 @@ def _rule_sql(rule: tuple) -> str:
 @query(f"with {_M}, p as (select *, case conv_id % 3 when 0 then 'rust' when 1 then 'python' end project from m) " + " union all ".join(map(_rule_sql, phrases.TAG_RULES)))
 def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir).withColumn("project", F.when(F.col("conv_id") % 3 == 0, "rust").when(F.col("conv_id") % 3 == 1, "python"))
-    return m.select("conv_id", "turn", F.inline(tagging.rule_tags(F.col("text"), F.col("text"), F.col("turn"), F.col("conv_id") % 2, F.col("project"))))
+    return m.select("conv_id", "turn", F.inline(tagging.rule_tags(tagging.Conversation(F.col("text"), F.col("text"), F.col("turn"), F.col("conv_id") % 2, F.col("project")))))
 
 
 _CONTENT = " union all ".join(f"select conv_id, turn, {i} pos, '{tag}' tag, round({_HITS(words, 'lower(text)')} / {len(words)}.0::double * {w}::double, 6) confidence, '{source}' source from m where {_ANY(words, 'lower(text)')}" for i, (source, tag, words, w) in enumerate([("language", t, ws, phrases.LANGUAGE_WEIGHT) for t, ws in phrases.LANGUAGE_TAGS.items()] + [("topic", t, ws, phrases.TOPIC_WEIGHT) for t, ws in phrases.TOPIC_TAGS.items()]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import fixed, text
 from tarn.operators import chunks, code_chunks, code_intel, repositories, symbols
+from tarn.plans.code_queries import source_files
 from tarn.plans.register import query
 from tarn.session import table
 
@@ -156,104 +157,6 @@ def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.yaml_documents(docs).withColumn("content", F.md5("content"))
 
 
-# code made from documents: their first two words name things
-PYTHON = ["class C{a}:", "    # counts {b}", "    @staticmethod", "    def make_{b}({a}, size=1):", "        total = len({a}) + self.{b}(size)", "        return build_{a}(total)", "", "async def run_{a}(x):", "    return await fetch_{b}(x)", "", "def {a}_{b}(items):", "    return [f(i) for i in items]"]
-RUST = ["/// Does {a} with care", "pub fn {a}(x: u8) -> u8 {{", "    let {b} = inner::go(x);", "    {b}.step(1)", "}}", "impl Thing {{", "    fn {b}(&self) {{", "        println!(1)", "    }}", "}}", "pub trait T{a} {{", "    fn each(&self);", "}}"]
-
-
-def _code(spark: SparkSession, sf_dir: str, template: list[str]) -> DataFrame:
-    words = [F.lower(F.regexp_extract("text", "([a-zA-Z]+)[^a-zA-Z]+([a-zA-Z]+)", g)) for g in (1, 2)]
-    parts: list[Column] = []
-    for piece in "\n".join(template).replace("{{", "\x01").replace("}}", "\x02").replace("{a}", "\x00{a}\x00").replace("{b}", "\x00{b}\x00").split("\x00"):
-        parts.append(words["ab".index(piece[1])] if piece in ("{a}", "{b}") else F.lit(piece.replace("\x01", "{").replace("\x02", "}")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
-
-
-def _code_sql(template: list[str]) -> str:
-    word = lambda g: f"lower(regexp_extract(text, '([a-zA-Z]+)[^a-zA-Z]+([a-zA-Z]+)', {g}))"
-    lines_ = []
-    for line in template:
-        body = line.replace("{{", "{").replace("}}", "}") if "{a}" not in line and "{b}" not in line else line
-        body = body.replace("'", "''").replace("{a}", f"' || {word(1)} || '").replace("{b}", f"' || {word(2)} || '").replace("{{", "{").replace("}}", "}")
-        lines_.append(f"'{body}'")
-    return f"code as (select doc_id, [{', '.join(lines_)}] l from documents), cr as (select doc_id, l, unnest(generate_series(1, len(l))) i from code), cx as (select doc_id, i, l[i] line, array_to_string(l[greatest(i - 2, 1):i + 2], chr(10)) context from cr)"
-
-
-_CALLS = "list_sort(list_distinct(regexp_extract_all(context, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\(', 1) || regexp_extract_all(context, '\\.([a-zA-Z_][a-zA-Z0-9_]*)\\(', 1)))[1:10]"
-_PARAMS = "trim(regexp_extract(line, '^[^(]*\\(([^)]*)\\)', 1))"
-
-
-def _rows(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "line_number", "name", "kind", "params", F.array_join("calls", ",").alias("calls"))
-
-
-@query(f"""with {_code_sql(PYTHON)}, s as (select doc_id, i, line, context, case when regexp_matches(line, '^\\s*async\\s+def\\s+[a-zA-Z0-9_]+\\s*\\(') then 'a' when regexp_matches(line, '^\\s*def\\s+[a-zA-Z0-9_]+\\s*\\(') then 'd' when regexp_matches(line, '^\\s*class\\s+[a-zA-Z0-9_]+') then 'c' end k from cx)
-    select doc_id, i::int line_number, case k when 'a' then 'async ' || regexp_extract(line, '^\\s*async\\s+def\\s+([a-zA-Z0-9_]+)', 1) when 'd' then regexp_extract(line, '^\\s*def\\s+([a-zA-Z0-9_]+)', 1) else regexp_extract(line, '^\\s*class\\s+([a-zA-Z0-9_]+)', 1) end as name,
-    case k when 'a' then 'PythonAsyncFunction' when 'c' then 'PythonClass' else case when line not like '    %' then 'PythonFunction' when contains(context, '@staticmethod') then 'PythonStaticMethod' when contains(context, '@classmethod') then 'PythonClassMethod' else 'PythonMethod' end end kind,
-    case when k = 'c' then '' else {_PARAMS} end params, array_to_string({_CALLS}, ',') calls from s where k is not null""")
-def symbol_scan_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(symbols.scan(symbols.contextual_lines(_code(spark, sf_dir, PYTHON)), "python"))
-
-
-@query(f"""with {_code_sql(RUST)} select doc_id, i::int line_number, regexp_extract(line, '^\\s*(?:pub\\s+)?fn\\s+([a-zA-Z0-9_]+)', 1) as name, 'RustFn' kind, {_PARAMS} params, array_to_string({_CALLS}, ',') calls from cx where regexp_matches(line, '^\\s*(?:pub\\s+)?fn\\s+[a-zA-Z0-9_]+')
-    union all select doc_id, i::int, regexp_extract(line, '^\\s*impl\\s+(?:<[^>]+>\\s+)?([a-zA-Z0-9_]+)', 1), 'RustImpl', {_PARAMS}, '' from cx where regexp_matches(line, '^\\s*impl\\s+(?:<[^>]+>\\s+)?[a-zA-Z0-9_]+')
-    union all select doc_id, i::int, regexp_extract(line, '^\\s*(?:pub\\s+)?trait\\s+([a-zA-Z0-9_]+)', 1), 'RustTrait', {_PARAMS}, '' from cx where regexp_matches(line, '^\\s*(?:pub\\s+)?trait\\s+[a-zA-Z0-9_]+')
-    union all select doc_id, i::int, regexp_extract(line, '^\\s+fn\\s+([a-zA-Z0-9_]+)', 1), 'RustTraitMethod', {_PARAMS}, '' from cx where regexp_matches(line, '^\\s+fn\\s+[a-zA-Z0-9_]+\\s*(?:<[^>]+>)?\\s*\\([^)]*\\)')""")
-def symbol_scan_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(symbols.scan(symbols.contextual_lines(_code(spark, sf_dir, RUST)), "rust"))
-
-
-def _all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of all languages with code in them."""
-    code = _code(spark, sf_dir, PYTHON).select("doc_id", F.col("text").alias("py")).join(_code(spark, sf_dir, RUST).select("doc_id", F.col("text").alias("rs")), "doc_id")
-    return _files(spark, sf_dir).drop("text").join(code, "doc_id").select("file_path", F.when(F.col("doc_id") % 2 == 0, F.col("py")).otherwise(F.col("rs")).alias("text"))
-
-
-@query()
-def repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = symbols.repo_map(_all_languages(spark, sf_dir))
-    return found.select("file_path", "language", "line_number", "name", "kind", "params", "docstring", F.array_join("calls", ",").alias("calls"))
-
-
-@query()
-def repo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.summary(symbols.repo_map(_all_languages(spark, sf_dir)))
-
-
-@query()
-def repo_map_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.rendered(symbols.repo_map(_all_languages(spark, sf_dir)))
-
-
-@query()
-def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.call_graph(symbols.repo_map(_all_languages(spark, sf_dir)))
-
-
-_WORDS = lambda s: "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
-
-
-@query(f"""with {_code_sql(PYTHON)}, w as (select doc_id, array_to_string(l, chr(10)) c from code),
-    f as (select doc_id, list_filter(list_distinct(regexp_extract_all(c, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1) || regexp_extract_all(c, '\\.([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1)), lambda x: strlen(x) > 1 and not list_contains({_WORDS(fixed.KEYWORDS['python'])}, x) and not list_contains({_WORDS(fixed.NOT_CALLS)}, x)) f from w)
-    select doc_id, array_to_string(list_sort(f)[1:20], ',') calls from f""")
-def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code(spark, sf_dir, PYTHON).select("doc_id", F.array_join(code_intel.function_calls(F.col("text"), F.lit("python")), ",").alias("calls"))
-
-
-@query(f"""with {_code_sql(PYTHON)}, w as (select doc_id, array_to_string(l, chr(10)) c from code),
-    f as (select doc_id, list_filter(list_distinct(regexp_extract_all(c, '\\bdef\\s+(\\w+)', 1) || regexp_extract_all(c, '\\bclass\\s+(\\w+)', 1) || regexp_extract_all(c, '(\\w+)\\s*=', 1)), lambda x: strlen(x) > 2 and not list_contains({_WORDS(' '.join(fixed.IDENTIFIER_KEYWORDS['python']))}, x)) f from w)
-    select doc_id, array_to_string(list_sort(f)[1:5], ',') identifiers from f""")
-def extract_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code(spark, sf_dir, PYTHON).select("doc_id", F.array_join(code_intel.identifiers(F.col("text"), F.lit("python")), ",").alias("identifiers"))
-
-
-@query(f"""with {_code_sql(RUST)}, w as (select doc_id, array_to_string(l, chr(10)) c from code)
-    select doc_id, trim(regexp_extract(c, '(?m)^[\\s]*(?:pub\\s+)?(?:async\\s+)?fn\\s+\\w+[^{{]*')) signature, regexp_extract(c, 'impl\\s+(?:\\w+\\s+for\\s+)?(\\w+)', 1) parent_name, trim(regexp_extract(c, '///([^\\n]*)', 1)) description from w""")
-def code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = code_intel.context_info(F.col("text"), F.lit("function"), F.lit("rust"))
-    return _code(spark, sf_dir, RUST).select("doc_id", info.alias("i")).select("doc_id", "i.signature", "i.parent_name", "i.description")
-
-
 @query(f"""with l as (select doc_id, {LINES} l from documents), t as (select doc_id, l, list_filter(l, lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) <> '' and not regexp_matches(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^(//|#|\\*)') and strlen(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) > 10 and regexp_matches(x, '[=(:]'))[1] a,
     list_filter(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '' and not regexp_matches(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^(//|#)'))[1] b from l), p as (select doc_id, len(l) n, coalesce(a, b, l[1]) x from t)
     select doc_id, case when n = 0 then '<empty content>' when strlen(x) > 120 then substr(x, 1, 117) || '...' else x end preview from p""")
@@ -263,7 +166,7 @@ def preview_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def code_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _all_languages(spark, sf_dir).withColumn("language", text.parser_language(F.col("file_path")))
+    files = source_files(spark, sf_dir).drop("doc_id").withColumn("language", text.parser_language(F.col("file_path")))
     return code_chunks.chunk_files(files).withColumn("content", F.sha2("content", 256))
 
 

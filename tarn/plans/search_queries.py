@@ -32,6 +32,10 @@ _VEC = "v as (select embedding::double[] q from embeddings where vec_id = 0)"
 _COS = "list_dot_product(e.embedding::double[], v.q) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(v.q, v.q)))"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
 
@@ -74,7 +78,7 @@ def similar_items_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TOKENS_SQL} select kind, count(*) n, count(distinct term) n_distinct from toks group by kind")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.token_rows(table(spark, sf_dir, "documents"), [], F.col("text"))
+    found = tokens.token_rows(_documents(spark, sf_dir), [], F.col("text"))
     # terms are counted before they are shuffled
     by_term = found.groupBy("kind", "term").agg(F.count("*").alias("c"))
     return by_term.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
@@ -82,24 +86,24 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TOKENS_SQL} select term, (row_number() over (order by term) - 1)::int term_id from (select distinct term from post)")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.vocabulary(tokens.term_rows(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+    return tokens.vocabulary(tokens.term_rows(_documents(spark, sf_dir), "doc_id", F.col("text")))
 
 
 @query(f"with {TOKENS_SQL} select term, count(*) df from post group by term")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.document_frequency(tokens.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+    return tokens.document_frequency(tokens.postings(_documents(spark, sf_dir), "doc_id", F.col("text")))
 
 
 @query(f"with {TOKENS_SQL} select doc_id, term, tf, round(weight, 6) weight from post")
 def doc_term_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).withColumn("weight", F.round("weight", 6))
+    return tokens.postings(_documents(spark, sf_dir), "doc_id", F.col("text")).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"""with {TOKENS_SQL}, f as (select doc_id, lower(lang) lang from documents)
     select doc_id, term, sum(case when term in (lang, 'doc', 'txt') then 2 else 1 end)::bigint tf from toks join f using (doc_id) where kind in ('Identifier', 'Literal') group by all""")
 def doc_term_filename_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("doc/"), F.col("lang"), F.lit(".txt"))
-    return tokens.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), name).select("doc_id", "term", "tf")
+    return tokens.postings(_documents(spark, sf_dir), "doc_id", F.col("text"), name).select("doc_id", "term", "tf")
 
 
 @query(f"with {_Q} select term, round(weight, 6) weight from q")
@@ -118,19 +122,25 @@ _SPARSE = """dfs as (select term, count(*) df from post group by term), total as
     s as (select doc_id id, round(sum(p.weight * q.weight * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) score from post p join q using (term) join dfs using (term), total group by doc_id)"""
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+def _postings(spark: SparkSession, sf_dir: str, terms: list[str] | None = None) -> DataFrame:
+    return tokens.postings(_documents(spark, sf_dir), "doc_id", F.col("text"), only=terms)
+
+
+def _sparse(spark: SparkSession, sf_dir: str, idf: bool) -> DataFrame:
+    asked = tokens.query_terms(spark, QUERY)
+    terms = [r["term"] for r in asked.select("term").collect()]  # of one query
+    total = table(spark, sf_dir, "documents").count() if idf else None
+    return search.topk(search.sparse_scores(_postings(spark, sf_dir, terms), asked, "doc_id", idf=idf, total=total), 20)
 
 
 @query(f"with {TOKENS_SQL}, {_Q}, {_SPARSE_TF} select id, score from s order by score desc, id limit 20")
 def sparse_topk_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.topk(search.sparse_scores(_postings(spark, sf_dir), tokens.query_terms(spark, QUERY), "doc_id", idf=False), 20)
+    return _sparse(spark, sf_dir, False)
 
 
 @query(f"with {TOKENS_SQL}, {_Q}, {_SPARSE} select id, score from s order by score desc, id limit 20")
 def sparse_topk_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = table(spark, sf_dir, "documents").count()
-    return search.topk(search.sparse_scores(_postings(spark, sf_dir), tokens.query_terms(spark, QUERY), "doc_id", total=total), 20)
+    return _sparse(spark, sf_dir, True)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +164,7 @@ def _hybrid_sql(where: str, dense: int, sparse: int, fuse: str, limit: int = 10)
 
 def _hybrid(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     points = _points(spark, sf_dir)
-    post = _postings(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    post = lambda terms: _postings(spark, sf_dir, terms).withColumnRenamed("doc_id", "id")
     more.setdefault("where", F.lit(True))
     total = points.where(more["where"]).count()
     return search.hybrid_search(points, post, QUERY, _vector(spark, sf_dir), total=total, **more)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,25 @@ def build_session(app: str = "tarn", cpus: str | int | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else what ``setCheckpointDir`` was given.
+
+    Only a session on one machine that has neither (tests) gets a folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    given, held = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if given or held.isDefined():
+        return given or held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "tarn-checkpoints")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the ``shared_folder``."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -4,11 +4,35 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.operators import search
+from tarn.session import checkpointed
+
+
+class Store(Protocol):
+    """What an engine needs of a collection of points; ``VectorStore`` is one on Parquet."""
+
+    def exists(self) -> bool: ...
+    def ensure(self, schema: str | None = None) -> bool: ...
+    def create(self, schema: str) -> None: ...
+    def drop(self) -> None: ...
+    def points(self) -> DataFrame: ...
+    def upsert(self, points: DataFrame) -> None: ...
+    def delete(self, where: Column) -> None: ...
+    def count(self) -> int: ...
+    def info(self) -> DataFrame: ...
+    def languages(self, repo: str, branch: str) -> list[str]:
+        """Distinct languages of a branch, in order."""
+        return [r[0] for r in self._of([(repo, branch)]).where("language is not null").select("language").distinct().orderBy("language").collect()]  # a few
+
+    def scroll(self, after=None, limit: int = 1000, where: Column | None = None) -> DataFrame: ...
+    def search(self, vector: Sequence[float], limit: int = 10, where: Column | None = None, metric: str = "cosine", threshold: float | None = None) -> DataFrame: ...
 
 
 class VectorStore:
@@ -43,6 +67,10 @@ class VectorStore:
         self.drop()
         return False
 
+    def create(self, schema: str) -> None:
+        """An empty collection: the folder and, in it, files of no points that carry the schema."""
+        self._write(self.spark.createDataFrame([], schema))
+
     def drop(self) -> None:
         fs, where = self._fs()
         fs.delete(where, True)
@@ -51,30 +79,46 @@ class VectorStore:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "branch").parquet(self.path)
 
     def upsert(self, points: DataFrame) -> None:
-        """Adds points; those of the same id are replaced."""
+        """Adds points; those of the same id are replaced. Of rows of one id, one (of the greatest hash) comes in."""
         if points.isEmpty():
             return
-        bad = points.where(F.size(self.vector) != self.dim)
+        bad = points.where(~F.coalesce(F.size(self.vector) == self.dim, F.lit(False)) | F.col(self.key).isNull())
         if not bad.isEmpty():
-            raise ValueError(f"vectors must have {self.dim} dimensions")
+            raise ValueError(f"points must have an id and vectors of {self.dim} dimensions")
+        last = W.partitionBy(self.key).orderBy(F.desc(F.xxhash64(*points.columns)))
+        points = points.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
         if self.exists():
-            branches = points.select("repo", "branch").distinct()
-            # a partition is replaced by what it held and what comes: the old rows are read from a snapshot first
-            old = self.points().join(branches, ["repo", "branch"], "left_semi").join(points.select(self.key), self.key, "left_anti")
-            points = _snapshot(old.unionByName(points, allowMissingColumns=True))
-        self._write(points)
+            points = checkpointed(points)
+            # the branches that points come to, and those that hold an older point of the same id
+            held = self.points().join(points.select(self.key), self.key, "left_semi").select("repo", "branch")
+            branches = points.select("repo", "branch").union(held).distinct()
+            old = self._of(self._names(branches)).join(points.select(self.key), self.key, "left_anti")
+            # a partition is replaced by what it held and what comes: the old rows are read from a copy
+            self._replace(checkpointed(old.unionByName(points, allowMissingColumns=True)), self._names(branches))
+        else:
+            self._write(points)
 
     def delete(self, where: Column) -> None:
-        """Deletes points; partitions that end empty go."""
-        keep = _snapshot(self.points().where(~F.coalesce(where, F.lit(False))))
-        touched = {(r["repo"], r["branch"]) for r in self.points().where(where).select("repo", "branch").distinct().collect()}  # a row per branch
-        left = {(r["repo"], r["branch"]) for r in keep.select("repo", "branch").distinct().collect()}
+        """Deletes points. Only partitions that hold some are read in full and written; those that end empty go last."""
+        touched = self._names(self.points().where(where).select("repo", "branch").distinct())
+        if touched:
+            self._replace(checkpointed(self._of(touched).where(~F.coalesce(where, F.lit(False)))), touched)
+
+    def _names(self, branches: DataFrame) -> list[tuple[str, str]]:
+        return sorted({(r["repo"], r["branch"]) for r in branches.collect()})  # a row per branch
+
+    def _of(self, branches: list[tuple[str, str]]) -> DataFrame:
+        """The points of some branches: a filter on partitions."""
+        some = reduce(lambda a, b: a | b, ((F.col("repo") == r) & (F.col("branch") == b) for r, b in branches))
+        return self.points().where(some)
+
+    def _replace(self, points: DataFrame, branches: list[tuple[str, str]]) -> None:
+        left = self._names(points.select("repo", "branch").distinct())
+        if left:
+            self._write(points)
         fs, _ = self._fs()
-        for repo, branch in touched - left:
+        for repo, branch in set(branches) - set(left):
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/repo={repo}/branch={branch}"), True)
-        part = keep.where(F.struct("repo", "branch").isin([F.struct(F.lit(a), F.lit(b)) for a, b in touched & left])) if touched & left else None
-        if part is not None:
-            self._write(part)
 
     def delete_files(self, repo: str, branch: str, paths: Sequence[str]) -> None:
         self.delete((F.col("repo") == repo) & (F.col("branch") == branch) & F.col("file_path").isin(*paths))
@@ -88,6 +132,10 @@ class VectorStore:
     def info(self) -> DataFrame:
         return self.points().groupBy("repo", "branch").agg(F.count("*").alias("points"))
 
+    def languages(self, repo: str, branch: str) -> list[str]:
+        """Distinct languages of a branch, in order."""
+        return [r[0] for r in self._of([(repo, branch)]).where("language is not null").select("language").distinct().orderBy("language").collect()]  # a few
+
     def scroll(self, after=None, limit: int = 1000, where: Column | None = None) -> DataFrame:
         """The next points in the order of ids."""
         df = self.points()
@@ -100,17 +148,6 @@ class VectorStore:
         return found.where(F.col("score") >= threshold) if threshold is not None else found
 
 
-def _snapshot(df: DataFrame) -> DataFrame:
-    """A reliable copy, so that a table can be written from what was read of it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        import os
-        import tempfile
-
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tarn-checkpoints"))
-    return df.checkpoint()
-
-
 def save_vocabulary(vocab: DataFrame, path: str) -> None:
     vocab.write.mode("overwrite").parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,20 +88,30 @@ def accumulate(deltas: DataFrame, stream: str = "stream_id", seq: str = "seq") -
     return whole.select(stream, plain.alias("content"), thought.alias("thinking"), F.transform(indices, one).alias("tool_calls"))
 
 
-def sync_batches(changes: DataFrame, apply) -> object:
+def sync_batches(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """A stream writer that hands every batch, one row per path (the last change), to ``apply(batch, epoch)``."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        apply(batch.groupBy("repo", "path").agg(F.max_by("change_type", "ts").alias("change_type"), F.max("ts").alias("ts")), epoch)
+        apply(last_changes(batch), epoch)
 
-    return changes.writeStream.foreachBatch(each)
+    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
 
 
-def to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns its memory table (tests and small results)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def last_changes(changes: DataFrame) -> DataFrame:
+    """(repo, path, change_type, ts): the last change of each path; of changes of one time the type that comes last by name."""
+    last = F.max(F.struct("ts", "change_type"))
+    return changes.groupBy("repo", "path").agg(last.alias("c")).select("repo", "path", "c.change_type", "c.ts")
+
+
+def latest_table(df: DataFrame, path: str) -> DataFrame:
+    """Runs a stream of whole results (complete mode) over what there is: the last batch's rows, as a table in ``path``."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")
+
+    query = df.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(each).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -109,3 +119,14 @@ def to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pair_streams(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Rows of two streams with the same key, the right one no earlier than the left one and no more than ``within`` after it.
+
+    Columns of the right side get the ending ``_after``. Watermarks bound what either side remembers.
+    """
+    a = left.withWatermark(left_ts, late)
+    b = right.select(*(F.col(c).alias(f"{c}_after") for c in right.columns)).withWatermark(f"{right_ts}_after", late)
+    near = F.expr(f"{key} = {key}_after and {right_ts}_after >= {left_ts} and {right_ts}_after <= {left_ts} + interval {within}")
+    return a.join(b, near)

@@ -47,7 +47,7 @@ def test_history_keeps_system_and_one(spark):
 
 def test_tags(spark):
     df = spark.createDataFrame([("How do I fix the borrow checker? cargo build fails in main.rs, impl Trait", 25, 1)], "t string, n long, b long")
-    tags = df.select(tagging.rule_tags(F.col("t"), F.col("t"), F.col("n"), F.col("b")).alias("x")).first()["x"]
+    tags = df.select(tagging.rule_tags(tagging.Conversation(F.col("t"), F.col("t"), F.col("n"), F.col("b"))).alias("x")).first()["x"]
     assert [t["source"] for t in tags] == ["rust_keywords", "error_debugging", "rust_files", "question_title", "branched_conversation", "long_conversation"]
     s = spark.createDataFrame([(1, 0, "a", 0.5, "x"), (1, 1, "a", 0.5, "y"), (1, 2, "b", 0.3, "z")], "k long, pos long, tag string, confidence double, source string")
     best = tagging.best_per_tag(s, "k")
