@@ -45,8 +45,9 @@ METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclidean": (euclidean
 
 def unit(a: Column) -> Column:
     """A vector scaled to length one; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_double(a), lambda x: x / n)).otherwise(_double(a))
+    # the length is computed once for a vector, not for each of its coordinates
+    scaled = F.transform(F.array(F.struct(_double(a).alias("v"), norm(a).alias("n"))), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))
+    return F.element_at(scaled, 1)
 
 
 def mean_pool(vectors: Column, mask: Column) -> Column:
@@ -57,8 +58,11 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
 
 
 def hash_embedding(text: Column, dim: int = 384) -> Column:
-    """A placeholder embedding of a text's bytes: it fixes dimension and length, and ranks nothing."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.ascii(F.substring(text, i, 1)))
-    seed = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.pmod(a * 31 + x, F.lit(1 << 32)))
-    ramp = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.when(i % 2 == 0, 1.0).otherwise(-1.0)) * (i + 1) / dim)
-    return unit(F.transform(ramp, lambda x: x * (1.0 + F.pmod(seed, F.lit(997)) / 997.0)))
+    """A placeholder embedding: it fixes dimension and length, and ranks nothing.
+
+    It is a ramp of alternating sign, scaled by a positive number that the text gives, then to length one: the same vector
+    for every text but null.
+    """
+    ramp = [(1.0 if i % 2 == 0 else -1.0) * (i + 1) / dim for i in range(dim)]
+    length = sum(x * x for x in ramp) ** 0.5
+    return F.when(text.isNotNull(), literal([x / length for x in ramp]))
