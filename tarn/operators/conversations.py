@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -323,7 +324,6 @@ def bpe_tokens(ranks_path: str, pattern: str, overhead: int = 4):
 
     ``ranks_path`` must be readable on every executor; without a file, ``message_tokens`` estimates.
     """
-    import pandas as pd
 
     @F.pandas_udf("long")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import phrases
-from tarn.operators import clusters, search, tagging
+from tarn.operators import clusters, search, tagging, tokens
 from tarn.operators import conversations as conv
 from tarn.plans.register import query
+from tarn.plans.search_queries import tokens_sql
 from tarn.session import table
 
 # the invented texts hold few of the phrases: each message gets one, by its number
@@ -243,19 +244,37 @@ def conv_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.similar_pairs(table(spark, sf_dir, "embeddings"), "label", 0.2, "vec_id")
 
 
-@query()
+# greedy clusters: a label's ids in order; each that is free gathers the first 19 free ones after it that are similar
+_CLUSTERS = f"""e as (select vec_id, label, embedding::double[] v from embeddings), sims as (select a.vec_id a, b.vec_id b, {_COSAB} score, {_COSAB.replace("round(", "(").replace(", 6)", ")")} exact from e a join e b on a.label = b.label and a.vec_id < b.vec_id),
+    groups as (select label, list(vec_id order by vec_id) ids from e group by label having count(*) >= 5),
+    walk as (select label, 0 k, []::bigint[] used, []::bigint[] members from groups
+      union all select label, k + 1, used || found, found from (
+        select w.label, w.k, w.used, case when list_contains(w.used, g.ids[w.k + 1]) then []::bigint[] else coalesce((select case when count(*) > 0 then [g.ids[w.k + 1]] || list(b order by b)[1:19] else []::bigint[] end from sims where a = g.ids[w.k + 1] and score >= 0.2 and not list_contains(w.used, b)), []::bigint[]) end found
+        from walk w join groups g using (label) where w.k < len(g.ids))),
+    members as (select label, members[1] as cluster, unnest(members) vec_id from walk where len(members) > 0),
+    cohesions as (select m.cluster, count(distinct m.vec_id) n, round(avg(s.exact), 6) cohesion from members m left join members o on o.cluster = m.cluster and o.vec_id > m.vec_id left join sims s on s.a = m.vec_id and s.b = o.vec_id group by m.cluster)"""
+
+
+@query(f"with recursive {_CLUSTERS} select label, cluster, vec_id, n, cohesion from members join cohesions using (cluster)")
 def conv_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings")
     found = clusters.greedy_clusters(points, "label", 0.2, "vec_id")
     return found.join(clusters.cohesion(found, points, "vec_id"), "cluster")
 
 
-@query()
+@query(f"with recursive {_CLUSTERS} select vec_id from embeddings where vec_id not in (select vec_id from members)")
 def conv_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings")
     return clusters.outliers(points, clusters.greedy_clusters(points, "label", 0.2, "vec_id"), "vec_id")
 
 
+@query(f"with recursive {_CLUSTERS} select count(*) clusters, round(avg(cohesion), 6) avg_cohesion, round(case when count(*) > 1 then 0.8 * avg(cohesion) else 0.0 end, 6)::double silhouette from cohesions")
+def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings")
+    found = clusters.greedy_clusters(points, "label", 0.2, "vec_id")
+    return clusters.metrics(clusters.cohesion(found, points, "vec_id"))
+
+
 _THEMES = " union all ".join([f"select conv_id, '{n}' theme, {w} v from m where {_ANY(ws, 'lower(text)')}" for n, w, ws in phrases.THEMES] + ["select conv_id, 'How-To Questions', 2 from m where contains(lower(text), 'how') and contains(lower(text), '?')"])
 
 
@@ -282,12 +301,16 @@ def similarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.round(clusters.temporal_weight(F.col("s"), F.col("s") * 100), 6).alias("t"), F.round(clusters.tag_weight(F.col("s"), F.col("id") % 3, F.lit(7)), 6).alias("g"))
 
 
-@query()
+_MESSAGES = tokens_sql("(select conv_id || '-' || turn id, text from conversations)", "id")
+_ASKED = ("the", "tion", "der", "que")
+
+
+@query(f"""with {_MESSAGES}, total as (select count(*)::double n from conversations), hit as (select * from post where term in {_ASKED}), dfs as (select term, count(*) df from hit group by term),
+    s as (select id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) score from hit join dfs using (term), total group by id), g as (select conv_id, s.id, score, text from s join conversations on s.id = conv_id || '-' || turn)
+    select conv_id, max(score) score, count(*) n_hits, sha256(array_to_string((list(text order by score desc, id))[1:3], '|')) snippets from g group by conv_id""")
 def message_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best hits of the flagship search over messages in place of documents, grouped by conversation."""
-    from tarn.operators import tokens
-
     m = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    post = tokens.postings(m, "id", F.col("text"))
-    hits = search.sparse_scores(post, tokens.query_terms(spark, "the tion der que"), "id", total=m.count()).join(m.select("id", "conv_id", "text"), "id")
+    post = tokens.postings(m, "id", F.col("text"), only=list(_ASKED))
+    hits = search.sparse_scores(post, tokens.query_terms(spark, " ".join(_ASKED)), "id", total=m.count()).join(m.select("id", "conv_id", "text"), "id")
     return search.group_hits(hits, "conv_id", "text").withColumn("snippets", F.sha2(F.array_join("snippets", "|"), 256))

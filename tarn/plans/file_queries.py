@@ -145,9 +145,17 @@ def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.headings(_headed(spark, sf_dir))
 
 
-@query()
+@query(f"""with {_CONTEXT}, {_HEADED}, m as (select doc_id, n, i, x, length(regexp_extract(x, {_H}, 1)) lv, regexp_extract(x, {_H}, 2) title from h),
+    k as (select *, coalesce(lead(i) over (partition by doc_id order by i) - 1, n) e from m where lv > 0),
+    above as (select a.doc_id, a.i, string_agg(repeat('#', b.lv) || ' ' || b.title || chr(10), '' order by b.i) parents from k a join k b on a.doc_id = b.doc_id and b.i < a.i and b.lv < a.lv
+      where not exists (select 1 from k c where c.doc_id = a.doc_id and c.i > b.i and c.i <= a.i and c.lv <= b.lv) group by a.doc_id, a.i),
+    body as (select k.doc_id, k.i, k.e, k.lv, string_agg(m.x, chr(10) order by m.i) x, bool_or(m.i > k.i and trim(regexp_replace(m.x, '\\s+', ' ', 'g')) <> '') worded from k join m on m.doc_id = k.doc_id and m.i between k.i and k.e group by all),
+    first as (select doc_id, min(i) i from k group by doc_id), root as (select m.doc_id, count(*) e, string_agg(x, chr(10) order by m.i) x, bool_or(trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') worded from m join first f on f.doc_id = m.doc_id and m.i < f.i group by m.doc_id)
+    select doc_id, i::int start_line, e::int end_line, 'h' || lv || '_section' element_type, sha256(coalesce(parents, '') || x) as content from body left join above using (doc_id, i) where worded
+    union all select doc_id, 1, e::int, 'root_content', sha256(x) from root where worded""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.markdown_sections(_headed(spark, sf_dir)).withColumn("content", F.sha2("content", 256))
+    headed = _headed(spark, sf_dir).where(F.col("text").rlike(r"(?m)^#{1,6}\s+\S"))
+    return chunks.markdown_sections(headed, limit=1 << 30).withColumn("content", F.sha2("content", 256))
 
 
 @query("""with d as (select doc_id, string_split_regex(replace(text, chr(10), chr(10) || '---' || chr(10)), '(?m)^---\\s*$') p from documents), u as (select doc_id, unnest(generate_series(0, len(p) - 1)) document, p from d)

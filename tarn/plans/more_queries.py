@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import clusters, conversations, events, tagging
+from tarn.operators import conversations, events, tagging
 from tarn.plans.register import query
 from tarn.session import table
 
@@ -112,10 +112,3 @@ def tag_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     corpus = {f"tag{r['vec_id']}": r["embedding"] for r in v.where("vec_id in (1, 2, 3)").collect()}  # a corpus of three
     return v.select("vec_id", F.inline(tagging.corpus_tags(F.col("embedding"), corpus, 0.2))).drop("source")
-
-
-@query()
-def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "embeddings")
-    found = clusters.greedy_clusters(points, "label", 0.2, "vec_id")
-    return clusters.metrics(clusters.cohesion(found, points, "vec_id"))

@@ -17,10 +17,15 @@ QUERY = "the tion der que handler upload_file.rs the"
 _PATTERNS = [(p.replace("*+", "*"), k) for p, k in fixed.TOKEN_PATTERNS]
 _ANY = ("(?s)" + "|".join(f"(?:{p})" for p, _ in _PATTERNS)).replace("'", "''")
 _KIND = "case " + " ".join("when regexp_full_match(t, '(?s)" + p.replace("'", "''") + f"') then '{k}'" for p, k in _PATTERNS) + " else 'Unknown' end"
-TOKENS_SQL = f"""raw as (select doc_id, unnest(regexp_extract_all(text, '{_ANY}')) t from documents),
-    kinds as (select doc_id, t, {_KIND} kind from raw),
-    toks as (select doc_id, case when kind = 'Identifier' then lower(t) else t end term, kind from kinds where kind <> 'Whitespace'),
-    post as (select doc_id, term, count(*) tf, 1 + ln(count(*)) weight from toks where kind in ('Identifier', 'Literal') group by all)"""
+def tokens_sql(source: str, key: str) -> str:
+    """raw, kinds, toks and post of a table's texts."""
+    return f"""raw as (select {key}, unnest(regexp_extract_all(text, '{_ANY}')) t from {source}),
+    kinds as (select {key}, t, {_KIND} kind from raw),
+    toks as (select {key}, case when kind = 'Identifier' then lower(t) else t end term, kind from kinds where kind <> 'Whitespace'),
+    post as (select {key}, term, count(*) tf, 1 + ln(count(*)) weight from toks where kind in ('Identifier', 'Literal') group by all)"""
+
+
+TOKENS_SQL = tokens_sql("documents", "doc_id")
 _QRAW = f"""qraw as (select unnest(regexp_extract_all('{QUERY}', '{_ANY}')) t),
     qk as (select t, {_KIND} kind from qraw),
     qt as (select case when kind = 'Identifier' then lower(t) else t end term from qk where kind <> 'Whitespace')"""

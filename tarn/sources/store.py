@@ -55,7 +55,9 @@ class VectorStore:
         return fs.exists(where)
 
     def points(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        fs, where = self._fs()
+        filled = any(s.getPath().getName().startswith("repo=") for s in fs.listStatus(where))
+        return self.spark.read.parquet(self.path if filled else f"{self.path}/_empty")
 
     def ensure(self, schema: str | None = None) -> bool:
         """Whether the collection is there with its dimension; one of another dimension is dropped."""
@@ -68,8 +70,8 @@ class VectorStore:
         return False
 
     def create(self, schema: str) -> None:
-        """An empty collection: the folder and, in it, files of no points that carry the schema."""
-        self._write(self.spark.createDataFrame([], schema))
+        """An empty collection: a folder whose ``_empty`` table, which readers of it pass over, carries the schema."""
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/_empty")
 
     def drop(self) -> None:
         fs, where = self._fs()

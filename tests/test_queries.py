@@ -1,5 +1,7 @@
 """Every registered query runs; those with SQL equal it."""
 
+import re
+
 import pytest
 
 from tarn.plans.catalogue import ORACLE_SQL, QUERIES
@@ -18,13 +20,36 @@ def test_equals_sql(spark, sf_dir, db, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+def test_only_parsers_have_no_sql():
+    assert sorted(set(QUERIES) - set(ORACLE_SQL)) == ["code_chunk_rows"]
+
+
+def test_code_chunks_are_parts_of_their_files(spark, sf_dir):
+    """Every chunk is whole lines of its file; all declarations are in chunks; chunks of one kind in a file do not repeat."""
+    import hashlib
+
+    from tarn.operators import code_chunks
+    from tarn.plans.code_queries import source_files
+
+    files = {r["file_path"]: r["text"] for r in source_files(spark, sf_dir).collect()}
+    got = [tuple(r) for r in QUERIES["code_chunk_rows"](spark, sf_dir).select("file_path", "language", "start_line", "end_line", "element_type", "content").collect()]
+    assert got and len(set(got)) == len(got)
+    starts = {"python": r"^(?:async\s+)?def |^class ", "rust": r"^pub fn ", "go": r"^func |^type ", "ruby": r"^module "}
+    covered = {}
+    for path, language, first, last, kind, digest in got:
+        lines = files[path].split("\n")
+        assert 1 <= first <= last <= len(lines)
+        whole = [c for c in code_chunks.code_chunks(files[path], language) if c[:3] == (first, last, kind)]
+        assert digest in {hashlib.sha256(c[3].encode()).hexdigest() for c in whole}
+        assert all(c[3].endswith("\n".join(lines[first - 1 : last])) for c in whole)
+        covered.setdefault(path, set()).update(range(first, last + 1))
+    for path, text in files.items():
+        pattern = starts.get(path.rsplit(".", 1)[-1].replace("py", "python").replace("rs", "rust").replace("rb", "ruby"))
+        if pattern:
+            assert all(i in covered.get(path, ()) for i, x in enumerate(text.split("\n"), 1) if re.match(pattern, x))
 
 
-@pytest.mark.parametrize("name", ["debounce_stream", "windowed_counts_stream", "inactivity_stream", "delta_accumulate_stream"])
+@pytest.mark.parametrize("name", ["debounce_stream", "windowed_counts_stream", "inactivity_stream", "delta_accumulate_stream", "stream_pairs"])
 def test_streams_read_folders(spark, sf_dir, tmp_path, name):
     for table in ("events", "conversations"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
