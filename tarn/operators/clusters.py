@@ -49,8 +49,9 @@ def similar_pairs(points: DataFrame, within: str, least: float, id_col: str = "i
             p, q = np.nonzero(scores >= least)
             a, b = ids[some[p]], ids[right][q]
             once = a < b if pdf.i[0] == pdf.j[0] else slice(None)
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "score": scores[p, q][once]}))
-        return pd.concat(out)
+            out.append((np.minimum(a, b)[once], np.maximum(a, b)[once], scores[p, q][once]))
+        whole = [np.concatenate(x) for x in zip(*out)] if out else [ids[:0], ids[:0], np.empty(0)]
+        return pd.DataFrame(dict(zip(("a", "b", "score"), whole)))
 
     return seated.groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions import fixed
+from tarn.functions.frames import settled
 from tarn.functions.text import file_type, ignored_by_map, lines, lookup, parser_language
 
 COMMENT = r"^\s*(?://|#|/\*|\*|\"\"\")"
@@ -23,17 +24,15 @@ MARKERS = r"^(?:///)*(?://)*#*(?:/\*)*\**(?:\"\"\")*"
 def contextual_lines(files: DataFrame, text: str = "text", around: int = 2) -> DataFrame:
     """One row per line: line_number, line, context (the lines around it), docstring (the comment seen last, if any)."""
     rest = [c for c in files.columns if c != text]
-    every = files.select(*rest, lines(F.col(text)).alias("_l"))
+    every = settled(files.select(*rest, F.col(text).alias("_t")), {"_l": lines(F.col("_t"))}).drop("_t")
     doc = F.transform("_l", lambda x: F.when(x.rlike(COMMENT), F.trim(F.regexp_replace(x, MARKERS, ""))))
-    every = every.withColumn("_d", doc)
-    # the comment seen last: a fold that carries it along
-    carried = F.aggregate(
-        F.col("_d"),
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last")),
-        lambda a, d: F.struct(F.array_append(a["out"], F.coalesce(d, a["last"])).alias("out"), F.coalesce(d, a["last"]).alias("last")),
-        lambda a: a["out"],
-    )
-    rows = every.withColumn("_c", carried).select(*rest, "_l", "_c", F.posexplode("_l").alias("_i", "line"))
+    every = settled(every, {"_d": doc, "_n": F.size("_l")})
+    marks = F.filter(F.transform("_d", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    every = settled(every, {"_p": marks})
+    # the comment seen last: each comment as often as there are lines up to the next one
+    runs = F.flatten(F.transform("_p", lambda p, k: F.array_repeat(F.get("_d", p), F.coalesce(F.get("_p", k + 1), F.col("_n")) - p)))
+    carried = F.concat(F.array_repeat(F.lit(None).cast("string"), F.coalesce(F.get("_p", F.lit(0)), F.col("_n"))), runs)
+    rows = settled(every, {"_c": carried}).select(*rest, "_l", "_c", F.posexplode("_l").alias("_i", "line"))
     start = F.greatest(F.col("_i") - around, F.lit(0))
     context = F.array_join(F.slice("_l", start + 1, F.col("_i") + around + 1 - start), "\n")
     return rows.select(*rest, (F.col("_i") + 1).alias("line_number"), "line", context.alias("context"), F.get("_c", F.col("_i")).alias("docstring"))
@@ -74,11 +73,11 @@ def _kind(kind: str, line: Column, context: Column) -> Column:
     return F.lit(kind)
 
 
-def scan(rows: DataFrame, language: str, most_calls: int = 10) -> DataFrame:
-    """Symbols of contextual lines of one language: name, kind, params, calls beside the lines' own columns."""
+def found(language: str, most_calls: int = 10) -> Column:
+    """Symbols (name, kind, params, calls) of a contextual line of one language."""
     mode, patterns = fixed.SYMBOLS[language]
     line, context = F.col("line"), F.col("context")
-    found = []
+    out = []
     for kind, pattern in patterns:
         name = F.regexp_extract(line, pattern, 1)
         if language == "markdown":
@@ -95,23 +94,24 @@ def scan(rows: DataFrame, language: str, most_calls: int = 10) -> DataFrame:
         good = line.rlike(pattern) & _condition(kind, context, line)
         if kind == "CppFunction":
             good = good & ~name.isin("if", "while", "for", "switch", "catch")
-        found.append((good, symbol))
+        out.append((good, symbol))
     if mode == "all":
-        symbols = F.array_compact(F.array(*(F.when(good, symbol) for good, symbol in found)))
-    else:
-        symbols = F.array_compact(F.array(reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed(found), F.lit(None))))
-    return rows.select(*rows.columns, F.inline(symbols))
+        return F.array_compact(F.array(*(F.when(good, symbol) for good, symbol in out)))
+    return F.array_compact(F.array(reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed(out), F.lit(None))))
+
+
+def scan(rows: DataFrame, language: str, most_calls: int = 10) -> DataFrame:
+    """Symbols of contextual lines of one language: name, kind, params, calls beside the lines' own columns."""
+    return rows.select(*rows.columns, F.inline(found(language, most_calls)))
 
 
 def repo_map(files: DataFrame, text: str = "text", path: str = "file_path", most_calls: int = 10) -> DataFrame:
-    """Symbols of all files of known languages outside ignored folders."""
+    """Symbols of all files of known languages outside ignored folders, in one pass over the files."""
     language = F.when(F.col(path).endswith(".vue"), "vue").otherwise(parser_language(F.col(path)))
-    rows = contextual_lines(files.where(~ignored_by_map(F.col(path))).withColumn("_language", language), text)
-    out = None
-    for name in fixed.SYMBOLS:
-        part = scan(rows.where(F.col("_language") == name), name, most_calls)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("_language", "language")
+    known = files.where(~ignored_by_map(F.col(path))).withColumn("language", language).where(F.col("language").isin(*fixed.SYMBOLS))
+    rows = contextual_lines(known, text)
+    every = reduce(lambda rest, name: F.when(F.col("language") == name, found(name, most_calls)).otherwise(rest), fixed.SYMBOLS, F.lit(None))
+    return rows.select(*rows.columns, F.inline(every))
 
 
 def kind_label(kind: Column) -> Column:

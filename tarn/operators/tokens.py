@@ -56,12 +56,6 @@ def term_rows(docs: DataFrame, id_col: str, text: Column, kinds: tuple[str, ...]
     return token_rows(docs, [id_col], text).where(F.col("kind").isin(*kinds)).select(id_col, "term")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` in as many partitions as there are cores at least: a small table may be one split, its tokens are work for all."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def postings(docs: DataFrame, id_col: str, text: Column, name: Column | None = None, only: list[str] | None = None) -> DataFrame:
     """(id, term, tf, weight): tf counts 2 for a term that is also in the document's file name; weight = 1 + ln tf.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import fixed
+from tarn.functions.frames import spread
 from tarn.functions.text import lines
 from tarn.operators import code_intel, symbols
 from tarn.plans.register import query
@@ -42,9 +43,7 @@ def _filled(template: str, a: Column, b: Column) -> Column:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, file_path, language, text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cores = spark.sparkContext.defaultParallelism
-    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
     def code(templates: list[str]):
         def one(line: Column, i: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import fixed, text
+from tarn.functions.frames import spread
 from tarn.operators import chunks, code_chunks, code_intel, repositories, symbols
 from tarn.plans.code_queries import source_files
 from tarn.plans.register import query
@@ -17,9 +18,13 @@ _EXTS = "[" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "]"
 _PATHS = f"paths as (select doc_id, source || '/' || case doc_id % 7 when 0 then 'main' when 1 then 'test_' when 2 then 'app_config' else 'file' end || doc_id || '.' || {_EXTS}[1 + doc_id % {len(EXTENSIONS)}] file_path, text, lang, n_chars from documents)"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files of many kinds."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     name = F.when(F.col("doc_id") % 7 == 0, "main").when(F.col("doc_id") % 7 == 1, "test_").when(F.col("doc_id") % 7 == 2, "app_config").otherwise("file")
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (1 + F.col("doc_id") % len(EXTENSIONS)).cast("int"))
     return docs.select("doc_id", F.concat("source", F.lit("/"), name, F.col("doc_id").cast("string"), F.lit("."), ext).alias("file_path"), "text", "lang", "n_chars")
@@ -29,7 +34,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, (i * 5 + 1)::int start_line, least((i + 1) * 5, len(l))::int end_line, 'fallback_chunk_' || i element_type, 'fallback' as language, sha256(array_to_string(l[i * 5 + 1:i * 5 + 5], chr(10))) content from b
     union all select doc_id, 1, 1, 'fallback_chunk', 'fallback', sha256('') from l where len(l) = 0""")
 def chunk_lines_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunks.fallback_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5)
+    found = chunks.fallback_chunks(_documents(spark, sf_dir).select("doc_id", "text"), size=5)
     return found.withColumn("content", F.sha2("content", 256))
 
 
@@ -41,7 +46,7 @@ _KIND = """case when contains(c, 'fn ') or contains(c, 'function ') or contains(
     t as (select doc_id, (i * 10 + 1)::int start_line, least((i + 1) * 10, len(l))::int end_line, array_to_string(l[i * 10 + 1:i * 10 + 10], chr(10)) c from b)
     select doc_id, start_line, end_line, {_KIND} element_type from t where trim(c) <> ''""")
 def chunk_lines_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.simple_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), size=10).drop("content")
+    return chunks.simple_chunks(_documents(spark, sf_dir).select("doc_id", "text"), size=10).drop("content")
 
 
 @query(f"""with l as (select page_id, {LINES.replace('text', 'html')} l from pages), b as (select page_id, l, unnest(generate_series(0, (len(l) + 19) // 20 - 1)) i from l where len(l) > 0)
@@ -53,13 +58,13 @@ def html_fallback_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with l as (select doc_id, {LINES} l from documents) select doc_id, array_to_string(l[2:4], chr(10)) part from l")
 def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.range_of_lines(F.col("text"), 2, 4).alias("part"))
+    return _documents(spark, sf_dir).select("doc_id", text.range_of_lines(F.col("text"), 2, 4).alias("part"))
 
 
 @query(f"""with l as (select doc_id, {LINES} l from documents), n as (select doc_id, len(l) n, list_transform(generate_series(2, least(len(l), 9)), lambda i: printf('%4d %s %s', i, case when i between 5 and 6 then '|' else ':' end, l[i])) s from l)
     select doc_id, array_to_string(['...'] || s || case when n > 9 then ['...'] else []::varchar[] end, chr(10)) snippet from n""")
 def snippet_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), 5, 6).alias("snippet"))
+    return _documents(spark, sf_dir).select("doc_id", text.snippet(F.col("text"), 5, 6).alias("snippet"))
 
 
 _LANG = "case regexp_extract(file_path, '[^/]\\.([^./]+)$', 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in fixed.PARSER_LANGUAGES.items()) + " else 'fallback' end"
@@ -108,7 +113,7 @@ _CONTEXT = f"l as (select doc_id, {LINES} l from documents), r as (select doc_id
 
 @query(f"with {_CONTEXT} select doc_id, i::int line_number, sha256(array_to_string(l[greatest(i - 2, 1):i + 2], chr(10))) context from r")
 def line_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = symbols.contextual_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = symbols.contextual_lines(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "line_number", F.sha2("context", 256).alias("context"))
 
 
@@ -118,7 +123,7 @@ _COMMENTED = "c as (select doc_id, i, case when i % 7 = 3 then '// ' || l[i] els
 
 def _commented(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.transform(text.lines(F.col("text")), lambda x, i: F.when((i + 1) % 7 == 3, F.concat(F.lit("// "), x)).otherwise(x))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(marked, "\n").alias("text"))
 
 
 @query(f"""with {_CONTEXT}, {_COMMENTED}, d as (select doc_id, i, case when regexp_matches(x, '^\\s*(?://|#|/\\*|\\*|\"\"\")') then trim(regexp_replace(x, '^(?:///)*(?://)*#*(?:/\\*)*\\**(?:\"\"\")*', '')) end d from c)
@@ -133,7 +138,7 @@ _HEADED = "h as (select doc_id, len(l) n, i, case when i % 3 = 1 then repeat('#'
 
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.transform(text.lines(F.col("text")), lambda x, i: F.when((i + 1) % 3 == 1, F.concat(F.repeat(F.lit("#"), (1 + F.floor((i + 1) / 3) % 6).cast("int")), F.lit(" "), x)).otherwise(x))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(marked, "\n").alias("text"))
 
 
 _H = "'^(#{1,6})\\s+(.+?)\\s*#*\\s*$'"
@@ -161,7 +166,7 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with d as (select doc_id, string_split_regex(replace(text, chr(10), chr(10) || '---' || chr(10)), '(?m)^---\\s*$') p from documents), u as (select doc_id, unnest(generate_series(0, len(p) - 1)) document, p from d)
     select doc_id, document::int document, 'document' element_type, md5(p[document + 1]) content from u where trim(regexp_replace(p[document + 1], '\\s+', ' ', 'g')) <> ''""")
 def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n---\n")).alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n---\n")).alias("text"))
     return chunks.yaml_documents(docs).withColumn("content", F.md5("content"))
 
 
@@ -169,7 +174,7 @@ def yaml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     list_filter(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '' and not regexp_matches(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^(//|#)'))[1] b from l), p as (select doc_id, len(l) n, coalesce(a, b, l[1]) x from t)
     select doc_id, case when n = 0 then '<empty content>' when strlen(x) > 120 then substr(x, 1, 117) || '...' else x end preview from p""")
 def preview_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", code_intel.preview(F.col("text"), F.lit("block"), F.lit("text")).alias("preview"))
+    return _documents(spark, sf_dir).select("doc_id", code_intel.preview(F.col("text"), F.lit("block"), F.lit("text")).alias("preview"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import fixed
+from tarn.functions.frames import spread
 from tarn.functions.text import filename_term
 from tarn.operators import search, tokens
 from tarn.plans.register import query
@@ -38,7 +39,7 @@ _COS = "list_dot_product(e.embedding::double[], v.q) / (sqrt(list_dot_product(e.
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
