@@ -7,8 +7,9 @@ first coordinate, and meet those of their slab and the next. Within a task a mat
 the union of what passes is verified on whole vectors in double precision. A pair is reported by the block that takes
 the least share of its budget, which has it by the pigeonhole principle, so no pair counts twice.
 
-Equal vectors are collapsed first. Slabs are dealt out in tiles of at most ``TILE`` vectors, by pairs of tiles, so that a
-crowded slab is many tasks. A task reports counts of links and a spanning forest, never all its pairs.
+Equal vectors are collapsed first. Slabs are dealt out in tiles of at most ``TILE`` vectors (``TILE_NUMBERS`` numbers), by
+pairs of tiles, so that a crowded slab is many tasks. A task reports counts of links and a spanning forest, never all its
+pairs.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths are not compared. Rows of the same vector are links of each other. Null ids: such a row takes no part and is its
@@ -29,7 +30,8 @@ from tarn.llm.common import checkpointed
 from tarn.llm.components import connected_components
 
 BLOCKS = 4
-TILE = 8192
+#: Vectors of a tile, fewer of long ones: so many numbers at most.
+TILE, TILE_NUMBERS = 8192, 1 << 22
 #: Rows of a tile compared at a time.
 STRIP = 256
 #: What single precision may add to a squared distance of unit vectors.
@@ -129,7 +131,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
     located = packed.mapInArrow(locate, "id long, n long, dim int, block int, slab long")
     # a slab is a radius wide and unit vectors reach from -1 to 1: few rows for each length of vector
-    crowd = {(r["dim"], r["block"], r["slab"]): -(-r["count"] // TILE) for r in located.groupBy("dim", "block", "slab").count().collect()}
+    tile = lambda dim: max(1, min(TILE, TILE_NUMBERS // dim))
+    crowd = {(r["dim"], r["block"], r["slab"]): -(-r["count"] // tile(r["dim"])) for r in located.groupBy("dim", "block", "slab").count().collect()}
     tiles = vectors.sparkSession.createDataFrame([(*k, m, crowd.get((k[0], k[1], k[2] + 1), 0), crowd.get((k[0], k[1], k[2] - 1), 0)) for k, m in crowd.items()], "dim int, block int, slab long, own int, after int, before int")
     placed = located.join(F.broadcast(tiles), ["dim", "block", "slab"]).withColumn("tile", F.expr("cast(pmod(xxhash64(id), own) as int)"))
     # as the left side: of its slab with tiles of its slab not before its own, and with tiles of the next slab

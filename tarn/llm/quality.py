@@ -35,6 +35,8 @@ TRAINING = 20_000
 #: Sample documents that must have a feature, and the statistic (one degree of freedom) that it must reach.
 LEAST_DOCS, LEAST_G = 3, 20.0
 RIDGE = 1.0
+#: Paths of sites up to this number are broadcast.
+FEW_SITES = 100_000
 #: A document goes below this probability of quality, or above this one of toxicity.
 GOOD, TOXIC = 0.5, 0.3
 MARKS = "".join(c for c in string.punctuation)
@@ -198,8 +200,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     paths = checkpointed(sums("host", "path"))
     hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"{t}_s").alias(f"{t}_s") for t in TARGETS)))
     total = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"{t}_s").alias(f"{t}_s") for t in TARGETS)).first()
-    scored = own.join(hosts.select("host", F.col("n").alias("hn"), *(F.col(f"{t}_s").alias(f"{t}_hs") for t in TARGETS)), "host")
-    scored = scored.join(paths.select("host", "path", F.col("n").alias("pn"), *(F.col(f"{t}_s").alias(f"{t}_ps") for t in TARGETS)), ["host", "path"])
+    few = F.broadcast if paths.count() <= FEW_SITES else lambda df: df  # more sites are joined by a shuffle, which AQE splits where one is hot
+    scored = own.join(few(hosts.select("host", F.col("n").alias("hn"), *(F.col(f"{t}_s").alias(f"{t}_hs") for t in TARGETS))), "host")
+    scored = scored.join(few(paths.select("host", "path", F.col("n").alias("pn"), *(F.col(f"{t}_s").alias(f"{t}_ps") for t in TARGETS))), ["host", "path"])
     both = paths.join(hosts.select("host", F.col("n").alias("hn"), *(F.col(f"{t}_s").alias(f"{t}_hs") for t in TARGETS)), "host")
     for t in TARGETS:
         if t not in models:
