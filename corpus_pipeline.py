@@ -1,13 +1,15 @@
 """Corpus preparation: ``documents`` through the stages below, each over all that its predecessor kept.
 
-1. quality: documents below the quality or above the toxicity threshold go; rows without an id stay.
+1. quality: documents below the quality or above the toxicity threshold go.
 2. lines: of lines that repeat, exactly or nearly, the first stays; documents stay, if need be with an empty text.
-3. near_duplicates: of each group of near duplicates (shingles of five words, similarity 0.8) the document of least id
-   stays; of several rows of one id, one. Documents without words are duplicates of none.
+3. near_duplicates: of each group of near duplicates (shingles of five words, similarity 0.8) the first stays, that of
+   least id (none last). Documents without words are duplicates of none; of rows equal in id and text one stays.
 4. personal_data: what is found is replaced by its kind in angle brackets.
 5. packing: the rest in sequences of 1024 tokens, one row per piece.
 
-Null texts pass all stages (the last packs them as empty), extra columns all but the last, empty tables give empty ones.
+All stages decide by row, known by id and text: rows that share an id, or have none, are documents of their own. Null texts
+are judged by the first stage like empty ones, then pass (the last packs them as empty); extra columns pass all but the
+last; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -61,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before, docs = docs, written(stage(spark, docs, sf_dir), name)
         dropped(before)  # of what this function has written itself
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(docs)  # packing reads its checkpoint from here on
+    return packed
