@@ -38,8 +38,8 @@ MEMO = 60_000
 RANGE_ROWS = 50_000
 #: Draws are quantiles of Gamma(2, 1) at so many points.
 R_BITS, C_BITS = 18, 20
-#: Rows of the sample matrix gathered at a time, and code points of text compared at a time.
-BLOCK, SLICE = 16_384, 300_000
+#: Words drawn at a time, distinct words of a text that is not remembered, and code points of text compared at a time.
+DRAWN, BLOCK, SLICE = 4096, 16_384, 300_000
 
 
 def gamma2_quantiles(bits: int) -> np.ndarray:
@@ -83,8 +83,8 @@ class Sampler:
             self.rows.clear()
         # what a very long text holds is drawn as it goes and not remembered
         fresh = [k for k in dict.fromkeys(k for bag in bags if len(bag) <= BLOCK for k in bag) if k not in self.rows]
-        for i in range(0, len(fresh), 4096):
-            part, n = fresh[i : i + 4096], len(self.rows)
+        for i in range(0, len(fresh), DRAWN):
+            part, n = fresh[i : i + DRAWN], len(self.rows)
             while n + len(part) > len(self.matrix):
                 self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
             self.matrix[n : n + len(part)] = self.draw(part)
@@ -95,7 +95,7 @@ class Sampler:
             if len(bag) <= BLOCK:
                 least = self.matrix[np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag))].min(axis=0)
             else:
-                least = np.min([self.draw(bag[j : j + BLOCK]).min(axis=0) for j in range(0, len(bag), BLOCK)], axis=0)
+                least = np.min([self.draw(bag[j : j + DRAWN]).min(axis=0) for j in range(0, len(bag), DRAWN)], axis=0)
             bits = (least + np.float32(0)).view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             out[i] = np.maximum(bits >> np.uint64(48), 1)
         if len(self.matrix) > 4 * MEMO:
