@@ -164,17 +164,16 @@ def with_successors(docs: DataFrame) -> DataFrame:
     def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
         return pd.Series(names[range_numbers(ids.to_numpy(np.int64), hashes.to_numpy(np.int64), edges) % len(names)])
 
-    ranged = docs.withColumn("hash", F.xxhash64("text")).withColumn("range", range_of(number, "hash"))
-    # a row per range
-    found = ranged.groupBy("range").agg(F.min(F.struct(number.alias("number"), "hash")).alias("least"), F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")).alias("first")).collect()
-    firsts = [(r["range"], r["first"]["doc_id"], r["first"]["hash"]) for r in sorted(found, key=lambda r: (r["first"]["known"], *r["least"]))]
+    ranged = docs.select("*", F.xxhash64("text").alias("hash"), number.alias("number")).withColumn("range", range_of("number", "hash"))
+    least = {r["range"]: r["number"] for r in ranged.groupBy("range").agg(F.min("number").alias("number")).collect()}  # a row per range
     columns = ["range", F.lit(False).alias("tail"), "doc_id", "hash", "text"]
-    if not firsts:
+    if not least:
         return ranged.select(*columns)
-    following = [(here[0], *after[1:]) for here, after in zip(firsts, firsts[1:] + firsts[:1])]
-    heads = spark.createDataFrame(following, f"range int, head {docs.schema['doc_id'].dataType.simpleString()}, head_hash long")
-    # as many heads as ranges
-    tails = ranged.drop("range").join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash"))).groupBy("range").agg(F.min("text").alias("text"))
+    there = [int(r) for r in names if int(r) in least]  # in the order of ranges
+    heads = spark.createDataFrame([(here, after, least[after]) for here, after in zip(there, there[1:] + there[:1])], "before int, range int, number long")
+    # as many heads as ranges; of the rows of a head's id, the first by hash and text
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "hash", "text")).alias("first")
+    tails = ranged.join(F.broadcast(heads), ["range", "number"]).groupBy("before").agg(first).select(F.col("before").alias("range"), "first.text")
     both = ranged.select(*columns).unionByName(tails.select("range", F.lit(True).alias("tail"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("hash"), "text"))
     return both.repartition(n, "range").sortWithinPartitions("range", "tail", "doc_id", "hash", "text").drop("hash")
 
