@@ -33,7 +33,7 @@ from tarn.llm.common import documents
 
 SAMPLES = 64
 #: (word, weight) vectors that a worker keeps, 256 bytes each; emptied when full, which changes no result.
-MEMO = 60_000
+MEMO = 120_000
 #: Rows that a range should hold.
 RANGE_ROWS = 50_000
 #: Draws are quantiles of Gamma(2, 1) at so many points.
@@ -82,7 +82,7 @@ class Sampler:
         if len(self.rows) > MEMO:
             self.rows.clear()
         # what a very long text holds is drawn as it goes and not remembered
-        fresh = [k for k in dict.fromkeys(k for bag in bags if len(bag) <= BLOCK for k in bag) if k not in self.rows]
+        fresh = list(set().union(*(bag for bag in bags if len(bag) <= BLOCK)).difference(self.rows))
         for i in range(0, len(fresh), DRAWN):
             part, n = fresh[i : i + DRAWN], len(self.rows)
             while n + len(part) > len(self.matrix):
@@ -98,7 +98,7 @@ class Sampler:
                 least = np.min([self.draw(bag[j : j + DRAWN]).min(axis=0) for j in range(0, len(bag), DRAWN)], axis=0)
             bits = (least + np.float32(0)).view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             out[i] = np.maximum(bits >> np.uint64(48), 1)
-        if len(self.matrix) > 4 * MEMO:
+        if len(self.matrix) > 3 * MEMO:
             self.rows.clear()
             self.matrix = np.empty((1024, SAMPLES), np.float32)
         return out
