@@ -37,6 +37,12 @@ RRF = SearchConfig(dense_multiplier=5, sparse_multiplier=7)
 DOCUMENT = SearchConfig(fusion="dbsf", dense_multiplier=3, sparse_multiplier=4, filename_boost=1.5)
 
 
+def branch_of(asked: Column, active: Column, default: Column) -> Column:
+    """The branch that a search is about: the one asked for, else the active one, else the repository's default."""
+    given = lambda c: F.when(F.trim(c) != "", c)
+    return F.coalesce(given(asked), given(active), given(default), F.lit("main"))
+
+
 def dense_topk(points: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, score) of the k nearest; scores rounded to 6 digits, ties by id."""
     score, descending = vectors.METRICS[metric]

@@ -227,3 +227,21 @@ def code_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = code_intel.context_info(F.col("text"), F.lit("function"), F.lit("rust"))
     files = source_files(spark, sf_dir).where("language = 'rust' and contains(text, 'fn ') and contains(text, 'impl ')")
     return files.select("doc_id", info.alias("i")).select("doc_id", "i.signature", "i.parent_name", "i.description")
+
+
+def _signature_sql(language: str, base: str) -> str:
+    patterns = next(p for elements, p in fixed.SIGNATURES[base] if "function" in elements)
+    found = "case " + " ".join(f"when regexp_matches(c, {_q(p)}) then regexp_extract(c, {_q(p)})" for p in patterns) + " end"
+    found = f"trim(regexp_replace({found}, '^\\s+|\\s+$', '', 'g'))"
+    return f"when '{language}' then " + (f"replace({found}, ':', '')" if base == "python" else found)
+
+
+def _parent_sql(language: str, base: str) -> str:
+    return f"when '{language}' then case " + " ".join(f"when regexp_matches(c, {_q(p)}) then regexp_extract(c, {_q(p)}, 1)" for p in fixed.PARENTS[base]) + " end"
+
+
+@query(f"""with {FILES_SQL}, {_TEXTS} select doc_id, "language", case "language" {" ".join(_signature_sql(*x) for x in _languages_with(fixed.SIGNATURES))} end signature, case "language" {" ".join(_parent_sql(*x) for x in _languages_with(fixed.PARENTS))} end parent from whole where c <> ''""")
+def code_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first signature and parent in each file, in all languages that have any."""
+    files = source_files(spark, sf_dir).where("text <> ''")
+    return files.select("doc_id", "language", code_intel.signature(F.col("text"), F.lit("function"), F.col("language")).alias("signature"), code_intel.parent_name(F.col("text"), F.col("language")).alias("parent"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import embedding, fixed, text, vectors
-from tarn.operators import chunks, clusters, conversation_search, conversations, events, search, snapshots, symbols, tagging, tokens
+from tarn.operators import chunks, clusters, code_chunks, conversation_search, conversations, events, search, snapshots, symbols, tagging, tokens
 from tarn.plans.file_queries import _PATHS, _files
 from tarn.plans.more_queries import _C, _conversations
 from tarn.plans.register import query
@@ -432,3 +432,32 @@ def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auto_page_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(m, f, symbols.files_per_page(m, f, 100)) for m, f in ((10, 1), (1000, 50), (5000, 10), (0, 0))]
     return spark.createDataFrame(rows, "lines int, files int, per_page int")
+
+
+@query("select doc_id, coalesce(case when doc_id % 3 = 0 then 'asked' || doc_id % 5 end, nullif(case when doc_id % 4 = 0 then 'active' else '' end, ''), case when doc_id % 7 > 0 then 'trunk' end, 'main') branch from documents")
+def default_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    branch = search.branch_of(F.when(i % 3 == 0, F.concat(F.lit("asked"), i % 5)), F.when(i % 4 == 0, "active").otherwise(""), F.when(i % 7 > 0, "trunk"))
+    return table(spark, sf_dir, "documents").select("doc_id", branch.alias("branch"))
+
+
+@query(f"with {_PATHS} select file_path from paths where lower({_EXT}) in ('rs', 'py', 'go')")
+def extension_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.visible(_files(spark, sf_dir), ["RS", "py", "go"]).select("file_path")
+
+
+@query(f"with {_PATHS} select file_path, ends_with(file_path, '.md') or contains(file_path, 'main1') or file_path = 'src3/file3.py' ignored from paths")
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).select("file_path", snapshots.ignored(F.col("file_path"), ["*.md", "main1", "src3/file3.py"]).alias("ignored"))
+
+
+def _line_parser(content: str) -> list[tuple[int, int, str, str]]:
+    return [(i, i, "line", line) for i, line in enumerate(content.split("\n"), 1) if line]
+
+
+@query("""with l as (select doc_id, string_split(text, chr(10)) l from documents where lang = 'en' and text is not null), e as (select doc_id, unnest(l) x, unnest(generate_series(1, len(l))) i from l)
+    select doc_id, i::int start_line, i::int end_line, 'line' element_type, sha256(x) as content from e where x <> ''""")
+def own_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser handed in by the caller for a language of its own."""
+    docs = _documents(spark, sf_dir).where("lang = 'en'").withColumnRenamed("lang", "language")
+    return code_chunks.chunk_files(docs, parsers={"en": _line_parser}).drop("language").withColumn("content", F.sha2("content", 256))
