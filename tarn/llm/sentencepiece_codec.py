@@ -6,6 +6,8 @@ of a batch share one array-backed agenda (each round pops every segment's best p
 segments are remembered in a bounded memo. What an Arrow slice adds to the memo is checked, id by id, against the
 sentencepiece library, and the library decodes; a difference raises.
 
+A model of another type, with a normaliser of its own or with user-defined pieces is refused.
+
 Cases: a null text is an empty one and has no ids; empty texts give no ids and decode to an empty text. Repeated rows
 are encoded each; extra columns of the input are ignored.
 """
@@ -48,7 +50,9 @@ class MergeVocabulary:
             raise ValueError("only merge-type vocabularies with the identity normaliser are supported")
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.prefix = SPACE if spec.add_dummy_prefix else ""
-        pieces = [(i, p.piece, p.score) for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER_DEFINED)]
+        if any(p.type == USER_DEFINED for p in model.pieces):
+            raise ValueError("vocabularies with user-defined pieces are not supported")
+        pieces = [(i, p.piece, p.score) for i, p in enumerate(model.pieces) if p.type == NORMAL]
         self.ids = {piece: i for i, piece, _ in pieces}
         self.n_pieces = len(model.pieces)
         self.byte_ids = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if model.trainer_spec.byte_fallback else None
