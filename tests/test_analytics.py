@@ -99,11 +99,11 @@ def stream(spark, tmp_path):
     return spark.readStream.schema("path string, ts timestamp, kind string").parquet(str(tmp_path / "e"))
 
 
-def test_debounce_stream(stream):
-    out = jobs.to_memory(jobs.debounce(stream, "path", "ts", "kind"), "debounced")
+def test_debounce_stream(stream, tmp_path):
+    out = jobs.to_table(jobs.debounce(stream, "path", "ts", "kind"), f"{tmp_path}/rows", f"{tmp_path}/state")
     assert sorted((r["path"], r["kind"], r["n"]) for r in out.collect()) == [("f", "modify", 2), ("f", "remove", 1)]
 
 
-def test_inactivity_stream(stream):
-    out = jobs.to_memory(jobs.inactivity(stream, "path", "ts"), "idle")
+def test_inactivity_stream(stream, tmp_path):
+    out = jobs.to_table(jobs.inactivity(stream, "path", "ts"), f"{tmp_path}/rows", f"{tmp_path}/state")
     assert ("f", "Paused") in {(r["path"], r["status"]) for r in out.collect()}
