@@ -123,6 +123,11 @@ def dropped(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` (a few narrow columns, read twice) marked for a broadcast if it has no more than ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 @contextmanager
 def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` as a table in the shared folder while the block runs."""

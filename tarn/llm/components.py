@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, scratch
+from tarn.llm.common import checkpointed, few, scratch
 
 #: What one task compares with one another: so many texts, or (with few long ones) so many code points.
 TILE, TILE_CHARS = 1024, 16_000_000
@@ -76,7 +76,8 @@ def linked_groups(bucket: DataFrame, payload: Callable[[DataFrame], DataFrame],
     leaders = bucket.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("g"))
     met = checkpointed(bucket.join(leaders, "key").select("g", "id").distinct())
     wanted = lambda n, chars: F.ceil(F.greatest(n / TILE, chars / TILE_CHARS)).cast("int")
-    with scratch(payload(met.select("id").distinct()).select("id", "node", F.length("text").alias("size"), "text"), "candidates") as texts:
+    # ids that are few spare the texts a shuffle
+    with scratch(payload(few(met.select("id").distinct())).select("id", "node", F.length("text").alias("size"), "text"), "candidates") as texts:
         grouped = met.join(texts.select("id", "node", "size"), "id")
         tiles = grouped.groupBy("g").agg(wanted(F.count("*"), F.sum("size")).alias("tiles")).withColumn("tiles", F.greatest("tiles", F.lit(1)))
         tiled = checkpointed(grouped.join(tiles, "g").withColumn("tile", F.expr("cast(pmod(xxhash64(node, g), tiles) as int)")))

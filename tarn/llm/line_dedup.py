@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import beside, checkpointed, documents, settled, sliced, with_hashes
+from tarn.llm.common import beside, checkpointed, documents, few, settled, sliced, with_hashes
 from tarn.llm.components import linked_groups, probed_buckets
 
 EDITS = 2
@@ -205,7 +205,7 @@ def line_decisions(docs: DataFrame, least_chars: int = LEAST_CHARS, edits_from:
     firsts = classed.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
     # of a class of one line that occurs once there is nothing to decide
     decided = checkpointed(classed.where("component is not null or n > 1").join(firsts, "component", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("stays"), (F.coalesce("class_first", "first") != F.col("first")).alias("near")))
-    there = lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2").join(decided, ["h1", "h2"])
+    there = lines.select("doc_id", "t1", "t2", "line_no", "h1", "h2").join(few(decided, 200_000), ["h1", "h2"])
     return there.where(~place.eqNullSafe(F.col("stays"))).select("doc_id", "t1", "t2", "line_no", "near")
 
 

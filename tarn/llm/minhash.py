@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import beside, checkpointed, documents, map_batches, with_hashes
+from tarn.llm.common import beside, checkpointed, documents, few, map_batches, with_hashes
 from tarn.llm.components import linked_groups, shared_buckets
 
 CHUNKS, WIDTH = 8, 4
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = sets.select(short.alias("id"), F.col("set_id").alias("node"), F.xxhash64(F.col("rep.no_id"), F.col("rep.doc_id")).alias("h0"), "rep.h1", "rep.h2").join(ids, "id", "left_semi")
+        wanted = few(checkpointed(wanted), 300_000)
         there = with_hashes(docs).withColumn("h0", F.xxhash64(F.col("doc_id").isNull(), "doc_id"))
         # rows equal in id and text are met as one
         whole = there.join(wanted, ["h0", "h1", "h2"], "left_semi").groupBy("h0", "h1", "h2").agg(F.min("text").alias("text"))
