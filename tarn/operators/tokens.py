@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import fixed
 from tarn.functions.text import filename_term
+from tarn.session import checkpointed
 
 # Alternatives begin with different characters but for those that the table's order keeps apart, so the frequent ones may
 # be tried first.
@@ -44,9 +45,15 @@ def tokens(text: Column, keep_whitespace: bool = False, lower_identifiers: bool
     return found
 
 
-def token_rows(docs: DataFrame, keep: list, text: Column) -> DataFrame:
-    """(.., term, kind), one row for each token but white space; rows are made first, so kinds are compiled code."""
-    rows = docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(ANY_TOKEN), F.lit(0))).alias("_t"))
+def token_rows(docs: DataFrame, keep: list, text: Column, only: list[str] | None = None) -> DataFrame:
+    """(.., term, kind), one row for each token but white space (and, with ``only``, but what cannot be one of a few terms).
+
+    Rows are made first, so kinds are compiled code.
+    """
+    found = F.regexp_extract_all(text, F.lit(ANY_TOKEN), F.lit(0))
+    if only is not None:
+        found = F.filter(found, lambda t: F.lower(t).isin(*(x.lower() for x in only)))
+    rows = docs.select(*keep, F.explode(found).alias("_t"))
     kinds = rows.withColumn("kind", kind_of(F.col("_t"))).where("kind <> 'Whitespace'")
     return kinds.withColumn("term", F.when(F.col("kind") == "Identifier", F.lower("_t")).otherwise(F.col("_t"))).drop("_t")
 
@@ -69,7 +76,7 @@ def postings(docs: DataFrame, id_col: str, text: Column, name: Column | None = N
     if name is not None:
         docs = docs.select("*", *names)
         names = ["_name"]
-    terms = token_rows(docs, [id_col, *names], text).where(F.col("kind").isin(*INDEXED))
+    terms = token_rows(docs, [id_col, *names], text, only).where(F.col("kind").isin(*INDEXED))
     if only is not None:
         terms = terms.where(F.col("term").isin(*only))
     count = F.sum(F.when(F.array_contains("_name", F.col("term")), 2).otherwise(1)) if name is not None else F.count("*")
@@ -86,7 +93,7 @@ def vocabulary(terms: DataFrame, range_terms: int = 100_000) -> DataFrame:
     Ids are dealt by ranges of terms, whose bounds come from a sample of what there is: counts of ranges are summed, so no
     task numbers the whole vocabulary, and a common beginning is as many ranges as its terms need.
     """
-    unique = terms.select("term").distinct()
+    unique = checkpointed(terms.select("term").distinct())  # read three times
     many = unique.agg(F.approx_count_distinct("term").alias("n")).first()["n"]
     bounds = []
     if many > range_terms:
