@@ -36,3 +36,34 @@ near as (select a, b from common join firsts fa on fa.id = a join firsts fb on f
 links as (select a, b from near union all select b, a from near union all select f.id, s.id from sets s join firsts f using (k) where s.id <> f.id union all select s.id, f.id from sets s join firsts f using (k) where s.id <> f.id),
 nodes as (select distinct doc_id id from documents), {_COMPONENTS}
 select s.id doc_id, len(s) n_shingles, component_id, s.id = component_id kept from s join comp on comp.id = s.id"""
+
+_CRC = """entries as (select list(list_reduce(range(8), lambda c, _: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, b) order by b) t from range(256) r(b))"""
+_CODE = "xor(4294967295, list_reduce(list_transform(string_split({}, ''), lambda x: ord(x)::bigint), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256), 4294967295)) % 17"
+
+MERGED = f"""with d as (select doc_id, coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+line as (select doc_id, unnest(range(len(x))) k, unnest(x) base from (select doc_id, string_split(text, chr(10)) x from d)),
+names as (select doc_id, k::varchar name from line union all select doc_id, unnest(['row', 'lang', 'source']) from d), {_CRC},
+codes as (select doc_id, name, {_CODE.format("'L:' || doc_id || ':' || name")} l, {_CODE.format("'R:' || doc_id || ':' || name")} r from names, entries),
+whole as (select d.*, l, r from d join codes c on c.doc_id = d.doc_id and name = 'row'),
+units as (
+    select d.doc_id, name kind, 0 k, 0 behind, x base, case l when 0 then '' when 1 then x || '!' when 2 then x || '?' else x end a, case r when 0 then '' when 1 then x || '!' when 2 then x || '?' else x end b
+    from (select doc_id, 'lang' name, lang x from d union all select doc_id, 'source', source from d) d join codes c using (doc_id, name)
+    union all select doc_id, 'line', k, 0, base, case l when 0 then null when 1 then base || '!' when 2 then base || '?' else base end, case r when 0 then null when 1 then base || '!' when 2 then base || '?' else base end
+    from line join codes using (doc_id) where name = k::varchar
+    union all select doc_id, 'gap', k, 1, null, case l when 3 then '!' when 4 then '?' end, case r when 3 then '!' when 4 then '?' end from line join codes using (doc_id) where name = k::varchar
+), seen as (select doc_id, kind, k, behind, base, if(w.l = 0, base, a) a, if(w.r = 0, base, b) b from units join whole w using (doc_id)),
+judged as (select *, if(a is distinct from base, a, b) state, a is distinct from base and b is distinct from base and a is distinct from b clash, a is distinct from base or b is distinct from base new from seen),
+merged as (
+    select doc_id, max(state) filter (kind = 'lang') lang, max(state) filter (kind = 'source') source,
+        coalesce(string_agg(state, chr(10) order by k, behind) filter (kind in ('line', 'gap') and state is not null), '') text, count(*) filter (new and not clash) clean,
+        count(*) filter (clash and (kind in ('lang', 'source') or (kind = 'line' and a is not null and b is not null))) torn,
+        count(*) filter (clash and kind = 'line' and (a is null or b is null)) cut, count(*) filter (clash and kind = 'gap') met from judged group by doc_id
+), kept as (select m.*, l, r, (l = 0) <> (r = 0) and clean > 0 lost, l <> 0 and (r <> 0 or clean > 0) there from merged m join whole using (doc_id)),
+added as (
+    select -1 - doc_id doc_id, {{'lang': lang, 'source': source, 'text': if(l = 3, '!', '?')}} a, null b from whole where l in (3, 4)
+    union all select -5 - doc_id, null, {{'lang': lang, 'source': source, 'text': if(r = 3, '!', '?')}} from whole where r in (3, 4)
+), new as (select doc_id, max(a) a, max(b) b from added group by doc_id)
+select doc_id, if(there, lang, null) lang, if(there, source, null) source, if(there, sha256(text), null) text_sha256,
+    case when l <> 0 and r <> 0 then clean else (not lost)::bigint end n_clean, if(l <> 0 and r <> 0, torn, 0)::bigint n_edit_edit,
+    case when l <> 0 and r <> 0 then cut else lost::bigint end n_edit_delete, if(l <> 0 and r <> 0, met, 0)::bigint n_insert_insert from kept
+union all select doc_id, coalesce(a, b).lang, coalesce(a, b).source, sha256(coalesce(a, b).text), (a is null or b is null or a = b)::bigint, 0, 0, (a is not null and b is not null and a <> b)::bigint from new"""

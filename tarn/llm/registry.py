@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import oracles
+from tarn.llm.branch_merge import op13_merge
 from tarn.llm.chat import op2_chat
 from tarn.llm.embedding_dedup import op9_embeddings
 from tarn.llm.fingerprints import op8_fingerprints
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_embeddings": op9_embeddings,
     "op10_minhash": op10_minhash,
+    "op13_merge": op13_merge,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.CHAT, "op9_embeddings": oracles.VECTORS, "op10_minhash": oracles.NEAR}
+ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.CHAT, "op9_embeddings": oracles.VECTORS, "op10_minhash": oracles.NEAR, "op13_merge": oracles.MERGED}
