@@ -67,3 +67,25 @@ select doc_id, if(there, lang, null) lang, if(there, source, null) source, if(th
     case when l <> 0 and r <> 0 then clean else (not lost)::bigint end n_clean, if(l <> 0 and r <> 0, torn, 0)::bigint n_edit_edit,
     case when l <> 0 and r <> 0 then cut else lost::bigint end n_edit_delete, if(l <> 0 and r <> 0, met, 0)::bigint n_insert_insert from kept
 union all select doc_id, coalesce(a, b).lang, coalesce(a, b).source, sha256(coalesce(a, b).text), (a is null or b is null or a = b)::bigint, 0, 0, (a is not null and b is not null and a <> b)::bigint from new"""
+
+
+def _assigned(book: str) -> str:
+    """Each part's nearest entry of a codebook and its squared distance."""
+    gap = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in (1, 2, 3, 4))
+    return f"(select id, part, any_value(x) x, min({{'d': {gap}, 'e': entry}}) near from p join {book} using (part) group by id, part)"
+
+
+def _renewed(book: str) -> str:
+    means = ", ".join(f"floor(sum(x[{i}]) / count(*))::bigint" for i in (1, 2, 3, 4))
+    return f"(select part, entry, coalesce(m, c) c from {book} left join (select part, near.e entry, [{means}] m from {_assigned(book)} group by part, near.e) using (part, entry))"
+
+
+CODES = f"""with good as (
+    select vec_id id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), p as (select id, part, v[part * 4 + 1 : part * 4 + 4] x from good, range(16) r(part)),
+c0 as (select part, entry, x c from (select id, row_number() over (order by id) - 1 entry from good order by id limit 64) join p using (id)),
+c1 as materialized {_renewed("c0")}, c2 as materialized {_renewed("c1")}, done as {_assigned("c2")},
+digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) h from c2),
+coded as (select id, string_agg(printf('%02x', near.e), '' order by part) code, sum(near.d)::bigint error from done group by id)
+select id vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, h codebooks_sha256 from coded join good using (id), digest"""
