@@ -89,3 +89,11 @@ c1 as materialized {_renewed("c0")}, c2 as materialized {_renewed("c1")}, done a
 digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) h from c2),
 coded as (select id, string_agg(printf('%02x', near.e), '' order by part) code, sum(near.d)::bigint error from done group by id)
 select id vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, h codebooks_sha256 from coded join good using (id), digest"""
+
+REPEATS = """with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+windows as (select doc_id, i, hash(x) a, md5(x) b from (select doc_id, i, array_to_string(w[i : i + 19], ' ') x from (select doc_id, w, unnest(range(1, len(w) - 18)) i from w where len(w) >= 20))),
+marked as (select doc_id, i, row_number() over (partition by a, b order by doc_id, i) > 1 again from windows),
+words as (select doc_id, unnest(range(1, len(w) + 1)) i, unnest(w) word from w),
+kept as (select doc_id, i, word, coalesce(max(again::int) over (partition by doc_id order by i rows between 19 preceding and current row), 0) gone from words left join marked using (doc_id, i)),
+found as (select doc_id, count(*) n, sum(gone) removed, string_agg(word, ' ' order by i) filter (gone = 0) kept from kept group by doc_id)
+select d.doc_id, coalesce(n, 0) n_words, coalesce(removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents d left join found using (doc_id)"""

@@ -18,6 +18,7 @@ from tarn.llm.pii import op7_pii
 from tarn.llm.quality import op3_quality
 from tarn.llm.sentencepiece_codec import op1_sentencepiece
 from tarn.llm.sharding import op4_sharding
+from tarn.llm.substrings import op11_substrings
 from tarn.llm.vector_codes import op12_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,8 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_embeddings": op9_embeddings,
     "op10_minhash": op10_minhash,
+    "op11_substrings": op11_substrings,
     "op12_vector_codes": op12_vector_codes,
     "op13_merge": op13_merge,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.CHAT, "op9_embeddings": oracles.VECTORS, "op10_minhash": oracles.NEAR, "op12_vector_codes": oracles.CODES, "op13_merge": oracles.MERGED}
+ORACLE_SQL: dict[str, str] = {"op2_chat": oracles.CHAT, "op9_embeddings": oracles.VECTORS, "op10_minhash": oracles.NEAR, "op11_substrings": oracles.REPEATS, "op12_vector_codes": oracles.CODES, "op13_merge": oracles.MERGED}
