@@ -130,15 +130,19 @@ class Codebooks:
 
     def __init__(self, books: np.ndarray):
         self.books = books
-        self.trees = [plant(b) for b in books]
         self.reach = int(np.abs(books).max()) if books.size else 0
+        self.trees = [plant(b) for b in self.exact(books, 2 * self.reach)]
+
+    @staticmethod
+    def exact(x: np.ndarray, gap: int) -> np.ndarray:
+        """``x``, as whole numbers of any size where squared distances of gaps up to ``gap`` may not fit a long."""
+        return x.astype(object) if gap * gap * x.shape[2] > LONG // 2 else x
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries and squared distances (vectors by parts) of integer vectors."""
         x = x.reshape(len(x), PARTS, -1)
-        wide = (self.reach + int(np.abs(x).max(initial=0))) ** 2 * x.shape[2] > LONG // 2
-        books = self.books.astype(object) if wide else self.books  # else whole numbers of any size
-        x = x.astype(object) if wide else x
+        gap = self.reach + int(np.abs(x).max(initial=0))
+        books, x = self.exact(self.books, gap), self.exact(x, gap)
         found = [Search(b, t, x[:, i]) for i, (b, t) in enumerate(zip(books, self.trees))]
         return np.stack([s.entry for s in found], axis=1), np.stack([s.best for s in found], axis=1)
 
@@ -212,7 +216,7 @@ def coder(books: Codebooks, kept: list[str]) -> Callable[[Iterator[pa.RecordBatc
 def compress(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Codebooks]:
     """vec_id, label, code, error of the usable rows of ``vectors(vec_id, label, embedding)``, and the codebooks."""
     good, first = first_vectors(usable(vectors))
-    books = Codebooks(first.reshape(len(first), PARTS, -1).swapaxes(0, 1))
+    books = Codebooks(first.reshape(len(first), PARTS, first.shape[1] // PARTS).swapaxes(0, 1))
     if len(first):
         for _ in range(rounds):
             books = refined(good, books)
