@@ -4,12 +4,15 @@ A window is ``width`` consecutive words of one document; it repeats if the same
 a repeating window go.
 
 Candidates. The key of a window is the least hash of its runs of four words, so equal windows have equal keys. Successive
-windows of one key are a segment. A segment whose key occurs nowhere else, and once in itself, holds no repeating window and
-goes no further. Of segments
-with equal words the first represents all others, whose windows all repeat (a minimum that is combined before it is
-shuffled, so a passage in a third of all documents is one row). Representatives are dealt to shards by key. A key with more
-than ``CROWD`` different segments (a passage's edge, in as many surroundings) would crowd a shard: its segments are taken
-apart into windows, again one for each wording, which are dealt by their own words.
+windows of one key are a segment. A segment whose key occurs nowhere else, and once in itself, holds no repeating window.
+Keys are counted; those that count more than once are kept in a Bloom filter of bounded size (``FILTER_BITS``), and only
+segments that pass it go further. Where the corpus has more shared keys than the filter can tell, more segments pass, all
+of them at worst: that costs time, never a result.
+
+Segments that pass are dealt to shards by key. Of segments with equal words the first represents all others, whose windows
+all repeat. A key that counts more than ``CROWD`` times (a passage in many documents, its edges in as many surroundings)
+would crowd a shard: its segments are taken apart into windows, one for each wording in a task, which are dealt by
+their own words. Such keys are a second filter of the same kind.
 
 Shards. A task numbers its words and builds an FM-index of its segments, in the order of the corpus: the Burrows-Wheeler
 transform by suffixes sorted to the width, in a wavelet matrix of bits with ranks for each 64. All segments are then
@@ -18,8 +21,8 @@ while it occurs more than once: matching statistics up to the threshold. Windows
 interval; the first to report an interval is the first occurrence, all later ones repeat. Hashes only route: words are
 compared as words.
 
-Documents then get the masks of their representatives and are read again with the list of their segments; texts are shuffled
-once, for both readings.
+Documents then meet the masks of their representatives (texts are shuffled once), find their segments again, and lose the
+words of windows that repeat: those of masks, and all of segments that pass and represent nothing.
 
 Cases: a null or empty text has no words. Documents with fewer words than the width lose none. Rows that share an id are
 ordered by a hash of their text, rows without one come last in the order of such hashes; rows equal in id and text are one
@@ -35,17 +38,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, documents, map_batches
+from tarn.llm.common import checkpointed, documents, map_batches, sliced
 
 WIDTH, GRAM = 20, 4
 #: Windows of a segment at most: as many as a mask has bits.
 RUN = 63
-#: Different segments of a key that a shard takes; segments of a shard.
+#: Times that a key may count and still be dealt whole; segments of a shard.
 CROWD, SHARD = 4096, 40_000
+#: Bits of a filter: so many for each key, and at most.
+KEY_BITS, FILTER_BITS = 12, 1 << 28
+#: Windows of crowded keys that a task holds to send each wording once.
+HELD = 100_000
 #: Bytes whose words are hashed together; longer words are hashed on their own.
 REGION = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -140,9 +146,10 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tu
     n = np.diff(np.append(first, len(at)))
     begin = at[first]
     own = key[begin]
+    sent = mixed(own)  # the least of many hashes is a small number
     head = np.argmax(grams[begin[:, None] + np.arange(inner)] == own[:, None], axis=1) + begin
     tail = begin + n + inner - 2 - np.argmax(grams[(begin + n + inner - 2)[:, None] - np.arange(inner)] == own[:, None], axis=1)
-    return text[begin], own.view(np.int64), begin - words[text[begin]], n, 1 + (head < tail)
+    return text[begin], sent.view(np.int64), begin - words[text[begin]], n, 1 + (head < tail)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,19 +167,35 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(11), "text")).alias("d"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h"), "text")
 
 
-def segments(rows: DataFrame, width: int, place: bool) -> DataFrame:
-    """key, d, h, start, n of all segments, or (place: False) their keys as often as they count."""
-    names = ["key", *(["d", "h", "start", "n"] if place else [])]
+def keys_of(rows: DataFrame, width: int) -> DataFrame:
+    """The keys of all segments, as often as they count."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, key, start, n, times = segments_of(*flat(batch.column("text")), width)
-        out = [pa.array(key if place else np.repeat(key, times), pa.int64())]
-        if place:
-            at = pa.array(text, pa.int64())
-            out += [batch.column("d").take(at), batch.column("h").take(at), pa.array(start).cast(pa.int32()), pa.array(n).cast(pa.int32())]
-        return pa.RecordBatch.from_arrays(out, names)
+        _, key, _, _, times = segments_of(*flat(batch.column("text")), width)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(key, times), pa.int64())], ["key"])
+
+    return map_batches(rows.select("text"), kernel, "key long")
+
+
+class KeyFilter:
+    """A Bloom filter of 64-bit keys with two bits a key, made of Spark's bitmaps; 32 MB at most."""
 
-    return map_batches(rows.select(*names[1:3], "text"), kernel, "key long" + ", d long, h long, start int, n int" * place)
+    def __init__(self, keys: DataFrame, n: int):
+        self.size = min(FILTER_BITS, 1 << max(15, (KEY_BITS * n).bit_length()))
+        self.bits = np.zeros(self.size // 8, np.uint8)
+        if n:
+            spot = F.explode(F.array(*(F.pmod(k, F.lit(self.size)) for k in ("key", F.shiftrightunsigned("key", 32)))))
+            made = keys.select(spot.alias("spot")).groupBy(F.expr("spot div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("map"))
+            for r in made.collect():  # 8192 blocks at most
+                self.bits[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["map"], np.uint8)
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        key = key.view(np.uint64)
+        has = np.ones(len(key), bool)
+        for spot in (key, key >> np.uint64(32)):
+            spot = spot & np.uint64(self.size - 1)
+            has &= (self.bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return has
 
 
 class FmIndex:
@@ -259,102 +282,110 @@ def repeating(texts: list[bytes], width: int) -> np.ndarray:
 
 
 AT = ["no_id", "d", "h", "start"]
+UNIT = "route long, words binary, no_id boolean, d long, h long, start int"
 
 
-def cut(placed: DataFrame, width: int) -> DataFrame:
-    """key, words and place (at) of the segments of rows that have some."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, key, start, words = [], [], [], []
-        for i, (text, found) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("segments").to_pylist())):
-            split = text.split()
-            for s in found:
-                row.append(i)
-                key.append(s["key"])
-                start.append(s["start"])
-                words.append(b" ".join(split[s["start"] : s["start"] + s["n"] + width - 1]))
-        at = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(words, pa.binary()), *(batch.column(c).take(at) for c in AT[:3]), pa.array(start, pa.int32())], ["key", "words", *AT])
+def units(rows: DataFrame, shared, crowded, width: int) -> DataFrame:
+    """Segments that pass ``shared``, and the windows of those that pass ``crowded`` (route: null), with words and place.
 
-    return map_batches(placed.select(*AT[:3], "segments", "text"), kernel, "key long, words binary, no_id boolean, d long, h long, start int").select("key", "words", F.struct(*AT).alias("at"))
+    ``shared`` and ``crowded`` are broadcast filters.
+    """
 
+    def batch_of(found: dict[tuple, tuple]) -> pa.RecordBatch:
+        route, words = zip(*found)
+        columns = [pa.array(route, pa.int64()), pa.array(words, pa.binary()), *map(pa.array, zip(*found.values()))]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()))], ["route", "words", *AT])
 
-def taken_apart(crowded: DataFrame, width: int) -> DataFrame:
-    """words and place of the windows of segments."""
+    def add(found: dict[tuple, tuple], name: tuple, at: tuple) -> None:
+        if name not in found or at < found[name]:
+            found[name] = at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
         for batch in batches:
-            row, start, words = [], [], []
-            for i, (text, first) in enumerate(zip(batch.column("words").to_pylist(), batch.column("start").to_pylist())):
-                split = text.split()
-                for k in range(len(split) - width + 1):
-                    row.append(i)
-                    start.append(first + k)
-                    words.append(b" ".join(split[k : k + width]))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(batch.column(c).take(at) for c in AT[:3]), pa.array(start, pa.int32())], ["words", *AT])
-
-    return crowded.select("words", "at.*").mapInArrow(run, "words binary, no_id boolean, d long, h long, start int").select("words", F.struct(*AT).alias("at"))
-
-
-def masks(cuts: DataFrame, shards: int, width: int) -> DataFrame:
-    """d, h, start, n, mask of the representatives of equal segments."""
-    firsts = cuts.groupBy("key", "words").agg(F.min("at").alias("at"))
-    crowds = firsts.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowd"))
-    met = firsts.join(crowds, "key", "left")
-    windows = taken_apart(met.where("crowd"), width).groupBy("words").agg(F.min("at").alias("at"))
-    units = met.where("crowd is null").select(F.xxhash64("key").alias("shard"), "words", "at").unionByName(windows.select(F.xxhash64("words").alias("shard"), "words", "at"))
+            for part in sliced(batch):
+                text, key, start, n, _ = segments_of(*flat(part.column("text")), width)
+                some = np.flatnonzero(shared.value.holds(key))
+                apart = crowded.value.holds(key[some]).tolist()
+                texts, places = part.column("text").cast(pa.large_binary()), list(zip(*(part.column(c).to_pylist() for c in AT[:3])))
+                found: dict[tuple, tuple] = {}
+                last, words = -1, []
+                for i, k, s, m, taken in zip(text[some].tolist(), key[some].tolist(), start[some].tolist(), n[some].tolist(), apart):
+                    if i != last:
+                        last, words = i, texts[i].as_py().split()
+                    if taken:
+                        for at in range(s, s + m):
+                            add(held, (None, b" ".join(words[at : at + width])), (*places[i], at))
+                    else:
+                        add(found, (k, b" ".join(words[s : s + m + width - 1])), (*places[i], s))
+                if found:
+                    yield batch_of(found)
+                if len(held) > HELD:
+                    yield batch_of(held)
+                    held = {}
+        if held:
+            yield batch_of(held)
+
+    return rows.select(*AT[:3], "text").mapInArrow(run, UNIT)
+
+
+def masks(found: DataFrame, shards: int, width: int) -> DataFrame:
+    """d, h, start, n, mask of the representatives of equal units."""
 
     def index(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in AT])
-        texts = table.column("words").to_pylist()
-        n = pc.add(pc.subtract(pc.count_substring(table.column("words"), " "), width), 2)
-        return pa.table([*(table.column(c) for c in AT[1:]), n.cast(pa.int32()), pa.array(repeating(texts, width), pa.int64())], ["d", "h", "start", "n", "mask"])
+        firsts: dict[bytes, int] = {}
+        for i, words in enumerate(table.column("words").to_pylist()):
+            firsts.setdefault(words, i)
+        at = table.take(pa.array(firsts.values(), pa.int64()))
+        n = pa.array([w.count(b" ") - width + 2 for w in firsts], pa.int32())
+        return pa.table([*(at.column(c) for c in AT[1:]), n, pa.array(repeating(list(firsts), width), pa.int64())], ["d", "h", "start", "n", "mask"])
 
-    return units.select(F.pmod("shard", F.lit(shards)).alias("shard"), "words", "at.*").groupBy("shard").applyInArrow(index, "d long, h long, start int, n int, mask long")
+    shard = F.pmod(F.coalesce("route", F.xxhash64("words")), F.lit(shards))
+    return found.select(shard.alias("shard"), "words", *AT).groupBy("shard").applyInArrow(index, "d long, h long, start int, n int, mask long")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces) of each row."""
     rows = rows_of(docs)
-    shared = segments(rows, width, False).groupBy("key").count().where("count > 1").select("key")
-    found = segments(rows, width, True).join(shared, "key")
+    shared = checkpointed(keys_of(rows, width).groupBy("key").count().where("count > 1"))
+    size = shared.agg(F.count("*").alias("n"), F.count_if(F.col("count") > CROWD).alias("crowds"), F.sum("count").alias("segments")).first()
+    send = docs.sparkSession.sparkContext.broadcast
+    passing = send(KeyFilter(shared, size["n"]))  # bounded by ``FILTER_BITS``, like the next
+    crowded = send(KeyFilter(shared.where(F.col("count") > CROWD), size["crowds"]))
+    known = masks(units(rows, passing, crowded, width), max(1, -(-(size["segments"] or 0) // SHARD)), width)
     # as many as a document has
-    lists = checkpointed(found.groupBy("d", "h").agg(F.collect_set(F.struct("key", "start", "n")).alias("segments")))
-    total = lists.agg(F.sum(F.size("segments"))).first()[0] or 0
-    placed = rows.join(lists.hint("shuffle_hash"), ["d", "h"], "left")
-    known = masks(cut(placed.where("segments is not null"), width), max(1, -(-total // SHARD)), width)
     judged = known.groupBy("d", "h").agg(F.collect_list(F.struct("start", "n", "mask")).alias("masks"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column("text")
+        text, key, start, n, _ = segments_of(*flat(column), width)
+        some = passing.value.holds(key)
+        text, start, n = text[some], start[some].tolist(), n[some].tolist()
+        bounds = np.searchsorted(text, np.arange(len(column) + 1)).tolist()
         total, removed, kept = [], [], []
-        for text, found, known in zip(*(batch.column(c).to_pylist() for c in ("text", "segments", "masks"))):
-            words = text.split()
-            gone = 0
+        for i, (t, known) in enumerate(zip(column.cast(pa.large_binary()).to_pylist(), batch.column("masks").to_pylist())):
+            words = t.split()
             total.append(len(words))
-            if found:
+            if bounds[i] < bounds[i + 1]:
                 repeats = np.zeros(len(words) + 1, np.int8)
-                for s in found:  # all windows of a segment that does not represent its words
-                    repeats[s["start"] : s["start"] + s["n"]] = 1
+                for k in range(bounds[i], bounds[i + 1]):  # all windows of what does not represent its words
+                    repeats[start[k] : start[k] + n[k]] = 1
                 for m in known or []:
                     repeats[m["start"] : m["start"] + m["n"]] = (m["mask"] >> np.arange(m["n"])) & 1
                 at = np.flatnonzero(repeats)
                 covered = np.zeros(len(words) + 1, np.int64)
                 covered[at] += 1
                 covered[at + width] -= 1
-                stay = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
-                gone = len(words) - len(stay)
-                if gone:
-                    words = [words[i] for i in stay]
-            removed.append(gone)
+                words = [words[k] for k in np.flatnonzero(np.cumsum(covered)[:-1] == 0).tolist()] if len(at) else words
+            removed.append(total[-1] - len(words))
             kept.append(b" ".join(words))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names)
 
-    whole = placed.join(judged.hint("shuffle_hash"), ["d", "h"], "left")
-    out = map_batches(whole.select("doc_id", "segments", "masks", F.col("text").cast("binary").alias("text")), kernel, f"doc_id {kind}, n_words long, n_removed long, kept binary")
-    return out.withColumn("kept", F.col("kept").cast("string"))
+    whole = rows.join(judged.hint("shuffle_hash"), ["d", "h"], "left")
+    return map_batches(whole.select("doc_id", "masks", "text"), kernel, f"doc_id {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
 def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
