@@ -107,20 +107,21 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/tarn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and where; what a failed write leaves goes."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tarn-{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        return spark.read.parquet(path), path
+    except BaseException:
+        removed(spark, path)
+        raise
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files that ``written`` made."""
-    spark = df.sparkSession
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if os.path.basename(folder).startswith("tarn-"):
-            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, one whose path ``written`` gave."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -131,8 +132,8 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 @contextmanager
 def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """``df`` as a table in the shared folder while the block runs."""
-    table = written(df, name)
+    table, path = written(df, name)
     try:
         yield table
     finally:
-        dropped(table)
+        removed(df.sparkSession, path)

@@ -11,7 +11,7 @@ CHAT = rf"""with t as (
 )
 select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role)) turns_sha256,
     sum(case when role = 'assistant' then length(text) else 0 end)::bigint loss_chars,
-    sha256(coalesce(string_agg(text, '' order by turn, role) filter (role = 'assistant'), '')) loss_sha256, sum(n)::bigint formatted_chars
+    sha256(coalesce(string_agg(text, '' order by turn, role) filter (role = 'assistant'), '')) loss_sha256, sum(n)::bigint formatted_chars, 0::bigint n_attachments, 0::bigint expanded_tokens
 from c group by conv_id"""
 
 _COMPONENTS = """reach(id, other) as (select id, id from nodes union select r.id, l.b from reach r join links l on l.a = r.other),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed, documents, map_batches
+from tarn.llm.common import checkpointed, documents, map_batches, text_hashes
 
 #: Pieces of one size that are ranked together: a common size is dealt to as many lanes as it needs.
 LANE = 100_000
@@ -90,25 +90,30 @@ def encoder(path: str) -> FileEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 [, ids]: each document's ids cut to ``capacity``, the first piece shorter."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    """doc_id, piece, start, length, ids_crc32 [, ids, row]: each document's ids cut to ``capacity``, the first piece shorter.
+
+    ``row`` tells documents that share an id apart: 128 bits of hash of the text, as hexadecimal digits.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids", "row"] * with_ids
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         encoded = encoder(tokenizer_path).encode([t or "" for t in batch.column("text").to_pylist()])
-        for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoded):
+        row = batch.column("row").to_pylist() if with_ids else [None] * len(encoded)
+        for doc_id, found, own in zip(batch.column("doc_id").to_pylist(), encoded, row):
             packed = np.array([*found, end_id], "<u4")
             first = (len(packed) - 1) % capacity + 1
             for k, stop in enumerate(range(first, len(packed) + 1, capacity)):
                 start = max(0, stop - capacity) if k else 0
                 part = packed[start:stop]
-                rows.append((doc_id, k, start, stop - start, zlib.crc32(part.tobytes()), part) if with_ids else (doc_id, k, start, stop - start, zlib.crc32(part.tobytes())))
+                rows.append((doc_id, k, start, stop - start, zlib.crc32(part.tobytes()), *((part, own) if with_ids else ())))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = [pa.int64() if kind == "bigint" else None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return map_batches(docs.select("doc_id", "text"), kernel, schema)
+    kinds = [pa.int64() if kind == "bigint" else None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string()]
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>, row string" * with_ids
+    row = [F.concat(*(F.lpad(F.lower(F.hex(h)), 16, "0") for h in text_hashes())).alias("row")] if with_ids else []
+    return map_batches(docs.select("doc_id", "text", *row), kernel, schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -192,9 +197,9 @@ def place(parts: DataFrame, capacity: int = 1024) -> DataFrame:
     return placed.select(*parts.columns, F.expr("sequence + (rank - low) div each").alias("sequence_id"), F.expr("shift + ((rank - low) % each) * length").alias("offset"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return place(checkpointed(pieces(docs, tokenizer_path, end_id, capacity)), capacity)
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32 [, ids, row], sequence_id, offset."""
+    return place(checkpointed(pieces(docs, tokenizer_path, end_id, capacity, with_ids)), capacity)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ model's probability), are counted by grouped aggregation. Rates are shrunk by em
 host's, a host's towards the global one, with prior strengths from the method of moments, so a sparse site says little.
 Each document is left out of its own site. Posterior log odds = evidence + log odds of the site.
 
-Cases: null and empty texts have the one feature ``empty``; null hosts and paths are sites of their own; conflicting
+Cases: null and empty texts have the one feature ``empty``; a null host or path is the same site as an empty one; conflicting
 labels of a document are averaged, a null label counts for nothing; without labels of both values a model has no say and
 its probability is the one that keeps. Decisions are made for rows, known by id, text, host and path: rows that share an
 id, or have none, each get their own. Extra columns are kept by ``apply_decisions``.
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import beside, checkpointed, documents, map_batches, text_hashes
+from tarn.llm.common import beside, checkpointed, documents, map_batches, text_hashes, with_hashes
 
-#: Labelled documents that the models are fitted on: those of least hash.
+#: Labelled documents (rows) that the models are fitted on: those of least hash.
 TRAINING = 20_000
 #: Sample documents that must have a feature, and the statistic (one degree of freedom) that it must reach.
 LEAST_DOCS, LEAST_G = 3, 20.0
@@ -74,10 +74,17 @@ def features(text: str | None) -> set[str]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """doc_id, text, quality, toxic (0/1, null where unknown) of at most ``bound`` labelled documents."""
+    """text, quality, toxic (0/1, null where unknown) of at most ``bound`` labelled documents.
+
+    Rows are bounded, not ids: of all rows that have one of ``bound`` labelled ids, those of least hash; equal rows are one.
+    """
+    own = ["doc_id", "h1", "h2"]
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    # bounded by a parameter
-    return checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # both sides of these joins that are broadcast are bounded by a parameter
+    labelled = with_hashes(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
+    rows = labelled.select(*own).distinct().orderBy(F.xxhash64(*own), *own).limit(bound)
+    of_row = [F.first(c).alias(c) for c in ("text", *TARGETS)]
+    return checkpointed(labelled.join(F.broadcast(rows), own).groupBy(*own).agg(*of_row).drop(*own))
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:

@@ -120,9 +120,36 @@ def test_odd_parts(spark):
     assert chat.read_back(chat.format_turns(frame)).first()["n_turns"] == 3
 
 
+def test_loss_comes_from_the_mask(spark):
+    rows = [(1, 0, "user", "<s> hi"), (1, 1, "assistant", "</s>[INST] " + "x" * 300_000), (1, 2, "user", "y" * 300_000), *((1, 3 + i, "assistant", f"turn {i}") for i in range(3000))]
+    segments = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    said = "".join(t for _, _, r, t in rows if r == "assistant")
+    of = lambda df: chat.read_back(df).first()
+    right = of(segments)
+    assert (right["loss_sha256"], right["loss_chars"]) == (hashlib.sha256(said.encode()).hexdigest(), len(said))
+    shifted = of(segments.withColumn("mask_start", F.col("mask_start") + 1).withColumn("mask_end", F.col("mask_end") + 1))
+    assert shifted["loss_sha256"] != right["loss_sha256"] and shifted["turns_sha256"] == right["turns_sha256"]
+    assert of(segments.withColumn("mask_start", F.lit(None).cast("int")))["loss_chars"] == 0
+
+
+def test_attachments_are_read_back(spark):
+    content = [("text", "see <|image:0|>", None, None, None, None, None), ("image", None, "a", 700, 300, None, None), ("audio", None, "b", None, None, 2.5, None)]
+    frame = spark.createDataFrame([(1, 0, "user", content), (1, 1, "assistant", content[:2])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = chat.read_back(chat.format_turns(frame)).first()
+    assert (got["n_attachments"], got["expanded_tokens"]) == (3, 2 * 3 * 144 + 63)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
+def test_training_rows_are_bounded(spark):
+    rows = [(1, f"row {i}") for i in range(3000)] + [(2, "same")] * 500 + [(i, f"text {i}") for i in range(3, 100)]
+    labels = quality.clean_labels(spark.createDataFrame([(i, i % 2, 0) for i in range(1, 100)], "doc_id long, quality int, toxic int"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert quality.sample_of(docs, labels, 50).count() == 50
+    assert quality.sample_of(docs, labels, 100_000).count() == 3000 + 1 + 97
+
+
 def test_classifier(spark):
     rng = random.Random(7)
     good = [" ".join(words(rng, 60)) + "." for _ in range(150)]

@@ -1,10 +1,18 @@
 """The stages, each on what the one before it kept."""
 
+import os
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tarn.llm import pii
-from tarn.llm.common import checkpointed
+from tarn.llm.common import checkpointed, shared_folder
 from tests.llm.test_operators import brute_components, brute_lines, seeds_of
 
 
@@ -51,5 +59,49 @@ def test_empty_and_odd(spark, sf_dir):
         assert (out.count() > 0) == (frame is rows)
 
 
-def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+def test_run_leaves_its_input_alone(spark, sf_dir, tmp_path):
+    """The input's folder looks like one of the pipeline's own; the sequences hold the cleaned texts."""
+    place = tmp_path / "tarn-x"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(3, "an own text", "en", "s", 0), (None, None, "en", "s", 0)], docs.schema)
+    docs.where("doc_id < 60").unionByName(odd).write.parquet(f"{place}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{place}/labels.parquet")
+    before, shared = sorted(p.name for p in place.rglob("*")), set(os.listdir(shared_folder(spark)))
+    packed = corpus_pipeline.run(spark, str(place)).collect()
+    assert sorted(p.name for p in place.rglob("*")) == before
+    assert not [n for n in set(os.listdir(shared_folder(spark))) - shared if n.startswith("tarn-")]
+
+    clean = spark.read.parquet(f"{place}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        clean = checkpointed(stage(spark, clean, str(place)))
+    sequences = defaultdict(dict)
+    for r in packed:
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        sequences[r["sequence_id"]][r["offset"]] = r
+    pieces = defaultdict(dict)
+    for placed in sequences.values():
+        at = 0
+        for offset in sorted(placed):
+            r = placed[offset]
+            assert offset == at
+            at += r["length"]
+            pieces[r["doc_id"], r["row"]][r["piece"]] = r["ids"]
+        assert at <= 1024
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = []
+    for (doc_id, _), found in pieces.items():
+        ids = [i for k in sorted(found) for i in found[k]]
+        assert ids[-1] == 2
+        got.append((doc_id, library.decode(ids[:-1], skip_special_tokens=False)))
+    assert sorted(got, key=str) == sorted(((r["doc_id"], r["text"] or "") for r in clean.collect()), key=str)
+
+
+def test_a_failing_stage_leaves_nothing(spark, sf_dir, monkeypatch):
+    def fails(spark, docs, sf_dir):
+        return docs.withColumn("text", F.raise_error(F.lit("stage")).cast("string"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", lambda spark, docs, sf_dir: docs), ("second", fails), *corpus_pipeline.STAGES[2:]])
+    shared = {n for n in os.listdir(shared_folder(spark)) if n.startswith("tarn-")}
+    with pytest.raises(Exception, match="stage"):
+        corpus_pipeline.run(spark, sf_dir)
+    assert {n for n in os.listdir(shared_folder(spark)) if n.startswith("tarn-")} == shared
