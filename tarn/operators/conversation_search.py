@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.embedding import EmbeddingProvider, HashedTokens, embed, query_vector, valid
 from tarn.operators import conversations, search
+from tarn.operators.neighbours import nearest_neighbours
 
 #: Parts of conversations that one search takes, for each conversation asked for; characters of a title that stand for a snippet.
 PARTS, TITLE = 10, 100
@@ -75,3 +76,10 @@ def similar_conversations(parts: DataFrame, conv_id, k: int = 5) -> DataFrame:
         return parts.sparkSession.createDataFrame([], "conv_id long, score double, rank int")
     near = search.dense_topk(titles.where(F.col("conv_id") != F.lit(conv_id)), own["embedding"], k, id_col="conv_id")
     return near.select(F.col("id").alias("conv_id"), "score", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"))
+
+
+def all_similar_conversations(parts: DataFrame, k: int = 5) -> DataFrame:
+    """(conv_id, other, score, rank): for every conversation the k others whose titles are nearest."""
+    titles = parts.where("kind = 'title'").select("conv_id", "embedding")
+    found, _ = nearest_neighbours(titles, k, "conv_id")
+    return found.select(F.col("id").alias("conv_id"), "other", "score", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from typing import Protocol
@@ -10,9 +11,11 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarn.operators import search
 from tarn.session import checkpointed
+from tarn.sources.commits import CommitLog
 
 
 class Store(Protocol):
@@ -27,10 +30,7 @@ class Store(Protocol):
     def delete(self, where: Column) -> None: ...
     def count(self) -> int: ...
     def info(self) -> DataFrame: ...
-    def languages(self, repo: str, branch: str) -> list[str]:
-        """Distinct languages of a branch, in order."""
-        return [r[0] for r in self._of([(repo, branch)]).where("language is not null").select("language").distinct().orderBy("language").collect()]  # a few
-
+    def languages(self, repo: str, branch: str) -> list[str]: ...
     def scroll(self, after=None, limit: int = 1000, where: Column | None = None) -> DataFrame: ...
     def search(self, vector: Sequence[float], limit: int = 10, where: Column | None = None, metric: str = "cosine", threshold: float | None = None) -> DataFrame: ...
 
@@ -38,47 +38,77 @@ class Store(Protocol):
 class VectorStore:
     """A collection of points (id, repo, branch, .., dense) in a folder.
 
-    Writes replace whole partitions, so a reader sees a branch before or after a change, and a lost executor repeats its
-    task. An upsert reads the branches that it touches, and no others.
+    A change writes the branches that it touches into a folder of its own (``commit-..``) and then becomes visible by one
+    rename (``CommitLog``): a reader sees all of it or nothing, also where a point moves between branches, and a writer that
+    dies leaves what was. Rows are sorted by the ``indexed`` columns within a branch and those columns carry Bloom filters,
+    so a filter on a path reads the row groups that may have it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dim: int, vector: str = "dense", key: str = "id"):
+    def __init__(self, spark: SparkSession, path: str, dim: int, vector: str = "dense", key: str = "id", indexed: Sequence[str] = ("file_path", "language"), row_group: int | None = None):
         self.spark, self.path, self.dim, self.vector, self.key = spark, path, dim, vector, key
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+        self.indexed, self.row_group, self.log = tuple(indexed), row_group, CommitLog(spark, path)
 
     def exists(self) -> bool:
-        fs, where = self._fs()
-        return fs.exists(where)
+        return self.log.current()[1] is not None
 
     def points(self) -> DataFrame:
-        fs, where = self._fs()
-        filled = any(s.getPath().getName().startswith("repo=") for s in fs.listStatus(where))
-        return self.spark.read.parquet(self.path if filled else f"{self.path}/_empty")
+        _, state = self.log.current()
+        if state is None:
+            raise ValueError(f"there is no collection at {self.path}")
+        return self._read(state, None)
+
+    def _read(self, state: dict, some: list[tuple[str, str]] | None) -> DataFrame:
+        """The points of a state, or those of some of its branches: filters on partitions of the folders that have them."""
+        schema = StructType.fromJson(state["schema"])
+        out = None
+        for folder, branches in state["folders"].items():
+            wanted = [b for b in map(tuple, branches) if some is None or b in some]
+            if wanted:
+                one = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").where(self._among(wanted)).select(*schema.names)
+                out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    @staticmethod
+    def _among(branches: list[tuple[str, str]]) -> Column:
+        by_repo: dict[str, list[str]] = {}
+        for repo, branch in branches:
+            by_repo.setdefault(repo, []).append(branch)
+        return reduce(lambda a, b: a | b, ((F.col("repo") == r) & F.col("branch").isin(*b) for r, b in by_repo.items()))
 
     def ensure(self, schema: str | None = None) -> bool:
-        """Whether the collection is there with its dimension; one of another dimension is dropped."""
-        if not self.exists():
-            return False
-        row = self.points().select(F.size(self.vector).alias("n")).limit(1).collect()
-        if row and row[0]["n"] == self.dim:
-            return True
-        self.drop()
-        return False
+        """Whether the collection is there with its dimension; one of another dimension is dropped. With a schema it is made."""
+        _, state = self.log.current()
+        fits = state is not None and state["dim"] == self.dim
+        if state is not None and not fits:
+            self.drop()
+        if not fits and schema is not None:
+            self.create(schema)
+        return fits
 
     def create(self, schema: str) -> None:
-        """An empty collection: a folder whose ``_empty`` table, which readers of it pass over, carries the schema."""
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/_empty")
+        """An empty collection."""
+        self.drop()
+        self.log.commit(0, {"dim": self.dim, "schema": self.spark.createDataFrame([], schema).schema.jsonValue(), "folders": {}})
 
     def drop(self) -> None:
-        fs, where = self._fs()
-        fs.delete(where, True)
-
-    def _write(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "branch").parquet(self.path)
+        self.log.remove("")
+
+    def _commit(self, version: int, state: dict | None, points: DataFrame, touched: list[tuple[str, str]]) -> None:
+        """Writes ``points``, all that the touched branches hold from now on, and makes them what is read."""
+        folder = f"commit-{uuid.uuid4().hex}"
+        order = [c for c in ("repo", "branch", *self.indexed) if c in points.columns]
+        writer = points.repartition("repo", "branch", F.pmod(F.xxhash64(self.key), F.lit(64))).sortWithinPartitions(*order).write.partitionBy("repo", "branch")
+        for c in self.indexed:
+            if c in points.columns:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        if self.row_group:
+            writer = writer.option("parquet.block.size", str(self.row_group))
+        writer.parquet(f"{self.path}/{folder}")
+        left = self._names(points.select("repo", "branch").distinct())
+        folders = {f: kept for f, held in (state["folders"] if state else {}).items() if (kept := [b for b in held if tuple(b) not in touched])}
+        if left:
+            folders[folder] = [list(b) for b in left]
+        self.log.commit(version, {"dim": self.dim, "schema": points.schema.jsonValue(), "folders": folders})
 
     def upsert(self, points: DataFrame) -> None:
         """Adds points; those of the same id are replaced. Of rows of one id, one (of the greatest hash) comes in."""
@@ -88,39 +118,38 @@ class VectorStore:
         if not bad.isEmpty():
             raise ValueError(f"points must have an id and vectors of {self.dim} dimensions")
         last = W.partitionBy(self.key).orderBy(F.desc(F.xxhash64(*points.columns)))
-        points = points.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-        if self.exists():
-            points = checkpointed(points)
-            # the branches that points come to, and those that hold an older point of the same id
-            held = self.points().join(points.select(self.key), self.key, "left_semi").select("repo", "branch")
-            branches = points.select("repo", "branch").union(held).distinct()
-            old = self._of(self._names(branches)).join(points.select(self.key), self.key, "left_anti")
-            # a partition is replaced by what it held and what comes: the old rows are read from a copy
-            self._replace(checkpointed(old.unionByName(points, allowMissingColumns=True)), self._names(branches))
-        else:
-            self._write(points)
+        points = checkpointed(points.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n"))
+        version, state = self.log.current()
+        branches = points.select("repo", "branch")
+        if state is None:
+            self._commit(version, None, points, [])
+            return
+        # the branches that points come to, and those that hold an older point of the same id
+        held = self._read(state, None).join(points.select(self.key), self.key, "left_semi").select("repo", "branch")
+        touched = self._names(branches.union(held).distinct())
+        old = self._read(state, touched).join(points.select(self.key), self.key, "left_anti")
+        self._commit(version, state, checkpointed(old.unionByName(points, allowMissingColumns=True)), touched)
 
     def delete(self, where: Column) -> None:
-        """Deletes points. Only partitions that hold some are read in full and written; those that end empty go last."""
-        touched = self._names(self.points().where(where).select("repo", "branch").distinct())
+        """Deletes points. Only branches that hold some are read in full and written."""
+        version, state = self.log.current()
+        if state is None:
+            return
+        touched = self._names(self._read(state, None).where(where).select("repo", "branch").distinct())
         if touched:
-            self._replace(checkpointed(self._of(touched).where(~F.coalesce(where, F.lit(False)))), touched)
+            self._commit(version, state, checkpointed(self._read(state, touched).where(~F.coalesce(where, F.lit(False)))), touched)
+
+    def vacuum(self) -> list[str]:
+        """Deletes what no reader is led to any more."""
+        _, state = self.log.current()
+        return self.log.vacuum(set(state["folders"]) if state else set(), "commit-")
 
     def _names(self, branches: DataFrame) -> list[tuple[str, str]]:
         return sorted({(r["repo"], r["branch"]) for r in branches.collect()})  # a row per branch
 
     def _of(self, branches: list[tuple[str, str]]) -> DataFrame:
-        """The points of some branches: a filter on partitions."""
-        some = reduce(lambda a, b: a | b, ((F.col("repo") == r) & (F.col("branch") == b) for r, b in branches))
-        return self.points().where(some)
-
-    def _replace(self, points: DataFrame, branches: list[tuple[str, str]]) -> None:
-        left = self._names(points.select("repo", "branch").distinct())
-        if left:
-            self._write(points)
-        fs, _ = self._fs()
-        for repo, branch in set(branches) - set(left):
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/repo={repo}/branch={branch}"), True)
+        """The points of some branches."""
+        return self._read(self.log.current()[1], branches)
 
     def delete_files(self, repo: str, branch: str, paths: Sequence[str]) -> None:
         self.delete((F.col("repo") == repo) & (F.col("branch") == branch) & F.col("file_path").isin(*paths))
