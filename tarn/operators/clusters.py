@@ -5,12 +5,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.vectors import cosine
+from tarn.session import checkpointed
 
-# Least similarity, members of a cluster, hours that count, least rows.
-LEAST, SMALLEST, LARGEST, HOURS, FEWEST = 0.7, 2, 20, 168, 5
+# Least similarity, members of a cluster at most, hours that count, least rows.
+LEAST, LARGEST, HOURS, FEWEST = 0.7, 20, 168, 5
+#: Rounds in which clusters are decided before one task for each group does the rest.
+ROUNDS = 40
+#: Pairs of a group that one task decides at once.
+ALONE = 500_000
 
 
 def temporal_weight(score: Column, hours: Column) -> Column:
@@ -57,29 +63,57 @@ def similar_pairs(points: DataFrame, within: str, least: float, id_col: str = "i
 
 
 def greedy_clusters(points: DataFrame, group: str, least: float = LEAST, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(group, cluster, id): rows of a group in the order of ids; each that is free gathers the free ones similar to it.
+    """(group, cluster, id): rows of a group in the order of ids; each that is free gathers the first free ones similar to it.
 
-    The result depends on the order, so a group is one task's: it should be a workspace, not a corpus.
+    Decided in rounds on the graph of similar pairs, so a group may be of any size; see ``gathered``.
     """
-    kind = {f.name: f.dataType.simpleString() for f in points.schema}
+    sizes = points.groupBy(group).count().where(F.col("count") >= FEWEST).select(F.col(group).alias("g"))
+    pairs = similar_pairs(points, group, least, id_col, vector_col).join(points.select(F.col(id_col).alias("a"), F.col(group).alias("g")), "a")
+    found = gathered(pairs.join(sizes, "g", "left_semi").select("g", "a", "b"))
+    return found.select(F.col("g").alias(group), "cluster", F.col("id").alias(id_col))
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        x = np.array(pdf[vector_col].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        free, rows = np.ones(len(x), bool), []
-        if len(x) >= FEWEST:
-            for i in range(len(x)):
-                if not free[i]:
-                    continue
-                near = np.flatnonzero(free & (np.round(x @ x[i], 6) >= least) & (np.arange(len(x)) > i))[: LARGEST - 1]
-                if len(near) + 1 >= SMALLEST:
-                    members = np.append(i, near)
-                    free[members] = False
-                    rows += [(pdf[group][0], pdf[id_col][i], pdf[id_col][j]) for j in members]
-        return pd.DataFrame(rows, columns=[group, "cluster", id_col])
-
-    return points.select(group, id_col, vector_col).groupBy(group).applyInPandas(gather, f"{group} {kind[group]}, cluster {kind[id_col]}, {id_col} {kind[id_col]}")
+
+def gathered(pairs: DataFrame, most: int = LARGEST, rounds: int = ROUNDS, alone: int = ALONE) -> DataFrame:
+    """(g, cluster, id): what taking rows in the order of ids gives, where a free row takes up to ``most`` - 1 free later ones.
+
+    ``pairs(g, a, b)``: similar rows, a < b, ids unique over groups. In a round every row acts that is the least undecided one
+    of all that are up to two pairs away: nothing that is still open can take from it, nor it from what acts beside it.
+    Who acts and who is taken is decided; who has no pair left stays alone. Each round shuffles pairs of undecided rows only,
+    and decides the first of each connected part at least; ids in random order need a number of rounds that grows with the
+    logarithm of the rows. Chains whose ids ascend need more: what ``rounds`` leave open is decided by one task for each group,
+    and so is from the beginning a group of no more than ``alone`` pairs.
+    """
+    every = checkpointed(pairs.where("a < b").distinct())
+    large = [r["g"] for r in every.groupBy("g").count().where(F.col("count") > alone).select("g").collect()]  # a row for ``alone`` pairs
+    left, small = (every.where(F.col("g").isin(large)), every.where(~F.col("g").isin(large))) if large else (every.where("false"), every)
+    done = None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        both = left.select("g", F.col("a").alias("x"), F.col("b").alias("y")).union(left.select("g", "b", "a"))
+        first = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+        near = both.join(first.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("m").alias("n"))
+        acting = first.join(near, "x").where("m = x and n >= x").select(F.col("x").alias("a"))
+        order = W.partitionBy("a").orderBy("b")
+        taken = checkpointed(left.join(acting, "a").withColumn("k", F.row_number().over(order)).where(F.col("k") < most).select("g", F.col("a").alias("cluster"), F.col("b").alias("id")))
+        done = taken if done is None else done.union(taken)
+        gone = taken.select("id").union(taken.select("cluster")).distinct()
+        left = checkpointed(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("g", "a", "b"))
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = f"g {kinds['g']}, cluster {kinds['a']}, id {kinds['a']}"
+
+    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        free, rows = set(pdf.a) | set(pdf.b), []
+        for i, near in pdf.sort_values(["a", "b"]).groupby("a", sort=True).b:
+            some = [j for j in near if j in free][: most - 1] if i in free else []
+            if some:
+                free.difference_update([i, *some])
+                rows += [(pdf.g.iloc[0], i, j) for j in some]
+        return pd.DataFrame(rows, columns=["g", "cluster", "id"])
+
+    last = small.union(left).groupBy("g").applyInPandas(rest, schema)
+    done = last if done is None else done.union(last)
+    return done.union(done.select("g", "cluster", F.col("cluster").alias("id")).distinct())
 
 
 def cohesion(members: DataFrame, points: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
