@@ -83,7 +83,7 @@ def gathered(pairs: DataFrame, most: int = LARGEST, rounds: int = ROUNDS, alone:
     logarithm of the rows. Chains whose ids ascend need more: what ``rounds`` leave open is decided by one task for each group,
     and so is from the beginning a group of no more than ``alone`` pairs.
     """
-    every = checkpointed(pairs.where("a < b").distinct())
+    every = checkpointed(pairs.where("a < b").select("g", "a", "b").distinct())
     large = [r["g"] for r in every.groupBy("g").count().where(F.col("count") > alone).select("g").collect()]  # a row for ``alone`` pairs
     left, small = (every.where(F.col("g").isin(large)), every.where(~F.col("g").isin(large))) if large else (every.where("false"), every)
     done = None
