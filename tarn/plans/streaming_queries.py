@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.plans.register import query
 from tarn.session import shared_folder, table
-from tarn.streaming import jobs
+from tarn.streaming import jobs, machines
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def _appended(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return jobs.to_table(df, f"{place}/rows", f"{place}/state")
 
 
+def _kept(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    """``_appended`` for streams of ``machines``."""
+    with machines.keyed_state(spark):
+        return _appended(spark, df, what)
+
+
 # what a stream has closed when its input ends: the watermark is ten minutes behind the last event, in whole milliseconds
 _MARK = "mark as (select (epoch_us(max(ts)) // 1000 - 600000) * 1000 m from events)"
 
@@ -60,8 +66,44 @@ def inactivity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id stream_id, string_agg(coalesce(text, ''), '' order by turn) as content from conversations group by conv_id")
 def delta_accumulate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deltas = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("content"), F.lit(None).cast("array<struct<index:int,id:string,name:string,arguments:string>>").alias("tool_calls"))
-    return jobs.latest_table(jobs.accumulate(deltas), _place(spark, "deltas")).select("stream_id", "content")
+    """Turns as deltas, each conversation's last one final."""
+    turns = _stream(spark, sf_dir, "conversations")
+    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    deltas = turns.join(last, "conv_id").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("content"), F.lit(None).cast("array<struct<index:int,id:string,name:string,arguments:string>>").alias("tool_calls"), (F.col("turn") == F.col("last")).alias("final"))
+    return _kept(spark, machines.answers(deltas), "deltas").select("stream_id", "content")
+
+
+@query("""select conv_id * 1000 + turn stream_id, k n, case k when 0 then '{"turn":' || turn || '}' else 'say' || chr(10) || coalesce(text, '') end as data
+    from conversations, range(2) r(k) where not contains(coalesce(text, ''), chr(10)) and not contains(coalesce(text, ''), chr(13))""")
+def sse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of one line as streams of bytes, cut into pieces of five."""
+    text = F.coalesce("text", F.lit(""))
+    turns = _stream(spark, sf_dir, "conversations").where(~text.contains("\n") & ~text.contains("\r"))
+    body = F.concat(F.lit('event: x\r\ndata: {"turn":'), F.col("turn"), F.lit("}\r\n\r\ndata: say\ndata: "), text, F.lit("\n\ndata: [DONE]\n\n")).cast("binary")
+    cut = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), body.alias("body"))
+    pieces = cut.select("stream_id", "body", F.explode(F.sequence(F.lit(0), ((F.octet_length("body") - 1) / 5).cast("int"))).alias("seq"))
+    chunks = pieces.select("stream_id", "seq", F.substring("body", F.col("seq") * 5 + 1, F.lit(5)).alias("chunk"))
+    return _kept(spark, machines.sse_stream(chunks), "events")
+
+
+_QUIET, _BACK, _RETRIES = 1800, 900, 2
+
+
+@query(f"""with {_MARK}, e as (select 'r' || user_id % 7 repo, 'p' || user_id path, epoch_us(ts) t, (event_type = 'error' and value > 8)::int f from events, mark where epoch_us(ts) <= m),
+    b as (select *, (t - coalesce(lag(t) over (partition by repo order by t), -9000000000000000) > {_QUIET * 10**6})::int fresh from e), n as (select *, sum(fresh) over (partition by repo order by t, path) burst from b),
+    bursts as (select repo, burst, min(t) first, max(t) + {_QUIET * 10**6} due, sum(f)::bigint f from n group by all),
+    ahead as (select *, lead(first) over (partition by repo order by burst) next from bursts),
+    tries as (select *, unnest(range(least(f, {_RETRIES}) + 1)) i from ahead),
+    made as (select *, due + {_BACK * 10**6} * (pow(2, i)::bigint - 1) a from tries), done as (select made.* from made, mark where a <= m and (next is null or a < next)),
+    good as (select repo, burst, max((i = f)::int) ok from done group by all), spans as (select ahead.repo, ahead.burst, sum(coalesce(ok, 0)) over (partition by ahead.repo order by ahead.burst) - coalesce(ok, 0) since from ahead left join good using (repo, burst)),
+    sizes as (select x.repo, x.burst, count(distinct n.path) changes from spans x join spans y on x.repo = y.repo and x.since = y.since and y.burst <= x.burst join n on n.repo = y.repo and n.burst = y.burst group by all)
+    select repo, make_timestamp(a) as at, i::int attempt, changes::int changes, case when i = f then 'FullySynced' when i = {_RETRIES} then 'Failed' else 'Retrying' end state from done join sizes using (repo, burst)""")
+def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories that sync after half an hour of quiet, with retries while errors of the burst last."""
+    u = F.col("user_id")
+    changes = _events(spark, sf_dir).select(F.concat(F.lit("r"), u % 7).alias("repo"), F.concat(F.lit("p"), u).alias("path"), "ts", ((F.col("event_type") == "error") & (F.col("value") > 8)).cast("int").alias("failures"))
+    rules = machines.SyncRules(_QUIET * 10**6, _BACK * 10**6, _RETRIES, 10**9)
+    return _kept(spark, machines.syncs(changes, rules), "syncs")
 
 
 _TURN = "select conv_id, turn, case turn % 3 when 0 then 'a <think>of ' || turn || '</think> b' when 1 then '<thinking>more' else '</thinking>c' || turn end x from conversations"
