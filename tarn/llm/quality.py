@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,16 +122,14 @@ def statistic(p: Column, a: Column, q: Column, b: Column) -> Column:
     return 2 * (ll(p, a) + ll(q, b) - ll(p + q, a + b))
 
 
-def fit(rows: list[list[int]], y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge logistic model on lists of feature numbers, by accelerated scaled gradients."""
-    at = np.repeat(np.arange(len(rows)), list(map(len, rows)))
-    columns = np.fromiter((c for r in rows for c in r), np.int64)
+def fit(at: np.ndarray, columns: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic model, by accelerated scaled gradients; row ``at[i]`` has feature ``columns[i]``."""
     scale = np.bincount(columns, minlength=n) * 4.0 + RIDGE
     weights = look = np.zeros(n)
     bias = look_bias = math.log(y.sum() / (len(y) - y.sum()))
     t = 1.0
     for step in range(400):
-        error = 1 / (1 + np.exp(-np.clip(np.bincount(at, look[columns], minlength=len(rows)) + look_bias, -40, 40))) - y
+        error = 1 / (1 + np.exp(-np.clip(np.bincount(at, look[columns], minlength=len(y)) + look_bias, -40, 40))) - y
         new = look - (np.bincount(columns, error[at], minlength=n) + RIDGE * look) / scale / 2
         new_bias = look_bias - error.sum() / (2 * len(y))
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -156,8 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING) -> dict[str
         def numbered(batch: pa.RecordBatch, index: dict[str, int] = index) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column("y"), pa.array([sorted(index[f] for f in features(x) if f in index) for x in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["y", "f"])
 
-        rows = map_batches(sample.where(F.col(t).isNotNull()).select("text", (F.col(t) >= 0.5).cast("double").alias("y")), numbered, "y double, f array<int>").collect()
-        weights, bias = fit([r["f"] for r in rows], np.array([r["y"] for r in rows]), len(index))
+        rows = map_batches(sample.where(F.col(t).isNotNull()).select("text", (F.col(t) >= 0.5).cast("double").alias("y")), numbered, "y double, f array<int>").toArrow()  # as numbers, not as objects
+        found = rows.column("f").combine_chunks()
+        at = np.repeat(np.arange(rows.num_rows, dtype=np.int32), np.asarray(pc.list_value_length(found)))
+        weights, bias = fit(at, np.asarray(found.flatten()), np.asarray(rows.column("y")), len(index))
         models[t] = ({f: float(weights[i]) for f, i in index.items()}, bias, math.log(positives / negatives))
     return models
 
