@@ -7,6 +7,7 @@ Python worker calls it once. ``HashedTokens`` needs no model file and is the def
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -14,9 +15,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.session import checkpointed
+
 SPACE = r"[\t-\r\x{85}\p{Z}]"
 
 
@@ -124,3 +129,39 @@ def padding(texts: DataFrame, batch: Column, most: int, text: str = "text") -> D
     words = F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
     sized = texts.select(batch.alias("batch"), words.alias("w")).withColumn("kept", F.least("w", F.lit(most)))
     return sized.groupBy("batch").agg(F.count("*").alias("n"), F.max("kept").alias("longest"), F.sum(F.col("w") - F.col("kept")).alias("truncated"), (F.count("*") * F.max("kept") - F.sum("kept")).alias("padded"))
+
+
+#: Lengths of a class differ by this factor at most, so that padding stays below its excess over 1; texts ranked together.
+CLASS, LANE = 1.08, 50_000
+
+
+def padded_batches(texts: DataFrame, key: str, text: str = "text", budget: int = 16_384, most: int = 512, make: Callable[[], HashedTokens] = HashedTokens) -> DataFrame:
+    """(size, lane, batch, n, longest, keys, ids, masks): texts in batches of like length, as a model takes them.
+
+    Texts are tokenised and cut to ``most``; those of one class of lengths (no two differ by more than a twelfth, or by one
+    token) go into batches whose padded tokens do not exceed ``budget``. ids and masks are padded to the batch's longest.
+    A class is ranked in lanes of about ``LANE`` texts, so a common length is many tasks; a batch holds ``budget`` tokens.
+    Blank texts, and those without a token, are in no batch. Rows that share a key are rows of their own.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for batch in batches:
+            found = [provider.tokenise([t or ""])[0][0][:most] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], [key, "ids"])
+
+    made = texts.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<bigint>").where("size(ids) > 0")
+    length = F.size("ids")
+    # classes: lengths up to 12 by themselves, then by the factor
+    size = F.when(length <= 12, length).otherwise(12 + F.floor(F.log(length / 12.0) / math.log(CLASS)).cast("int") + 1)
+    rows = checkpointed(made.withColumns({"length": length, "size": size}))
+    wide = rows.groupBy("size").agg(F.max("length").alias("longest"), F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))  # a row for each class
+    laned = rows.join(F.broadcast(wide), "size").withColumn("lane", F.pmod(F.xxhash64("ids", key), "lanes").cast("int"))
+    order = W.partitionBy("size", "lane").orderBy("length", key, F.xxhash64("ids"))
+    fits = F.greatest(F.lit(1), F.floor(budget / F.col("longest")))
+    placed = laned.withColumn("batch", F.floor((F.row_number().over(order) - 1) / fits).cast("long"))
+    met = placed.groupBy("size", "lane", "batch").agg(F.sort_array(F.collect_list(F.struct("length", key, "ids"))).alias("rows"), F.count("*").alias("n"), F.max("length").alias("longest"))
+    padded = lambda value: F.transform("rows", lambda r: F.concat(value(r), F.array_repeat(F.lit(0).cast("long"), F.col("longest") - r["length"])))
+    ids, masks = padded(lambda r: r["ids"]), padded(lambda r: F.array_repeat(F.lit(1).cast("long"), r["length"]))
+    return met.select("size", "lane", "batch", "n", "longest", F.transform("rows", lambda r: r[key]).alias("keys"), ids.alias("ids"), masks.alias("masks"))

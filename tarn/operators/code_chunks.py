@@ -1,7 +1,7 @@
 """Chunks of source code by scanning braces, indentation and block words.
 
-No grammar is used: what stands in strings and comments is blanked first, then declarations at the right depth are
-found by their first line and followed to where their block ends. Files run through ``mapInPandas`` row by row; nothing
+No grammar is used: what stands in strings, comments and macros is blanked first by the language's lexer, then declarations
+at the right depth are found by their first line and followed to where their block ends. Files run through ``mapInPandas`` row by row; nothing
 is shuffled.
 """
 
@@ -14,24 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tarn.functions import fixed
+from tarn.functions.lexers import code_of
 from tarn.operators.chunks import _split_lines, markdown_chunks
 
 Chunk = tuple[int, int, str, str]
 #: Fixed value: lines of the blocks of a file in which nothing was found.
 REST_LINES = 200
-BLANK = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'|`(?:\\.|[^`\\])*`', re.S)
-
-
-def blanked(text: str, language: str) -> str:
-    """Text of the same shape with strings and comments as spaces."""
-    if language in ("python", "ruby", "yaml"):
-        pattern = r'"""(?:.|\n)*?"""|\'\'\'(?:.|\n)*?\'\'\'|#[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
-        return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    return BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-
 
 DECLARATIONS = {
-    "rust": (("function", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+\w+"), ("struct", r"\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+\w+"), ("enum", r"\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+\w+"), ("trait", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+\w+"), ("impl", r"\s*(?:unsafe\s+)?impl\b"), ("module", r"\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+"), ("const", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+\w+\s*:")),
+    "rust": (("function", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+)?fn\s+\w+"), ("struct", r"\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+\w+"), ("enum", r"\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+\w+"), ("trait", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+\w+"), ("impl", r"\s*(?:unsafe\s+)?impl\b"), ("module", r"\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+\w+"), ("const", r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+\w+\s*:")),
     "javascript": (("function", r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b"), ("class", r"\s*(?:export\s+)?(?:default\s+)?class\s+\w+"), ("method", r"\s+(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)[\w$#]+\s*\([^)]*\)\s*\{")),
     "typescript": (("function", r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b"), ("class", r"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+\w+"), ("interface", r"\s*(?:export\s+)?interface\s+\w+"), ("enum", r"\s*(?:export\s+)?(?:const\s+)?enum\s+\w+"), ("method", r"\s+(?:public\s+|private\s+|protected\s+)?(?:static\s+)?(?:async\s+)?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)[\w$#]+\s*\([^)]*\)\s*(?::\s*[^{=;]+)?\{")),
     "go": (("method", r"func\s+\([^)]*\)\s*\w+"), ("function", r"func\s+\w+"), ("type", r"type\s+\w+"), ("const", r"const\b")),
@@ -58,7 +49,7 @@ def block_end(lines: list[str], start: int) -> int:
 
 
 def brace_chunks(text: str, language: str) -> list[Chunk]:
-    every, plain = _split_lines(text), _split_lines(blanked(text, language))
+    every, plain = _split_lines(text), _split_lines(code_of(text, language))
     plain += [""] * (len(every) - len(plain))
     depth = [0]
     for line in plain:
@@ -99,7 +90,7 @@ def brace_chunks(text: str, language: str) -> list[Chunk]:
 
 
 def python_chunks(text: str) -> list[Chunk]:
-    every, plain = _split_lines(text), _split_lines(blanked(text, "python"))
+    every, plain = _split_lines(text), _split_lines(code_of(text, "python"))
     plain += [""] * (len(every) - len(plain))
     indent = lambda s: len(s) - len(s.lstrip())
     found: list[Chunk] = []
@@ -132,7 +123,7 @@ def python_chunks(text: str) -> list[Chunk]:
 
 
 def ruby_chunks(text: str) -> list[Chunk]:
-    every, plain = _split_lines(text), _split_lines(blanked(text, "ruby"))
+    every, plain = _split_lines(text), _split_lines(code_of(text, "ruby"))
     plain += [""] * (len(every) - len(plain))
     opens = re.compile(r"\s*(?:class|module|def|if|unless|while|until|case|begin|for)\b|.*\bdo\b(?:\s*\|[^|]*\|)?\s*$")
     found, stack = [], []

@@ -295,6 +295,24 @@ def patterns(conversations: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(one("theme", "Programming Help", "third", None), one("behaviour", "Iterative Problem Solving", "long", 0.8), one("topic", "Async Programming", "quarter", 0.75), one("topic", "Error Handling", "third", 0.82))))
 
 
+def trending(messages: DataFrame, period: str, keep: int = 5, word: str = "[a-z]{4,}") -> DataFrame:
+    """(period, word, n, before, rise): for each period (a whole number) the words that rise most.
+
+    ``messages``: period, conv_id, text. n and before count conversations of this and the last period; rise is their
+    difference over the period's conversations. Ties go by n, then by word. Words are counted before they meet.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(word), F.lit(0)))
+    said = messages.select(period, "conv_id", F.explode(words).alias("word")).distinct()
+    counts = said.groupBy(period, "word").agg(F.count("*").alias("n"))
+    # one shuffle: each count is sent to its own period and the next
+    met = counts.select("word", "n", F.inline(F.array(F.struct(F.col(period).alias("of"), F.lit(True).alias("own")), F.struct((F.col(period) + 1).alias("of"), F.lit(False).alias("own")))))
+    both = met.groupBy("of", "word").agg(F.max(F.when(F.col("own"), F.col("n"))).alias("n"), F.coalesce(F.max(F.when(~F.col("own"), F.col("n"))), F.lit(0)).alias("before")).where("n is not null")
+    total = messages.groupBy(F.col(period).alias("of")).agg(F.count_distinct("conv_id").alias("c"))
+    order = W.partitionBy("of").orderBy(F.desc(F.col("n") - F.col("before")), F.desc("n"), "word")
+    best = both.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= keep)
+    return best.join(total, "of").select(F.col("of").alias(period), "word", "n", "before", F.round((F.col("n") - F.col("before")) / F.col("c"), 6).alias("rise"))
+
+
 def in_period(conversations: DataFrame, start: Column, end: Column, least: int = LEAST_MESSAGES) -> DataFrame:
     """Conversations that a report is about: created within the period (inclusive) and of ``least`` messages at least."""
     return conversations.where(F.col("created_at").between(start, end) & (F.col("n_messages") >= least))

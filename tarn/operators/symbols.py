@@ -170,6 +170,12 @@ def files_per_page(total_lines: int, files: int, most_lines: int) -> int:
     return max(5, most_lines // max(1, total_lines // max(1, files)))
 
 
+def page_size(lines_: Column, files: Column, most_lines: int) -> Column:
+    """``files_per_page`` of columns."""
+    each = F.greatest(F.lit(1), F.floor(lines_ / F.greatest(F.lit(1), files)))
+    return F.greatest(F.lit(5), F.floor(F.lit(most_lines) / each))
+
+
 def rendered(symbols: DataFrame, verbosity: int = 1, path: str = "file_path") -> DataFrame:
     """(file_path, text): each file's part of the printed map."""
     shown = F.when(F.lit(verbosity == 0) | (F.col("params") == ""), "").otherwise(F.concat(F.lit("("), F.col("params"), F.lit(")")))

@@ -88,12 +88,23 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 
 def vocabulary(terms: DataFrame, range_terms: int = 100_000) -> DataFrame:
-    """(term, term_id): ids from 0 in the order of terms.
+    """(term, term_id): ids from 0 in the order of terms."""
+    return numbered(checkpointed(terms.select("term").distinct()), 0, range_terms)
+
+
+def grown_vocabulary(vocab: DataFrame, terms: DataFrame, range_terms: int = 100_000) -> DataFrame:
+    """``vocab`` with the terms that it lacks, behind its greatest id in their order. Ids that are given stay; run again, it adds nothing."""
+    new = checkpointed(terms.select("term").distinct().join(vocab.select("term"), "term", "left_anti"))
+    last = vocab.agg(F.max("term_id")).first()[0]
+    return vocab.select("term", "term_id").unionByName(numbered(new, 0 if last is None else last + 1, range_terms))
+
+
+def numbered(unique: DataFrame, start: int, range_terms: int = 100_000) -> DataFrame:
+    """(term, term_id): ids from ``start`` in the order of the terms of ``unique``, which is read three times.
 
     Ids are dealt by ranges of terms, whose bounds come from a sample of what there is: counts of ranges are summed, so no
     task numbers the whole vocabulary, and a common beginning is as many ranges as its terms need.
     """
-    unique = checkpointed(terms.select("term").distinct())  # read three times
     many = unique.agg(F.approx_count_distinct("term").alias("n")).first()["n"]
     bounds = []
     if many > range_terms:
@@ -102,7 +113,7 @@ def vocabulary(terms: DataFrame, range_terms: int = 100_000) -> DataFrame:
     ordered = unique.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col("term"))))
     sizes = ordered.groupBy("_range").count().withColumn("_base", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranked = ordered.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy("term")))
-    return ranked.join(sizes.select("_range", "_base"), "_range").select("term", (F.col("_base") + F.col("_n") - 1).cast("int").alias("term_id"))
+    return ranked.join(sizes.select("_range", "_base"), "_range").select("term", (F.col("_base") + F.col("_n") + (start - 1)).cast("int").alias("term_id"))
 
 
 def term_ids(terms: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -71,10 +71,14 @@ def success_rate_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.success_by_length(rated, "n_chars", "quality", 5000)
 
 
-@query("select 'low_success_rate' rule, 0.5 as value union all select 'low_checkpoint_use', 0.1")
+@query("""with m as (select (select avg(quality) from labels) success_rate, (select count(*)::double / count(distinct conv_id) from conversations) avg_messages, (select avg((toxic = 0)::int) from labels) branch_efficiency, (select avg((role = 'assistant')::int) / 4 from conversations) checkpoint_use)
+    select rule, round(v, 6) as value from (select unnest(['low_success_rate', 'few_messages', 'low_branch_efficiency', 'low_checkpoint_use']) rule, unnest([success_rate, avg_messages, branch_efficiency, checkpoint_use]) v, unnest([0.7, 3.0, 0.6, 0.3]) least from m) where v < least""")
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = spark.createDataFrame([(0.5, 7.0, 0.9, 0.1)], "success_rate double, avg_messages double, branch_efficiency double, checkpoint_use double")
-    return conv.recommendations(metrics)
+    """What a report would advise, from metrics of the tables."""
+    rated = table(spark, sf_dir, "labels").agg(F.avg("quality").alias("success_rate"), F.avg((F.col("toxic") == 0).cast("int")).alias("branch_efficiency"))
+    said = table(spark, sf_dir, "conversations").agg((F.count("*") / F.count_distinct("conv_id")).alias("avg_messages"), (F.avg((F.col("role") == "assistant").cast("int")) / 4).alias("checkpoint_use"))
+    # a row each
+    return conv.recommendations(rated.join(F.broadcast(said))).withColumn("value", F.round("value", 6))
 
 
 _T = f"t as (select conv_id, turn, role, {_TOK} + 4 tokens, role = 'system' s from conversations)"
@@ -314,3 +318,13 @@ def message_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = tokens.postings(m, "id", F.col("text"), only=list(_ASKED))
     hits = search.sparse_scores(post, tokens.query_terms(spark, " ".join(_ASKED)), "id", total=m.count()).join(m.select("id", "conv_id", "text"), "id")
     return search.group_hits(hits, "conv_id", "text").withColumn("snippets", F.sha2(F.array_join("snippets", "|"), 256))
+
+
+@query()
+def message_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of messages by a public BPE file."""
+    import public_tokenizers
+
+    count = conv.bpe_tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return said.select("conv_id", "turn", count("role", "text").alias("tokens"))

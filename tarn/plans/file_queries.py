@@ -80,12 +80,13 @@ _ELEMENTS = [("function", None), ("type", "go"), ("type", "rust"), ("h2_section"
 
 
 @query(
-    "select e element_type, coalesce(e in ('function', 'method', 'struct', 'class', 'enum', 'interface', 'trait', 'module', 'const', 'constant') or (e = 'type' and l is not null and l = 'go') or regexp_matches(e, '^h.*_section$') or starts_with(e, 'root_') or contains(e, '_section_split_') or starts_with(e, 'fallback_chunk_'), false) core, l as language from (values "
-    + ", ".join(f"('{e}', {'null' if lang is None else repr(lang)})" for e, lang in _ELEMENTS)
-    + ") t(e, l)"
+    "with t as (select doc_id, [" + ", ".join(f"'{e}'" for e, _ in _ELEMENTS) + f"][1 + doc_id % {len(_ELEMENTS)}] e, [" + ", ".join("null" if lang is None else f"'{lang}'" for _, lang in _ELEMENTS) + f"][1 + doc_id % {len(_ELEMENTS)}] l from documents) "
+    "select doc_id, e element_type, coalesce(e in ('function', 'method', 'struct', 'class', 'enum', 'interface', 'trait', 'module', 'const', 'constant') or (e = 'type' and l is not null and l = 'go') or regexp_matches(e, '^h.*_section$') or starts_with(e, 'root_') or contains(e, '_section_split_') or starts_with(e, 'fallback_chunk_'), false) core, l as language from t"
 )
 def core_element_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_ELEMENTS, "element_type string, language string")
+    """Documents as elements of all kinds in turn."""
+    of = lambda k: F.get(F.array(*(F.lit(x[k]) for x in _ELEMENTS)).cast("array<string>"), (F.col("doc_id") % len(_ELEMENTS)).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", of(0).alias("element_type"), of(1).alias("language"))
     return rows.withColumn("core", text.core_element(F.col("element_type"), F.col("language")))
 
 

@@ -241,6 +241,16 @@ def conversation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.patterns(conversations.in_period(_reported(spark, sf_dir), *map(F.expr, _PERIOD)))
 
 
+@query("""with w as (select distinct conv_id // 20 period, conv_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) word from conversations where role = 'user'),
+    n as (select period, word, count(*) n from w group by all), b as (select a.*, coalesce(p.n, 0) before from n a left join n p on p.word = a.word and p.period = a.period - 1),
+    t as (select conv_id // 20 period, count(distinct conv_id) c from conversations where role = 'user' group by 1)
+    select b.period, word, n, before, round((n - before) / c::double, 6) rise from b join t using (period) qualify row_number() over (partition by b.period order by n - before desc, n desc, word) <= 5""")
+def trending_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of users that rise most from one period to the next."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.floor(F.col("conv_id") / 20).alias("period"), "conv_id", "text")
+    return conversations.trending(said, "period", 5)
+
+
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
     return _conversations(spark, sf_dir).withColumns({"tokens": F.col("n_messages") * 1000, "project_type": F.when(c % 3 > 0, F.concat(F.lit("k"), c % 3))})
@@ -307,9 +317,14 @@ _KINDS = ("function", "method", "struct", "enum", "trait", "module", "type", "in
 _OWN = " ".join(f"when '{k}' then e in ({', '.join(map(repr, v))})" for k, v in fixed.CORE_BY_LANGUAGE.items())
 
 
-@query(f"select l as \"language\", e element_type, coalesce(case l {_OWN} end, false) core from (select unnest([{', '.join(map(repr, _KINDS))}]) e) k, (select unnest([{', '.join(map(repr, (*fixed.CORE_BY_LANGUAGE, 'java')))}]) l) g")
+_GRID = [(lang, kind) for lang in (*fixed.CORE_BY_LANGUAGE, "java") for kind in _KINDS]
+
+
+@query(f"with t as (select doc_id, [{', '.join(repr(x) for x, _ in _GRID)}][1 + doc_id % {len(_GRID)}] l, [{', '.join(repr(x) for _, x in _GRID)}][1 + doc_id % {len(_GRID)}] e from documents) select doc_id, l as \"language\", e element_type, coalesce(case l {_OWN} end, false) core from t")
 def core_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(lang, kind) for lang in (*fixed.CORE_BY_LANGUAGE, "java") for kind in _KINDS], "language string, element_type string")
+    """Documents as elements of all kinds and languages in turn."""
+    of = lambda k: F.get(F.array(*(F.lit(x[k]) for x in _GRID)), (F.col("doc_id") % len(_GRID)).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", of(0).alias("language"), of(1).alias("element_type"))
     return rows.withColumn("core", text.core_of_language(F.col("element_type"), F.col("language")))
 
 
@@ -333,9 +348,14 @@ def chunk_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.with_file_fields(whole).select("chunk_id", "file_extension")
 
 
-@query(f"with {_PATHS} select file_path, sha256(text) as hash from paths where text is not null")
+_LITTLE = "unhex(array_to_string(list_reverse(regexp_extract_all(lpad(hex({}), 16, '0'), '..')), ''))"
+
+
+@query(f"with {_PATHS} select file_path, sha256({_LITTLE.format('strlen(text)')} || encode(text) || {_LITTLE.format('1700000000 + strlen(text)')}) as hash from paths where text is not null")
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).where("text is not null").select("file_path", F.sha2("text", 256).alias("hash"))
+    """Hashes of size, content and time of modification."""
+    modified = F.lit(1_700_000_000).cast("long") + F.octet_length("text")
+    return _files(spark, sf_dir).where("text is not null").select("file_path", snapshots.file_hash(F.col("text"), modified).alias("hash"))
 
 
 _KINDS_OF = "['added', 'modified', 'renamed', 'copied', 'typechange', 'deleted']"
@@ -428,10 +448,11 @@ def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, sf_dir).search(_vector(spark, sf_dir), 10, (F.col("repo") == "r0") & ((F.col("branch") == "b0") | (F.col("branch") == "b1")))
 
 
-@query("select m as \"lines\", f as files, greatest(5, 100 // greatest(1, m // greatest(1, f))) per_page from (select unnest([10, 1000, 5000, 0]) m, unnest([1, 50, 10, 0]) f)")
+@query("""with t as (select source, sum(len(string_split(text, chr(10))))::bigint m, count(*) f from documents where text is not null group by source) select source, m as "lines", f as files, greatest(5, 1000 // greatest(1, m // f)) per_page from t""")
 def auto_page_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(m, f, symbols.files_per_page(m, f, 100)) for m, f in ((10, 1), (1000, 50), (5000, 10), (0, 0))]
-    return spark.createDataFrame(rows, "lines int, files int, per_page int")
+    """Files of a page for each source, from its files' lines."""
+    sizes = table(spark, sf_dir, "documents").where("text is not null").groupBy("source").agg(F.sum(F.size(F.split("text", "\n", -1))).alias("lines"), F.count("*").alias("files"))
+    return sizes.withColumn("per_page", symbols.page_size(F.col("lines"), F.col("files"), 1000))
 
 
 @query("select doc_id, coalesce(case when doc_id % 3 = 0 then 'asked' || doc_id % 5 end, nullif(case when doc_id % 4 = 0 then 'active' else '' end, ''), case when doc_id % 7 > 0 then 'trunk' end, 'main') branch from documents")

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions import embedding
 from tarn.operators import conversation_search, neighbours, search, tokens
 from tarn.plans.further_queries import _PARTS, _embedded_sql, _provider, _summaries
 from tarn.plans.register import query
@@ -135,3 +136,21 @@ def store_payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = store.VectorStore(spark, path, 64)
         kept.upsert(points)
         return checkpointed(kept.points().where("file_path = 'f7' and language = 'go'").select("id", "branch"))
+
+
+@query(f"""with {TOKENS_SQL}, one as (select distinct term from post where doc_id % 2 = 0), two as (select distinct term from post where term not in (select term from one))
+    select term, (row_number() over (order by term) - 1)::int term_id from one union all select term, ((select count(*) from one) + row_number() over (order by term) - 1)::int from two""")
+def vocabulary_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary of some documents, grown by all of them: ids stay."""
+    terms = tokens.term_rows(_documents(spark, sf_dir), "doc_id", F.col("text"))
+    first = tokens.vocabulary(terms.where("doc_id % 2 = 0"))
+    return tokens.grown_vocabulary(checkpointed(first), terms)
+
+
+@query("""with w as (select doc_id, least(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), 512) w from documents), t as (select w, case when w <= 12 then w else 12 + floor(ln(w / 12.0) / ln(1.08))::int + 1 end size from w where w > 0)
+    select size::int size, count(*) texts, sum(w)::bigint tokens, max(w)::int longest from t group by size""")
+def padded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of ids and masks for a model, summed up by class of lengths."""
+    made = embedding.padded_batches(table(spark, sf_dir, "documents"), "doc_id", budget=16_384, most=512, make=_provider)
+    own = F.aggregate("masks", F.lit(0).cast("long"), lambda a, m: a + F.aggregate(m, F.lit(0).cast("long"), lambda x, y: x + y))
+    return made.groupBy("size").agg(F.sum("n").alias("texts"), F.sum(own).alias("tokens"), F.max("longest").alias("longest"))

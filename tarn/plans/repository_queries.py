@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import repositories, snapshots
+from tarn.operators import trees, repositories, snapshots
 from tarn.plans.register import query
 from tarn.session import table
 
@@ -178,9 +178,46 @@ def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", bytes_label(F.col("p_partkey") * F.col("p_size") * 100 + 1).alias("label"))
 
 
-@query("select * from (values ('main', true), ('a//b', false), ('.x', false), ('x.lock', false), ('feature/one', true), ('a..b', false), ('with space', false), ('-x', false)) t(name, valid)")
+_REFS = (("main", True), ("a//b", False), (".x", False), ("x.lock", False), ("feature/one", True), ("a..b", False), ("with space", False), ("-x", False), ("v1.0", True), ("x@{1}", False), ("end.", False))
+
+
+@query(f"select doc_id, [{', '.join(repr(n) for n, _ in _REFS)}][1 + doc_id % {len(_REFS)}] as name, [{', '.join(str(v).lower() for _, v in _REFS)}][1 + doc_id % {len(_REFS)}] valid from documents union all select doc_id, source || '/' || lang, true from documents where source is not null and lang is not null")
 def valid_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all kinds in turn, and those of sources and languages."""
     from tarn.functions.text import valid_ref
 
-    names = ("main", "a//b", ".x", "x.lock", "feature/one", "a..b", "with space", "-x")
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", valid_ref(F.col("name")).alias("valid"))
+    docs = table(spark, sf_dir, "documents")
+    kinds = docs.select("doc_id", F.get(F.array(*(F.lit(n) for n, _ in _REFS)), (F.col("doc_id") % len(_REFS)).cast("int")).alias("name"))
+    names = kinds.union(docs.select("doc_id", F.concat("source", F.lit("/"), "lang")).where("source is not null and lang is not null"))
+    return names.select("doc_id", "name", valid_ref(F.col("name")).alias("valid"))
+
+
+
+def _deep(snapshot: DataFrame) -> DataFrame:
+    """A snapshot's files in folders of folders."""
+    k = F.length("path") * 7 + F.ascii(F.substring("path", -1, 1))
+    return snapshot.select(F.concat(F.lit("d"), k % 3, F.lit("/e"), k % 5, F.lit("/"), F.replace("path", F.lit("/"), F.lit("-"))).alias("path"), "hash")
+
+
+_K = "(length(path) * 7 + ascii(right(path, 1)))"
+_DEEP = "dx as (select 'd' || {k} % 3 || '/e' || {k} % 5 || '/' || replace(path, '/', '-') path, hash from {t})"
+
+
+@query(f"with {_OLD}, {_NEW}, {_DEEP.replace('dx', 'do_').format(k=_K, t='old')}, {_DEEP.replace('dx', 'dn').format(k=_K, t='new')} select coalesce(a.path, b.path) path, case when a.path is null then 'added' when b.path is null then 'deleted' else 'modified' end status from do_ a full join dn b on a.path = b.path where a.hash is distinct from b.hash")
+def tree_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two trees, found from their roots."""
+    old, new = (trees.merkle_tree(_deep(s)) for s in _snapshots(spark, sf_dir))
+    return trees.tree_difference(old, new)[0]
+
+
+_LEVEL = """{n}b as (select parent, substr(sha256(name), 1, 2) bucket, sha256(string_agg(name || ':' || hash, chr(10) order by name, hash)) h, sum(files) files from {t} group by all),
+    {n} as (select parent node, sha256(string_agg(bucket || ':' || h, chr(10) order by bucket)) hash, sum(files)::bigint files from {n}b group by parent)"""
+
+
+@query(f"""with {_OLD}, {_DEEP.format(k=_K, t='old')}, l3 as (select regexp_replace(path, '/[^/]*$', '') parent, regexp_extract(path, '[^/]*$') as name, hash, 1 files from dx), {_LEVEL.format(n='n2', t='l3')},
+    l2 as (select regexp_replace(node, '/[^/]*$', '') parent, regexp_extract(node, '[^/]*$') || '/' as name, hash, files from n2), {_LEVEL.format(n='n1', t='l2')}, l1 as (select '' parent, node || '/' as name, hash, files from n1), {_LEVEL.format(n='n0', t='l1')}
+    select * from n0 union all select * from n1 union all select * from n2""")
+def directory_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of all directories of a tree."""
+    tree = trees.merkle_tree(_deep(_snapshots(spark, sf_dir)[0]))
+    return tree.where("not leaf").select("node", "hash", "files")

@@ -112,14 +112,19 @@ def doc_term_filename_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.postings(_documents(spark, sf_dir), "doc_id", F.col("text"), name).select("doc_id", "term", "tf")
 
 
-@query(f"with {_Q} select term, round(weight, 6) weight from q")
+@query(f"with {TOKENS_SQL}, {_Q}, dfs as (select term, count(*) df from post group by term) select q.term, round(weight, 6) weight, coalesce(df, 0) df from q left join dfs using (term)")
 def query_term_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.query_terms(spark, QUERY).withColumn("weight", F.round("weight", 6))
+    """Weights of a query's terms, and how many documents have them."""
+    asked = tokens.query_terms(spark, QUERY)
+    terms = [r["term"] for r in asked.collect()]  # a query's
+    df = tokens.document_frequency(tokens.postings(_documents(spark, sf_dir), "doc_id", F.col("text"), only=terms))
+    return asked.join(df, "term", "left").select("term", F.round("weight", 6).alias("weight"), F.coalesce("df", F.lit(0)).alias("df"))
 
 
-@query(f"select term, ({_BOOST}) boosted from (select unnest(['handler', 'upload_file', 'rs', 'the', 'Mutex', 'main.rs', 'file-name', 'util', 'der']) term)")
+@query(f"with {TOKENS_SQL} select distinct term, ({_BOOST}) boosted from post")
 def filename_term_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([(x,) for x in ("handler", "upload_file", "rs", "the", "Mutex", "main.rs", "file-name", "util", "der")], "term string")
+    """Which terms of the corpus a query that names files would boost."""
+    terms = tokens.term_rows(_documents(spark, sf_dir), "doc_id", F.col("text")).select("term").distinct()
     return terms.select("term", filename_term(F.col("term"), QUERY).alias("boosted"))
 
 
