@@ -98,5 +98,9 @@ def sync_states(steps: DataFrame, key: str = "repo") -> DataFrame:
 
 def sync_queue(requests: DataFrame, key: str = "repo", ts: str = "ts") -> DataFrame:
     """(key, ts, position): repositories that wait, each once, by their first request."""
-    first = requests.groupBy(key).agg(F.min(ts).alias(ts))
-    return first.withColumn("position", F.row_number().over(W.orderBy(ts, key)))
+    first = requests.groupBy(key).agg(F.min(ts).alias(ts)).withColumn("_hour", F.date_trunc("hour", ts))
+    # places within an hour, behind those of all hours before: the window over all rows is one over hours
+    before = W.orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    hours = first.groupBy("_hour").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col("_hour").alias("_h"), "_base")
+    placed = first.withColumn("_n", F.row_number().over(W.partitionBy("_hour").orderBy(ts, key))).join(hours, F.col("_hour").eqNullSafe(F.col("_h")))
+    return placed.select(key, ts, (F.col("_base") + F.col("_n")).cast("int").alias("position"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import extension
+from tarn.session import checkpointed
 
 # Commits of a history by default and at most.
 HISTORY, MOST_HISTORY = 100, 1000
@@ -34,11 +35,16 @@ def dependency_edges(edges: DataFrame, repos: DataFrame, key: str = "name") -> D
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(name, depth): breadth-first from ``start`` (name) along ``edges``, ``depth`` steps at most."""
-    seen = start.select("name", F.lit(0).alias("depth")).distinct()
-    front = seen
+    """(name, depth): breadth-first from ``start`` (name) along ``edges``, ``depth`` steps at most, fewer if nothing is new.
+
+    Each step's rows are settled before the next, so a plan reads them and not all that led to them.
+    """
+    seen = front = checkpointed(start.select("name", F.lit(0).alias("depth")).distinct())
     for step in range(1, depth + 1):
-        front = edges.join(front.select(F.col("name").alias("source")), "source").select(F.col("target").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(step))
+        met = edges.join(front.select(F.col("name").alias("source")), "source").select(F.col("target").alias("name")).distinct()
+        front = checkpointed(met.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(step)))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return seen
 

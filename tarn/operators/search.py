@@ -182,5 +182,9 @@ def similar_items(points: DataFrame, k: int, queries: Column, id_col: str = "id"
 
 def group_hits(hits: DataFrame, key: str, snippet: str, keep: int = 3) -> DataFrame:
     """Hits by a key: best score and the snippets of the best hits."""
-    best = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.col(snippet).alias("x")))), 1, keep), lambda x: x["x"])
-    return hits.groupBy(key).agg(F.max("score").alias("score"), F.count("*").alias("n_hits"), best.alias("snippets"))
+    # the best of a key are ranked before they meet, so a key of many hits is no long row
+    order = W.partitionBy(key).orderBy(F.desc("score"), "id")
+    first = hits.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= keep)
+    best = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", F.col(snippet).alias("x")))), lambda x: x["x"]).alias("snippets"))
+    every = hits.groupBy(F.col(key).alias("_of")).agg(F.max("score").alias("score"), F.count("*").alias("n_hits"))
+    return every.join(best, F.col("_of").eqNullSafe(F.col(key))).select(key, "score", "n_hits", "snippets")

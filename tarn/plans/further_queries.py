@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tarn.plans.file_queries import _PATHS, _files
 from tarn.plans.more_queries import _C, _conversations
 from tarn.plans.register import query
 from tarn.plans.search_queries import _Q, _VEC, QUERY, TOKENS_SQL, _documents, _hybrid, _hybrid_sql, _vector
-from tarn.session import shared_folder, table
+from tarn.session import checkpointed, folder, table
 from tarn.sources import files, store
 
 # embedding -----------------------------------------------------------------------------------------------------------
@@ -109,11 +110,11 @@ def hybrid_without_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TOKENS_SQL}, {_Q}, v as (select term, (row_number() over (order by term) - 1)::int term_id from (select distinct term from post)) select q.term, coalesce(v.term_id, -1) term_id, w.term back from q left join v using (term) left join v w on w.term_id = v.term_id")
 def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = f"{shared_folder(spark)}/tarn-vocabulary-{uuid.uuid4().hex}"
-    store.save_vocabulary(tokens.vocabulary(tokens.term_rows(_documents(spark, sf_dir), "doc_id", F.col("text"))), place)
-    vocab = store.load_vocabulary(spark, place)
-    found = tokens.term_ids(tokens.query_terms(spark, QUERY).select("term"), vocab)
-    return tokens.terms_of(found, vocab.withColumnRenamed("term", "back")).withColumn("term_id", F.coalesce("term_id", F.lit(-1)))
+    with folder(spark, "vocabulary") as place:
+        store.save_vocabulary(tokens.vocabulary(tokens.term_rows(_documents(spark, sf_dir), "doc_id", F.col("text"))), place)
+        vocab = store.load_vocabulary(spark, place)
+        found = tokens.term_ids(tokens.query_terms(spark, QUERY).select("term"), vocab)
+        return checkpointed(tokens.terms_of(found, vocab.withColumnRenamed("term", "back")).withColumn("term_id", F.coalesce("term_id", F.lit(-1))))
 
 
 # conversations -------------------------------------------------------------------------------------------------------
@@ -413,15 +414,17 @@ def _points(spark: SparkSession, sf_dir: str, some: Column, path: str) -> DataFr
     return e.select(v.alias("id"), F.concat(F.lit("r"), v % 2).alias("repo"), F.concat(F.lit("b"), v % 3).alias("branch"), F.concat(F.lit(path), v % 10).alias("file_path"), F.when(v % 4 == 0, "rust").otherwise("go").alias("language"), F.col("embedding").alias("dense"))
 
 
-def _store(spark: SparkSession, sf_dir: str) -> store.VectorStore:
-    """Two upserts, a deletion of files in a branch and one of a branch."""
-    kept = store.VectorStore(spark, f"{shared_folder(spark)}/tarn-store-{uuid.uuid4().hex}", 64)
+@contextmanager
+def _store(spark: SparkSession, sf_dir: str) -> Iterator[store.VectorStore]:
+    """Two upserts, a deletion of files in a branch and one of a branch; deleted at the end of the block."""
     v = F.col("vec_id")
-    kept.upsert(_points(spark, sf_dir, v % 5 != 0, "old"))
-    kept.upsert(_points(spark, sf_dir, v % 7 == 0, "new"))
-    kept.delete_files("r0", "b0", ["old2", "new4"])
-    kept.delete_branch("r1", "b2")
-    return kept
+    with folder(spark, "store") as path:
+        kept = store.VectorStore(spark, path, 64)
+        kept.upsert(_points(spark, sf_dir, v % 5 != 0, "old"))
+        kept.upsert(_points(spark, sf_dir, v % 7 == 0, "new"))
+        kept.delete_files("r0", "b0", ["old2", "new4"])
+        kept.delete_branch("r1", "b2")
+        yield kept
 
 
 _STORED = """p as (select vec_id id, 'r' || vec_id % 2 repo, 'b' || vec_id % 3 branch, case when vec_id % 7 = 0 then 'new' else 'old' end || vec_id % 10 file_path, case when vec_id % 4 = 0 then 'rust' else 'go' end "language", embedding from embeddings where vec_id % 5 <> 0 or vec_id % 7 = 0),
@@ -430,22 +433,26 @@ _STORED = """p as (select vec_id id, 'r' || vec_id % 2 repo, 'b' || vec_id % 3 b
 
 @query(f"with {_STORED} select id, repo, branch, file_path from k")
 def store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir).points().select("id", "repo", "branch", "file_path")
+    with _store(spark, sf_dir) as kept:
+        return checkpointed(kept.points().select("id", "repo", "branch", "file_path"))
 
 
 @query(f"with {_STORED} select repo, branch, count(*) points from k group by all")
 def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir).info()
+    with _store(spark, sf_dir) as kept:
+        return checkpointed(kept.info())
 
 
 @query(f"with {_STORED} select id, file_path from k where id > 40 and \"language\" = 'go' order by id limit 25")
 def store_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir).scroll(40, 25, F.col("language") == "go").select("id", "file_path")
+    with _store(spark, sf_dir) as kept:
+        return checkpointed(kept.scroll(40, 25, F.col("language") == "go").select("id", "file_path"))
 
 
 @query(f"with {_STORED}, {_VEC} select id, round(list_dot_product(k.embedding::double[], v.q) / (sqrt(list_dot_product(k.embedding::double[], k.embedding::double[])) * sqrt(list_dot_product(v.q, v.q))), 6) score from k, v where (branch = 'b0' or branch = 'b1') and repo = 'r0' order by score desc, id limit 10")
 def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir).search(_vector(spark, sf_dir), 10, (F.col("repo") == "r0") & ((F.col("branch") == "b0") | (F.col("branch") == "b1")))
+    with _store(spark, sf_dir) as kept:
+        return checkpointed(kept.search(_vector(spark, sf_dir), 10, (F.col("repo") == "r0") & ((F.col("branch") == "b0") | (F.col("branch") == "b1"))))
 
 
 @query("""with t as (select source, sum(len(string_split(text, chr(10))))::bigint m, count(*) f from documents where text is not null group by source) select source, m as "lines", f as files, greatest(5, 1000 // greatest(1, m // f)) per_page from t""")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +10,8 @@ from tarn.operators import conversation_search, neighbours, search, tokens
 from tarn.plans.further_queries import _PARTS, _embedded_sql, _provider, _summaries
 from tarn.plans.register import query
 from tarn.plans.search_queries import _COS, _Q, _SPARSE, _VEC, QUERY, TOKENS_SQL, _documents, _hybrid_sql, _points, _vector, tokens_sql
-from tarn.session import checkpointed, shared_folder, table
+from tarn.session import checkpointed, folder, table
 from tarn.sources import clustered, inverted, store
-from tarn.sources.commits import CommitLog
-
-
-@contextmanager
-def folder(spark: SparkSession, name: str) -> Iterator[str]:
-    """A path in the shared folder, deleted at the end of the block."""
-    path = f"{shared_folder(spark)}/tarn-{name}-{uuid.uuid4().hex}"
-    try:
-        yield path
-    finally:
-        CommitLog(spark, path).remove("")
 
 
 @query(f"with {TOKENS_SQL}, {_Q}, {_SPARSE} select id, score from s order by score desc, id limit 20")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.plans.register import query
-from tarn.session import shared_folder, table
+from tarn.session import checkpointed, folder, table
 from tarn.streaming import jobs, machines
 
 
@@ -24,13 +22,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _place(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/tarn-stream-{what}-{uuid.uuid4().hex}"
-
-
 def _appended(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    place = _place(spark, what)
-    return jobs.to_table(df, f"{place}/rows", f"{place}/state")
+    with folder(spark, f"stream-{what}") as place:
+        return checkpointed(jobs.to_table(df, f"{place}/rows", f"{place}/state"))
 
 
 def _kept(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
@@ -53,7 +47,8 @@ def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_type as by_type, time_bucket(interval 1 day, ts, timestamp '1970-01-01') as start, count(*) n from events group by all")
 def windowed_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = jobs.windowed_counts(_events(spark, sf_dir), "ts", "event_type", "1 day")
-    return jobs.latest_table(counts, _place(spark, "counts")).select(F.col("event_type").alias("by_type"), "start", "n")
+    with folder(spark, "stream-counts") as place:
+        return checkpointed(jobs.latest_table(counts, place).select(F.col("event_type").alias("by_type"), "start", "n"))
 
 
 @query(f"""with {_MARK}, e as (select user_id, epoch_us(ts) t, lag(epoch_us(ts)) over w before, lead(epoch_us(ts)) over w after from events window w as (partition by user_id order by ts))
@@ -140,6 +135,6 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sync_batches_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     changes = _events(spark, sf_dir).select(F.concat(F.lit("r"), u % 5).alias("repo"), F.concat(F.lit("p"), u).alias("path"), F.col("event_type").alias("change_type"), "ts")
-    place = _place(spark, "sync")
-    jobs.sync_batches(changes, lambda batch, epoch: batch.write.mode("append").parquet(f"{place}/rows"), f"{place}/state").trigger(availableNow=True).start().awaitTermination()
-    return jobs.last_changes(spark.read.parquet(f"{place}/rows"))
+    with folder(spark, "stream-sync") as place:
+        jobs.sync_batches(changes, lambda batch, epoch: batch.write.mode("append").parquet(f"{place}/rows"), f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+        return checkpointed(jobs.last_changes(spark.read.parquet(f"{place}/rows")))

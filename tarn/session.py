@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +21,7 @@ def build_session(app: str = "tarn", cpus: str | int | None = None, **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -52,3 +57,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+@contextmanager
+def folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path in the shared folder, deleted at the end of the block: what is read from it must be settled by then."""
+    path = f"{shared_folder(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -186,10 +186,9 @@ def test_payload_filter_skips_row_groups(spark, tmp_path):
 
 
 def test_leftovers_do_not_stay(spark):
-    from tarn.plans import index_queries
-    from tarn.session import shared_folder
+    from tarn.session import folder, shared_folder
 
-    with index_queries.folder(spark, "test") as path:
+    with folder(spark, "test") as path:
         spark.range(3).write.parquet(f"{path}/x")
         assert Path(path).exists()
     assert not Path(path).exists() and path.startswith(shared_folder(spark))
