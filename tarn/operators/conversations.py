@@ -295,7 +295,7 @@ def patterns(conversations: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(one("theme", "Programming Help", "third", None), one("behaviour", "Iterative Problem Solving", "long", 0.8), one("topic", "Async Programming", "quarter", 0.75), one("topic", "Error Handling", "third", 0.82))))
 
 
-def trending(messages: DataFrame, period: str, keep: int = 5, word: str = "[a-z]{4,}") -> DataFrame:
+def rising_words(messages: DataFrame, period: str, keep: int = 5, word: str = "[a-z]{4,}") -> DataFrame:
     """(period, word, n, before, rise): for each period (a whole number) the words that rise most.
 
     ``messages``: period, conv_id, text. n and before count conversations of this and the last period; rise is their

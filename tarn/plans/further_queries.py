@@ -249,7 +249,7 @@ def conversation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trending_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of users that rise most from one period to the next."""
     said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.floor(F.col("conv_id") / 20).alias("period"), "conv_id", "text")
-    return conversations.trending(said, "period", 5)
+    return conversations.rising_words(said, "period", 5)
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,6 @@ def test_bpe_tokens_equal_the_library(spark):
 
 def test_trending(spark):
     rows = [(0, 1, "alpha beta"), (0, 2, "alpha"), (1, 3, "beta beta gamma"), (1, 4, "beta"), (1, 5, None), (3, 6, "alpha")]
-    got = conversations.trending(spark.createDataFrame(rows, "week long, conv_id long, text string"), "week", 2)
+    got = conversations.rising_words(spark.createDataFrame(rows, "week long, conv_id long, text string"), "week", 2)
     assert {tuple(r) for r in got.collect()} == {(0, "alpha", 2, 0, 1.0), (0, "beta", 1, 0, 0.5), (1, "beta", 2, 1, 0.333333), (1, "gamma", 1, 0, 0.333333), (3, "alpha", 1, 0, 1.0)}
     assert isinstance(got.toPandas(), pd.DataFrame)
