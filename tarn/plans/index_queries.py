@@ -11,7 +11,7 @@ from tarn.plans.further_queries import _PARTS, _embedded_sql, _provider, _summar
 from tarn.plans.register import query
 from tarn.plans.search_queries import _COS, _Q, _SPARSE, _VEC, QUERY, TOKENS_SQL, _documents, _hybrid_sql, _points, _vector, tokens_sql
 from tarn.session import checkpointed, folder, table
-from tarn.sources import clustered, inverted, store
+from tarn.sources import clustered, collection, inverted, store
 
 
 @query(f"with {TOKENS_SQL}, {_Q}, {_SPARSE} select id, score from s order by score desc, id limit 20")
@@ -139,3 +139,20 @@ def padded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = embedding.padded_batches(table(spark, sf_dir, "documents"), "doc_id", budget=16_384, most=512, make=_provider)
     own = F.aggregate("masks", F.lit(0).cast("long"), lambda a, m: a + F.aggregate(m, F.lit(0).cast("long"), lambda x, y: x + y))
     return made.groupBy("size").agg(F.sum("n").alias("texts"), F.sum(own).alias("tokens"), F.max("longest").alias("longest"))
+
+
+@query(
+    _hybrid_sql("documents.lang = 'en' and vec_id % 9 <> 4", 320, 480, "rrf").replace(TOKENS_SQL, "changed as (select doc_id, case when doc_id % 3 = 0 then text || ' extra handler' else text end text from documents), " + tokens_sql("changed", "doc_id"))
+    + " select id, score from fused order by score desc, id limit 10"
+)
+def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of both sides: filled, partly replaced, partly emptied, compacted, asked with a filter."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("repo"), F.lit("main").alias("branch"), F.col("lang").alias("language"), "text")
+    points = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense")), "id")
+    with folder(spark, "collection") as path:
+        kept = collection.Collection(spark, path, 64)
+        kept.upsert(points)
+        kept.upsert(points.where("id % 3 = 0").withColumn("text", F.concat("text", F.lit(" extra handler"))))
+        kept.delete(F.col("id") % 9 == 4)
+        kept.compact()
+        return checkpointed(kept.search(QUERY, _vector(spark, sf_dir), where=F.col("language") == "en"))

@@ -97,7 +97,7 @@ class InvertedIndex:
         if new is not None:
             forward = ids.join(new.groupBy("id").agg(F.collect_list("term").alias("terms"), F.sum("tf").alias("length")), "id", "left")
             forward = forward.withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")), "length": F.coalesce("length", F.lit(0))})
-            forward.select("id", "terms", "length", self._bucket(F.col("id"))).write.partitionBy("bucket").parquet(f"{at}/forward")
+            forward.select("id", "terms", "length", self._bucket(F.col("id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/forward")
             added = self._load(name, "forward", kind).count()
             count += added
             self._blocks(new, name, kind)
@@ -125,7 +125,7 @@ class InvertedIndex:
         at = f"{self.path}/{name}"
         live = checkpointed(live)
         live.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-        forward.select("id", "terms", "length", self._bucket(F.col("id"))).write.partitionBy("bucket").parquet(f"{at}/forward")
+        forward.select("id", "terms", "length", self._bucket(F.col("id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/forward")
         kind = live.schema["id"].dataType.simpleString()
         self._blocks(live, name, kind)
         self.log.commit(version, {"segments": [{"name": name, "seq": version + 1, "id": kind, "terms": True, "blocks": True, "gone": False}], "documents": state["documents"]})

@@ -110,10 +110,22 @@ def scan(spark, language, *lines):
     [
         ("ruby", "def process_data(input, options = {})", ("process_data", "RubyInstance", "input, options = {}")),
         ("ruby", "  def self.build(x)", ("build", "RubyClass", "x")),
+        ("ruby", "module Tools", ("Tools", "RubyModule", "")),
+        ("ruby", "def start(name:, age: 3)", ("start", "RubyInstance", "name:, age: 3")),
+        ("ruby", "  def note(*words, **more)", ("note", "RubyInstance", "*words, **more")),
+        ("ruby", "def each_of(items, &block)", ("each_of", "RubyInstance", "items, &block")),
+        ("ruby", "def empty?", ("empty", "RubyInstance", "")),
+        ("ruby", "  def store!", ("store", "RubyInstance", "")),
         ("typescript", "interface User {", ("User", "TsInterface", "")),
+        ("typescript", "function total(items: Item[]): number {", ("total", "TsFunction", "items: Item[]")),
+        ("typescript", "async function load(url: string): Promise<D> {", ("load", "TsFunction", "url: string")),
+        ("typescript", "const clean = (data: string) => {", ("clean", "TsArrow", "data: string")),
+        ("typescript", "let ask = async () => {", ("ask", "TsArrow", "")),
+        ("typescript", "class Store {", ("Store", "TsClass", "")),
         ("typescript", "export const f = (a) => a", ("f", "TsArrow", "a")),
         ("go", "func (s *Server) Run(port int) {", ("Run", "GoMethod", "s *Server")),
         ("vue", "  name: 'Widget',", ("Widget", "VueComponent", "")),
+        ("vue", '  name: "List",', ("List", "VueComponent", "")),
         ("yaml", "port: 8080", ("port", "YamlValue", "8080")),
         ("markdown", "## Usage", ("Usage", "MarkdownHeader", "level 2")),
         ("python", "async def go(a, b):", ("async go", "PythonAsyncFunction", "a, b")),
@@ -125,6 +137,12 @@ def test_scanners(spark, language, line, want):
     assert scan(spark, language, line)[0][:3] == want
 
 
+def test_scanners_see_calls(spark):
+    rows = symbols.contextual_lines(spark.createDataFrame([("def total\n  items.sum(&:price)\n  check(items)\nend",)], "text string"))
+    got = symbols.scan(rows, "ruby").first()
+    assert got["line_number"] == 1 and {"sum", "check"} <= set(got["calls"])
+
+
 def test_rust_scanner_counts_indented_functions_twice(spark):
     assert [k for _, k, *_ in scan(spark, "rust", "impl A {", "    fn b(&self) {", "    }")] == ["RustImpl", "RustFn", "RustTraitMethod"]
 

@@ -192,3 +192,22 @@ def test_leftovers_do_not_stay(spark):
         spark.range(3).write.parquet(f"{path}/x")
         assert Path(path).exists()
     assert not Path(path).exists() and path.startswith(shared_folder(spark))
+
+
+def test_collection_of_both_sides(spark, tmp_path):
+    from tarn.sources.collection import Collection
+
+    rows = [(i, "r", "main", f"f{i}.rs", "go", t, [float(i % 5), 1.0]) for i, t in enumerate(texts(5, 60, 40))] + [(60, "r", "main", "e", "go", None, [0.0, 1.0])]
+    points = spark.createDataFrame(rows, "id long, repo string, branch string, file_path string, language string, text string, dense array<double>")
+    kept = Collection(spark, str(tmp_path / "c"), 2, 8)
+    kept.upsert(points)
+    kept.upsert(points.where("id < 20").withColumn("text", F.concat("text", F.lit(" fresh w3"))))
+    kept.delete(F.col("id") % 7 == 0)
+    held = points.withColumn("text", F.when(F.col("id") < 20, F.concat("text", F.lit(" fresh w3"))).otherwise(F.coalesce("text", F.lit("")))).where("id % 7 <> 0")
+    for where in (None, F.col("id") > 9):
+        some = held if where is None else held.where(where)
+        post = tokens.postings(some, "id", F.col("text"))
+        want = search.hybrid_search(some, post, "fresh w3 w5", [1.0, 1.0], vector_col="dense", total=some.count())
+        assert kept.search("fresh w3 w5", [1.0, 1.0], where=where).collect() == want.collect()
+    kept.compact()
+    assert kept.count() == held.count() == kept.index.total()
