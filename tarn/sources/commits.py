@@ -17,7 +17,8 @@ class CommitLog:
     """Numbered states of a collection in ``path/_versions``: what is read is what the greatest number says.
 
     Data folders are written first and named by the state that ``commit`` makes visible, so a reader sees all of a change
-    or nothing, and what a failed writer leaves is never read.
+    or nothing, and what a failed writer leaves is never read. The file system must rename a file at once and not onto one
+    that is there, as HDFS does; on an object store without such renames only one writer may be at work.
     """
 
     def __init__(self, spark: SparkSession, path: str):
