@@ -879,7 +879,7 @@ def test_registered(spark, sf_dir):
     from tarn.llm import registry
     from tests.oracle import connect, rows
 
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{n}" for n in range(1, 14)]
     db = connect(sf_dir)
     for name, f in registry.QUERIES.items():
         got = f(spark, sf_dir).toPandas()
