@@ -104,14 +104,10 @@ class SyncProcessor(StatefulProcessor):
         self.machine = handle.getValueState("machine", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        first = None
-        for pdf in rows:
-            at = pdf["ts"].astype("datetime64[us]").astype("int64")
-            for t, path, failures in zip(at, pdf["path"], pdf["failures"]):
-                self.early.appendValue((int(t), path, int(failures)))
-                first = t if first is None else min(first, t)
-        if first is not None:
-            self.handle.registerTimer(max(int(first) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        come = [(int(t), path, int(failures)) for pdf in rows for t, path, failures in zip(pdf["ts"].astype("datetime64[us]").astype("int64"), pdf["path"], pdf["failures"])]
+        if come:
+            self.early.appendList(come)
+            self.handle.registerTimer(max(min(come)[0] // 1000, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
