@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +21,8 @@ LEAST, LARGEST, HOURS, FEWEST = 0.7, 20, 168, 5
 ROUNDS = 40
 #: Pairs of a group that one task decides at once.
 ALONE = 500_000
+#: Rows of a group that tell how many pairs it has; open clusters that a walk may be expected to hold; rows of its step.
+SAMPLE, OPEN, STEP = 512, 20_000, 512
 
 
 def temporal_weight(score: Column, hours: Column) -> Column:
@@ -62,17 +68,103 @@ def similar_pairs(points: DataFrame, within: str, least: float, id_col: str = "i
     return seated.groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, score double")
 
 
-def greedy_clusters(points: DataFrame, group: str, least: float = LEAST, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def greedy_clusters(points: DataFrame, group: str, least: float = LEAST, id_col: str = "id", vector_col: str = "embedding", alone: int = ALONE) -> DataFrame:
     """(group, cluster, id): rows of a group in the order of ids; each that is free gathers the first free ones similar to it.
 
-    Decided in rounds on the graph of similar pairs, so a group may be of any size; see ``gathered``.
+    Groups with few similar pairs are decided in rounds on the graph of these pairs, so they may be of any size; see ``gathered``.
+    Where more than ``alone`` pairs are to be expected, nearly all of them never matter: see ``walked``. Both give the same.
     """
-    sizes = points.groupBy(group).count().where(F.col("count") >= FEWEST).select(F.col(group).alias("g"))
-    pairs = similar_pairs(points, group, least, id_col, vector_col).join(points.select(F.col(id_col).alias("a"), F.col(group).alias("g")), "a")
+    rows = points.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    sizes = points.groupBy(group).count().where(F.col("count") >= FEWEST).select(F.col(group).alias("g"), "count")
+    dense = crowded(rows, sizes, least, alone)
+    rest = points
+    if dense:
+        rest = points.where(~F.col(group).isin(dense))
+    pairs = similar_pairs(rest, group, least, id_col, vector_col).join(rest.select(F.col(id_col).alias("a"), F.col(group).alias("g")), "a")
     found = gathered(pairs.join(sizes, "g", "left_semi").select("g", "a", "b"))
+    if dense:
+        found = found.union(walked(rows.where(F.col("g").isin(dense)), least, parts=2 * len(dense)))
     return found.select(F.col("g").alias(group), "cluster", F.col("id").alias(id_col))
 
 
+def _units(v: pa.Array) -> np.ndarray:
+    x = np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def crowded(rows: DataFrame, sizes: DataFrame, least: float, alone: int) -> list:
+    """Groups of ``rows(g, id, v)`` for which more than ``alone`` similar pairs and few open clusters are to be expected.
+
+    Told from the pairs among ``SAMPLE`` rows of each large group. It is a choice of the way only, never of the result.
+    """
+    large = [r["g"] for r in sizes.where(f"g is not null and count * (count - 1D) / 2 > {alone}").select("g").collect()]  # a row for as many rows as have ``alone`` pairs
+    if not large:
+        return []
+    some = rows.where(F.col("g").isin(large)).withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= SAMPLE)
+
+    def share(t: pa.Table) -> pa.Table:
+        x = _units(t.column("v").combine_chunks())
+        near = np.triu(np.round(x @ x.T, 6) >= least, 1).sum() / max(1, len(x) * (len(x) - 1) / 2)
+        return pa.table({"g": t.column("g").slice(0, 1), "share": [float(near)]})
+
+    kind = rows.schema["g"].dataType.simpleString()
+    shares = some.select("g", "v").groupBy("g").applyInArrow(share, f"g {kind}, share double").join(sizes, "g")
+    return [r["g"] for r in shares.where(f"share * count * (count - 1D) / 2 > {alone} and share * {OPEN} >= {LARGEST}").collect()]
+
+
+def walked(rows: DataFrame, least: float, most: int = LARGEST, parts: int = 8, step: int = STEP) -> DataFrame:
+    """(g, cluster, id) as of ``gathered``, from ``rows(g, id, v)`` themselves, in one pass in the order of ids.
+
+    A task reads its groups a batch at a time and holds only clusters that still are open, that is a row for each that has not
+    found its members yet. A batch's rows are offered to these in their order, then lead clusters themselves; what is full
+    leaves. A dense group needs few comparisons, as a cluster ends at ``most`` members: no pairs are made.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def take(near: np.ndarray, free: np.ndarray, wants: int) -> np.ndarray:
+        hits = np.flatnonzero(near & free)[:wants]
+        free[hits] = False
+        return hits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the group; its open clusters are ``leaders``, the vectors ``x`` of these and how many rows they ``need``
+        for batch in batches:
+            g, every = batch.column("g"), batch.column("id").to_numpy()
+            starts = (np.flatnonzero(np.asarray(pc.not_equal(g.slice(1), g.slice(0, len(g) - 1)))) + 1).tolist()
+            cuts = [0, *starts, len(g)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if last is None or lo or g[lo].as_py() != last:
+                    last, leaders, x, need = g[lo].as_py(), every[:0], np.empty((0, 0)), np.empty(0, np.int64)
+                clusters, members = [every[:0]], [every[:0]]
+                for at in range(lo, hi, step):
+                    ids, v = every[at : min(hi, at + step)], _units(batch.column("v").slice(at, min(hi, at + step) - at))
+                    free = np.ones(len(ids), bool)
+                    near = np.round(x @ v.T, 6) >= least if len(leaders) else np.empty((0, len(ids)), bool)
+                    own = np.triu(np.round(v @ v.T, 6) >= least, 1)
+                    begun: list[int] = []
+                    wanted: list[int] = []
+                    # open clusters first, then rows that are still free, all in the order of ids
+                    for leader, row, wants, i in [*zip(leaders, near, need, [-1] * len(leaders)), *zip(ids, own, [most - 1] * len(ids), range(len(ids)))]:
+                        if i >= 0 and not free[i]:
+                            continue
+                        hits = take(row, free, wants)
+                        if len(hits):
+                            some = ids[hits] if wants < most - 1 else np.concatenate([[leader], ids[hits]])
+                            clusters.append(np.full(len(some), leader))
+                            members.append(some)
+                        if i >= 0:
+                            free[i] = False
+                            begun.append(i)
+                        wanted.append(wants - len(hits))
+                    left = np.array(wanted, np.int64)
+                    leaders, x = np.concatenate([leaders, ids[begun]]), np.vstack([x.reshape(-1, v.shape[1]), v[begun]])
+                    leaders, x, need = leaders[left > 0], x[left > 0], left[left > 0]
+                whole = np.concatenate(clusters)
+                yield pa.RecordBatch.from_arrays([pa.array([last] * len(whole), g.type), pa.array(whole, batch.column("id").type), pa.array(np.concatenate(members), batch.column("id").type)], ["g", "cluster", "id"])
+
+    return rows.repartition(parts, "g").sortWithinPartitions("g", "id").mapInArrow(run, f"g {kinds['g']}, cluster {kinds['id']}, id {kinds['id']}")
+
+
 def gathered(pairs: DataFrame, most: int = LARGEST, rounds: int = ROUNDS, alone: int = ALONE) -> DataFrame:
     """(g, cluster, id): what taking rows in the order of ids gives, where a free row takes up to ``most`` - 1 free later ones.
 

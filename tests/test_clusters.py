@@ -52,3 +52,28 @@ def test_one_workspace_is_many_tasks(spark):
     assert got == sequential({("one", int(i), int(j)) for i, j in zip(a, b)}, clusters.LARGEST)
     few = rows.where(F.col("id") < 4)
     assert clusters.greedy_clusters(few, "w").collect() == []  # too few rows
+
+
+@pytest.mark.parametrize("least,most_rows,step", [(0.2, 700, 37), (-2.0, 90, 512), (0.75, 300, 16)])
+def test_walk_equals_the_sequence(spark, least, most_rows, step):
+    """Dense groups are decided in one pass without their pairs; groups begin and end inside batches."""
+    rng = np.random.default_rng(most_rows)
+    x = rng.normal(size=(most_rows, 12))
+    x[::7] = x[0]
+    rows = spark.createDataFrame([(f"g{i % 3}", i, [float(c) for c in v]) for i, v in enumerate(x)], "g string, id long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= least, 1))
+    want = sequential({(f"g{i % 3}", int(i), int(j)) for i, j in zip(a, b) if i % 3 == j % 3}, clusters.LARGEST)
+    got = [tuple(r) for r in clusters.walked(rows, least, parts=2, step=step).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dense_groups_make_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    rows = spark.createDataFrame([(i, "dense" if i < 300 else "few", [float(c) for c in v]) for i, v in enumerate(x)], "id long, w string, embedding array<double>")
+    whole = {tuple(r) for r in clusters.greedy_clusters(rows, "w", 0.2).collect()}
+    seen = []
+    plain = clusters.gathered
+    monkeypatch.setattr(clusters, "gathered", lambda pairs, *a: seen.append({r["g"] for r in pairs.select("g").distinct().collect()}) or plain(pairs, *a))
+    assert {tuple(r) for r in clusters.greedy_clusters(rows, "w", 0.2, alone=4000).collect()} == whole and seen == [{"few"}]
