@@ -20,8 +20,8 @@ from tarn.session import checkpointed
 
 #: Rows of the sample for each list; steps of its clustering; what a bound gives way (scores have 6 digits).
 SAMPLE, STEPS, GIVE = 64, 8, 2e-6
-#: Rows of a list that one task compares with others.
-TILE = 4096
+#: Rows that one task compares with others; shelves that small tables are dealt to at least; rows that are routed at once.
+TILE, SHELVES, ROUTED = 16_384, 16, 1024
 
 
 @dataclass(frozen=True)
@@ -101,21 +101,39 @@ def measured(rows: DataFrame, centroids: np.ndarray) -> Lists:
     return Lists(centroids, near, far, size)
 
 
+def shelved(held: Lists, most: int) -> np.ndarray:
+    """For each list its shelf: lists one after another, from each to the nearest that is left, as long as ``most`` rows hold them."""
+    shelf, left, now, filled = np.full(len(held.size), -1), held.size > 0, 0, 0
+    at = int(np.argmax(held.size)) if len(left) else 0
+    while left.any():
+        if filled and filled + held.size[at] > most:
+            now, filled = now + 1, 0
+        shelf[at], left[at] = now, False
+        filled += int(held.size[at])
+        at = int(np.argmax(np.where(left, held.centroids @ held.centroids[at], -np.inf)))
+    return shelf
+
+
 def _tops(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray) -> tuple[list, list, list]:
     """(id, other, score) of the k best of ``x`` for each query, none below its ``least``. ``ids`` ascend: ties go by id."""
     out: tuple[list, list, list] = ([], [], [])
     right = np.ascontiguousarray(x.T)
     top = min(k + 1, len(ids))
     for at in range(0, len(q), 256):
-        scores = np.round(q[at : at + 256] @ right, 6)
+        scores, bar = q[at : at + 256] @ right, least[at : at + 256, None]
         scores[query_ids[at : at + 256, None] == ids[None]] = -np.inf
-        cut = np.maximum(np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top], least[at : at + 256])
-        row, column = np.nonzero(scores >= cut[:, None])
-        value = scores[row, column]
+        near = scores >= bar - GIVE
+        if not np.isfinite(bar).all() or near.sum() > 32 * len(scores):
+            scores = np.round(scores, 6)
+            cut = np.maximum(np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top :][:, :1], bar)
+            tied = scores == cut
+            near = (scores > cut) | (tied & (np.cumsum(tied, axis=1) <= k))
+        row, column = np.nonzero(near)
+        value = np.round(scores[row, column], 6)
         order = np.lexsort((column, -value, row))
         row, column, value = row[order], column[order], value[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        good = (rank < k) & (value > -np.inf)
+        good = (rank < k) & (value > -np.inf) & (value >= least[at + row])
         out[0].append(query_ids[at + row[good]])
         out[1].append(ids[column[good]])
         out[2].append(value[good])
@@ -125,21 +143,27 @@ def _tops(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
 def nearest_neighbours(points: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", lists: int | None = None) -> tuple[DataFrame, float]:
     """(id, other, score, rank): the k nearest rows (cosine, 6 digits, ties by id) of every row, exactly; the share of pairs compared.
 
-    Each row's k-th best score within a tile of its own list is a threshold. A row then goes to those lists only whose bound
-    reaches its threshold, so what is clustered compares little and what is not compares all pairs in tiles, as a plain
-    product would. Members and visitors of a list are dealt in tiles, so a large list is many tasks; a task holds two tiles.
+    Near lists share a shelf, of ``TILE`` rows at most unless one list has more. Each row's k-th best score within a tile of
+    its own shelf is a threshold. A row then goes to those shelves only that have a list whose bound reaches its threshold, so
+    what is clustered compares little and what is not compares all pairs in tiles, as a plain product would: a row is copied
+    once a tile then, not once a list. Members and visitors of a shelf are dealt in tiles; a task holds two of them.
 
     Rows that cannot be scaled have no neighbours and are none's; rows of one id are not neighbours. ids must be numbers.
     """
     n = points.count()
     wanted = lists or max(1, min(4096, round(n**0.5)))
     centroids = fitted(points, wanted, id_col, vector_col)
-    rows = checkpointed(assigned(points, centroids, id_col, vector_col).where("list >= 0 and id is not null"))
+    width = points.schema[vector_col].dataType.simpleString()  # as narrow as they came; products are of doubles
+    rows = checkpointed(assigned(points, centroids, id_col, vector_col).where("list >= 0 and id is not null").withColumn("v", F.col("v").cast(width)))
     held = measured(rows, centroids)
+    shelf = shelved(held, max(1, min(TILE, -(-n // SHELVES))))
+    firsts = np.flatnonzero(np.diff(np.sort(shelf), prepend=-2) * (np.sort(shelf) >= 0))  # where shelves begin among lists ordered by shelf
+    by_shelf, total = np.argsort(shelf, kind="stable"), np.bincount(shelf[shelf >= 0], held.size[shelf >= 0]).astype(int)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, other {kind}, score double"
-    tiles = rows.sparkSession.createDataFrame([(i, int(max(1, -(-s // TILE)))) for i, s in enumerate(held.size)], "list int, tiles int")  # a row for each list
-    members = rows.join(F.broadcast(tiles), "list").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    spark = rows.sparkSession
+    places = spark.createDataFrame([(i, int(c), int(-(-total[c] // TILE))) for i, c in enumerate(shelf) if c >= 0], "list int, shelf int, tiles int")  # a row for each list
+    members = rows.join(F.broadcast(places), "list").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
 
     def within(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
@@ -147,24 +171,38 @@ def nearest_neighbours(points: DataFrame, k: int, id_col: str = "id", vector_col
         out = [np.concatenate(c) for c in _tops(ids, x, ids, x, k, np.full(len(ids), -np.inf))]
         return pa.table(out, ["id", "other", "score"])
 
-    own = members.select("id", "v", "list", "tile").groupBy("list", "tile").applyInArrow(within, schema)
+    own = members.select("id", "v", "shelf", "tile").groupBy("shelf", "tile").applyInArrow(within, schema)
     bar = own.groupBy("id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-2.0).alias("bar"))
-    barred = checkpointed(members.join(bar, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0))))
+    barred = checkpointed(members.select("id", "v").join(bar, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(-2.0))))
+
+    def routed(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Parts of a batch with places of rows in them and the shelves that these go to."""
+        for at in range(0, batch.num_rows, ROUTED):
+            part = batch.slice(at, ROUTED)
+            best = np.maximum.reduceat(held.best(scaled(part.column("v")))[:, by_shelf], firsts, axis=1)
+            yield part, *np.nonzero(best >= np.asarray(part.column("bar"))[:, None] - GIVE)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visits = np.zeros(len(total), np.int64)
+        for batch in batches:
+            for _, _, to in routed(batch):
+                visits += np.bincount(to, minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(visits)], ["shelf", "n"])
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = scaled(batch.column("v"))
-            row, to = np.nonzero(held.best(x) >= np.asarray(batch.column("bar"))[:, None] - GIVE)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), batch.column("bar").take(at), pa.array(to, pa.int32())], ["id", "v", "bar", "list"])
-
-    visits = checkpointed(barred.select("id", "v", "bar").mapInArrow(routes, f"id {kind}, v array<double>, bar double, list int"))
-    count = {r["list"]: r["count"] for r in visits.groupBy("list").count().collect()}
-    compared = sum(c * int(held.size[i]) for i, c in count.items())
-    blocks = rows.sparkSession.createDataFrame([(i, int(max(1, -(-s // TILE))), int(max(1, -(-count.get(i, 0) // TILE)))) for i, s in enumerate(held.size)], "list int, tiles int, blocks int")
+            for part, row, to in routed(batch):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("v").take(at), part.column("bar").take(at), pa.array(to, pa.int32())], ["id", "v", "bar", "shelf"])
+
+    # routes are found twice, which costs less than to keep all the copies
+    count = {r["shelf"]: r["n"] for r in barred.select("v", "bar").mapInArrow(counted, "shelf int, n long").groupBy("shelf").agg(F.sum("n").alias("n")).collect()}
+    compared = sum(c * int(total[i]) for i, c in count.items())
+    blocks = spark.createDataFrame([(i, int(-(-s // TILE)), int(max(1, -(-count.get(i, 0) // TILE)))) for i, s in enumerate(total)], "shelf int, tiles int, blocks int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = visits.join(F.broadcast(blocks), "list").select("list", each("tiles").alias("tile"), F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "id", "v", "bar")
-    there = members.drop("tiles").join(F.broadcast(blocks), "list").select("list", "tile", each("blocks").alias("block"), F.lit(1).alias("side"), "id", "v", F.lit(-2.0).alias("bar"))
+    visits = barred.select("id", "v", "bar").mapInArrow(routes, f"id {kind}, v {width}, bar double, shelf int")
+    asked = visits.join(F.broadcast(blocks), "shelf").select("shelf", each("tiles").alias("tile"), F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int").alias("block"), F.lit(0).alias("side"), "id", "v", "bar")
+    there = members.drop("tiles").join(F.broadcast(blocks), "shelf").select("shelf", "tile", each("blocks").alias("block"), F.lit(1).alias("side"), "id", "v", F.lit(-2.0).alias("bar"))
 
     def across(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("id", "ascending")]).combine_chunks()
@@ -175,7 +213,7 @@ def nearest_neighbours(points: DataFrame, k: int, id_col: str = "id", vector_col
         out = [np.concatenate(c) for c in _tops(ids[:split], x[:split], ids[split:], x[split:], k, np.asarray(t.column("bar"))[:split])]
         return pa.table(out, ["id", "other", "score"])
 
-    found = asked.unionByName(there).groupBy("list", "tile", "block").applyInArrow(across, schema)
+    found = asked.unionByName(there).groupBy("shelf", "tile", "block").applyInArrow(across, schema)
     order = W.partitionBy("id").orderBy(F.desc("score"), "other")
     best = found.dropDuplicates(["id", "other"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best, compared / max(1, n * n)

@@ -129,6 +129,21 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, tile):
     assert neighbours.nearest_neighbours(vectors(spark, [None]), 6)[0].count() == 0
 
 
+def test_neighbours_copy_rows_once_a_tile(spark, monkeypatch):
+    """Where no list can be left out, a row goes to as many places as there are tiles, not lists; copies tie by id."""
+    x = np.random.default_rng(7).normal(size=(600, 24))
+    x[100:200] = x[100]
+    held = neighbours.Lists(neighbours.fitted(vectors(spark, x), 60), np.zeros(60), np.full(60, 2.0), np.full(60, 10))
+    shelf = neighbours.shelved(held, 100)
+    assert np.bincount(shelf).tolist() == [10] * 6 and neighbours.shelved(held, 5).max() == 59
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:6]}
+    monkeypatch.setattr(neighbours, "TILE", 200)
+    assert {(r["id"], r["other"]) for r in neighbours.nearest_neighbours(vectors(spark, x), 6, lists=60)[0].collect()} == want
+
+
 POINTS = "id string, repo string, branch string, file_path string, language string, dense array<double>"
 
 
