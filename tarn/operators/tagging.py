@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import phrases
 from tarn.operators.conversations import any_of, hits
+from tarn.session import checkpointed
 
 # Cut points of confidence, least confidence and most tags of suggestions.
 LEVELS, LEAST, TOP, AUTO_APPLY, MOST_TAGS = ((0.8, "VeryHigh"), (0.6, "High"), (0.4, "Medium")), 0.4, 5, 0.7, 10
@@ -154,6 +155,10 @@ def level_score(name: Column) -> Column:
     return reduce(lambda rest, x: F.when(name == x[0], x[1]).otherwise(rest), (("Low", 0.3), ("Medium", 0.5), ("High", 0.7), ("VeryHigh", 0.9)), F.lit(None).cast("double"))
 
 
+#: Rows of one set of tags that meet as many others in a unit of work; pairs of a task.
+LANE, PAIRS = 1000, 500_000
+
+
 def tag_overlap(tags: DataFrame, key: str = "id", tag: str = "tag", least: float = 0.5) -> DataFrame:
     """(id, other, common, score): pairs with common tags, score = common / larger number of tags, score > least.
 
@@ -163,7 +168,7 @@ def tag_overlap(tags: DataFrame, key: str = "id", tag: str = "tag", least: float
     """
     rare = tags.groupBy(tag).agg(F.count("*").alias("_df"))
     each = tags.select(F.col(key).alias("id"), F.col(tag).alias("tag")).distinct().join(rare.select(F.col(tag).alias("tag"), "_df"), "tag")
-    rows = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_df", "tag"))).alias("t")).select("id", F.transform("t", lambda x: x["tag"]).alias("tags"))
+    rows = checkpointed(each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_df", "tag"))).alias("t")).select("id", F.transform("t", lambda x: x["tag"]).alias("tags")))
     classes = rows.groupBy("tags").agg(F.min("id").alias("c")).withColumn("n", F.size("tags"))
     # more than least * n of n tags are common: the first n - floor(least * n) hold one of them
     entered = classes.select("c", "tags", "n", F.explode(F.slice("tags", 1, (F.col("n") - F.floor(F.col("n") * least)).cast("int"))).alias("p"))
@@ -171,9 +176,17 @@ def tag_overlap(tags: DataFrame, key: str = "id", tag: str = "tag", least: float
     common = F.size(F.array_intersect("ta", "tb"))
     first = F.get(F.filter("ta", lambda x: F.array_contains("tb", x)), 0)  # a pair is the first common tag's
     met = a.join(b, "p").where((F.col("ca") <= F.col("cb")) & (F.col("p") == first)).select("ca", "cb", common.alias("common"), F.round(common / F.greatest(F.size("ta"), F.size("tb")), 6).alias("score")).where(F.col("score") > least)
-    members = rows.join(classes.select("tags", "c"), "tags").select("id", "c")
-    left = met.join(members.select(F.col("c").alias("ca"), F.col("id").alias("x")), "ca")
-    pairs = left.join(members.select(F.col("c").alias("cb"), F.col("id").alias("y")), "cb").where((F.col("ca") < F.col("cb")) | (F.col("x") < F.col("y")))
+    # a class is dealt to lanes: each pair of lanes is a row of its own, so a class that very many rows have is many tasks
+    sized = rows.groupBy("tags").agg(F.min("id").alias("c"), F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))
+    members = rows.join(sized, "tags").select("c", F.pmod(F.xxhash64("id"), "lanes").cast("int").alias("lane"), "id")
+    held = checkpointed(members.groupBy("c", "lane").agg(F.collect_list("id").alias("ids")))
+    a, b = held.select(F.col("c").alias("ca"), F.col("lane").alias("la"), F.col("ids").alias("xs"), F.size("ids").alias("na")), held.select(F.col("c").alias("cb"), F.col("lane").alias("lb"), F.col("ids").alias("ys"), F.size("ids").alias("nb"))
+    tasks = checkpointed(met.join(a.drop("xs"), "ca").join(b.drop("ys"), "cb").where((F.col("ca") < F.col("cb")) | (F.col("la") <= F.col("lb"))))
+    work = tasks.agg(F.sum(F.col("na").cast("long") * F.col("nb"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // PAIRS))
+    dealt = tasks.drop("na", "nb").join(a.drop("na"), ["ca", "la"]).join(b.drop("nb"), ["cb", "lb"]).repartition(parts, "ca", "la", "cb", "lb")
+    alone = (F.col("ca") == F.col("cb")) & (F.col("la") == F.col("lb"))
+    pairs = dealt.withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys")).where(~alone | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other"), F.col("common").cast("long").alias("common"), "score")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import vectors as V
-from tarn.operators import search, tokens
+from tarn.operators import search, tagging, tokens
 from tarn.sources import files, store
 
 
@@ -230,3 +230,16 @@ def test_ignored_paths(spark):
 
     paths = spark.createDataFrame([(p,) for p in ("a/.git/x", "b.log", "src/node_modules/y", "src/main.rs")], "p string")
     assert [r["x"] for r in paths.select(snapshots.ignored(F.col("p"), ["*.log", "node_modules"]).alias("x")).collect()] == [True, True, True, False]
+
+
+@pytest.mark.parametrize("lane", [tagging.LANE, 4])
+def test_overlaps_of_a_large_class_are_many_tasks(spark, monkeypatch, lane):
+    monkeypatch.setattr(tagging, "LANE", lane)
+    sets = {i: {"a", "b"} if i < 40 else {"a", "b", "c"} if i < 50 else {"d", str(i % 3)} for i in range(60)}
+    tags = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, tag string")
+    want = {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j])) > 0.5}
+    pairs = tagging.tag_overlap(tags)
+    got = [(r["id"], r["other"], r["common"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    if lane == 4:
+        assert max(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()) < len(want) * 2 / 3
