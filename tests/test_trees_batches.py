@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import embedding
@@ -123,3 +124,28 @@ def test_trending(spark):
     got = conversations.rising_words(spark.createDataFrame(rows, "week long, conv_id long, text string"), "week", 2)
     assert {tuple(r) for r in got.collect()} == {(0, "alpha", 2, 0, 1.0), (0, "beta", 1, 0, 0.5), (1, "beta", 2, 1, 0.333333), (1, "gamma", 1, 0, 0.333333), (3, "alpha", 1, 0, 1.0)}
     assert isinstance(got.toPandas(), pd.DataFrame)
+
+
+def test_padded_batches_leave_python_in_parts(spark, monkeypatch):
+    """No part of ids that Python holds at once has more texts than ``PART``."""
+    monkeypatch.setattr(embedding, "PART", 7)
+    sizes = []
+    plain = embedding.pa.RecordBatch.from_arrays
+
+    class Batches:
+        from_arrays = staticmethod(lambda arrays, names: sizes.append(len(arrays[0])) or plain(arrays, names))
+
+    class Frame:
+        schema = {"id": type("Kind", (), {"dataType": type("T", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+        select = lambda self, *names: self
+
+        def mapInArrow(self, run, schema):
+            batch = embedding.pa.RecordBatch.from_pydict({"id": list(range(100)), "text": ["word other"] * 99 + [None]})
+            monkeypatch.setattr(embedding.pa, "RecordBatch", Batches)
+            list(run(iter([batch])))
+            monkeypatch.undo()
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        embedding.padded_batches(Frame(), "id")
+    assert sum(sizes) == 100 and max(sizes) == 7
