@@ -17,6 +17,10 @@ from tarn.session import checkpointed
 _FIRST = sorted(range(len(fixed.TOKEN_PATTERNS)), key=lambda i: (i not in (4, 7, 5), i))
 ANY_TOKEN = "(?s)" + "|".join(f"(?:{fixed.TOKEN_PATTERNS[i][0]})" for i in _FIRST)
 INDEXED = ("Identifier", "Literal")
+# The indexed tokens alone, each behind all that is not indexed: characters that begin no such token, comments, slashes. A
+# quote without its second half, and the end of the text, are found too and are no tokens.
+_REST = rf"""(?:[^a-zA-Z_"'/\p{{Nd}}]++|{fixed.TOKEN_PATTERNS[0][0]}|/)*+"""
+INDEXED_TOKEN = f"(?s){_REST}(" + "|".join(fixed.TOKEN_PATTERNS[i][0] for i in (4, 5, 1, 2, 3)) + r"""|["']|\z)"""
 SYMBOL_CODES = [ord(c) for c in "(){}[]<>=+-*/%&|^!~,;:."]
 
 
@@ -45,21 +49,28 @@ def tokens(text: Column, keep_whitespace: bool = False, lower_identifiers: bool
     return found
 
 
-def token_rows(docs: DataFrame, keep: list, text: Column, only: list[str] | None = None) -> DataFrame:
-    """(.., term, kind), one row for each token but white space (and, with ``only``, but what cannot be one of a few terms).
+def token_rows(docs: DataFrame, keep: list, text: Column) -> DataFrame:
+    """(.., term, kind), one row for each token but white space.
 
     Rows are made first, so kinds are compiled code.
     """
-    found = F.regexp_extract_all(text, F.lit(ANY_TOKEN), F.lit(0))
-    if only is not None:
-        found = F.filter(found, lambda t: F.lower(t).isin(*(x.lower() for x in only)))
-    rows = docs.select(*keep, F.explode(found).alias("_t"))
+    rows = docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(ANY_TOKEN), F.lit(0))).alias("_t"))
     kinds = rows.withColumn("kind", kind_of(F.col("_t"))).where("kind <> 'Whitespace'")
     return kinds.withColumn("term", F.when(F.col("kind") == "Identifier", F.lower("_t")).otherwise(F.col("_t"))).drop("_t")
 
 
+def indexed_rows(docs: DataFrame, keep: list, text: Column) -> DataFrame:
+    """(.., term), one row for each indexed token: ``token_rows`` without the other kinds, which are not even made rows."""
+    rows = docs.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(INDEXED_TOKEN), F.lit(1))).alias("_t")).where(~F.col("_t").isin("", '"', "'"))
+    # of the indexed ones, literals in quotes alone are not lower-cased, and numbers have no case
+    quoted = F.col("_t").startswith('"') | F.col("_t").endswith("'")
+    return rows.withColumn("term", F.when(quoted, F.col("_t")).otherwise(F.lower("_t"))).drop("_t")
+
+
 def term_rows(docs: DataFrame, id_col: str, text: Column, kinds: tuple[str, ...] = INDEXED) -> DataFrame:
     """(id, term), one row for each indexed token."""
+    if kinds == INDEXED:
+        return indexed_rows(docs, [id_col], text)
     return token_rows(docs, [id_col], text).where(F.col("kind").isin(*kinds)).select(id_col, "term")
 
 
@@ -76,7 +87,7 @@ def postings(docs: DataFrame, id_col: str, text: Column, name: Column | None = N
     if name is not None:
         docs = docs.select("*", *names)
         names = ["_name"]
-    terms = token_rows(docs, [id_col, *names], text, only).where(F.col("kind").isin(*INDEXED))
+    terms = indexed_rows(docs, [id_col, *names], text)
     if only is not None:
         terms = terms.where(F.col("term").isin(*only))
     count = F.sum(F.when(F.array_contains("_name", F.col("term")), 2).otherwise(1)) if name is not None else F.count("*")

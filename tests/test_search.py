@@ -1,6 +1,7 @@
 """Tokens, vectors, fusion, stores."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +244,16 @@ def test_overlaps_of_a_large_class_are_many_tasks(spark, monkeypatch, lane):
     assert len(got) == len(set(got)) and set(got) == want
     if lane == 4:
         assert max(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()) < len(want) * 2 / 3
+
+
+def test_indexed_tokens_are_found_alone(spark):
+    """One match for each indexed token, and the same terms as among all tokens, whatever lies between them."""
+    rng = random.Random(7)
+    odd = ["", " \n\t ", "a" + " " * 50_000, "'a' 'ab '\\n' '' ''' \"x\\\"Y\" \"open", "/ // c\nd /* e */ f /* g", "a/b//C 'D\n1.5.x ٣.٤ é😀Z_9  'é' ->::", "'", '"', "/", None]
+    texts = odd + ["".join(rng.choice("aB_1.'\"/\\* \n٣é😀:-> ") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = tokens.token_rows(docs, ["id"], F.col("text")).where(F.col("kind").isin(*tokens.INDEXED)).select("id", "term")
+    got = tokens.term_rows(docs, "id", F.col("text"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    words = spark.createDataFrame([("-> ( " + "word = x; " * 1000,)], "text string")
+    assert words.select(F.size(F.regexp_extract_all("text", F.lit(tokens.INDEXED_TOKEN), F.lit(1)))).first()[0] <= 2002  # of 6004 tokens
