@@ -185,3 +185,12 @@ def test_size_labels_equal_sql_over_a_gigabyte(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["size_labels"](spark, str(tmp_path)).collect())) == want and any(x.endswith("MB") and float(x[:-3]) >= 1024 for _, x in want)
     label = lambda n, *a: spark.range(1).select(bytes_label(F.lit(n), *a).alias("x")).first()["x"]
     assert [label(3 * 1024**3), label(3 * 1024**3, "MB"), label(3 * 1024**3, "KB")] == ["3.0 GB", "3072.0 MB", "3145728.0 KB"]
+
+
+def test_blocks_read_lines_once(spark):
+    """Lines are cut once a text, not once a block."""
+    docs = spark.createDataFrame([(1, "a\nb\r\nc\n"), (2, ""), (3, None)], "id long, text string")
+    for made in (chunks.fallback_chunks(docs, size=2), chunks.simple_chunks(docs, size=2)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = [(r["id"], r["start_line"], r["end_line"], r["element_type"], r["content"]) for r in chunks.fallback_chunks(docs, size=2).orderBy("id", "start_line").collect()]
+    assert got == [(1, 1, 2, "fallback_chunk_0", "a\nb"), (1, 3, 3, "fallback_chunk_1", "c"), (2, 1, 1, "fallback_chunk", ""), (3, 1, 1, "fallback_chunk", "")]
