@@ -194,3 +194,15 @@ def test_blocks_read_lines_once(spark):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     got = [(r["id"], r["start_line"], r["end_line"], r["element_type"], r["content"]) for r in chunks.fallback_chunks(docs, size=2).orderBy("id", "start_line").collect()]
     assert got == [(1, 1, 2, "fallback_chunk_0", "a\nb"), (1, 3, 3, "fallback_chunk_1", "c"), (2, 1, 1, "fallback_chunk", ""), (3, 1, 1, "fallback_chunk", "")]
+
+
+def test_sections_are_made_of_few_texts_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs, seen = spark.createDataFrame([(1, "# a\nb")], "id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: seen.append(f) or self, raising=True)
+    chunks.markdown_sections(docs)
+    n = 1000
+    made = list(seen[0](iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"# t{i}\nx\n" if i % 100 else None for i in range(n)])], ["id", "text"])])))
+    assert max(b.num_rows for b in made) <= chunks.PART
+    assert [(r["id"], r["start_line"], r["end_line"], r["element_type"], r["content"]) for b in made for r in b.to_pylist()] == [(i, 1, 2, "h1_section", f"# t{i}\nx") for i in range(n) if i % 100]
