@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import search, tokens
+from tarn.operators import search
 from tarn.sources.inverted import InvertedIndex
 from tarn.sources.store import VectorStore
 
@@ -26,8 +26,7 @@ class Collection:
 
     def upsert(self, points: DataFrame, text: str = "text", name: Column | None = None) -> None:
         """Adds points, or replaces those of the same id; ``name`` is the file name whose terms count twice."""
-        found = tokens.postings(points.where(F.col("id").isNotNull()), "id", F.coalesce(text, F.lit("")), name)
-        self.index.upsert(found, points.select("id"))
+        self.index.upsert_texts(points, "id", F.coalesce(text, F.lit("")), name)
         self.store.upsert(points)
 
     def delete(self, where: Column) -> None:

@@ -5,7 +5,8 @@ The index is a list of segments, each written once. A segment holds
 - ``blocks``: for each term, postings (ids and frequencies) in blocks of documents of like length, with the block's greatest
   frequency; partitioned by a bucket of the term's hash;
 - ``terms``: by bucket, how much a segment changes each term's document frequency;
-- ``forward``: by bucket of the id's hash, the terms of each document, so that a deletion knows what it changes;
+- ``forward``: the terms and frequencies of each document, so that a deletion knows what it changes; what else a segment
+  holds is made of it;
 - ``gone``: the ids that a segment deletes or replaces in all segments before it.
 
 A search reads the buckets of its terms and no others. Document frequencies are sums of what the segments say, so they are
@@ -28,6 +29,8 @@ from tarn.sources.commits import CommitLog
 
 #: Documents of a group, whose postings of a term are one block.
 GROUP = 4096
+#: Shares that a bucket is written in at most, and groups for each.
+SHARES, SHARE_GROUPS = 8, 16
 #: Groups scored for a threshold, and how much a score may gain by rounding.
 FIRST_GROUPS, ROUNDING = 8, 1e-5
 
@@ -45,7 +48,7 @@ class InvertedIndex:
         """A part of a segment, which may have no rows; ``kind``: the type of ids."""
         schema = {
             "terms": "term string, df long, bucket int",
-            "forward": f"id {kind}, terms array<string>, length long, bucket int",
+            "forward": f"id {kind}, terms array<struct<term:string,tf:int>>, length long",
             "blocks": f"term string, size int, part int, most int, n long, postings array<struct<id:{kind},tf:int>>, bucket int",
             "gone": f"id {kind}",
         }
@@ -61,73 +64,100 @@ class InvertedIndex:
 
         ``ids(id)`` names documents that count though they may have no term.
         """
-        postings = checkpointed(postings.select("id", "term", F.col("tf").cast("int").alias("tf")))
-        every = postings.select("id")
-        every = checkpointed((every.unionByName(ids.select("id")) if ids is not None else every).where("id is not null").distinct())
-        self._append(postings, self._held(every), every)
+        self._append(self._grouped(postings, ids), None)
+
+    def upsert_texts(self, docs: DataFrame, id_col: str, text: Column, name: Column | None = None) -> None:
+        """Adds documents by their texts, or replaces them; rows of one id are one document. ``name``: see ``tokens.postings``."""
+        docs = docs.where(F.col(id_col).isNotNull())
+        post = lambda some: tokens.postings(some, id_col, text, name).select(F.col(id_col).alias("id"), "term", "tf")
+        if name is not None:
+            self.upsert(post(docs), docs.select(F.col(id_col).alias("id")))
+            return
+        # terms are counted by rows, but for ids that have several
+        shared = checkpointed(docs.groupBy(id_col).count().where("count > 1").select(id_col))
+        if shared.isEmpty():
+            self._append(tokens.counted(docs, id_col, text), None)
+            return
+        met = docs.join(shared, id_col, "left_semi")
+        single = tokens.counted(docs.join(shared, id_col, "left_anti"), id_col, text)
+        self._append(single.unionByName(self._grouped(post(met), met.select(F.col(id_col).alias("id")))), None)
+
+    @staticmethod
+    def _grouped(postings: DataFrame, ids: DataFrame | None) -> DataFrame:
+        """(id, terms, length) of postings."""
+        docs = postings.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("terms"), F.sum("tf").cast("long").alias("length"))
+        if ids is not None:
+            docs = docs.join(ids.select("id").where("id is not null").distinct(), "id", "full")
+        return docs.select("id", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int>>")).alias("terms"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
 
     def delete(self, ids: DataFrame) -> None:
         """Deletes documents by ``ids(id)``."""
-        self._append(None, self._held(ids.select("id").distinct()), None)
+        self._append(None, ids)
 
-    def _held(self, ids: DataFrame) -> DataFrame | None:
-        """(id, term) of the documents that the index holds under these ids."""
-        live = self._live("forward")
-        # buckets of ids are not known without reading them: the join is by id
-        return None if live is None else checkpointed(live.join(ids, "id", "left_semi").select("id", F.explode_outer("terms").alias("term")))
-
-    def _append(self, new: DataFrame | None, old: DataFrame | None, ids: DataFrame | None) -> None:
+    def _append(self, docs: DataFrame | None, ids: DataFrame | None) -> None:
+        """A segment with ``docs(id, terms, length)`` and without what is held under their ids, or under ``ids``."""
         version, state = self.log.current()
         segments = list(state["segments"]) if state else []
-        seq, name = version + 1, f"segment-{uuid.uuid4().hex}"
-        at = f"{self.path}/{name}"
-        deltas = [d.groupBy("term").agg((F.count("*") * sign).alias("df")) for d, sign in ((new, 1), (old, -1)) if d is not None]
-        if not deltas:
+        live = self._live("forward")
+        if docs is None and live is None:
             return
-        both = deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1])
-        both.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").select("term", "df", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-        count, kind = 0, (new if new is not None else old).schema["id"].dataType.simpleString()
-        has = {"terms": True, "blocks": new is not None, "gone": False}
-        if old is not None:
-            dead = old.select("id").distinct()
-            dead.write.parquet(f"{at}/gone")
-            n = self._load(name, "gone", kind).count()
+        seq, name, count, deltas = version + 1, f"segment-{uuid.uuid4().hex}", 0, []
+        at, kind = f"{self.path}/{name}", (docs if docs is not None else ids).schema["id"].dataType.simpleString()
+        has = {"terms": True, "blocks": docs is not None, "gone": False}
+        if docs is not None:
+            docs.write.parquet(f"{at}/forward")
+            docs = self._load(name, "forward", kind)
+            count, ids = docs.count(), docs
+            deltas.append(self._changes(docs, 1))
+        if live is not None:
+            live.select("id").join(ids.select("id"), "id", "left_semi").distinct().write.parquet(f"{at}/gone")
+            gone = self._load(name, "gone", kind)
+            n = gone.count()
             has["gone"] = n > 0
             count -= n
-        if new is not None:
-            forward = ids.join(new.groupBy("id").agg(F.collect_list("term").alias("terms"), F.sum("tf").alias("length")), "id", "left")
-            forward = forward.withColumns({"terms": F.coalesce("terms", F.array().cast("array<string>")), "length": F.coalesce("length", F.lit(0))})
-            forward.select("id", "terms", "length", self._bucket(F.col("id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/forward")
-            added = self._load(name, "forward", kind).count()
-            count += added
-            self._blocks(new, name, kind)
+            deltas.append(self._changes(live.join(gone, "id", "left_semi"), -1))
+        self._terms(deltas[0] if len(deltas) == 1 else deltas[0].unionByName(deltas[1]), name)
+        if docs is not None:
+            self._blocks(docs, name)
         segments.append({"name": name, "seq": seq, "id": kind, **has})
         self.log.commit(version, {"segments": segments, "documents": (state["documents"] if state else 0) + count})
 
-    def _blocks(self, postings: DataFrame, name: str, kind: str) -> None:
-        """Writes postings in blocks. Long documents stand apart from short ones: their frequencies are high."""
-        length = self._load(name, "forward", kind).where("length > 0").select("id", F.floor(2 * F.log2("length")).cast("int").alias("size"))
-        sizes = {r["size"]: -(-r["count"] // GROUP) for r in length.groupBy("size").count().collect()}  # a row for each power of two
+    @staticmethod
+    def _changes(docs: DataFrame, sign: int) -> DataFrame:
+        """(term, df): how much documents that come (1) or go (-1) change document frequencies."""
+        return docs.select(F.explode("terms.term").alias("term")).groupBy("term").agg((F.count("*") * sign).alias("df"))
+
+    def _terms(self, changes: DataFrame, name: str) -> None:
+        df = changes.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        df.select("term", "df", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/terms")
+
+    def _blocks(self, docs: DataFrame, name: str) -> None:
+        """Writes postings in blocks. Long documents stand apart from short ones: their frequencies are high.
+
+        Postings are shuffled once, by bucket and share of its groups: a block is within a share.
+        """
+        sized = docs.where("length > 0").select("id", F.floor(2 * F.log2("length")).cast("int").alias("size"), "terms")
+        sizes = {r["size"]: -(-r["count"] // GROUP) for r in sized.groupBy("size").count().collect()}  # a row for each power of two
         parts = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(v)))) if sizes else F.create_map()
-        group = length.select("id", "size", F.pmod(F.xxhash64(F.lit(3), "id"), parts[F.col("size")]).cast("int").alias("part"))
-        held = postings.join(group, "id")
+        shares = max(1, min(SHARES, sum(sizes.values()) // SHARE_GROUPS))
+        placed = sized.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id"), parts[F.col("size")]).cast("int"))
+        placed = placed.select("id", "size", "part", F.pmod(F.hash("size", "part"), F.lit(shares)).alias("share"), F.inline("terms"))
+        held = placed.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", "share")
         block = F.array_sort(F.collect_list(F.struct("id", "tf")))
-        made = held.groupBy("term", "size", "part").agg(F.max("tf").alias("most"), F.count("*").alias("n"), block.alias("postings"))
-        made.select("term", "size", "part", "most", "n", "postings", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term", F.desc("size"), "part").write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
+        made = held.groupBy("bucket", "share", "term", "size", "part").agg(F.max("tf").alias("most"), F.count("*").alias("n"), block.alias("postings"))
+        made.select("term", "size", "part", "most", "n", "postings", "bucket").sortWithinPartitions("bucket", "term", F.desc("size"), "part").write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
 
     def compact(self) -> None:
         """All segments as one, without what was deleted."""
         version, state = self.log.current()
-        live, forward = self.live_postings(), self._live("forward")
-        if live is None or forward is None:
+        live = self._live("forward")
+        if live is None:
             return
-        name = f"segment-{uuid.uuid4().hex}"
-        at = f"{self.path}/{name}"
-        live = checkpointed(live)
-        live.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", self._bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-        forward.select("id", "terms", "length", self._bucket(F.col("id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/forward")
-        kind = live.schema["id"].dataType.simpleString()
-        self._blocks(live, name, kind)
+        name, kind = f"segment-{uuid.uuid4().hex}", live.schema["id"].dataType.simpleString()
+        live.select("id", "terms", "length").write.parquet(f"{self.path}/{name}/forward")
+        docs = self._load(name, "forward", kind)
+        self._terms(self._changes(docs, 1), name)
+        self._blocks(docs, name)
         self.log.commit(version, {"segments": [{"name": name, "seq": version + 1, "id": kind, "terms": True, "blocks": True, "gone": False}], "documents": state["documents"]})
 
     def vacuum(self) -> list[str]:
@@ -234,5 +264,5 @@ class InvertedIndex:
 def build(spark: SparkSession, path: str, docs: DataFrame, id_col: str, text: Column, name: Column | None = None, buckets: int = 64) -> InvertedIndex:
     """An index of documents at a path, or its next segment where there is one."""
     index = InvertedIndex(spark, path, buckets)
-    index.upsert(tokens.postings(docs, id_col, text, name).select(F.col(id_col).alias("id"), "term", "tf"), docs.select(F.col(id_col).alias("id")))
+    index.upsert_texts(docs, id_col, text, name)
     return index

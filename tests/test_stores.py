@@ -226,3 +226,22 @@ def test_collection_of_both_sides(spark, tmp_path):
         assert kept.search("fresh w3 w5", [1.0, 1.0], where=where).collect() == want.collect()
     kept.compact()
     assert kept.count() == held.count() == kept.index.total()
+
+
+def test_index_of_texts_counts_by_rows(spark, tmp_path):
+    """Terms of a text are counted without a shuffle, as ``postings`` counts them; rows of one id are one document."""
+    odd = ["", None, "'a' 'Ab '' \"x Y\" \"open", "/ // c\nd /* e */ f F f", "a/b//C 'D\n1.5.x ٣.٤ é😀Z_9 Z_9", "'", "w7 w7 W7"]
+    docs = frame(spark, list(enumerate([*odd, *texts(3, 60)])))
+    made = tokens.counted(docs, "id", F.col("text"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r["id"], r["term"], r["tf"]) for r in tokens.postings(docs, "id", F.col("text")).collect())
+    rows = made.collect()
+    assert sorted((r["id"], t["term"], t["tf"]) for r in rows for t in r["terms"]) == want
+    assert all(r["length"] == sum(t["tf"] for t in r["terms"]) for r in rows) and len(rows) == docs.count()
+    shared = docs.unionByName(frame(spark, [(3, "w7 f"), (3, None), (200, "w7"), (None, "w7")]))
+    index = inverted.build(spark, str(tmp_path / "i"), shared, "id", F.col("text"), buckets=4)
+    assert index.total() == docs.count() + 1
+    post = tokens.postings(shared.where("id is not null"), "id", F.col("text"))
+    assert sorted(map(tuple, index.live_postings().select("id", "term", "tf").collect())) == sorted(map(tuple, post.select("id", "term", "tf").collect()))
+    terms = ["w7", "f", "w0"]
+    assert {r["term"]: r["df"] for r in index.frequencies(terms).collect()} == {r["term"]: r["df"] for r in tokens.document_frequency(post).where(F.col("term").isin(*terms)).collect()}
