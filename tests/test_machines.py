@@ -119,3 +119,41 @@ def test_syncs_do_not_depend_on_batches(spark, tmp_path, parts):
         want |= {(f"r{repo}", pd.Timestamp(at, unit="us"), *x) for at, *x in SyncMachine().advance(changes, mark, rules)}
     assert {(r["repo"], pd.Timestamp(r["us"], unit="us"), r["attempt"], r["changes"], r["state"]) for r in got.withColumn("us", F.unix_micros("at")).collect()} == want
     assert got.select(F.count_distinct("state")).first()[0] == 3
+
+
+def test_syncs_read_a_slot_at_a_time(monkeypatch):
+    """A repository's changes are held in packs by time and read back one slot after another, with the same attempts."""
+
+    class Value(dict):
+        exists, get, clear = (lambda s: "v" in s), (lambda s: s["v"]), (lambda s: s.pop("v", None))
+        update = lambda s, v: s.__setitem__("v", v)
+
+    class Map(dict):
+        read = ()
+        updateValue, removeKey, keys = dict.__setitem__, dict.__delitem__, (lambda s: list(dict.keys(s)))  # noqa: N815
+
+        def getValue(self, k):  # noqa: N802
+            self.read += (k[0],)
+            return self[k]
+
+    class Handle:
+        getMapState, getValueState = (lambda s, *a: Map()), (lambda s, *a: Value())  # noqa: N815
+        registerTimer = lambda s, t: timers.append(t)  # noqa: E731, N815
+
+    timers, now = [], [0]
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda s: now[0]})()
+    rng = random.Random(4)
+    rules = SyncRules(quiet=900_000_000, backoff=600_000_000, retries=2)
+    changes = [(rng.randrange(40 * machines.SLOT), f"p{rng.randrange(9)}", rng.choice([0, 0, 2])) for _ in range(400)]
+    pdfs = [pd.DataFrame({"ts": pd.to_datetime([c[0] for c in changes[i::4]], unit="us"), "path": [c[1] for c in changes[i::4]], "failures": [c[2] for c in changes[i::4]]}) for i in range(4)]
+    p = machines.SyncProcessor("repo", rules)
+    p.init(Handle())
+    assert list(p.handleInputRows(("r",), iter(pdfs), clock)) == []
+    got = []
+    for at in (10.5, 39, 60):
+        now[0] = int(at * machines.SLOT // 1000)
+        got += [tuple(r) for out in p.handleExpiredTimer(("r",), clock, None) for r in out[["at", "attempt", "changes", "state"]].itertuples(index=False)]
+    want = SyncMachine().advance(sorted(changes), now[0] * 1000, rules)
+    assert [(t.value // 1000, *x) for t, *x in got] == want
+    assert list(p.early.read) == sorted(p.early.read) and len(set(p.early.read)) == 40  # one slot after another
+    assert not p.early and not p.packs.exists()
