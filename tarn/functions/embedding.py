@@ -43,7 +43,7 @@ class HashedTokens:
         self.dim, self.most = dim, most
 
     @staticmethod
-    @lru_cache(maxsize=200_000)
+    @lru_cache(maxsize=1 << 16)
     def token(word: str) -> int:
         """31 bits of the word's hash, never 0 (padding)."""
         return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % (2**31 - 1) + 1
@@ -97,21 +97,21 @@ def batch_size(texts: Column, cores: int, most: int, memory_mb: int | None = Non
 def embed(make: Callable[[], EmbeddingProvider] = HashedTokens, at_a_time: int = 256):
     """A Pandas UDF from texts to vectors (array<double>); null for blank texts.
 
-    ``make`` is called once for each run of a task in a Python worker; texts are embedded ``at_a_time``.
+    ``make`` is called once for each run of a task in a Python worker; texts are embedded, and vectors leave, ``at_a_time``.
     """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         provider = make()
         for batch in batches:
-            texts = [(t or "").strip() for t in batch]
-            some = [i for i, t in enumerate(texts) if t]
-            out: list = [None] * len(texts)
-            for at in range(0, len(some), at_a_time):
-                part = some[at : at + at_a_time]
-                for i, v in zip(part, provider.embed_batch([texts[i] for i in part])):
-                    out[i] = v.tolist()
-            yield pd.Series(out, dtype=object)
+            for at in range(0, len(batch), at_a_time):
+                texts = [(t or "").strip() for t in batch.iloc[at : at + at_a_time]]
+                some = [i for i, t in enumerate(texts) if t]
+                out: list = [None] * len(texts)
+                if some:
+                    for i, v in zip(some, provider.embed_batch([texts[i] for i in some])):
+                        out[i] = v.tolist()
+                yield pd.Series(out, dtype=object)
 
     return run
 

@@ -20,8 +20,9 @@ from tarn.session import checkpointed
 
 #: Rows of the sample for each list; steps of its clustering; what a bound gives way (scores have 6 digits).
 SAMPLE, STEPS, GIVE = 64, 8, 2e-6
-#: Rows that one task compares with others; shelves that small tables are dealt to at least; rows that are routed at once.
-TILE, SHELVES, ROUTED = 16_384, 16, 1024
+#: Rows that one task compares with others; shelves that small tables are dealt to at least; numbers of a product, or rows that
+#: leave a task, at once.
+TILE, SHELVES, CELLS, SENT = 16_384, 16, 1 << 19, 4096
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,21 @@ def scaled(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def parts(rows: int, others: int) -> Iterator[slice]:
+    """Slices of rows, each as long as its product with ``others`` has ``CELLS`` numbers at most (a row at least)."""
+    step = max(1, CELLS // max(1, others))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def nearest_centroids(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest centroid and its cosine."""
+    own, cosine = np.empty(len(x), np.int64), np.empty(len(x))
+    for part in parts(len(x), len(centroids)):
+        product = x[part] @ centroids.T
+        own[part], cosine[part] = np.argmax(product, axis=1), product.max(axis=1)
+    return own, cosine
+
+
 def fitted(points: DataFrame, lists: int, id_col: str = "id", vector_col: str = "embedding") -> np.ndarray:
     """Centroids fitted on a sample of at most ``SAMPLE`` rows a list (those of least hash): spherical k-means.
 
@@ -66,7 +82,7 @@ def fitted(points: DataFrame, lists: int, id_col: str = "id", vector_col: str =
     x = scaled(sample.column("v").combine_chunks())
     centroids = x[: min(lists, len(x))].copy()
     for _ in range(STEPS):
-        own = np.argmax(x @ centroids.T, axis=1)
+        own, _ = nearest_centroids(x, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -84,9 +100,8 @@ def assigned(points: DataFrame, centroids: np.ndarray, id_col: str = "id", vecto
             own, distance = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             fit = np.flatnonzero(np.asarray(batch.column("fit")))
             if len(fit) and len(centroids):
-                cosine = scaled(batch.column("v").take(pa.array(fit))) @ centroids.T
-                own[fit] = np.argmax(cosine, axis=1)
-                distance[fit] = np.sqrt(np.maximum(0.0, 2 - 2 * cosine.max(axis=1)))
+                own[fit], cosine = nearest_centroids(scaled(batch.column("v").take(pa.array(fit))), centroids)
+                distance[fit] = np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(own, pa.int32()), pa.array(distance)], ["id", "v", "list", "distance"])
 
     return rows.mapInArrow(run, f"id {kind}, v array<double>, list int, distance double")
@@ -119,9 +134,9 @@ def _tops(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     out: tuple[list, list, list] = ([], [], [])
     right = np.ascontiguousarray(x.T)
     top = min(k + 1, len(ids))
-    for at in range(0, len(q), 256):
-        scores, bar = q[at : at + 256] @ right, least[at : at + 256, None]
-        scores[query_ids[at : at + 256, None] == ids[None]] = -np.inf
+    for part in parts(len(q), len(ids)):
+        scores, bar = q[part] @ right, least[part, None]
+        scores[query_ids[part, None] == ids[None]] = -np.inf
         near = scores >= bar - GIVE
         if not np.isfinite(bar).all() or near.sum() > 32 * len(scores):
             scores = np.round(scores, 6)
@@ -133,8 +148,8 @@ def _tops(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
         order = np.lexsort((column, -value, row))
         row, column, value = row[order], column[order], value[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        good = (rank < k) & (value > -np.inf) & (value >= least[at + row])
-        out[0].append(query_ids[at + row[good]])
+        good = (rank < k) & (value > -np.inf) & (value >= least[part][row])
+        out[0].append(query_ids[part][row[good]])
         out[1].append(ids[column[good]])
         out[2].append(value[good])
     return out
@@ -177,8 +192,8 @@ def nearest_neighbours(points: DataFrame, k: int, id_col: str = "id", vector_col
 
     def routed(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """Parts of a batch with places of rows in them and the shelves that these go to."""
-        for at in range(0, batch.num_rows, ROUTED):
-            part = batch.slice(at, ROUTED)
+        for some in parts(batch.num_rows, len(held.size)):
+            part = batch.slice(some.start, some.stop - some.start)
             best = np.maximum.reduceat(held.best(scaled(part.column("v")))[:, by_shelf], firsts, axis=1)
             yield part, *np.nonzero(best >= np.asarray(part.column("bar"))[:, None] - GIVE)
 
@@ -192,8 +207,9 @@ def nearest_neighbours(points: DataFrame, k: int, id_col: str = "id", vector_col
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, row, to in routed(batch):
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("v").take(at), part.column("bar").take(at), pa.array(to, pa.int32())], ["id", "v", "bar", "shelf"])
+                for first in range(0, len(row), SENT):
+                    at = pa.array(row[first : first + SENT])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("v").take(at), part.column("bar").take(at), pa.array(to[first : first + SENT], pa.int32())], ["id", "v", "bar", "shelf"])
 
     # routes are found twice, which costs less than to keep all the copies
     count = {r["shelf"]: r["n"] for r in barred.select("v", "bar").mapInArrow(counted, "shelf int, n long").groupBy("shelf").agg(F.sum("n").alias("n")).collect()}

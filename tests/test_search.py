@@ -183,6 +183,20 @@ def test_providers(spark):
         embedding.with_dimension(spark.createDataFrame([([1.0],)], "embedding array<double>"), 2).collect()
 
 
+def test_vectors_leave_some_at_a_time(spark):
+    """No Arrow batch of texts is Python's lists of numbers at once."""
+    import numpy as np
+    import pandas as pd
+
+    from tarn.functions import embedding
+
+    texts = [f"word {i}" if i % 3 else " " for i in range(10)] + [None]
+    parts = list(embedding.embed(lambda: embedding.HashedTokens(16), 4).func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert [len(p) for p in parts] == [4, 4, 3]
+    got = [v for p in parts for v in p]
+    assert [v is None for v in got] == [i % 3 == 0 for i in range(10)] + [True] and np.allclose(got[4], embedding.HashedTokens(16).embed_batch(["word 4"])[0])
+
+
 def test_shared_folder_must_be_set_on_a_cluster():
     from types import SimpleNamespace as N
 

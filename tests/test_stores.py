@@ -1,6 +1,7 @@
 """Stored indices and commits: equal to what is not stored, reading no more than they must, whole or not at all."""
 
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -144,6 +145,35 @@ def test_neighbours_copy_rows_once_a_tile(spark, monkeypatch):
     assert {(r["id"], r["other"]) for r in neighbours.nearest_neighbours(vectors(spark, x), 6, lists=60)[0].collect()} == want
 
 
+@pytest.mark.parametrize("least", [-np.inf, 0.5])
+def test_neighbours_hold_a_bounded_product(least):
+    """The memory of a comparison does not grow with the tile."""
+    x = np.random.default_rng(3).normal(size=(neighbours.TILE, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    out = [np.concatenate(c) for c in neighbours._tops(ids[:512], x[:512], ids, x, 5, np.full(512, least))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20 and len(out[0]) == 5 * 512
+    s = np.round(x[:3] @ x.T, 6)
+    s[range(3), range(3)] = -9
+    assert out[1][:15].tolist() == [int(j) for r in s for j in np.lexsort((ids, -r))[:5]]
+
+
+def test_products_in_parts_equal_the_whole(monkeypatch):
+    x = np.vstack([groups(6, 12, 20, 0.2), np.eye(12)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, centroids = np.arange(len(x)), x[::9]
+    least = np.where(ids % 3 == 0, 0.9, -np.inf)
+    run = lambda: [*map(np.concatenate, neighbours._tops(ids, x, ids, x, 4, least)), *neighbours.nearest_centroids(x, centroids)]
+    whole = run()
+    monkeypatch.setattr(neighbours, "CELLS", 300)
+    assert len(list(neighbours.parts(len(x), len(ids)))) > 50 and [(p.start, p.stop) for p in neighbours.parts(5, 150)] == [(0, 2), (2, 4), (4, 5)]
+    for a, b in zip(run(), whole):
+        assert np.allclose(a, b, atol=2e-6)
+
+
 POINTS = "id string, repo string, branch string, file_path string, language string, dense array<double>"
 
 
